@@ -25,5 +25,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(~held_out()))
+    found = docs.select("doc_id", held_out().alias("held_out"), identify(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.array_join("found.languages", ",").alias("languages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id}
 ORACLE_SQL: dict[str, str] = {}
