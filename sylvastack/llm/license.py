@@ -29,7 +29,7 @@ WORDINGS = [
 ]
 #: Diagonals this far apart belong to one passage with words put in or left out.
 SLACK = 2
-#: Share of a wording's bigrams that a span must hold.
+#: Share of a wording's bigrams that a span must hold; its last bigram, which tells versions apart, must be among them.
 COVERAGE = 0.7
 
 
@@ -75,7 +75,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.bit_or("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + 2).alias("end")
     )
     coverage = F.bit_count("votes") / (F.col("size") - 1)
-    kept = F.when(F.col("base"), coverage == 1).otherwise((coverage >= COVERAGE) & (F.col("end") - F.col("start") <= F.col("size") + 2 * SLACK))
+    kept = F.when(F.col("base"), coverage == 1).otherwise((coverage >= COVERAGE) & (F.expr("shiftright(votes, size - 2)") % 2 == 1) & (F.col("end") - F.col("start") <= F.col("size") + 2 * SLACK))
     return merged.withColumn("coverage", coverage).where(kept).select("id", "text_key", "label", "base", F.col("start").cast("long"), F.col("end").cast("long"), "coverage")
 
 
@@ -111,8 +111,8 @@ h as (select doc_id, template, label, base, size, (i - 1 - pos) dg, pos from (se
 dgl as (select doc_id, template, label, base, size, dg, list(distinct pos) votes, min(pos) lo, max(pos) hi from h group by all),
 m as (select *, case when base or lag(dg) over wd is null or dg - lag(dg) over wd > {SLACK} then 1 else 0 end ap from dgl window wd as (partition by doc_id, template order by dg)),
 n as (select *, sum(ap) over (partition by doc_id, template order by dg rows unbounded preceding) pa from m),
-p as (select doc_id, template, label, base, size, pa, len(list_distinct(flatten(list(votes)))) / (size - 1) cov, min(dg + lo) st, max(dg + hi + 2) en from n group by doc_id, template, label, base, size, pa),
-s as (select * from p where case when base then cov = 1 else cov >= {COVERAGE} and en - st <= size + {2 * SLACK} end),
+p as (select doc_id, template, label, base, size, pa, len(list_distinct(flatten(list(votes)))) / (size - 1) cov, list_contains(flatten(list(votes)), size - 2) ended, min(dg + lo) st, max(dg + hi + 2) en from n group by doc_id, template, label, base, size, pa),
+s as (select * from p where case when base then cov = 1 else cov >= {COVERAGE} and ended and en - st <= size + {2 * SLACK} end),
 f as (select doc_id, count(*) filter (base) nb, min(st) filter (base) fw, max(st) filter (base) lw,
   coalesce(string_agg(distinct label, ',' order by label) filter (base), '') bl, string_agg(distinct label, ',' order by label) lb, max(cov) sc from s group by 1)
 select w.doc_id, len(ws)::bigint n_words, coalesce(nb, 0)::bigint n_base, fw::bigint first_word, lw::bigint last_word, coalesce(bl, '') base_labels, coalesce(lb, '') labels, coalesce(sc, 0)::double score
