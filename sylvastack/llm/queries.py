@@ -49,5 +49,15 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license}
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classlm import fit, score
+    from .language import held_out
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs.where(~held_out(folds=10)))
+    out = score(docs, model).withColumn("held_out", held_out(folds=10)).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle(), "op3_license": license.oracle()}
