@@ -65,5 +65,12 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony}
+def op7_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .postings import nearest
+
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle(), "op3_license": license.oracle()}
