@@ -184,8 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     load = {x.list: x["count"] for x in routed.groupBy("list").count().collect()}
     parts = spark.createDataFrame([(i, -(-int(n) // PART_ROWS) or 1, -(-load.get(i, 0) // PART_QUERIES) or 1) for i, n in enumerate(index.sizes)], "list int, parts int, asks int")
     parts = F.broadcast(parts)  # at most MOST_LISTS rows
-    left = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).cast("long"))
-    right = routed.join(parts, "list").withColumn("ask", F.pmod(F.xxhash64("query"), F.col("asks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long"))
+    left = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    right = routed.join(parts, "list").withColumn("ask", F.pmod(F.xxhash64("query"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["list", "part", "ask"]
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
