@@ -72,5 +72,14 @@ def op7_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_spans, fit, in_order
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", find_spans(docs, fit(docs)).alias("s"))
+    counts = [F.expr(f"cast(size(filter(s.base, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(in_order(F.col("s.base")), 256).alias("base_sha256"), in_order(F.concat("s.base", "s.added")).alias("spans"), F.size("s.added").cast("long").alias("n_added"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle(), "op3_license": license.oracle()}
