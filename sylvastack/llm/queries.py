@@ -81,5 +81,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(in_order(F.col("s.base")), 256).alias("base_sha256"), in_order(F.concat("s.base", "s.added")).alias("spans"), F.size("s.added").cast("long").alias("n_added"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings, "op10_pii": op10_pii}
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotraining import classify, fit
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scores = classify(docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return scores.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings, "op10_pii": op10_pii, "op6_cotraining": op6_cotraining}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle(), "op3_license": license.oracle()}
