@@ -86,7 +86,7 @@ def quota(shares: DataFrame, wanted: dict[str, int]) -> DataFrame:
 
 def stratified_sample(df: DataFrame, per_class: int, by: list[str], bands: list[str], key: str = "pixel_id", seed: int = 7) -> DataFrame:
     """Up to ``per_class`` rows of each group whose bands are all there."""
-    return head_by(df.dropna(subset=bands), by, [shuffle_key(seed, key), F.col(key)], per_class)
+    return head_by(df.dropna(subset=bands) if bands else df, by, [shuffle_key(seed, key), F.col(key)], per_class)
 
 
 def sampled_counts(pixels: DataFrame, flags: list[str], by: str, size: int = 2500, seed: int = 1, key: str = "pixel_id") -> DataFrame:

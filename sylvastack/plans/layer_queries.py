@@ -193,10 +193,9 @@ def _(t):
     return t.tm_pixels.select("scene_id", "pixel_id", B.bitwise_extract(F.col("qa"), 3, 5).alias("v"))
 
 
-@query("tm_scale", "select scene_id, pixel_id, round(sr_b4 * 0.0000275::double - 0.2, 6) sr_b4, round(st_b6 * 0.00341802::double + 149.0, 6) st_b6 from tm_pixels")
+@query("tm_scale", "select scene_id, pixel_id, sr_b4 * 0.0000275::double - 0.2::double sr_b4, st_b6 * 0.00341802::double + 149.0::double st_b6 from tm_pixels")
 def _(t):
-    out = B.tm_scale(t.tm_pixels, ["sr_b4"], ["st_b6"])
-    return out.select("scene_id", "pixel_id", r6(F.col("sr_b4"), "sr_b4"), r6(F.col("st_b6"), "st_b6"))
+    return B.tm_scale(t.tm_pixels, ["sr_b4"], ["st_b6"]).select("scene_id", "pixel_id", "sr_b4", "st_b6")
 
 
 @query("nbr", "select scene_id, pixel_id, round(case when sr_b4 >= 0 and sr_b7 >= 0 and sr_b4 + sr_b7 <> 0 then (sr_b4 - sr_b7) / (sr_b4 + sr_b7) end, 6) nbr from tm_pixels")
