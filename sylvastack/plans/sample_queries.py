@@ -262,9 +262,9 @@ def _(t):
     return A.normalize(t.pixels.select("scene_id", "pixel_id", "nir"), ["nir"]).withColumn("nir", F.round("nir", 5))
 
 
-@query("stretch_bounds", "select scene_id, round(avg(nir) - 0.5 * stddev_pop(nir), 5) vmin, round(avg(nir) + 0.5 * stddev_pop(nir), 5) vmax from pixels group by 1")
+@query("stretch_bounds", "select scene_id, round(avg(nir) - 0.5 * stddev_pop(nir), 9) vmin, round(avg(nir) + 0.5 * stddev_pop(nir), 9) vmax from pixels group by 1")
 def _(t):
-    return A.stretch_bounds(t.pixels, "scene_id", "nir").select("scene_id", F.round("vmin", 5).alias("vmin"), F.round("vmax", 5).alias("vmax"))
+    return A.stretch_bounds(t.pixels, "scene_id", "nir").select("scene_id", F.round("vmin", 9).alias("vmin"), F.round("vmax", 9).alias("vmax"))
 
 
 @query("stack_predictions", "select pixel_id, list(round(p[1], 6) order by t) stack from class_probs group by 1")
