@@ -58,15 +58,16 @@ class ListIndex:
     links: np.ndarray
     sizes: np.ndarray
     longest: float
+    ratio: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, longest: float) -> "ListIndex":
+    def fit(cls, sample: np.ndarray, rows: int, longest: float, ratio: float = RATIO) -> "ListIndex":
         lifted = lift(sample, longest)
         lists = int(min(MOST_LISTS, len(sample), max(1, np.ceil(np.sqrt(rows) / 2))))
         centres = balanced_centroids(lifted, lists)
         near = np.stack([np.argsort(((centres - c) ** 2).sum(axis=1), kind="stable")[1 : LINKS + 1] for c in centres]) if lists > 1 else np.zeros((1, 0), int)
         ring = (np.arange(lists)[:, None] + [1, -1]) % lists  # every centroid can be reached
-        return cls(centres, np.hstack([near, ring]), np.zeros(lists, np.int64), longest)
+        return cls(centres, np.hstack([near, ring]), np.zeros(lists, np.int64), longest, ratio)
 
     def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list): the nearest list of each vector, and a further one for vectors near a boundary."""
@@ -80,7 +81,7 @@ class ListIndex:
         return row, order[row, at]
 
     def open_lists(self, query: np.ndarray, least: int) -> list[int]:
-        """Lists within ``RATIO`` of the nearest by best-first search of the graph; more of the nearest until they hold ``least`` rows."""
+        """Lists within ``ratio`` of the nearest by best-first search of the graph; more of the nearest until they hold ``least`` rows."""
         q = np.append(query, 0.0)
         dist = lambda at: np.sqrt(((self.centres[at] - q) ** 2).sum(axis=1))
         entry = np.arange(0, len(self.centres), max(1, len(self.centres) // 8))
@@ -92,7 +93,7 @@ class ListIndex:
         while heap:
             d, c = heapq.heappop(heap)
             best = min(best, d)
-            if d > best * RATIO and held >= least:
+            if d > best * self.ratio and held >= least:
                 break
             out.append((d, c))
             held += int(self.sizes[c])
@@ -104,7 +105,7 @@ class ListIndex:
         out.sort()
         kept, held = [], 0
         for d, c in out:
-            if d > best * RATIO and held >= least:
+            if d > best * self.ratio and held >= least:
                 break
             kept.append(c)
             held += int(self.sizes[c])
@@ -131,7 +132,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, ratio: float = RATIO) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the ``k`` rows of ``vectors`` with the largest inner products found.
 
     ``queries`` has the same columns; None: every row is a query. A query's own id is no candidate. Vectors that are
@@ -152,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     if facts.least != facts.most:
         raise ValueError("vectors of different sizes")
     sample = matrix(unique.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"])
-    index = ListIndex.fit(sample, facts.n, facts.longest)
+    index = ListIndex.fit(sample, facts.n, facts.longest, ratio)
     element = members.schema["v"].dataType.simpleString()
 
     built = spark.sparkContext.broadcast(index)
