@@ -47,7 +47,8 @@ def bulcp_arrow(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", orde
                 x[i] = leveler * product / product.sum() + (1 - leveler) / x.shape[1]
         return pd.DataFrame({key: rows[key], order: rows[order], p: list(x)})
 
-    return df.select(key, order, p).groupBy(key).applyInPandas(fold, f"{key} long, {order} int, {p} array<double>")
+    out = df.select(key, order, p).groupBy(key).applyInPandas(fold, f"{key} long, {order} int, {p} array<double>")
+    return out.withColumn(p, F.transform(p, lambda x: F.coalesce(x, F.lit(float("nan")))))  # Arrow takes pandas' NaN for a null
 
 
 def last_per_year(df: DataFrame, key: str = "pixel_id", order: str = "acquired") -> DataFrame:
