@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only a single-machine session may leave it unset; then a local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    where = getattr(spark, "_sylvastack_dir", None)
-    if where is None:
-        where = spark._sylvastack_dir = "file://" + tempfile.mkdtemp(prefix="sylvastack-")
-    return where
+from ..sources.workspace import fresh_folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: this cuts lineage and survives lost executors.
-
-    The folder goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet under the shared folder and read it back: this cuts lineage and survives lost executors."""
+    path = fresh_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
