@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import cleaned, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on distinct edges (u > v).
 
     Large: every neighbour above u goes to the least of u and its neighbours. Small: u and its smaller neighbours do.
-    The hub of a star meets its rows in a join, which AQE can split, never in a list.
+    The hub of a star meets its rows in a join, never in a list; the minima are written first, so that AQE can split the join.
     """
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     moved = near.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,6 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+@cleaned
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, root): every node that has an edge, with the smallest node that it reaches.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .workspace import materialize
+from .workspace import cleaned, materialize
 
 SEED = 42
 #: A bucket of more rows is dealt out again by 16-bit blocks, one of which a linked pair shares.
@@ -158,6 +158,7 @@ def links(distinct_fps: DataFrame, distance: int = 3) -> DataFrame:
     return first.where("b is not null").select("a", "b").unionByName(second.select("a", "b"))
 
 
+@cleaned
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """(id, fp, component): fingerprint and group of every row; component: the smallest id reachable over links.
 
@@ -168,8 +169,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialize(fingerprints(docs, id_col, text_col, shingle))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     labels = connected_components(links(nodes.select("fp"), distance), "a", "b")
-    joined = labels.join(nodes, F.col("node") == F.col("fp"))
-    best = joined.groupBy("root").agg(F.min("least").alias("component"))
+    joined = materialize(labels.join(nodes, F.col("node") == F.col("fp")).select("root", "fp", "least"))
+    best = materialize(joined.groupBy("root").agg(F.min("least").alias("component")))  # written, so that a large component can be split
     linked = joined.select("root", "fp").join(best, "root").select("fp", F.col("component").alias("linked"))
-    of_fp = nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component"))
+    # Written first, so that both sides of the last join are dealt out for it alone and AQE can split a hot fingerprint.
+    of_fp = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component")))
     return prints.join(of_fp, "fp", "left").select("id", "fp", "component")

@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 
-from ..sources.workspace import fresh_folder
+from ..sources.workspace import drop_folder, fresh_folder
+
+#: Folders written by each ``cleaned`` function that is running, innermost last.
+_running: list[list[str]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: this cuts lineage and survives lost executors."""
     path = fresh_folder(df.sparkSession, "table")
+    if _running:
+        _running[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleaned(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Make ``f`` write its result and drop the tables that it wrote on the way."""
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _running.append([])
+        try:
+            out = f(*args, **kwargs)
+            own, _running[-1] = _running[-1], []
+            kept = materialize(out)
+            result = _running[-1]
+        except BaseException:
+            own, result = _running[-1], []
+            raise
+        finally:
+            _running.pop()
+            for path in own:
+                drop_folder(args[0].sparkSession, path)
+        if _running:
+            _running[-1] += result
+        return kept
+
+    return run
