@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp, inf, log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from .workspace import materialize
 #: Words as in every corpus query: runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bisection levels that one job settles.
-LEVELS = 4
+LEVELS = 5
 #: Weights are whole millionths, so budgets are whole numbers on every engine.
 UNIT = 1_000_000
 
@@ -29,15 +29,20 @@ class Tempering:
     exponent: float
     entropy: float
     repeats: float
+    z: float
 
 
-def _evaluate(shares: DataFrame, exponents: list[float], budget_share: float) -> dict[float, Tempering]:
-    """Entropy and the largest repetition of a source under each exponent: one partial-and-final aggregate over the sources."""
+def _evaluate(shares: DataFrame, exponents: list[float], budget_share: float | None, top: float) -> dict[float, Tempering]:
+    """Entropy and the largest repetition of a source under each exponent: one partial-and-final aggregate over the sources.
+
+    Without a budget the largest source, whose log share is ``top``, is passed once and sets the repetition of the others.
+    """
     a = F.col("a")
     w = F.exp(a * F.col("lp"))
     grid = shares.withColumn("a", F.explode(F.array(*map(F.lit, exponents))))
     rows = grid.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.col("lp")).alias("s"), F.max(F.exp((a - 1) * F.col("lp"))).alias("r")).collect()
-    return {x.a: Tempering(x.a, log(x.z) - x.a * x.s / x.z, budget_share * x.r / x.z) for x in rows}
+    passes = lambda x: x.r * exp((1 - x.a) * top) if budget_share is None else budget_share * x.r / x.z
+    return {x.a: Tempering(x.a, log(x.z) - x.a * x.s / x.z, passes(x), x.z) for x in rows}
 
 
 def find_exponent(shares: DataFrame, entropy_gain: float | None, max_repeats: float | None, budget_share: float | None, steps: int = 40) -> Tempering:
@@ -48,14 +53,10 @@ def find_exponent(shares: DataFrame, entropy_gain: float | None, max_repeats: fl
     at exponent 1 every source is passed ``budget_share`` times, and no exponent can do with less.
     budget_share None: the budget covers every source at least once, so it follows the weights.
     """
+    top = shares.agg(F.max("lp")).first()[0]
 
     def at(exponents: list[float]) -> dict[float, Tempering]:
-        found = _evaluate(shares, exponents, budget_share if budget_share is not None else 1.0)
-        if budget_share is None:
-            # The least weight-to-share ratio belongs to the largest source; the budget that covers it scales all repeats.
-            top = shares.agg(F.max("lp")).first()[0]
-            found = {a: Tempering(a, t.entropy, t.repeats / exp((a - 1) * top) * _z(shares, a)) for a, t in found.items()}
-        return found
+        return _evaluate(shares, exponents, budget_share, top)
 
     ends = at([0.0, 1.0])
     target = None if entropy_gain is None else ends[1.0].entropy + entropy_gain * (ends[0.0].entropy - ends[1.0].entropy)
@@ -82,10 +83,6 @@ def find_exponent(shares: DataFrame, entropy_gain: float | None, max_repeats: fl
     return chosen
 
 
-def _z(shares: DataFrame, a: float) -> float:
-    return shares.agg(F.sum(F.exp(F.lit(a) * F.col("lp")))).first()[0]
-
-
 def _draw(*parts: Column) -> Column:
     """A number of 52 bits from an MD5 digest: the same draw on every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
@@ -104,8 +101,7 @@ def source_weights(docs: DataFrame, source_col: str = "source", tokens_col: str
     shares = totals.withColumn("lp", F.log(F.col("tokens") / F.lit(float(whole))))
     given = whole if budget is None else budget
     found = find_exponent(shares, entropy_gain, max_repeats, None if budget == "cover" else given / whole)
-    z = _z(shares, found.exponent)
-    weight = F.greatest(F.lit(1), F.round(F.exp(F.lit(found.exponent) * F.col("lp")) / F.lit(z) * UNIT).cast("long"))
+    weight = F.greatest(F.lit(1), F.round(F.exp(F.lit(found.exponent) * F.col("lp")) / F.lit(found.z) * UNIT).cast("long"))
     weighted = shares.withColumn("weight", weight)
     if budget == "cover":
         given = weighted.agg(F.max(F.expr(f"(tokens * {UNIT} + weight - 1) div weight"))).first()[0]
