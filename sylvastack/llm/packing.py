@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from .workspace import materialize
 
 #: Distinct space-led chunks that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Characters of text that are looked up together.
 TOGETHER = 4_000_000
 _TOKENIZERS: dict[str, "_Chunked"] = {}
