@@ -129,3 +129,34 @@ def test_near_duplicate_edges(odd, none):
     got = {(r.id, r.group) for r in near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} <= got and len(got) == 9
     assert near_duplicates(none).collect() == []
+
+
+def test_work_tables_go_and_results_stay(spark):
+    import os
+
+    from sylvastack.llm.workspace import cleaned, materialize
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    @cleaned
+    def inner(df):
+        return materialize(materialize(df).where("id > 1"))
+
+    @cleaned
+    def outer(df):
+        return inner(df).unionByName(inner(df))
+
+    before = tables()
+    assert sorted(r.id for r in outer(spark.range(4)).collect()) == [2, 2, 3, 3]
+    assert len(tables() - before) == 1
+
+    @cleaned
+    def broken(df):
+        materialize(df)
+        raise KeyError
+
+    after = tables()
+    with pytest.raises(KeyError):
+        broken(spark.range(1))
+    assert tables() == after
