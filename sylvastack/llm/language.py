@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 #: Bytes of text that are worked on together.
-TOGETHER = 1_500_000
+TOGETHER = 500_000
 #: Pseudo-count of each n-gram bucket in each language.
 ALPHA = 0.5
 #: Languages that one document's set can hold.
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text"):
                     out.append((known.languages[order[0]], float(min(1.0, share[order[0]])), [known.languages[i] for i in order], share[order].tolist()))
             yield pd.DataFrame(out, columns=["lang", "score", "languages", "shares"])
 
-    return infer(F.col(text_col))
+    return infer.asNondeterministic()(F.col(text_col))  # else Spark repeats the inference below a filter on its result
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
