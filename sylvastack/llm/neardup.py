@@ -1,17 +1,16 @@
-"""Near-duplicates by Jaccard similarity of word shingles, with SimHash fingerprints as the way to candidates.
+"""Near-duplicates by Jaccard similarity of word shingles, with prefix keys as the way to candidates.
 
-A fingerprint of a whole text at distance 3 is far stricter than a similarity of 0.8, so a text is also fingerprinted in
-blocks: its distinct shingles are dealt by their hash into about n / 6 blocks, each with a SimHash of its own. Of the 32
-blocks that a text shows at most, two texts of similarity 0.8 share each with a chance of about 0.17 or more, so they
-miss each other in about 3 of 1000 cases; a shared passage fills no block alone. Candidates from the anchors of the
-whole fingerprints and from equal blocks are then checked by the exact similarity.
+SimHash fingerprints, of whole texts or of blocks, miss pairs at a similarity of 0.8, short texts above all. So a text shows the
+first ``n - ceil(0.8 n) + 1`` of its ``n`` distinct shingles in one fixed order, rare ones first: two texts of similarity 0.8
+have 0.8 n shingles in common, so no such pair is without a common key. The order comes from a sample of texts; it decides
+how large the buckets of a key are, never which pairs are found. Candidates are checked by the exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash import SEED, links
+from .simhash import SEED
 from .workspace import cleaned, materialize
 
-#: Shingles that a block holds at most on average, and blocks that a text shows.
-BLOCK_SHINGLES, BLOCKS = 8, 32
+#: One text of so many is read for the order of shingles, which are counted in so many slots.
+SAMPLED, SLOTS = 64, 1 << 22
 #: Size of the bitmap of texts to check; a full one only means that more texts are looked at.
 BITS = 1 << 24
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Leads that a bucket tries in a round grow by this factor.
+MORE_LEADS = 4
+_EDGE = 1e-9
 
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
@@ -38,94 +39,132 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
 
 
-def _majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of hashes."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    sizes = np.diff(np.r_[starts, len(hashes)])
-    return np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
-
-
-def block_keys(hashes: np.ndarray, similarity: float = 0.8) -> np.ndarray:
-    """Keys of the blocks shown: (level, block, SimHash of the block) hashed. Texts whose sizes allow the similarity share a level."""
+def prefix_keys(hashes: np.ndarray, similarity: float = 0.8, often: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles in the order of (how often their slot was sampled, hash), so many that two texts of ``similarity`` share one."""
     n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    keys = []
-    for level in {max(0, ceil(log2(max(1.0, n * f / BLOCK_SHINGLES)))) for f in (similarity, 1 / similarity)}:
-        mixed = hashes * _SPREAD
-        block = mixed >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
-        shown = block < BLOCKS
-        order = np.argsort(block[shown], kind="stable")
-        block, own = block[shown][order], hashes[shown][order]
-        if len(own):
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            prints = _majority(np.ascontiguousarray(own), starts)
-            keys += [xxhash.xxh64_intdigest(bytes([level, int(b)]) + int(p).to_bytes(8, "little", signed=True)) for b, p in zip(block[starts], prints)]
-    return np.array(keys, np.uint64).view(np.int64)
+    shown = n - ceil(similarity * n - _EDGE) + 1 if n else 0
+    if often is not None:
+        hashes = hashes[np.argsort(often[(hashes % np.uint64(len(often))).astype(np.int64)], kind="stable")]
+    return hashes[:shown].view(np.int64)
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _node(sig: bytes) -> int:
+    """A text's key in joins: 8 of the 16 bytes of its signature."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
+def _often(rows: DataFrame, shingle: int) -> np.ndarray:
+    """By slot, 0 or the rounded binary logarithm of how often the sampled texts have its shingles, as far as more than once."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = [shingle_set(_words(x.as_py()), shingle) % np.uint64(SLOTS) for x in batch.column(0).slice(lo, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).astype(np.int32))], ["slot"])
+
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
+    counts = sample.mapInArrow(slots, "slot int").groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot", F.log2("n").cast("tinyint").alias("level")).toArrow()
+    often = np.zeros(SLOTS, np.int8)
+    often[counts["slot"].to_numpy()] = counts["level"].to_numpy()
+    return often
+
+
 @cleaned
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, group): every non-null id with the smallest id of its group of equal and similar texts.
 
     Texts are equal if their words are, in A-Z lower case; null, empty and blank texts are equal. Groups are the
     components over pairs whose distinct shingles have at least ``similarity`` in common. Repeated ids give one row for
-    each distinct text. Equal texts are merged before any pair is made, and a bucket pairs its texts with its smallest
-    only. Empty table: empty result. Other columns are not read.
+    each distinct text. Equal texts are merged before any pair is made. A bucket compares its texts with some of them,
+    then with more, until each pair of it was compared or is in one component already. Empty table: empty result.
+    Other columns are not read.
     """
-    whole = lambda x: _majority(x, np.zeros(1, np.int64))[0] if len(x) else 0
+    context = docs.sparkSession.sparkContext
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    often = context.broadcast(_often(rows, shingle))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1_000):
-                sigs, fps, keys = [], [], []
+                sigs, sizes, keys = [], [], []
                 for text in batch.column(1).slice(lo, 1_000):
                     words = _words(text.as_py())
                     hashes = shingle_set(words, shingle)
                     sigs.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    fps.append(int(whole(hashes)))
-                    keys.append(block_keys(hashes, similarity))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1_000), pa.array(sigs, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sig", "fp", "keys"])
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    table = materialize(rows.mapInArrow(prints, f"id {kind}, sig binary, fp long, keys array<long>"))
-    texts = materialize(table.groupBy("sig").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-
-    keyed = texts.select("rep", F.explode("keys").alias("key")).unionByName(texts.select("rep", F.xxhash64(F.lit("whole"), "fp").alias("key")))
+                    sizes.append(len(hashes))
+                    keys.append(prefix_keys(hashes, similarity, often.value))
+                nodes = [_node(s) for s in sigs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1_000), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "n", "keys"])
+
+    table = materialize(rows.mapInArrow(prints, f"id {kind}, node long, n int, keys array<long>"))
+    texts = materialize(table.groupBy("node").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("keys").alias("keys")))
+    keyed = texts.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     # Written, so that the joins below are dealt out for themselves and AQE can split a hot key or hub.
-    leads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"))
-    same = keyed.join(leads, "key").where("rep <> lead").select("lead", "rep")
-    of_fp = materialize(texts.groupBy("fp").agg(F.min("rep").alias("least")))
-    near = links(of_fp.select("fp")).join(of_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    near = near.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("rep"))
-    pairs = materialize(same.unionByName(near).distinct())
-
-    involved = pairs.select(F.col("lead").alias("id")).unionByName(pairs.select(F.col("rep").alias("id"))).distinct()
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    live = materialize(keyed.join(shared, "key"))
+    # A text that meets many others is more often the one that they were copied from, so it leads first.
+    degrees = materialize(live.groupBy("node").agg(F.sum("size").alias("degree")))
+    live = materialize(live.drop("size").join(degrees, "node").withColumn("root", F.col("node")))
+
     spot = F.xxhash64("id").bitwiseAND(F.lit(BITS - 1))
-    marks = involved.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(BITS // 64, np.int64)
-    bitmap[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
-            for lo in range(0, batch.num_rows, 500):
-                part = [shingle_set(_words(x.as_py()), shingle).view(np.int64) for x in batch.column(1).slice(lo, 500)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(part, pa.list_(pa.int64()))], ["id", "set"])
-
-    # The bitmap spares most texts; the join settles the rest, so whole texts are never shuffled.
-    held = materialize(rows.select("id", "text", spot.alias("spot")).mapInArrow(sets, f"id {kind}, set array<long>").join(involved, "id", "left_semi"))
-    both = pairs.join(held.select(F.col("id").alias("lead"), F.col("set").alias("s")), "lead").join(held.select(F.col("id").alias("rep"), F.col("set").alias("t")), "rep")
-    common = F.size(F.array_intersect("s", "t"))
-    alike = both.where(common >= F.lit(similarity) * (F.size("s") + F.size("t") - common)).select("lead", "rep")
-    roots = connected_components(alike, "lead", "rep").withColumnRenamed("node", "rep")
-    grouped = texts.select("sig", "rep").join(roots, "rep", "left").select("sig", F.coalesce("root", "rep").alias("group"))
-    return table.select("id", "sig").join(materialize(grouped), "sig").select("id", "group").distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        involved = materialize(nodes.join(texts.select("node", "rep"), "node").select(F.col("rep").alias("id"), "node"))
+        marks = involved.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
+        bitmap = np.zeros(BITS // 64, np.int64)
+        bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+        sent = context.broadcast(bitmap)
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
+                for lo in range(0, batch.num_rows, 500):
+                    words = [_words(x.as_py()) for x in batch.column(1).slice(lo, 500)]
+                    own = pa.array([_node(xxhash.xxh3_128_digest(b" ".join(w))) for w in words], pa.int64())
+                    part = [shingle_set(w, shingle).view(np.int64) for w in words]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), own, pa.array(part, pa.list_(pa.int64()))], ["id", "node", "set"])
+
+        # The bitmap spares most texts; the join settles the rest, so whole texts are never shuffled.
+        marked = rows.select("id", "text", spot.alias("spot")).mapInArrow(sets, f"id {kind}, node long, set array<long>")
+        return materialize(marked.join(involved, ["id", "node"], "left_semi").select("node", "set"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        held = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        both = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+        common = F.size(F.array_intersect("s", "t"))
+        return materialize(both.where(common >= F.lit(similarity) * (F.size("s") + F.size("t") - common)).select("a", "b").distinct())
+
+    links, roots, tries, least = None, None, 1, F.least("n", "x.n")
+    # Sizes and places in the order bound what two texts can have in common; the bound holds at the first common key.
+    able = (least >= F.greatest("n", "x.n") * similarity - _EDGE) & (F.least(F.col("n") - F.col("pos"), F.col("x.n") - F.col("x.pos")) >= (F.col("n") + F.col("x.n")) * (similarity / (1 + similarity)) - _EDGE)
+    while True:
+        unsettled = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        live = materialize(live.join(materialize(unsettled), "key", "left_semi"))
+        if live.isEmpty():
+            break
+        chosen = F.max(F.struct("degree", "node", "n", "pos", "root")).alias("x")
+        leads = materialize(live.groupBy("key", F.pmod(F.xxhash64("node", F.lit(tries)), F.lit(tries)).alias("share")).agg(chosen).select("key", "x"))
+        pairs = live.join(leads, "key").where((F.col("root") != F.col("x.root")) & able)
+        pairs = materialize(pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct())
+        live = materialize(live.join(leads.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"))
+        found = pairs if pairs.isEmpty() else compared(pairs)
+        if not found.isEmpty():
+            links = found if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+            roots = connected_components(links, "a", "b")
+            live = materialize(live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        tries *= MORE_LEADS
+
+    grouped = texts.select("node", "rep")
+    if roots is None:
+        grouped = grouped.withColumn("group", F.col("rep"))
+    else:
+        member = materialize(grouped.join(roots, "node"))
+        first = materialize(member.groupBy("root").agg(F.min("rep").alias("group")))
+        grouped = grouped.join(member.join(first, "root").select("node", "group"), "node", "left").withColumn("group", F.coalesce("group", "rep"))
+    return table.select("id", "node").join(materialize(grouped.select("node", "group")), "node").select("id", "group").distinct()

@@ -125,6 +125,21 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert sum(got[i] != i for i in want) >= 0.98 * sum(want[i] != i for i in want)
 
 
+def test_copies_link_through_an_original_that_is_not_the_smallest_id(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(20):  # each copy is like the original, few copies are like each other
+        words = rng.choices(vocabulary, k=120)
+        rows.append((100 * g + 50, " ".join(words)))
+        for c in range(20):
+            at = rng.randrange(118)
+            rows.append((100 * g + 20 + c, " ".join([*words[:at], *rng.choices(vocabulary, k=3), *words[at + 3 :]])))
+    want = plain_groups(rows)
+    got = {r.id: r.group for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(want[100 * g + 50] != 100 * g + 50 for g in range(20))
+
+
 def test_near_duplicate_edges(odd, none):
     got = {(r.id, r.group) for r in near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} <= got and len(got) == 9
