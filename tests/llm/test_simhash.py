@@ -140,6 +140,18 @@ def test_copies_link_through_an_original_that_is_not_the_smallest_id(spark):
     assert got == want and any(want[100 * g + 50] != 100 * g + 50 for g in range(20))
 
 
+def test_near_copies_of_short_texts_are_found(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g, n in enumerate([8, 9, 10, 13, 14, 15, 16, 24, 28, 50, 54] * 5):
+        words = rng.choices(vocabulary, k=n)
+        other = [*words, "more"] if n <= 10 else [*words[:-1], "more"]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    got = {r.id: r.group for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows) == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_near_duplicate_edges(odd, none):
     got = {(r.id, r.group) for r in near_duplicates(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} <= got and len(got) == 9
