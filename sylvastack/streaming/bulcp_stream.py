@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.workspace import fresh_folder
@@ -32,13 +34,17 @@ def bulcp_stream(stream: DataFrame, leveler: float = 0.8) -> DataFrame:
     return stream.groupBy("pixel_id").applyInPandasWithState(step, "pixel_id long, t int, p array<double>", "p array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(df: DataFrame, files_each: int = 1) -> DataFrame:
-    """Write ``df`` step by step as files of a stream, run the update over all of them, and read its output."""
+def run_to_end(df: DataFrame, steps_each: int = 10) -> DataFrame:
+    """Write ``df`` range by range of ``t`` as files of a stream, one micro-batch each that goes on from the state of the last, and read the output."""
     spark = df.sparkSession
-    source, out, marks = (fresh_folder(spark, n) for n in ("stream-in", "stream-out", "stream-marks"))
-    for part in range(2):
-        df.where(df.t % 20 < 10 if part == 0 else df.t % 20 >= 10).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_each).parquet(source)
-    done = bulcp_stream(stream).writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out)
-    done.awaitTermination()
-    return spark.read.parquet(out)
+    steps, source, out, marks = (fresh_folder(spark, n) for n in ("stream-steps", "stream-in", "stream-out", "stream-marks"))
+    ranged = df.withColumn("_range", F.floor(F.col("t") / steps_each))
+    ranged.repartition("_range", "pixel_id").write.partitionBy("_range").parquet(steps)
+    schema = T.StructType([*df.schema, T.StructField("_range", T.LongType())])
+    ranged = spark.read.schema(schema).parquet(steps)
+    df.limit(0).write.parquet(source)  # a stream's folder must exist
+    stream = bulcp_stream(spark.readStream.schema(df.schema).parquet(source))
+    for (part,) in ranged.select("_range").where("_range is not null").distinct().orderBy("_range").toLocalIterator():
+        ranged.where(F.col("_range") == part).drop("_range").write.mode("append").parquet(source)
+        stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

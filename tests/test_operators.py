@@ -211,3 +211,13 @@ def test_scene_filters_reach_the_scan_and_columns_are_pruned(spark, data):
 def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).columns == ["year", "cls", "n", "ha"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stream_equals_the_fold_over_more_than_two_ranges(spark):
+    from sylvastack.streaming.bulcp_stream import run_to_end
+
+    rows = [(i, t, [1.0 + (i * 7 + t * 3 + c * 5) % 11 for c in range(3)]) for i in range(6) for t in range(i, 34)]
+    df = spark.createDataFrame(rows, "pixel_id long, t int, p array<double>")
+    read = lambda out: {(r.pixel_id, r.t): r.p for r in out.collect()}
+    want, got = read(series.bulcp(df)), read(run_to_end(df))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
