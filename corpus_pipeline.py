@@ -23,9 +23,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal or similar texts. Documents without an id stay."""
-    gone = neardup.near_duplicates(docs).where("id <> group").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of equal or similar texts: that with the smallest id, ids that are null last. Rows that repeat an id are told apart by their texts."""
+    found = neardup.near_duplicates(docs)
+    keys = ["_id_key", "_text_key"]
+    rows = docs.withColumns({"_id_key": F.xxhash64("doc_id"), "_text_key": F.xxhash64("text")})
+    named = found.select(F.col("id_key").alias("_id_key"), F.col("text_key").alias("_text_key"), "lead", "copies")
+    kept = rows.join(named.where("not lead").select(*keys), keys, "left_anti")
+    twice = named.where("lead and copies > 1").select(*keys)
+    if not twice.isEmpty():
+        kept = kept.join(twice, keys, "left_anti").unionByName(kept.join(twice, keys, "left_semi").dropDuplicates(keys))
+    return kept.select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

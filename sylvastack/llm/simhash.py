@@ -22,7 +22,7 @@ from .components import connected_components
 from .workspace import cleaned, materialize
 
 SEED = 42
-#: A bucket of more rows is dealt out again by 16-bit blocks, one of which a linked pair shares.
+#: A bucket of more rows is dealt out again by blocks of bits, one of which a linked pair shares.
 BUCKET_ROWS = 4096
 
 
@@ -32,7 +32,11 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed number whose bits are set where they are in over half the hashes; without hashes 0."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -75,19 +79,18 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Links that span the components of one bucket, by breadth-first search over the rows not reached yet; never all pairs."""
+    """Pairs within ``distance`` that span the components of one bucket, by breadth-first search over the rows not reached yet; never all pairs."""
     left, right = [], []
     open_fp, open_home = fps.view(np.uint64).copy(), home.copy()
     while len(open_fp) > 1:
         todo = [(open_fp[0], open_home[0])]
-        root = int(open_fp[:1].view(np.int64)[0])
         open_fp, open_home = open_fp[1:], open_home[1:]
         while todo and len(open_fp):
             x, at_home = todo.pop()
             near = (np.bitwise_count(open_fp ^ x) <= distance) & (open_home | at_home)
             if near.any():
                 reached = open_fp[near]
-                left += [root] * len(reached)
+                left += [int(x.view(np.int64))] * len(reached)
                 right += reached.view(np.int64).tolist()
                 todo += zip(reached, open_home[near])
                 open_fp, open_home = open_fp[~near], open_home[~near]
@@ -95,67 +98,97 @@ def _forest(fps: np.ndarray, home: np.ndarray, distance: int) -> tuple[list[int]
 
 
 def compare_sorted(distance: int, limit: int | None):
-    """For rows sorted by ``key``: (a, b, key, home) with links a - b, or for a bucket of over ``limit`` rows each row again, b null."""
+    """For rows sorted by ``key``: the links a - b of each bucket, or each row again (a its fingerprint, b null) of one over ``limit`` rows.
+
+    A bucket of over ``limit`` rows is handed on batch by batch, so it is never held whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-
-        def buckets(key, fp, home):
-            edge = np.flatnonzero(np.diff(key)) + 1
-            starts, ends = np.r_[0, edge], np.r_[edge, len(key)]
-            a, b, hot = [], [], []
-            for i in np.flatnonzero(ends - starts > 1):
-                lo, hi = starts[i], ends[i]
-                if limit and hi - lo > limit:
-                    hot.append(np.arange(lo, hi))
-                elif home[lo:hi].any():
-                    x, y = _forest(fp[lo:hi], home[lo:hi], distance)
-                    a += x
-                    b += y
-            again = np.concatenate(hot) if hot else np.zeros(0, np.int64)
-            n = len(a)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[np.array(a, np.int64), fp[again]]),
-                    pa.array(b + [None] * len(again), pa.int64()),
-                    pa.array(np.r_[np.zeros(n, np.int64), key[again]]),
-                    pa.array(np.r_[np.zeros(n, bool), home[again]]),
-                ],
-                ["a", "b", "key", "home"],
-            )
+        held: list[pa.RecordBatch] = []  # rows of one key, the last seen
+        hot = None
+
+        def again(part: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([part["fp"], pa.nulls(part.num_rows, pa.int64()), part["key"], part["home"], part["rest"], part["width"]], _OUT)
+
+        def bucket(left: list[int], right: list[int], fps: np.ndarray, home: np.ndarray) -> None:
+            if len(fps) > 1 and home.any():
+                x, y = _forest(fps, home, distance)
+                left += x
+                right += y
+
+        def linked(left: list[int], right: list[int]) -> pa.RecordBatch:
+            none = pa.nulls(len(left), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), none, pa.nulls(len(left), pa.bool_()), none, pa.nulls(len(left), pa.int32())], _OUT)
+
+        def release() -> Iterator[pa.RecordBatch]:
+            left, right = [], []
+            if held:
+                bucket(left, right, *(np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in held]) for c in ("fp", "home")))
+                held.clear()
+            yield linked(left, right)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = tuple(np.concatenate([old, c.to_numpy(zero_copy_only=False)]) for old, c in zip(rest, batch.columns))
-            cut = np.searchsorted(now[0], now[0][-1])
-            rest = tuple(x[cut:] for x in now)
-            if cut:
-                yield buckets(*(x[:cut] for x in now))
-        if len(rest[0]):
-            yield buckets(*rest)
+            keys = batch["key"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            fps, home = batch["fp"].to_numpy(), batch["home"].to_numpy(zero_copy_only=False)
+            if held and held[0]["key"][0].as_py() != keys[0]:
+                yield from release()
+            left, right = [], []
+            for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                inner = 0 < i < len(edges) - 2
+                if hot is not None and keys[lo] == hot:
+                    yield again(batch.slice(lo, hi - lo))
+                elif inner and not (limit and hi - lo > limit):
+                    bucket(left, right, fps[lo:hi], home[lo:hi])
+                else:
+                    if held and held[0]["key"][0].as_py() != keys[lo]:
+                        yield from release()
+                    held.append(batch.slice(lo, hi - lo))
+                    if limit and sum(x.num_rows for x in held) > limit:
+                        hot = int(keys[lo])
+                        yield from map(again, held)
+                        held.clear()
+            yield linked(left, right)
+        yield from release()
 
     return run
 
 
-_LINKS = "a long, b long, key long, home boolean"
+_OUT = ["a", "b", "key", "home", "rest", "width"]
+_LINKS = "a long, b long, key long, home boolean, rest long, width int"
 
 
 def links(distinct_fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): fingerprints whose links give the same components as all links at ``distance`` (3 or less).
+    """(a, b): pairs of fingerprints within ``distance`` (3 or less) that give the same components as all such pairs.
 
-    Exact at every bucket size: a bucket of over ``BUCKET_ROWS`` rows is dealt out over the cluster by the four 16-bit
-    blocks of its fingerprints, one of which every linked pair shares.
+    Exact at every bucket size. The rows of an anchor agree on one half up to 3 bits, so a bucket of over ``BUCKET_ROWS``
+    rows is dealt out by the other half: in four blocks of its bits, one of which a linked pair shares, since it differs
+    in 3 bits at most. A block's bucket that is still too large is dealt out by the bits that are left, and so on. Where
+    3 bits or less are left, a bucket holds at most 8 x 994 fingerprints.
     """
     if not 0 <= distance <= 3:
         raise ValueError("the anchors cover distances up to 3")
-    dealt = distinct_fps.mapInArrow(anchors, "key long, fp long, home boolean").repartition("key").sortWithinPartitions("key")
-    first = materialize(dealt.mapInArrow(compare_sorted(distance, BUCKET_ROWS), _LINKS))
-    blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4))))
-    again = first.where("b is null").select(F.col("a").alias("fp"), "home", "key").withColumn("block", blocks)
-    again = again.select(F.xxhash64("key", "block.i", "block.v").alias("key"), "fp", "home")
-    second = again.repartition("key").sortWithinPartitions("key").mapInArrow(compare_sorted(distance, None), _LINKS)
-    return first.where("b is not null").select("a", "b").unionByName(second.select("a", "b"))
+    other = F.expr(f"shiftrightunsigned(fp, if((shiftright(key, 31) & 1) = 0, 32, 0)) & {0xFFFFFFFF}")
+    dealt = distinct_fps.mapInArrow(anchors, "key long, fp long, home boolean").withColumns({"rest": other, "width": F.lit(32)})
+    found = None
+    width = 32
+    while True:
+        sorted_ = dealt.repartition("key").sortWithinPartitions("key")
+        step = materialize(sorted_.mapInArrow(compare_sorted(distance, BUCKET_ROWS if width > 3 else None), _LINKS))
+        pairs = step.where("b is not null").select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = step.where("b is null").select(F.col("a").alias("fp"), "home", "key", "rest", "width")
+        if width <= 3 or hot.isEmpty():
+            return found
+        # Block i of the remaining bits: its value joins the key, the bits around it are what remains.
+        blocks = hot.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        blocks = blocks.withColumn("size", F.expr("width div 4 + int(i < width % 4)")).withColumn("at", F.expr("int(i * (width div 4) + least(i, width % 4))"))
+        value = F.expr("shiftright(rest, at) & (shiftleft(1L, int(size)) - 1)")
+        rest = F.expr("shiftleft(shiftright(rest, int(at + size)), at) | (rest & (shiftleft(1L, at) - 1))")
+        dealt = blocks.select(F.xxhash64("key", "i", value).alias("key"), "fp", "home", rest.alias("rest"), F.expr("int(width - size)").alias("width"))
+        width -= width // 4
 
 
 @cleaned

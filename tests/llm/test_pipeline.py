@@ -47,6 +47,15 @@ def test_near_duplicate_stage_equals_brute_force(stages):
     assert set(rows(stages[2])) == {i for i, root in want.items() if i == root}
 
 
+def test_near_duplicate_stage_loses_no_text_of_a_repeated_id(spark, data):
+    b = "a text of its own that is not like any other one in this little table of rows"
+    c = "yet another text with quite different words so that nothing here can be taken for it"
+    rows = [(2, "some words that stand here alone"), (5, "some words that stand here alone"), (5, b), (7, b + " x"), (8, c), (8, c), (None, c), (None, "left without an id"), (None, "left without an id"), (None, "and one more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id or 0, r.text) for r in pipeline.drop_near_duplicates(spark, docs, data).collect())
+    assert kept == [(0, "and one more"), (0, "left without an id"), (2, rows[0][1]), (5, b), (8, c)]
+
+
 def test_personal_data_stage_leaves_no_base_span(stages):
     before, after = rows(stages[2]), rows(stages[3])
     assert set(before) == set(after)

@@ -62,7 +62,7 @@ def test_a_dense_bucket_gives_a_forest_and_not_all_pairs():
     import pyarrow as pa
 
     fps = np.arange(8).repeat(1)  # all within 3 bits
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(8, np.int64)), pa.array(fps), pa.array([True] * 8)], ["key", "fp", "home"])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(8, np.int64)), pa.array(fps), pa.array([True] * 8), pa.array(fps), pa.array([32] * 8, pa.int32())], ["key", "fp", "home", "rest", "width"])
     assert sum(b.num_rows for b in compare_sorted(3, None)([batch])) == 7
 
 
@@ -153,8 +153,10 @@ def test_near_copies_of_short_texts_are_found(spark):
 
 
 def test_near_duplicate_edges(odd, none):
-    got = {(r.id, r.group) for r in near_duplicates(odd).collect()}
-    assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} <= got and len(got) == 9
+    found = near_duplicates(odd).collect()
+    got = {(r.id, r.group) for r in found}
+    assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (None, None)} <= got and len(got) == len(found) == 10
+    assert {r.id for r in found if r.lead} == {1, 4, 5, 7, 8, 9, None} and {r.id: r.copies for r in found if r.copies > 1} == {5: 2}
     assert near_duplicates(none).collect() == []
 
 
