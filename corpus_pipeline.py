@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvastack.llm import language, mixing, neardup, packing, pii
-from sylvastack.llm.workspace import materialize
+from sylvastack.llm.workspace import cleaned, drop
 
 #: A document goes if no language is found, or if none has this share of its words.
 LEADING_SHARE = 0.5
@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.packed_documents(docs)
+    """The pieces of all documents in sequences of at most 1024 tokens, with their ids; row tells the repeats of a document apart."""
+    return packing.packed_documents(docs, with_ids=True, with_row=True)
 
 
 STAGES = [
@@ -61,9 +61,16 @@ STAGES = [
 ]
 
 
+@cleaned
+def _after(docs: DataFrame, stage, sf_dir: str) -> DataFrame:
+    """A stage's result, written; its work tables go."""
+    return stage(docs.sparkSession, docs, sf_dir)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``; each stage's result is written to the shared folder and read again."""
+    """All stages over the whole table ``documents``; each stage's result is written to the shared folder, read again, and dropped after the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        before, docs = docs, _after(docs, stage, sf_dir)
+        drop(before)
+    return docs

@@ -13,18 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-#: Bytes of text that are worked on together.
+#: Bytes of text that are worked on together in training, and with one language in inference; more languages, fewer bytes.
 TOGETHER = 500_000
+INFER_TOGETHER = 2_000_000
 #: Pseudo-count of each n-gram bucket in each language.
 ALPHA = 0.5
-#: Languages that one document's set can hold.
-LARGEST_SET = 3
 #: Log-likelihood that a further language must gain for each log of the word count.
 PENALTY = 3.0
 UNDETERMINED = "und"
 
 _SPACED = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile(r"[A-Za-z]")
+
+
+def _has_letter(text: str) -> bool:
+    return bool(_PLAIN_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,8 +43,8 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, starts, np.cumsum(ends)[at[starts]] - 1
 
 
-def _grouped(texts: list[str]) -> Iterator[slice]:
-    sizes = np.cumsum([len(x) for x in texts]) // TOGETHER
+def _grouped(texts: list[str], together: int = TOGETHER) -> Iterator[slice]:
+    sizes = np.cumsum([len(x) for x in texts]) // together
     edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
     return (slice(a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
@@ -60,36 +63,46 @@ class LanguageModel:
         shares, words = np.zeros((len(texts), k)), np.bincount(owner, minlength=len(texts))
         if not k or not len(starts):
             return shares, words
-        fit = np.add.reduceat(self.logs[codes], starts, axis=0)  # log-likelihood of each word
+        # Log-likelihood of each word; a stretch of whole words at a time, so that long texts take no more memory.
+        cuts = [*range(0, len(starts), 50_000), len(starts)]
+        ends = np.r_[starts, len(codes)]
+        fit = np.concatenate([np.add.reduceat(self.logs[codes[ends[a] : ends[b]]], starts[a:b] - starts[a], axis=0) for a, b in zip(cuts, cuts[1:])])
         top = fit.max(axis=1, keepdims=True)
         like = np.exp(fit - top)
         docs = np.flatnonzero(words)
         n = words[docs]
         first = np.r_[0, np.cumsum(n)[:-1]]
-        row = np.repeat(np.arange(len(docs)), n)
         base = np.add.reduceat(top[:, 0], first)
 
-        def em(weights: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def em(of: np.ndarray, weights: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+            """Shares and log-likelihood of the documents at the places ``of``."""
+            m = n[of]
+            rows = np.repeat(first[of] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+            own, row, at = like[rows], np.repeat(np.arange(len(of)), m), np.r_[0, np.cumsum(m)[:-1]]
             for _ in range(rounds):
-                part = like * weights[row]
+                part = own * weights[row]
                 part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-                weights = np.add.reduceat(part, first, axis=0) / n[:, None]
-            total = np.log(np.maximum((like * weights[row]).sum(axis=1), 1e-300))
-            return weights, base + np.add.reduceat(total, first)
+                weights = np.add.reduceat(part, at, axis=0) / m[:, None]
+            total = np.log(np.maximum((own * weights[row]).sum(axis=1), 1e-300))
+            return weights, base[of] + np.add.reduceat(total, at)
 
-        every, _ = em(np.full((len(docs), k), 1 / k), 8)
+        every, _ = em(np.arange(len(docs)), np.full((len(docs), k), 1 / k), 8)
         order = np.argsort(-every, axis=1, kind="stable")
         alone = np.add.reduceat(fit, first, axis=0)
         lead = alone.argmax(axis=1)
         best = np.eye(k)[lead]
         value = alone[np.arange(len(docs)), lead]
-        for size in range(2, min(k, LARGEST_SET) + 1):
-            chosen = np.zeros((len(docs), k))
-            np.put_along_axis(chosen, order[:, :size], 1 / size, axis=1)
-            weights, log = em(chosen, 5)
-            log = log - PENALTY * (size - 1) * np.log(n + 1)
-            better = log > value
-            best[better], value[better] = weights[better], log[better]
+        growing = np.arange(len(docs))
+        for size in range(2, k + 1):  # a set grows by the next language for as long as the penalised likelihood does
+            chosen = np.zeros((len(growing), k))
+            np.put_along_axis(chosen, order[growing, :size], 1 / size, axis=1)
+            weights, log = em(growing, chosen, 5)
+            log = log - PENALTY * (size - 1) * np.log(n[growing] + 1)
+            better = log > value[growing]
+            growing, weights, log = growing[better], weights[better], log[better]
+            if not len(growing):
+                break
+            best[growing], value[growing] = weights, log
         shares[docs] = best
         return shares, words
 
@@ -134,10 +147,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text"):
         for column in batches:
             texts = [x or "" for x in column]
             out = []
-            for part in _grouped(texts):
+            for part in _grouped(texts, max(10_000, INFER_TOGETHER // max(1, len(known.languages)))):
                 shares, words = known.mixtures(texts[part])
                 for text, share, n in zip(texts[part], shares, words):
-                    if not n or not share.any() or not _LETTER.search(text):
+                    if not n or not share.any() or not _has_letter(text):
                         out.append((UNDETERMINED, 0.0, [], []))
                         continue
                     order = np.argsort(-share, kind="stable")[: np.count_nonzero(share)]

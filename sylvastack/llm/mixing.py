@@ -114,13 +114,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tok
     Each source is passed in a fresh permutation until its budget is met: full passes, then the head of one more. Its
     stream is cut so that every block of ``block_tokens`` takes each source at its weight; within a block the rows are
     permuted, position counts from 0. A row that starts before the budget's end is in. Equal rows are rows of their
-    own, their order in a permutation is open. Null ids share one draw. Null tokens count as 0.
+    own, their order in a permutation is open. A row without an id draws by a hash of its columns. Null tokens count as 0.
 
     No source is gathered: running sums go over ``buckets`` slices of each permutation, and rows are sorted inside a
     slice only, so a source that holds most rows spreads over ``buckets`` tasks and more for each pass.
     """
     spark_weights = source_weights(docs.withColumn(tokens_col, F.coalesce(F.col(tokens_col), F.lit(0))), source_col, tokens_col, entropy_gain, max_repeats, budget)
-    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("n"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("n"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.xxhash64(*hashed))).alias("id"))
     # The weights hold one narrow row a source; Spark broadcasts them only under its size limit and else splits the hot source.
     w = spark_weights.withColumnRenamed("source", "ws")
     passes = rows.join(w, F.col("source").eqNullSafe(F.col("ws"))).where("budget > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from array import array
@@ -16,6 +16,7 @@ import pyarrow.compute
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .workspace import materialize
@@ -31,19 +32,30 @@ _SPACES = re.compile(r" \s")
 class _Chunked:
     """Byte-level BPE by chunks that start at a single space, where the pattern always starts a token; repeated chunks are looked up.
 
-    The chunks not known yet are encoded as one string: only a chunk's first token starts with a space, so the ids part again.
+    The chunks not known yet are encoded as one string: only a chunk's first token starts with a space, so the ids part
+    again. The tokens that the file adds to its vocabulary are found before all else, as the file's own tokenizer does.
     """
 
     def __init__(self, name: str) -> None:
-        with open(public_tokenizers.path(name), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            rules = json.load(f)
+        self.added = {x["content"]: x["id"] for x in rules["added_tokens"]}
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in rules["added_tokens"]):
+            raise ValueError("an added token that takes in what stands around it")
+        byte_of = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}  # these bytes stand for themselves
+        byte_of |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(byte_of.values())))}
+        ranks = {bytes(map(byte_of.__getitem__, k)): v for k, v in rules["model"]["vocab"].items() if k not in self.added}
+        self.bpe = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.led = np.zeros(max(ranks.values()) + 1, bool)
         self.led[[v for k, v in ranks.items() if k[:1] == b" "]] = True
         self.known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
+
+    def _whole(self, text: str) -> bool:
+        """Whether a token can cross a space: where white space follows or the text ends there; or an added token may stand in the text."""
+        return bool(_SPACES.search(text)) or text.endswith(" ") or any(x in text for x in self.added)
 
     def _learn(self, chunks: list[str]) -> None:
         ids = np.array(self.bpe.encode_ordinary(" " + " ".join(chunks)), np.uint32)
@@ -55,8 +67,7 @@ class _Chunked:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        # Where a space is followed by white space, a token can cross a chunk's end; such texts are encoded whole.
-        chunked = [None if _SPACES.search(x) or x.endswith(" ") else x.split(" ") for x in texts]
+        chunked = [None if self._whole(x) else x.split(" ") for x in texts]
         new = set().union(*(x[1:] for x in chunked if x)).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
@@ -67,25 +78,30 @@ class _Chunked:
         return [self._plain(text) if x is None else self._plain(x[0]) + b"".join(map(find, x[1:])) for text, x in zip(texts, chunked)]
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids and one end id, cut every ``capacity`` ids.
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, with_ids: bool = False, with_row: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids][, row]): each document's ids and one end id, cut every ``capacity`` ids.
 
-    ``tokenizer`` names a rank file of the installed public tokenizers; strings of special tokens are ordinary text.
+    ``tokenizer`` names a file of the installed public tokenizers, with a vocabulary and the tokens added to it: their
+    strings in a text become their ids. ids: the piece's ids. row: a number that the pieces of one row share; it holds
+    only in what is written from this table.
     """
 
-    def cut(keys: list[int], texts: list[str | None], coder: _Chunked, end: bytes) -> pa.RecordBatch:
-        rows: list[list] = [[] for _ in range(6)]
-        for key, ids in zip(keys, coder.packed([x or "" for x in texts])):
+    def cut(keys: list[int], texts: list[str | None], rows: list[int], coder: _Chunked, end: bytes) -> pa.RecordBatch:
+        columns: list[list] = [[] for _ in range(7)]
+        for key, row, ids in zip(keys, rows, coder.packed([x or "" for x in texts])):
             ids += end
             total = len(ids) // 4
             for start in range(0, total, capacity):
                 part = ids[4 * start : 4 * (start + capacity)]
-                for column, value in zip(rows, (key, start, len(part) // 4, zlib.crc32(part), total, part)):
+                for column, value in zip(columns, (key, start, len(part) // 4, zlib.crc32(part), total, part, row)):
                     column.append(value)
-        arrays = [pa.array(x, pa.int64()) for x in rows[:5]]
+        arrays = [pa.array(x, pa.int64()) for x in columns[:5]]
         if with_ids:
-            arrays.append(pa.array([list(memoryview(x).cast("I")) for x in rows[5]], pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+            flat = np.frombuffer(b"".join(columns[5]), "<i4")
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(columns[2])].astype(np.int32)), pa.array(flat)))
+        if with_row:
+            arrays.append(pa.array(columns[6], pa.int64()))
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + ["row"] * with_row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, _Chunked(tokenizer))
@@ -95,10 +111,10 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             group = np.cumsum(sizes, dtype=np.int64) // TOGETHER
             edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(edges, edges[1:]):
-                yield cut(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1)), coder, end)
+                yield cut(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1, 2)), coder, end)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", row long" * with_row
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -147,28 +163,26 @@ def _slots(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, salt_rows: int = 200_000) -> DataFrame:
     """``pieces`` with (sequence_id, offset): every piece in one sequence of at most ``capacity`` ids, gapless from offset 0.
 
     Only the histogram of lengths, at most ``capacity`` rows, comes to the driver. Ranks within a length are counted by
-    (length, salt), so a length that a third of all pieces have spreads over ``salts`` tasks and more by document id.
+    (length, salt), about ``salt_rows`` pieces each, so a length that a third of all pieces have, such as full ones, is
+    spread by its count. The salt is a hash of the row's atomic columns.
+
     Needs doc_id, start and length; null ids are ranked first; repeated rows are pieces of their own. Empty: empty.
     """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
-    counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    counts = counted.collect()  # at most capacity * salts rows
-    histogram: Counter = Counter()
-    first: dict[tuple[int, int], int] = {}
-    for row in sorted(counts):
-        first[row.length, row._salt] = histogram[row.length]
-        histogram[row.length] += row.n
+    histogram = {x.length: x["count"] for x in pieces.groupBy("length").count().collect()}
+    lengths = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "length long, _salts int")
     slots = spark.createDataFrame(_slots(pack_histogram(histogram, capacity)), "length long, lo long, hi long, first_sequence long, times long, first_offset long")
-    firsts = spark.createDataFrame([(*k, v) for k, v in first.items()], "length long, _salt int, _first long")
+    plain = [f.name for f in pieces.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    # Bounded by the capacity: one row for each length, and a few slots for each.
+    salted = pieces.join(F.broadcast(lengths), "length").withColumn("_salt", F.pmod(F.xxhash64(*plain), F.col("_salts")))
+    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
-    # Both tables are bounded by the capacity: at most capacity * salts offsets, and a few slots for each length.
-    ranked = salted.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(firsts), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    ranked = salted.withColumn("_at", F.row_number().over(order) - 1).join(firsts, ["length", "_salt"]).withColumn("_rank", F.col("_at") + F.col("_first"))
     at = F.col("_rank") - F.col("lo")
     placed = ranked.alias("p").join(F.broadcast(slots).alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     return placed.select(
@@ -178,10 +192,11 @@ def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
     )
 
 
-def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str = "byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
-    """One row per piece of every document: doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset.
+def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = False, with_row: bool = False) -> DataFrame:
+    """One row per piece of every document: doc_id, start, length, ids_crc32, doc_tokens[, ids][, row], sequence_id, offset.
 
     Null and empty texts give one piece that holds the end id. A long text is cut into full sequences and one rest.
-    Equal texts and repeated ids give pieces of their own. Empty table: empty result. Other columns are not read.
+    Equal texts and repeated ids give pieces of their own; row tells them apart. Empty table: empty result. Other
+    columns are not read.
     """
-    return pack(materialize(token_pieces(docs, id_col, text_col, capacity, tokenizer, with_ids=with_ids)), capacity)
+    return pack(materialize(token_pieces(docs, id_col, text_col, capacity, tokenizer, with_ids=with_ids, with_row=with_row)), capacity)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 
@@ -11,6 +12,8 @@ from ..sources.workspace import drop_folder, fresh_folder
 
 #: Folders written by each ``cleaned`` function that is running, innermost last.
 _running: list[list[str]] = []
+#: Folders of the written tables that are still in use.
+_folder_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -19,7 +22,15 @@ def materialize(df: DataFrame) -> DataFrame:
     if _running:
         _running[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folder_of[out] = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` wrote; other tables are left alone."""
+    if path := _folder_of.pop(df, None):
+        drop_folder(df.sparkSession, path)
 
 
 def cleaned(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:

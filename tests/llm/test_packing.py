@@ -7,11 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sylvastack.llm.packing import _Chunked, pack_histogram, packed_documents
+from sylvastack.llm.packing import _Chunked, pack, pack_histogram, packed_documents
 
-CODER = _Chunked("byte_bpe_50k.tiktoken")
+CODER = _Chunked("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-PLAIN.encode_special_tokens = True
 
 
 def plain_ids(text):
@@ -24,8 +23,10 @@ def test_chunks_give_the_tokenizer_s_ids(text):
     assert CODER.packed([text])[0] == plain_ids(text).tobytes()
 
 
-def test_special_strings_are_ordinary_text():
-    assert CODER.packed(["a <|endoftext|> b"])[0] == plain_ids("a <|endoftext|> b").tobytes()
+def test_added_tokens_have_the_ids_of_the_file():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y ", "a <|endoftext| > b", "é<|endoftext|>\n"]
+    assert [50256 in plain_ids(t) for t in texts] == [True, True, True, False, True]
+    assert CODER.packed(texts) == [plain_ids(t).tobytes() for t in texts]
 
 
 @settings(max_examples=100, deadline=None)
@@ -72,10 +73,28 @@ def test_documents_round_trip(documents):
     assert set(pieces) == set(texts)
 
 
+def test_a_hot_length_is_spread_and_stays_gapless(spark):
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 64).otherwise(F.col("id") % 64 + 1).cast("long").alias("length"))
+    rows = pack(pieces, 64, salt_rows=50).collect()
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 4_000 and sorted(sequences) == list(range(len(sequences)))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
 def test_edges(odd, none):
-    rows = packed_documents(odd, with_ids=True).collect()
+    rows = packed_documents(odd, with_ids=True, with_row=True).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
     pieces, _ = whole(rows, texts)
     assert pieces[1] == pieces[2] == [(0, 1)] and len(pieces[5]) == 2 and len(pieces[None]) == 1
     assert all(len(r.ids) == r.length and r.ids[-1] == 0 for r in rows if r.start + r.length == r.doc_tokens)
+    assert len({r.row for r in rows}) == 11 and len({(r.row, r.start) for r in rows}) == len(rows)
     assert packed_documents(none).collect() == []
