@@ -62,7 +62,7 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .telephony import text_media
 
-    return text_media(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return text_media(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("pcm")
 
 
 def op7_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -84,19 +85,33 @@ def wav(payload: bytes, codec: int = MULAW, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
-def read_wav(media: bytes) -> tuple[int, int, bytes]:
-    """(codec, rate, payload) of a WAV file; raises ValueError where it is none."""
+@dataclass
+class Wav:
+    """The parts of a WAV file that decoding needs."""
+
+    codec: int
+    channels: int
+    rate: int
+    align: int
+    payload: bytes
+
+
+def read_wav(media: bytes) -> Wav:
+    """The format and the payload of a WAV file; raises ValueError where it is none, or in a codec other than the three."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, codec, rate = 12, None, None
+    at, form = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
         if name == b"fmt ":
-            codec, _, rate = struct.unpack_from("<HHI", media, at + 8)
+            codec, channels, rate, _, align = struct.unpack_from("<HHIIH", media, at + 8)
+            if codec not in (ALAW, MULAW, ADPCM) or not channels or not rate or (codec == ADPCM and align < 4 * channels):
+                raise ValueError(f"not a telephony WAV file: codec {codec}, {channels} channels, rate {rate}, block align {align}")
+            form = (codec, channels, rate, align)
         elif name == b"data":
-            if codec is None or at + 8 + size > len(media):
+            if form is None or at + 8 + size > len(media):
                 break
-            return codec, rate, media[at + 8 : at + 8 + size]
+            return Wav(*form, media[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
     raise ValueError("a WAV file without whole format and data chunks")
 
@@ -111,12 +126,37 @@ def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     return ((x[low] * (target - part) + x[np.minimum(low + 1, len(x) - 1)] * part) // target).astype(np.int16)
 
 
-def expand(payload: bytes, codec: int) -> np.ndarray:
-    """16-bit samples of a payload of whole blocks."""
+def _adpcm_channels(raw: np.ndarray, align: int, channels: int) -> np.ndarray:
+    """(channels, samples) of whole blocks; a block has a head of 4 bytes for each channel, then 4 bytes of each in turn."""
+    blocks = raw.reshape(-1, align)
+    if channels == 1:
+        return decode_adpcm(blocks).reshape(1, -1)
+    heads = blocks[:, : 4 * channels].reshape(len(blocks), channels, 4)
+    whole = (align - 4 * channels) // (4 * channels) * 4 * channels
+    body = blocks[:, 4 * channels : 4 * channels + whole].reshape(len(blocks), -1, channels, 4)
+    return np.stack([decode_adpcm(np.hstack([heads[:, c], body[:, :, c].reshape(len(blocks), -1)])).ravel() for c in range(channels)])
+
+
+def expand(payload: bytes, codec: int, align: int = BLOCK, channels: int = 1) -> np.ndarray:
+    """16-bit samples of a payload, its channels mixed to one by their mean.
+
+    Samples of 8 bits: any length; bytes that do not fill a frame of all channels are left out. ADPCM: blocks of
+    ``align`` bytes; a last, shorter block is decoded as far as it holds a head and whole groups of codes.
+    """
     raw = np.frombuffer(payload, np.uint8)
-    if codec == ADPCM:
-        return decode_adpcm(raw.reshape(-1, BLOCK)).ravel()
-    return (MULAW_TABLE if codec == MULAW else ALAW_TABLE)[raw]
+    if codec != ADPCM:
+        linear = (MULAW_TABLE if codec == MULAW else ALAW_TABLE)[raw[: len(raw) // channels * channels]]
+        return linear if channels == 1 else linear.reshape(-1, channels).mean(axis=1).astype(np.int16)
+    full = len(raw) // align * align
+    parts = [_adpcm_channels(raw[:full], align, channels)] if full else []
+    group = 4 * channels if channels > 1 else 1
+    rest = (len(raw) - full - 4 * channels) // group * group
+    if rest >= 0 and len(raw) > full:
+        parts.append(_adpcm_channels(raw[full : full + 4 * channels + rest], 4 * channels + rest, channels))
+    if not parts:
+        return np.zeros(0, np.int16)
+    both = np.concatenate(parts, axis=1)
+    return both[0] if channels == 1 else both.mean(axis=0).astype(np.int16)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: int = MULAW) -> DataFrame:
@@ -134,17 +174,40 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _measures(samples: np.ndarray) -> str:
-    """Peak, rounded root mean square and sign changes."""
+    """Peak, rounded root mean square and sign changes; all 0 without samples."""
     x = samples.astype(np.int64)
+    if not len(x):
+        return "0/0/0"
     return f"{int(np.abs(x).max())}/{int(round(float(np.sqrt((x * x).mean()))))}/{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}"
 
 
-def decode_media(media: DataFrame, target_rate: int = TARGET_RATE, with_pcm: bool = True) -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, pcm]) of stored WAV files.
+def _blocks_at_once(files: list[Wav]) -> list[np.ndarray]:
+    """The payload of each file as ADPCM: files of whole mono blocks of one size together, the others one by one."""
+    out: list[np.ndarray | None] = [None] * len(files)
+    alike: dict[int, list[int]] = {}
+    for i, x in enumerate(files):
+        align, channels = (x.align, x.channels) if x.codec == ADPCM else (BLOCK, 1)
+        if channels == 1 and x.payload and len(x.payload) % align == 0:
+            alike.setdefault(align, []).append(i)
+        else:
+            out[i] = expand(x.payload, ADPCM, align, channels)
+    for align, members in alike.items():
+        decoded = decode_adpcm(np.frombuffer(b"".join(files[i].payload for i in members), np.uint8).reshape(-1, align))
+        at = 0
+        for i in members:
+            n = len(files[i].payload) // align
+            out[i] = decoded[at : at + n].ravel()
+            at += n
+    return out
+
+
+def decode_media(media: DataFrame, target_rate: int = TARGET_RATE) -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, measures, pcm) of stored WAV files.
 
-    pcm: the file's samples by its own codec, resampled, as little-endian 16-bit. feature: the CRC-32 of that PCM, then
-    for the payload under mu-law, A-law and ADPCM each the peak, root mean square and sign changes. Equal media give
-    equal values. A null medium gives nulls, one that is no WAV file of whole blocks fails the job.
+    pcm: the file's samples by its own codec, mixed to one channel, resampled, as little-endian 16-bit. measures: for the
+    payload under mu-law, A-law and ADPCM each the peak, root mean square and sign changes. Files may have any length,
+    rate, number of channels and block align (see ``expand``). Equal media give equal values. A null medium gives nulls,
+    one that is no WAV file of the three codecs fails the job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,32 +221,32 @@ def decode_media(media: DataFrame, target_rate: int = TARGET_RATE, with_pcm: boo
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = batch.column(2).to_pylist()
         read = [None if x is None else read_wav(x) for x in files]
-        payloads = [x[2] for x in read if x]
-        raw = np.frombuffer(b"".join(payloads), np.uint8)
-        blocks = decode_adpcm(raw.reshape(-1, BLOCK)).reshape(-1)
-        per_block = len(blocks) * BLOCK // max(1, len(raw))
-        rows, at = [], 0
-        for file, found in zip(files, read):
-            if not found:
+        adpcm = iter(_blocks_at_once([x for x in read if x]))
+        rows = []
+        for file, x in zip(files, read):
+            if not x:
                 rows.append([None] * 7)
                 continue
-            codec, rate, payload = found
-            n = len(payload)
-            forms = {MULAW: MULAW_TABLE[raw[at : at + n]], ALAW: ALAW_TABLE[raw[at : at + n]], ADPCM: blocks[at // BLOCK * per_block : (at + n) // BLOCK * per_block]}
-            at += n
-            pcm = resample(forms[codec], rate, target_rate).astype("<i2").tobytes()
-            feature = ";".join([f"{zlib.crc32(pcm):08x}", *(f"{name}:{_measures(forms[c])}" for name, c in (("mulaw", MULAW), ("alaw", ALAW), ("adpcm", ADPCM)))])
-            rows.append([n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, pcm])
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 6 + with_pcm]
+            channels = x.channels if x.codec != ADPCM else 1
+            forms = {MULAW: expand(x.payload, MULAW, channels=channels), ALAW: expand(x.payload, ALAW, channels=channels), ADPCM: next(adpcm)}
+            pcm = resample(forms[x.codec], x.rate, target_rate).astype("<i2").tobytes()
+            measures = ";".join(f"{name}:{_measures(forms[c])}" for name, c in (("mulaw", MULAW), ("alaw", ALAW), ("adpcm", ADPCM)))
+            rows.append([len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), measures, pcm])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         arrays = [pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["id", "n_bytes", *names])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "measures", "pcm"])
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"][: 6 + with_pcm]
     kind = media.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, measures string, pcm binary"
     return media.select("id", "n_bytes", "media").mapInArrow(run, schema)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: int = MULAW, with_pcm: bool = False) -> DataFrame:
-    """Store every text as a medium in the shared folder, read the stored bytes back, and decode them. See ``decode_media``."""
-    return decode_media(materialize(store_texts(docs, id_col, text_col, codec)), with_pcm=with_pcm)
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: int = MULAW) -> DataFrame:
+    """Store every text as a medium in the shared folder, read the stored bytes back, store the resampled PCM, and describe what is stored.
+
+    The columns of ``decode_media`` without measures, with feature: the CRC-32 of the stored PCM, then the measures.
+    Both tables are compressed, as 16-bit PCM at twice the rate is four times the text.
+    """
+    stored = materialize(decode_media(materialize(store_texts(docs, id_col, text_col, codec), "zstd")), "zstd")
+    crc = F.lower(F.lpad(F.hex(F.crc32("pcm")), 8, "0"))
+    return stored.select(*(c for c in stored.columns if c not in ("measures", "pcm")), F.concat_ws(";", crc, "measures").alias("feature"), "pcm")

@@ -16,12 +16,12 @@ _running: list[list[str]] = []
 _folder_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: this cuts lineage and survives lost executors."""
     path = fresh_folder(df.sparkSession, "table")
     if _running:
         _running[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folder_of[out] = path
     return out

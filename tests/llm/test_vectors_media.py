@@ -1,6 +1,7 @@
 """Nearest neighbours and telephony media."""
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -107,7 +108,7 @@ def test_decoders_equal_plain_ones():
 def test_wav_round_trip():
     payload = bytes(range(256)) * 9
     for codec in (telephony.MULAW, telephony.ALAW, telephony.ADPCM):
-        assert telephony.read_wav(telephony.wav(payload, codec)) == (codec, 8000, payload)
+        assert telephony.read_wav(telephony.wav(payload, codec)) == telephony.Wav(codec, 1, 8000, telephony.BLOCK if codec == telephony.ADPCM else 1, payload)
     for broken in (b"", b"RIFF", telephony.wav(payload)[:-5]):
         try:
             telephony.read_wav(broken)
@@ -116,6 +117,61 @@ def test_wav_round_trip():
             pass
 
 
+def file(codec, channels, align, payload, rate=8000):
+    """A WAV file with the least that a reader needs."""
+    fmt = struct.pack("<HHIIHH", codec, channels, rate, rate * align, align, 4 if codec == telephony.ADPCM else 8)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) % 2)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_files_of_any_length_align_and_channels(spark):
+    rng = np.random.default_rng(5)
+    data = lambda n: bytes(rng.integers(0, 256, n).astype(np.uint8))
+    blocks = [data(256) for _ in range(3)]
+    left, right = data(4 + 24), data(4 + 24)
+    both = left[:4] + right[:4] + b"".join(x[i : i + 4] for i in range(4, 28, 4) for x in (left, right))
+    mean = [(a + b) / 2 for a, b in zip(plain_adpcm(left), plain_adpcm(right))]
+    odd, pair = data(101), data(7)
+    law = lambda table, raw: [int(table[b]) for b in raw]
+    cases = [
+        (file(telephony.MULAW, 1, 1, odd), law(telephony.MULAW_TABLE, odd)),
+        (file(telephony.ALAW, 2, 2, pair), [int((int(telephony.ALAW_TABLE[pair[i]]) + int(telephony.ALAW_TABLE[pair[i + 1]])) / 2) for i in (0, 2, 4)]),
+        (file(telephony.ADPCM, 1, 256, b"".join(blocks)), [v for b in blocks for v in plain_adpcm(b)]),
+        (file(telephony.ADPCM, 1, 256, blocks[0] + blocks[1][:31]), plain_adpcm(blocks[0]) + plain_adpcm(blocks[1][:31])),
+        (file(telephony.ADPCM, 1, 256, blocks[0] + blocks[1][:3]), plain_adpcm(blocks[0])),
+        (file(telephony.ADPCM, 2, 56, both), [int(x) for x in mean]),
+        (file(telephony.MULAW, 1, 1, b""), []),
+        (None, None),
+    ]
+    media = spark.createDataFrame([(i, 0, m) for i, (m, _) in enumerate(cases)], "id long, n_bytes long, media binary")
+    got = {r.id: r for r in telephony.decode_media(media, target_rate=8000).collect()}
+    for i, (_, samples) in enumerate(cases):
+        assert got[i].pcm == (None if samples is None else np.array(samples, "<i2").tobytes())
+
+
+def plain_measures(x):
+    return f"{max(map(abs, x))}/{round((sum(v * v for v in x) / len(x)) ** 0.5)}/{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+
+
+def test_the_query_s_features_equal_plain_ones(spark, data):
+    from sylvastack.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    found = QUERIES["op8_telephony"](spark, data)
+    assert found.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert [t for _, t in found.dtypes] == ["bigint", "bigint", "bigint", "string", "bigint", "bigint", "string", "string"]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert set(rows) == set(texts)
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:40]:
+        raw = (texts[i] or "").encode()
+        raw += b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        mulaw, alaw = ([int(t[b]) for b in raw] for t in (telephony.MULAW_TABLE, telephony.ALAW_TABLE))
+        adpcm = [v for lo in range(0, len(raw), 576) for v in plain_adpcm(raw[lo : lo + 576])]
+        twice = [v for a, b in zip(mulaw, mulaw[1:] + mulaw[-1:]) for v in (a, (a + b) // 2)]
+        crc = zlib.crc32(b"".join(struct.pack("<h", v) for v in twice))
+        assert rows[i].feature == f"{crc:08x};mulaw:{plain_measures(mulaw)};alaw:{plain_measures(alaw)};adpcm:{plain_measures(adpcm)}"
+
+
 def test_resampling():
     x = np.array([0, 100, 50], np.int16)
     assert telephony.resample(x, 8000, 16000).tolist() == [0, 50, 100, 75, 50, 50]
@@ -123,7 +179,7 @@ def test_resampling():
 
 
 def test_texts_as_media(odd, none):
-    rows = telephony.text_media(odd, with_pcm=True).collect()
+    rows = telephony.text_media(odd).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
     assert len(rows) == 11
     for r in rows:
