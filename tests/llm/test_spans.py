@@ -1,6 +1,7 @@
 """Personal data, license scans, and source mixing."""
 
 import glob
+import hashlib
 import os
 import random
 import re
@@ -116,6 +117,42 @@ def test_the_tagger_finds_spans_of_texts_not_seen(spark, data):
     assert total > 20 and hit >= 0.85 * total and false <= 0.2 * total
 
 
+def test_the_query_adds_planted_variants_and_leaves_clean_numbers(spark, data, tmp_path):
+    """Forms that no base pattern finds, in texts that the tagger was not trained on, through the registered query."""
+    rng = random.Random(12)
+    docs = spark.read.parquet(f"{data}/../sf0.1/documents.parquet")
+    taught = docs.where("doc_id % 5 <> 0").select("doc_id", "text")
+    planted, clean = [], []
+    for r in docs.where("doc_id % 5 = 0").orderBy("doc_id").collect():
+        spans = [x for x in pii.taught_spans(r.text or "") if x[1] != 2 or pii._luhn(re.sub("[^0-9]", "", r.text[x[0] : x[2]]))]
+        if spans and len(planted) < 120:
+            planted.append(pii.varied_text(r.text, spans, rng))
+        elif not spans and len(clean) < 150 and "1" in (r.text or ""):
+            clean.append(r.text)
+    # The tagger learns from the least hashes of ids, so these ids have the greatest.
+    late = [r.id for r in spark.range(10**6, 10**6 + 50_000).orderBy(F.xxhash64("id").desc()).limit(300).collect()]
+    rows = list(zip(late, [t for t, _ in planted] + clean))
+    folder = str(tmp_path)
+    taught.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(f"{folder}/documents.parquet")
+    found = queries.QUERIES["op10_pii"](spark, folder)
+    assert found.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    got = {r.doc_id: r for r in found.collect()}
+    hit = total = false = 0
+    for i, (text, spans) in enumerate(planted):
+        row = got[late[i]]
+        base = [(s, pii.NAMES[k], e) for s, k, e in plain_base(text)]
+        assert row.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        all_ = [x for x in row.spans.split(",") if x]
+        assert {f"{k}:{s}:{e}" for s, k, e in base} <= set(all_) and row.n_added == len(all_) - len(base)
+        want = {f"{pii.NAMES[k]}:{s}:{e}" for s, k, e in spans}
+        hit += len(want & set(all_))
+        total += len(want)
+        false += len(set(all_) - want - {f"{k}:{s}:{e}" for s, k, e in base})
+    print(hit, total, false)
+    assert total > 100 and hit >= 0.8 * total and false <= 0.2 * hit
+    assert sum(got[late[len(planted) + i]].n_added for i in range(len(clean))) <= len(clean) // 50
+
+
 def test_reconcile_joins_pieces_over_windows():
     text = "x" * 40 + "4539578763621486" + "y" * 100
     tags = np.zeros((2, pii.WINDOW), np.int8)
