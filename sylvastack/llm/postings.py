@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours over balanced posting lists: replicated boundary vectors, a graph over the centroids, ratio pruning."""
+"""Approximate nearest neighbours over balanced posting lists in bands of lengths: replicated boundary vectors, a graph over the centroids, ratio pruning."""
 
 from __future__ import annotations
 
@@ -14,13 +14,16 @@ from pyspark.sql.window import Window
 
 from .workspace import materialize
 
-#: Rows that the centroids are fitted on, by the hash of the id.
-SAMPLE_ROWS = 20_000
-MOST_LISTS = 4_096
+#: Rows that the centroids are fitted on, by the hash of the id, and how many of them a list has at least.
+SAMPLE_ROWS, SAMPLED_A_LIST = 20_000, 4
 #: Lists that one vector can join, and the ratio to the nearest centroid's distance up to which it does.
 REPLICAS, BOUNDARY = 2, 1.05
-#: A query opens the lists up to this ratio to the nearest centroid's distance.
-RATIO = 1.14
+#: Share of true neighbours that the ratio of opened lists must reach on sampled queries, and how many queries those are.
+RECALL, TRIED = 0.97, 256
+#: Share of all neighbours that the bands which are not opened may hold together.
+RARE = 0.005
+#: Bands of lengths; the last one takes all shorter vectors.
+BANDS = 16
 #: Links of a centroid in the graph.
 LINKS = 12
 #: Rows of a list, and queries of a list, that meet in one task; larger lists are dealt out in parts.
@@ -52,64 +55,136 @@ def balanced_centroids(points: np.ndarray, lists: int, rounds: int = 12) -> np.n
 
 @dataclass
 class ListIndex:
-    """Centroids in the space where the largest inner product is the least distance, and their neighbour graph."""
+    """Centroids, each fitted among vectors of one band of lengths, and a neighbour graph for each band.
+
+    Band b holds lengths above ``longest`` / 2^(b + 1) and up to ``longest`` / 2^b. A band's vectors are lifted to its
+    own greatest length, where the least distance to a query is the largest inner product; lifted to the longest vector
+    of all, the shorter ones would lie in one place. ``ratio`` has each band's ratio to the distance of its nearest
+    centroid up to which lists are opened; 0: none are.
+    """
 
     centres: np.ndarray
-    links: np.ndarray
+    band_of: np.ndarray
+    links: list[np.ndarray]
     sizes: np.ndarray
     longest: float
-    ratio: float
+    ratio: dict[int, float]
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, longest: float, ratio: float = RATIO) -> "ListIndex":
-        lifted = lift(sample, longest)
-        lists = int(min(MOST_LISTS, len(sample), max(1, np.ceil(np.sqrt(rows) / 2))))
-        centres = balanced_centroids(lifted, lists)
-        near = np.stack([np.argsort(((centres - c) ** 2).sum(axis=1), kind="stable")[1 : LINKS + 1] for c in centres]) if lists > 1 else np.zeros((1, 0), int)
-        ring = (np.arange(lists)[:, None] + [1, -1]) % lists  # every centroid can be reached
-        return cls(centres, np.hstack([near, ring]), np.zeros(lists, np.int64), longest, ratio)
+    def fit(cls, sample: np.ndarray, rows: int, longest: float, ratio: float | None = None, k: int = 20) -> "ListIndex":
+        """Centroids, graphs and ratios.
+
+        Where no ratio is given, a band has the least at which sampled queries find ``RECALL`` of their ``k`` neighbours
+        of that band in the sample; those lie farther off than the neighbours in the whole table, so the ratio is on the
+        safe side. Bands that together hold less than ``RARE`` of all neighbours are not opened.
+        """
+        lists = max(1, min(len(sample) // SAMPLED_A_LIST, int(np.ceil(np.sqrt(rows) / 2))))
+        bands = _bands(sample, longest)
+        centres, band_of, links = [], [], []
+        for b in np.unique(bands):
+            own = lift(sample[bands == b], longest / 2.0**b)
+            made = balanced_centroids(own, max(1, round(lists * len(own) / len(sample))))
+            n, before = len(made), len(band_of)
+            for i, x in enumerate(made):
+                near = np.argsort(((made - x) ** 2).sum(axis=1), kind="stable")[1 : LINKS + 1]
+                links.append(before + np.unique(np.r_[near, (i + 1) % n, (i - 1) % n]))  # the ring reaches every centroid
+            centres.append(made)
+            band_of += [int(b)] * n
+        index = cls(np.vstack(centres), np.array(band_of), links, np.zeros(len(band_of), np.int64), longest, {})
+        index.ratio = index._ratios(sample, k) if ratio is None and len(sample) > 1 else dict.fromkeys(set(band_of), ratio or 1.0)
+        return index
+
+    def _distances(self, queries: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of a band, and the distance of each query to them; a query's length, which orders nothing, is taken as the band's greatest."""
+        members, length = np.flatnonzero(self.band_of == band), self.longest / 2.0**band
+        q = queries * (length / np.maximum(np.linalg.norm(queries, axis=1), 1e-300))[:, None]
+        c = self.centres[members]
+        return members, np.sqrt(np.maximum(length**2 + (c**2).sum(axis=1) - 2 * q @ c[:, :-1].T, 0))
+
+    def _ratios(self, sample: np.ndarray, k: int) -> dict[int, float]:
+        tried, k = sample[:TRIED], min(k, len(sample) - 1)
+        products = tried @ sample.T
+        products[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+        near = np.argpartition(-products, k - 1, axis=1)[:, :k]
+        row, home = self.homes(sample)
+        homes = np.full((len(sample), REPLICAS), -1)
+        homes[row, np.r_[0, np.where(np.diff(row) == 0, 1, 0)]] = home
+        band = self.band_of[homes[near, 0]]
+        bands, counts = np.unique(band, return_counts=True)
+        rare = bands[np.argsort(counts)][np.cumsum(np.sort(counts)) < RARE * band.size]
+        out = dict.fromkeys(self.band_of.tolist(), 0.0)
+        for b in bands:
+            if b in rare:
+                continue
+            members, far = self._distances(tried, b)
+            place = np.full(len(self.band_of) + 1, -1)
+            place[members] = np.arange(len(members))
+            at = place[homes[near]]  # a home that is missing has place -1
+            of = np.arange(len(tried))[:, None, None]
+            reached = np.where(at >= 0, far[of, at], np.inf).min(axis=2)[band == b]
+            least = np.broadcast_to(far.min(axis=1)[:, None], band.shape)[band == b]
+            out[int(b)] = float(np.quantile(reached / np.maximum(least, 1e-300), RECALL)) + 1e-9
+        return out
 
     def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, list): the nearest list of each vector, and a further one for vectors near a boundary."""
-        x = lift(vectors, self.longest)
-        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (self.centres * self.centres).sum(axis=1) - 2 * x @ self.centres.T, 0))
-        order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
-        near = np.take_along_axis(d, order, axis=1)
-        keep = near <= near[:, :1] * BOUNDARY
-        keep[:, 0] = True
-        row, at = np.nonzero(keep)
-        return row, order[row, at]
+        """(vector, list): the nearest list of each vector in its band, and a further one for vectors near a boundary."""
+        present = np.unique(self.band_of)
+        bands = present[np.maximum(np.searchsorted(present, _bands(vectors, self.longest), side="right") - 1, 0)]
+        rows, lists = [], []
+        for b in np.unique(bands):
+            of, members = np.flatnonzero(bands == b), np.flatnonzero(self.band_of == b)
+            x, centres = lift(vectors[of], self.longest / 2.0**b), self.centres[members]
+            d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * x @ centres.T, 0))
+            order = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
+            near = np.take_along_axis(d, order, axis=1)
+            keep = near <= near[:, :1] * BOUNDARY
+            keep[:, 0] = True
+            row, at = np.nonzero(keep)
+            rows.append(of[row])
+            lists.append(members[order[row, at]])
+        rows, lists = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*lists, np.zeros(0, np.int64)])
+        order = np.argsort(rows, kind="stable")
+        return rows[order].astype(np.int64), lists[order].astype(np.int64)
 
     def open_lists(self, query: np.ndarray, least: int) -> list[int]:
-        """Lists within ``ratio`` of the nearest by best-first search of the graph; more of the nearest until they hold ``least`` rows."""
-        q = np.append(query, 0.0)
+        """Lists of each opened band within its ratio of the nearest, by best-first search of its graph; while they hold fewer than ``least`` rows, all lists of the next bands."""
+        kept: list[int] = []
+        for band, ratio in sorted(self.ratio.items()):
+            if ratio:
+                kept += self._search(query, band, ratio)
+        for band in sorted(self.ratio):
+            if self.sizes[kept].sum() >= least:
+                break
+            kept += [c for c in np.flatnonzero(self.band_of == band).tolist() if c not in kept]
+        return kept
+
+    def _search(self, query: np.ndarray, band: int, ratio: float) -> list[int]:
+        members, length = np.flatnonzero(self.band_of == band), self.longest / 2.0**band
+        q = np.append(query * (length / max(float(np.sqrt((query * query).sum())), 1e-300)), 0.0)
         dist = lambda at: np.sqrt(((self.centres[at] - q) ** 2).sum(axis=1))
-        entry = np.arange(0, len(self.centres), max(1, len(self.centres) // 8))
-        seen = np.zeros(len(self.centres), bool)
+        entry = members[:: max(1, len(members) // 8)]
+        seen = np.zeros(len(self.band_of), bool)
         seen[entry] = True
         heap = [(float(d), int(c)) for d, c in zip(dist(entry), entry)]
         heapq.heapify(heap)
-        best, held, out = heap[0][0], 0, []
+        best, out = heap[0][0], []
         while heap:
             d, c = heapq.heappop(heap)
             best = min(best, d)
-            if d > best * self.ratio and held >= least:
+            if d > best * ratio:
                 break
             out.append((d, c))
-            held += int(self.sizes[c])
             fresh = self.links[c][~seen[self.links[c]]]
-            fresh = np.unique(fresh)
             seen[fresh] = True
             for x, y in zip(dist(fresh), fresh):
                 heapq.heappush(heap, (float(x), int(y)))
-        out.sort()
-        kept, held = [], 0
-        for d, c in out:
-            if d > best * self.ratio and held >= least:
-                break
-            kept.append(c)
-            held += int(self.sizes[c])
-        return kept
+        return [c for d, c in sorted(out) if d <= best * ratio]
+
+
+def _bands(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """How often the longest length can be halved and still reach that of each vector."""
+    length = np.maximum(np.linalg.norm(np.asarray(vectors, np.float64), axis=1), 1e-300)
+    return np.clip(np.floor(np.log2(longest / length * (1 + 1e-12))), 0, BANDS - 1).astype(np.int64)
 
 
 def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -132,14 +207,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(~F.exists(v, bad) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, ratio: float = RATIO) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, ratio: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the ``k`` rows of ``vectors`` with the largest inner products found.
 
     ``queries`` has the same columns; None: every row is a query. A query's own id is no candidate. Vectors that are
     null, zero, or hold nulls or non-finite numbers take no part on either side; vectors of different sizes are
     refused. Equal vectors are indexed once: of their ids the k + 1 smallest can be answers, as ties go to the smaller
     id. Repeated (id, vector) rows count once. Empty table: empty result. Scores are double inner products of the
-    given vectors. Every row is indexed; only the centroids come from a sample.
+    given vectors. Every row is indexed; only the centroids come from a sample of ``sample_rows``, which also bounds the
+    lists: sqrt(rows) / 2 of them, as far as the sample has ``SAMPLED_A_LIST`` rows for each. Long lists are dealt out.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).distinct()
@@ -152,8 +228,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if facts.least != facts.most:
         raise ValueError("vectors of different sizes")
-    sample = matrix(unique.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow()["v"])
-    index = ListIndex.fit(sample, facts.n, facts.longest, ratio)
+    sample = matrix(unique.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()["v"])
+    index = ListIndex.fit(sample, facts.n, facts.longest, ratio, k)
     element = members.schema["v"].dataType.simpleString()
 
     built = spark.sparkContext.broadcast(index)
@@ -166,7 +242,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(c.take(pa.array(row)) for c in part.columns)], ["list", "id", "v"])
 
     postings = materialize(unique.mapInArrow(place, f"list int, id long, v {element}"))
-    for x in postings.groupBy("list").count().collect():  # at most MOST_LISTS rows
+    for x in postings.groupBy("list").count().collect():  # one row a list
         index.sizes[x.list] = x["count"]
     opened = spark.sparkContext.broadcast(index)
 
@@ -181,10 +257,11 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
 
     asked = rows if queries is None else usable(queries, id_col, vector_col).distinct()
     distinct_queries = asked.groupBy(F.col("v").alias("q")).agg(F.min("id").alias("query")).select("query", "q")
-    routed = materialize(distinct_queries.mapInArrow(route, f"list int, query long, q {element}"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that AQE does not put few wide rows into one task
+    routed = materialize(distinct_queries.repartition(spread, "query").mapInArrow(route, f"list int, query long, q {element}"))
     load = {x.list: x["count"] for x in routed.groupBy("list").count().collect()}
     parts = spark.createDataFrame([(i, -(-int(n) // PART_ROWS) or 1, -(-load.get(i, 0) // PART_QUERIES) or 1) for i, n in enumerate(index.sizes)], "list int, parts int, asks int")
-    parts = F.broadcast(parts)  # at most MOST_LISTS rows
+    parts = F.broadcast(parts)  # one row a list, so at most sample_rows / SAMPLED_A_LIST
     left = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
     right = routed.join(parts, "list").withColumn("ask", F.pmod(F.xxhash64("query"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["list", "part", "ask"]
@@ -204,7 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
         return pa.table({"query": pa.array(queries_, pa.int64()), "ids": pa.array(ids_, pa.list_(pa.int64())), "scores": pa.array(scores_, pa.list_(pa.float64()))})
 
     found = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "query", "q").groupBy(*key)).applyInArrow(meet, "query long, ids array<long>, scores array<double>")
-    # Per distinct query at most MOST_LISTS rows of k + 1 vectors; the k + 1 best of them hold the answer, as only the own id goes.
+    # Per distinct query one row a list of k + 1 vectors; the k + 1 best of them hold the answer, as only the own id goes.
     hits = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query", F.col("x.ids").alias("id")).agg(F.max("x.scores").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     hits = hits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
