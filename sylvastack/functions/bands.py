@@ -81,9 +81,16 @@ def toa(dn: Column, gain: Column, offset: Column, sun_elevation: Column) -> Colu
     return (dn * gain + offset) / F.sin(F.radians(sun_elevation))
 
 
-def preprocess(df: DataFrame, dem: DataFrame) -> DataFrame:
-    """tca / 90, ndvi and elevation by pixel; the elevation table joins once on pixel_id."""
-    out = df.withColumn("tca", normalize_tca(tasselled_cap_angle())).withColumn("ndvi", ndvi(F.col("nir"), F.col("red")))
+def preprocess(df: DataFrame, dem: DataFrame, gain: Column | None = None, offset: Column | None = None, sun_elevation: Column | None = None) -> DataFrame:
+    """Reflectance of the four bands, tca / 90, ndvi, and elevation by pixel; the elevation table joins once on pixel_id.
+
+    ``gain``, ``offset`` and ``sun_elevation`` come with the scene; without them the bands are reflectances already.
+    Rows with x and y are put on the grid of ``PIXEL`` metres: grid_col, grid_row.
+    """
+    out = df if gain is None else df.withColumns({b: toa(F.col(b), gain, offset, sun_elevation) for b in BANDS[:4]})
+    out = out.withColumn("tca", normalize_tca(tasselled_cap_angle())).withColumn("ndvi", ndvi(F.col("nir"), F.col("red")))
+    if {"x", "y"} <= set(df.columns):
+        out = out.withColumns({"grid_col": F.floor(F.col("x") / PIXEL), "grid_row": F.floor(F.col("y") / PIXEL)})
     return out.join(dem.select("pixel_id", "dem"), "pixel_id", "left")
 
 
@@ -122,22 +129,22 @@ def gather(p: Column, places: list[int]) -> Column:
     return F.array(*(p[i] for i in places))
 
 
-def smoothing_row(label: int) -> list[float]:
-    """A label's smoothed distribution: plain classes keep all, non-forest lends to the disturbed, those to their sibling and non-forest."""
-    row = [0.0] * N_CLASSES
-    siblings = {PREVIOUS_FIRE: FIRE, FIRE: PREVIOUS_FIRE, PREVIOUS_HARVEST: HARVEST, HARVEST: PREVIOUS_HARVEST}
-    if label == NONFOREST:
-        row[label] = 0.8
-        for other in siblings:
-            row[other] = 0.05
-    elif label in siblings:
-        row[label], row[siblings[label]], row[NONFOREST] = 0.85, 0.1, 0.05
-    else:
-        row[label] = 1.0
-    return row
+#: The smoothed distribution of each label.
+SMOOTHED = [
+    [1, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+    [0, 0.8, 0, 0, 0.05, 0.05, 0.05, 0.05, 0, 0],
+    [0, 0, 1, 0, 0, 0, 0, 0, 0, 0],
+    [0, 0, 0, 1, 0, 0, 0, 0, 0, 0],
+    [0, 0.05, 0, 0, 0.85, 0.1, 0, 0, 0, 0],
+    [0, 0.05, 0, 0, 0.1, 0.85, 0, 0, 0, 0],
+    [0, 0.05, 0, 0, 0, 0, 0.85, 0.1, 0, 0],
+    [0, 0.05, 0, 0, 0, 0, 0.1, 0.85, 0, 0],
+    [0, 0, 0, 0, 0, 0, 0, 0, 1, 0],
+    [0, 0, 0, 0, 0, 0, 0, 0, 0, 1],
+]
 
 
 def smooth_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """``p``: the smoothed vector of a label, from a table of ten rows."""
-    rows = df.sparkSession.createDataFrame([(i, smoothing_row(i)) for i in range(N_CLASSES)], "_label int, p array<double>")
+    rows = df.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(SMOOTHED)], "_label int, p array<double>")
     return df.join(F.broadcast(rows), F.col(label) == F.col("_label"), "left").drop("_label")

@@ -85,14 +85,28 @@ def repeat_epochs(df: DataFrame, epochs: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 
-def train_dataset(chips_px: DataFrame, size: int, crop: int, epochs: int, seed: int, bands: list[str], batch: int = 32) -> DataFrame:
-    """Seeded order, one random window a chip and epoch, flips, normalised bands, batches by chip."""
-    from .assess import normalize
-
-    rows = repeat_epochs(normalize(chips_px, bands), epochs).withColumn("_key", F.concat_ws("@", "chip_id", "epoch"))
-    cropped = augment_flip(random_crop(rows, size, crop, seed, "_key"), crop, seed, "_key")
-    order = cropped.select("epoch", "chip_id", "_key").distinct().withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), "_key")))
-    return cropped.join(batch_ids(order, ["shuffle", "_key"], batch, ["epoch"]).select("_key", "batch"), "_key").drop("_key")
+def train_dataset(chips_px: DataFrame, size: int, crop: int, epochs: int, seed: int, bands: list[str], batch: int = 32, turn: float = 0.0, stats_share: int = 1) -> DataFrame:
+    """Seeded order, one random window a chip and epoch, turned by up to ``turn`` of a circle, flipped, normalised bands, batches by chip.
+
+    The bands' statistics are those of one chip in ``stats_share``, by a digest. Batches are counted in slices of the
+    seeded order: each slice's first place comes from the counts of the slices before it, so no task orders an epoch.
+    """
+    from .assess import band_stats, scaled
+
+    some = chips_px.where(draw("chip_id", seed, "n", stats_share) == 0)
+    rows = repeat_epochs(scaled(chips_px, band_stats(some, bands), bands), epochs).withColumn("_key", F.concat_ws("@", "chip_id", "epoch"))
+    cropped = random_crop(rows, size, crop, seed, "_key")
+    if turn:
+        others = [c for c in cropped.columns if c not in ("_key", "row", "col")]
+        cropped = augment_rotate(cropped, crop, seed, others, "_key", turn)
+    cropped = augment_flip(cropped, crop, seed, "_key")
+    order = cropped.select("epoch", "chip_id", "_key").distinct().withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), "_key"))).withColumn("_slice", F.substring("shuffle", 1, 3))
+    before = Window.partitionBy("epoch").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = order.groupBy("epoch", "_slice").agg(F.count("*").alias("_n"))  # at most 4096 slices an epoch
+    first = counts.select("epoch", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    at = F.row_number().over(Window.partitionBy("epoch", "_slice").orderBy("shuffle", "_key")) - 1
+    placed = order.withColumn("_at", at).join(first, ["epoch", "_slice"]).select("_key", F.floor((F.col("_first") + F.col("_at")) / batch).cast("int").alias("batch"))
+    return cropped.join(placed, "_key").drop("_key")
 
 
 def test_dataset(chips_px: DataFrame, size: int, crop: int) -> DataFrame:

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import FIRE, HARVEST, PREVIOUS_FIRE, PREVIOUS_HARVEST, occlusion_code
+from ..functions.bands import FIRE, HARVEST, PREVIOUS_FIRE, PREVIOUS_HARVEST, bitwise_extract, occlusion_code
+from .scenes import coincident_mosaic
 
 
 def disturbance_gate(df: DataFrame) -> DataFrame:
-    """``gate``: 1 where the disturbance shows: nbr at most its median if a second sensor saw the pixel, else tca at most its median."""
-    return df.withColumn("gate", F.when(F.col("nbr").isNotNull(), F.col("nbr") <= F.col("median_nbr")).otherwise(F.col("tca") <= F.col("median_tca")).cast("int"))
+    """``gate``: 1 where the disturbance shows, 0 where not, NULL where the sensor that decides saw nothing.
+
+    One sensor decides for a whole scene: ``by_nbr`` says that coincident scenes of the second sensor cover it. Then nbr
+    at most its median; else tca at most its median where bit 3 of ``qa`` is not set.
+    """
+    by_nbr = F.col("nbr") <= F.col("median_nbr")
+    by_tca = F.when(bitwise_extract(F.col("qa"), 3) == 0, F.col("tca") <= F.col("median_tca"))
+    return df.withColumn("gate", F.when(F.col("by_nbr"), by_nbr).otherwise(by_tca).cast("int"))
 
 
 def label_image(df: DataFrame, fire_lookback: int = 3, harvest_lookback: int = 10) -> Column:
@@ -30,11 +37,13 @@ def label_image(df: DataFrame, fire_lookback: int = 3, harvest_lookback: int = 1
     ).cast("int")
 
 
-def labelled_scene_pixels(pixels: DataFrame, scenes: DataFrame, layers: DataFrame, base: DataFrame, medians: DataFrame, tm: DataFrame | None = None) -> DataFrame:
-    """Every scene pixel with its label: scenes are small and join on scene_id, layers and medians on pixel_id.
+def labelled_scene_pixels(pixels: DataFrame, scenes: DataFrame, layers: DataFrame, bases: DataFrame, medians: DataFrame, coincident: DataFrame, second: DataFrame) -> DataFrame:
+    """Every scene pixel with its label: scenes are small and join on scene_id, layers and medians on pixel_id, base maps on pixel_id and year.
 
-    ``pixels`` needs scene_id, pixel_id, tca, occlusion; ``medians`` pixel_id, median_tca, median_nbr; ``tm`` scene_id, pixel_id, nbr.
+    ``pixels`` needs scene_id, pixel_id, tca, qa, occlusion; ``bases`` pixel_id, year, base; ``medians`` pixel_id,
+    median_tca, median_nbr; ``coincident`` scene_id, other_ids; ``second`` scene_id, pixel_id, nbr of the second sensor.
     """
-    rows = pixels.join(scenes.select("scene_id", "year"), "scene_id").join(layers.select("pixel_id", "fire_year", "harvest_year"), "pixel_id", "left").join(base, "pixel_id", "left").join(medians, "pixel_id", "left")
-    rows = rows.withColumn("nbr", F.lit(None).cast("double")) if tm is None else rows.join(tm.select("scene_id", "pixel_id", "nbr"), ["scene_id", "pixel_id"], "left")
+    decided = scenes.select("scene_id", "year").join(coincident.select("scene_id", F.col("other_ids").isNotNull().alias("by_nbr")), "scene_id")
+    rows = pixels.join(decided, "scene_id").join(layers.select("pixel_id", "fire_year", "harvest_year"), "pixel_id", "left")
+    rows = rows.join(bases, ["pixel_id", "year"], "left").join(medians, "pixel_id", "left").join(coincident_mosaic(coincident, second, "nbr"), ["scene_id", "pixel_id"], "left")
     return disturbance_gate(rows).withColumn("label", label_image(rows))

@@ -45,6 +45,14 @@ def basemap(trees: DataFrame, waters: DataFrame) -> DataFrame:
     return a.join(b, "pixel_id").select("pixel_id", F.coalesce(F.when(F.col("dry") == 0, 2), F.col("treed")).alias("base"))
 
 
+def basemaps(landcover: DataFrame, lookback: int = 0) -> DataFrame:
+    """(pixel_id, year, base) of every year with land cover: water of the year on the trees of ``lookback`` years before; the first image of a year counts."""
+    first = landcover.groupBy("pixel_id", "year").agg(F.min_by("lc", "acquired").alias("lc"))
+    trees = first.select("pixel_id", (F.col("year") + lookback).alias("year"), treed().alias("treed"))
+    waters = first.select("pixel_id", "year", not_water().alias("dry"))
+    return trees.join(waters, ["pixel_id", "year"]).select("pixel_id", "year", F.coalesce(F.when(F.col("dry") == 0, 2), F.col("treed")).alias("base"))
+
+
 def event_map(layer: str, year: Column | int, before: bool = False) -> Column:
     """1 where the layer has the year, or an earlier one; 0 elsewhere."""
     hit = F.col(layer) < year if before else F.col(layer) == year

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bands import FIRST_DOY, LAST_DOY
-from ..functions.geo import BOX, box_area, shared_area, tile_join
+from ..functions.geo import BOX, box_area, tile_join
 
 TILE = 24_000.0
 
@@ -54,16 +54,38 @@ def image_overlap(cells: DataFrame, scenes: DataFrame) -> DataFrame:
     return cells.join(n, "id", "left").withColumn("num_overlapping_images", F.coalesce("n", F.lit(0))).drop("n")
 
 
-def coincident_scene(scenes: DataFrame, others: DataFrame, coverage: float = 0.99, days: int = 1) -> DataFrame:
-    """(scene_id, other_id): the last scene of ``others`` from ``days`` before to less than ``days`` after, covering enough of the footprint, else NULL.
+def _covered(boxes: Column) -> Column:
+    """Area of the union of an array of boxes: the strips between their edges, each with the stretches that some box covers."""
+    edges = lambda lo, hi: F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b[lo]), F.transform(boxes, lambda b: b[hi]))))
+    spans = lambda e: F.zip_with(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    xs, ys = spans(edges("xmin", "xmax")), spans(edges("ymin", "ymax"))
+    held = lambda x, y: F.exists(boxes, lambda r: (r["xmin"] <= x["a"]) & (r["xmax"] >= x["b"]) & (r["ymin"] <= y["a"]) & (r["ymax"] >= y["b"]))
+    return total(F.transform(xs, lambda x: (x["b"] - x["a"]) * total(F.transform(ys, lambda y: F.when(held(x, y), y["b"] - y["a"]).otherwise(0.0)))))
 
-    The date window becomes equalities on day numbers, so the join hashes on (tile, day).
+
+def coincident_scenes(scenes: DataFrame, others: DataFrame, coverage: float = 0.99, days: int = 1) -> DataFrame:
+    """(scene_id, share, other_ids): the scenes of ``others`` from ``days`` before to less than ``days`` after, in order of (acquired, id).
+
+    share is how much of the footprint they cover together; where it is less than ``coverage``, other_ids is NULL. The
+    date window becomes equalities on day numbers, so the join hashes on (tile, day). A list holds what one footprint
+    meets in two days, so it is bounded.
     """
-    a = scenes.select("scene_id", "acquired", *BOX).withColumn("day", F.explode(F.sequence(F.date_sub("acquired", days), F.date_add("acquired", days - 1))))
+    a = scenes.select("scene_id", "acquired", *BOX).withColumn("day", F.explode(F.sequence(F.date_sub("acquired", days), F.date_add("acquired", days - 1)))).drop("acquired")
     b = others.select(F.col("scene_id").alias("other_id"), F.col("acquired").alias("day"), *BOX)
-    pairs = tile_join(a, b, TILE, on=F.col("l.day") == F.col("r.day")).where(shared_area("l", "r") / box_area("l.") >= coverage)
-    best = pairs.groupBy(F.col("l.scene_id").alias("scene_id")).agg(F.max_by("r.other_id", F.struct("r.day", "r.other_id")).alias("other_id"))
-    return scenes.select("scene_id").join(best, "scene_id", "left")
+    pairs = tile_join(a, b, TILE, on=F.col("l.day") == F.col("r.day"))
+    inner = [f(f"l.{c}", f"r.{c}").alias(c) for c, f in zip(BOX, (F.greatest, F.greatest, F.least, F.least))]
+    met = pairs.groupBy(F.col("l.scene_id").alias("scene_id"), box_area("l.").alias("area")).agg(F.array_sort(F.collect_list(F.struct(F.col("r.day").alias("day"), F.col("r.other_id").alias("other_id"), *inner))).alias("met"))
+    share = F.round(_covered(F.col("met")) / F.col("area"), 9)
+    found = met.select("scene_id", share.alias("share"), F.when(share >= coverage, F.col("met.other_id")).alias("other_ids"))
+    return scenes.select("scene_id").join(found, "scene_id", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+
+
+def coincident_mosaic(coincident: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
+    """(scene_id, pixel_id, value): for each scene with coincident ones their last non-NULL value of each pixel."""
+    top = coincident.where("other_ids is not null").select("scene_id", F.posexplode("other_ids").alias("at", "other_id"))
+    rows = top.join(pixels.select(F.col("scene_id").alias("other_id"), "pixel_id", value), "other_id").where(F.col(value).isNotNull())
+    return rows.groupBy("scene_id", "pixel_id").agg(F.max_by(value, "at").alias(value))
 
 
 def mosaic(df: DataFrame, key: str, value: str, order: Column) -> DataFrame:
@@ -80,23 +102,28 @@ def pixel_median(df: DataFrame, key: str, value: str, name: str, where: Column |
     return (df if where is None else df.where(where)).groupBy(key).agg(F.median(value).alias(name))
 
 
-def lookback_pairs(targets: DataFrame, observations: DataFrame, lookback: int = 3, max_cloud: float = 20) -> DataFrame:
-    """(pixel_id, year, acquired, v): each target's clear in-season observations of the ``lookback`` years before: an equi-join on pixel and year."""
-    clear = observations.where((F.col("cloud_cover") <= max_cloud) & F.col("doy").between(FIRST_DOY, LAST_DOY) & (F.shiftright("qa", 3).bitwiseAND(F.lit(1)) == 0))
-    keyed = clear.select("pixel_id", F.explode(F.sequence(F.col("year") + 1, F.col("year") + lookback)).alias("year"), "acquired", "v")
+def _clear(max_cloud: float) -> Column:
+    """Observations of the season, under a cloud share, where bit 3 of the quality band is not set."""
+    return (F.col("cloud_cover") <= max_cloud) & F.col("doy").between(FIRST_DOY, LAST_DOY) & (F.shiftright("qa", 3).bitwiseAND(F.lit(1)) == 0)
+
+
+def lookback_pairs(targets: DataFrame, observations: DataFrame, lookback: int = 3, max_cloud: float = 20, values: tuple[str, ...] = ("v",), keep: tuple[str, ...] = ("acquired",)) -> DataFrame:
+    """(pixel_id, year, keep, values): each target's clear in-season observations of the ``lookback`` years before: an equi-join on pixel and year."""
+    clear = observations.where(_clear(max_cloud))
+    keyed = clear.select("pixel_id", F.explode(F.sequence(F.col("year") + 1, F.col("year") + lookback)).alias("year"), *keep, *values)
     return targets.select("pixel_id", "year").join(keyed, ["pixel_id", "year"])
 
 
-def lookback_median(targets: DataFrame, observations: DataFrame, lookback: int = 3, max_cloud: float = 20) -> DataFrame:
-    """Every target with ``historical_v``, NULL where nothing was seen."""
-    seen = lookback_pairs(targets, observations, lookback, max_cloud).groupBy("pixel_id", "year").agg(F.median("v").alias("historical_v"))
+def lookback_median(targets: DataFrame, observations: DataFrame, lookback: int = 3, max_cloud: float = 20, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Every target with ``historical_`` and each value's name: the median of each band, NULL where nothing was seen."""
+    seen = lookback_pairs(targets, observations, lookback, max_cloud, values, ()).groupBy("pixel_id", "year").agg(*(F.median(v).alias(f"historical_{v}") for v in values))
     return targets.select("pixel_id", "year").join(seen, ["pixel_id", "year"], "left")
 
 
-def rolling_lookback_median(observations: DataFrame, lookback: int = 3) -> DataFrame:
-    """The same as a frame over years: every observation with the median of the years before its own."""
+def rolling_lookback_median(observations: DataFrame, lookback: int = 3, max_cloud: float = 20, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """The same as a frame over years: every observation with the medians of the clear in-season ones of the years before its own."""
     frame = Window.partitionBy("pixel_id").orderBy("year").rangeBetween(-lookback, -1)
-    return observations.select("pixel_id", "acquired", F.percentile("v", F.lit(0.5)).over(frame).alias("historical_v"))
+    return observations.select("pixel_id", "acquired", *(F.percentile(F.when(_clear(max_cloud), F.col(v)), F.lit(0.5)).over(frame).alias(f"historical_{v}") for v in values))
 
 
 def coverage_ratio(pixels: DataFrame, total: DataFrame, by: str) -> DataFrame:

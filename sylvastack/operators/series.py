@@ -47,7 +47,8 @@ def bulcp_arrow(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", orde
                 x[i] = leveler * product / product.sum() + (1 - leveler) / x.shape[1]
         return pd.DataFrame({key: rows[key], order: rows[order], p: list(x)})
 
-    out = df.select(key, order, p).groupBy(key).applyInPandas(fold, f"{key} long, {order} int, {p} array<double>")
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+    out = df.select(key, order, p).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, {p} array<double>")
     return out.withColumn(p, F.transform(p, lambda x: F.coalesce(x, F.lit(float("nan")))))  # Arrow takes pandas' NaN for a null
 
 
@@ -91,9 +92,15 @@ def event_years(df: DataFrame, current: int, previous: int, key: str = "pixel_id
     return seen.withColumn("event_year", F.when(burn, F.col("year")).when(gap, F.col("year") - 1)).where("event_year is not null").select(key, "event_year").distinct()
 
 
-def annual_maps(df: DataFrame, leveler: float = 0.8) -> DataFrame:
-    """(pixel_id, year, cls, fire, harvest): the fused class at the end of each year. ``df``: pixel_id, t, year, p."""
-    fused = bulcp(df, leveler).join(df.select("pixel_id", "t", "year"), ["pixel_id", "t"])
-    last = last_per_year(fused, order="t")
-    cls = (F.array_position("p", F.array_max("p")) - 1).cast("int")
-    return last.withColumn("cls", cls).select("pixel_id", "year", "cls", (F.col("cls") == FIRE).cast("int").alias("fire"), (F.col("cls") == HARVEST).cast("int").alias("harvest"))
+def annual_maps(df: DataFrame, leveler: float = 0.8, threshold: float = 0.3) -> DataFrame:
+    """(pixel_id, year, cls, fire, harvest): the fused class at the end of each year, and the years of fires and harvests.
+
+    ``df``: pixel_id, t, year, p. The fused series loses clouds, shadows and observations whose best class stays under
+    ``threshold``, then pixels that are disturbed throughout or once; what turns from forest to an event in the rest
+    gives its year. cls is NULL in an event's year without an observation.
+    """
+    fused = bulcp(df, leveler).join(df.select("pixel_id", "t", "year"), ["pixel_id", "t"]).withColumn("cls", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    sure = drop_false_positives(drop_unsure(drop_occluded(fused), threshold))
+    fires, harvests = (event_years(sure, now, before, order="t").select("pixel_id", F.col("event_year").alias("year"), F.lit(1).alias(name)) for now, before, name in ((FIRE, PREVIOUS_FIRE, "fire"), (HARVEST, PREVIOUS_HARVEST, "harvest")))
+    out = last_per_year(fused, order="t").select("pixel_id", "year", "cls").join(fires, ["pixel_id", "year"], "full").join(harvests, ["pixel_id", "year"], "full")
+    return out.select("pixel_id", "year", "cls", F.coalesce("fire", F.lit(0)).alias("fire"), F.coalesce("harvest", F.lit(0)).alias("harvest"))

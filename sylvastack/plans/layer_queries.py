@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
+from ..functions import geo as G
 from ..functions import mask as M
 from ..operators import layers as L
 from .registry import query
@@ -234,10 +235,15 @@ def _(t):
     return rows.select("scene_id", "pixel_id", r6(B.toa(F.col("qa"), gain, F.lit(0.01), sun), "toa"))
 
 
-@query("preprocess", f"select p.scene_id, p.pixel_id, round({TCA} / 90.0, 6) tca, round((nir - red) / (nir + red), 6) ndvi, round(coalesce(fine, coarse) / 3000.0, 6) dem from pixels p left join elevation e on p.pixel_id = e.pixel_id")
+_LIT = ", ".join(f"({b} * (0.001 * (1 + s.scene_id % 5)) + 0.01) / sin(radians(20 + s.scene_id % 60)) {b}" for b in B.BANDS[:4])
+
+
+@query("preprocess", f"""with pr as (select p.scene_id, p.pixel_id, s.xmin + 60.0 * p.col x, s.ymax - 60.0 * p.row y, {_LIT} from pixels p join scenes s on p.scene_id = s.scene_id)
+    select scene_id, p.pixel_id, round(nir, 6) nir, round({TCA} / 90.0, 6) tca, round((nir - red) / (nir + red), 6) ndvi, round(coalesce(fine, coarse) / 3000.0, 6) dem, floor(x / 60)::bigint grid_col, floor(y / 60)::bigint grid_row from pr p left join elevation e on p.pixel_id = e.pixel_id""")
 def _(t):
-    out = B.preprocess(t.pixels, L.dem(t.elevation))
-    return out.select("scene_id", "pixel_id", r6(F.col("tca"), "tca"), r6(F.col("ndvi"), "ndvi"), r6(F.col("dem"), "dem"))
+    rows = G.pixel_to_world(t.pixels.join(t.scenes.select("scene_id", "xmin", "ymax"), "scene_id"), "xmin", "ymax")
+    out = B.preprocess(rows, L.dem(t.elevation), (1 + F.col("scene_id") % 5) * 0.001, F.lit(0.01), 20 + F.col("scene_id") % 60)
+    return out.select("scene_id", "pixel_id", *(r6(F.col(c), c) for c in ("nir", "tca", "ndvi", "dem")), "grid_col", "grid_row")
 
 
 @query("occlusion_code", "select scene_id, pixel_id, nullif(occlusion, 0) + 7 code from pixels")
@@ -271,7 +277,7 @@ def _(t):
     return t.embeddings.select("vec_id", F.slice("embedding", 1, 7).alias("current"), F.slice("embedding", 8, 6).alias("historical"))
 
 
-@query("assemble_vector")
+@query("assemble_vector", "select p.scene_id, pixel_id, [s.doy::float, nir::float, red_edge::float, red::float, green::float] features from pixels p join scenes s on p.scene_id = s.scene_id")
 def _(t):
     scenes = t.scenes.select("scene_id", "doy")
     rows = t.pixels.join(scenes, "scene_id")

@@ -197,8 +197,20 @@ def _(t):
     return W.bulcp_arrow(t.class_probs).select("pixel_id", "t", F.transform("p", lambda x: F.round(x, 6)).alias("p"))
 
 
-@query("annual_maps", _FOLD + """select pixel_id, year, cls, (cls = 5)::int fire, (cls = 7)::int harvest from (select pixel_id, (1985 + floor(t / 3))::int as year, (list_position(p, list_max(p)) - 1)::int cls,
-    row_number() over (partition by pixel_id, floor(t / 3) order by t desc) k from b) where k = 1""")
+def _events(current, previous):
+    return f"""select distinct pixel_id, y as year from (select pixel_id, case when b = 2 and cls = {current} and n1 = {previous} and n2 in (1, 2) then year when b = 2 and cls = {previous} and year - ly > 1 then year - 1 end y from r) q where y is not null"""
+
+
+_FUSED = """, fu as (select pixel_id, t, (1985 + floor(t / 3))::int as year, p, (list_position(p, list_max(p)) - 1)::int cls from b),
+      su as (select *, count(*) filter (cls in (4, 5, 6, 7)) over (partition by pixel_id) h, count(*) over (partition by pixel_id) n from fu
+        where cls not in (8, 9) and greatest(p[1], p[2], p[3], p[4], p[5] + p[6], p[7] + p[8], p[9], p[10]) >= 0.3),
+      a as (select *, lag(cls) over w b, lag(year) over w ly from su where h <> n and h <> 1 window w as (partition by pixel_id order by t)),
+      r as (select *, lead(cls) over v n1, lead(cls, 2) over v n2 from a where b is null or b <> cls window v as (partition by pixel_id order by t)),
+      ev as (select pixel_id, year, max(f) fire, max(h) harvest from (select pixel_id, year, 1 f, 0 h from (""" + _events(5, 4) + ") x union all select pixel_id, year, 0, 1 from (" + _events(7, 6) + """) x) q group by 1, 2),
+      la as (select pixel_id, year, cls from (select *, row_number() over (partition by pixel_id, year order by t desc) k from fu) q where k = 1) """
+
+
+@query("annual_maps", _FOLD + _FUSED + "select coalesce(la.pixel_id, ev.pixel_id) pixel_id, coalesce(la.year, ev.year) as year, cls, coalesce(fire, 0) fire, coalesce(harvest, 0) harvest from la full join ev on la.pixel_id = ev.pixel_id and la.year = ev.year")
 def _(t):
     return W.annual_maps(t.class_probs.withColumn("year", (1985 + F.floor(F.col("t") / 3)).cast("int")))
 
@@ -333,14 +345,39 @@ def _(t):
     return C.augment_flip(places(t), 8, 3).select("chip_id", "row", "col", "v")
 
 
-@query("augment_rotate")
+_TURN = "((('0x' || substr(md5('3a:' || {k}), 1, 8))::bigint % 20001)::int / 10000.0 - 1) * 0.4 * pi()"
+
+
+def _turned(k, rows, size):
+    """SQL that turns each group ``k`` of places about its centre: nearest source place, mirrored at the edges."""
+    mid = (size - 1) / 2
+    back = lambda c: f"(case when ({c}) % {2 * size} >= {size} then {2 * size - 1} - ({c}) % {2 * size} else ({c}) % {2 * size} end)"
+    line = lambda a, b, c, d: f"(round({a}({_TURN.format(k=k)}) * ({b} - {mid}) {c} {d} + {mid})::int + {2 * size * size})"
+    r = line("cos", "row", "+", f"sin({_TURN.format(k=k)}) * (col - {mid})")
+    c = line("cos", "col", "-", f"sin({_TURN.format(k=k)}) * (row - {mid})")
+    return f"(select *, {back(r)} sr, {back(c)} sc from {rows})"
+
+
+@query("augment_rotate", f"select t.chip_id, t.row, t.col, s.v, s.label from {_turned('chip_id', _PLACES, 8)} t join {_PLACES} s on t.chip_id = s.chip_id and t.sr = s.row and t.sc = s.col")
 def _(t):
     return C.augment_rotate(places(t), 8, 3, ["v", "label"])
 
 
-@query("train_dataset")
+_TRAIN = f"""with pl as (select * from {_PLACES}),
+    st as (select avg(v) m, var_pop(v) s from pl where ('0x' || substr(md5('3n:' || chip_id), 1, 8))::bigint % 2 = 0),
+    ep as (select chip_id, row, col, case when s > 0 then (v - m) / sqrt(s) end v, label, e::int epoch, chip_id || '@' || e k from pl, st, range(2) r(e)),
+    cr as (select * replace (row - ('0x' || substr(md5('3r:' || k), 1, 8))::bigint % 5 as row, col - ('0x' || substr(md5('3c:' || k), 1, 8))::bigint % 5 as col) from ep),
+    wi as (select * from cr where row between 0 and 3 and col between 0 and 3),
+    tu as (select t.k, t.chip_id, t.epoch, t.row, t.col, s.v, s.label from {_turned('k', 'wi', 4)} t join wi s on t.k = s.k and t.sr = s.row and t.sc = s.col),
+    od as (select k, floor((row_number() over (partition by epoch order by md5('3:' || k), k) - 1) / 32)::int batch from (select distinct k, epoch from tu) q)
+    select chip_id, epoch, case when ('0x' || substr(md5('3v:' || tu.k), 1, 8))::bigint % 2 = 1 then 3 - row else row end::int as row, case when ('0x' || substr(md5('3h:' || tu.k), 1, 8))::bigint % 2 = 1 then 3 - col else col end::int as col, round(v, 6) v, label, batch
+    from tu join od on tu.k = od.k"""
+
+
+@query("train_dataset", _TRAIN)
 def _(t):
-    return C.train_dataset(places(t), 8, 4, 2, 3, ["v"])
+    out = C.train_dataset(places(t), 8, 4, 2, 3, ["v"], turn=0.2, stats_share=2)
+    return out.select("chip_id", "epoch", "row", "col", F.round("v", 6).alias("v"), "label", "batch")
 
 
 @query("test_dataset", f"select chip_id, ((row // 4) * 2 + (col // 4))::int block, row % 4 as row, col % 4 as col, v, label from {_PLACES}")

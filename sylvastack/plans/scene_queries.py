@@ -84,12 +84,27 @@ def _(t):
     return S.cell_scenes(t.cell_years, t.scenes)
 
 
-@query("coincident_scene", f"""with m as (select * from scenes where sensor = 'MSS'), o as (select * from scenes where sensor = 'TM'),
-    p as (select l.scene_id, r.scene_id other_id, r.acquired from m l join o r on r.acquired >= l.acquired - 1 and r.acquired < l.acquired + 1 and {_HIT.format(a='l', b='r')}
-      where greatest(least(l.xmax, r.xmax) - greatest(l.xmin, r.xmin), 0) * greatest(least(l.ymax, r.ymax) - greatest(l.ymin, r.ymin), 0) / ((l.xmax - l.xmin) * (l.ymax - l.ymin)) >= 0.5)
-    select m.scene_id, k.other_id from m left join (select scene_id, other_id from (select *, row_number() over (partition by scene_id order by acquired desc, other_id desc) n from p) where n = 1) k on m.scene_id = k.scene_id""")
+#: Scenes of the second sensor count where they cover this share of a footprint together.
+COVERAGE = 0.5
+#: Names m (footprints), met (their coincident scenes, cut to them) and co (share and ids); the union's area is the sum over the lattice of all edges.
+_COINCIDE = f"""m as (select * from scenes where sensor = 'MSS'), tm as (select * from scenes where sensor = 'TM'),
+    met as (select l.scene_id, r.scene_id other_id, r.acquired, greatest(l.xmin, r.xmin) x0, greatest(l.ymin, r.ymin) y0, least(l.xmax, r.xmax) x1, least(l.ymax, r.ymax) y1, (l.xmax - l.xmin) * (l.ymax - l.ymin) area
+      from m l join tm r on r.acquired >= l.acquired - 1 and r.acquired < l.acquired + 1 and {_HIT.format(a='l', b='r')}),
+    ex as (select scene_id, v a, lead(v) over (partition by scene_id order by v) b from (select scene_id, x0 v from met union select scene_id, x1 from met) q),
+    ey as (select scene_id, v a, lead(v) over (partition by scene_id order by v) b from (select scene_id, y0 v from met union select scene_id, y1 from met) q),
+    un as (select ex.scene_id, sum((ex.b - ex.a) * (ey.b - ey.a)) covered from ex join ey on ex.scene_id = ey.scene_id
+      where exists (select 1 from met c where c.scene_id = ex.scene_id and x0 <= ex.a and x1 >= ex.b and y0 <= ey.a and y1 >= ey.b) group by 1),
+    al as (select met.scene_id, round(coalesce(any_value(covered), 0) / any_value(area), 9) share, list(other_id order by acquired, other_id) ids from met left join un on met.scene_id = un.scene_id group by 1),
+    co as (select m.scene_id, coalesce(share, 0) share, case when share >= {COVERAGE} then ids end ids from m left join al on m.scene_id = al.scene_id)"""
+
+
+def coincident(t):
+    return S.coincident_scenes(t.scenes.where("sensor = 'MSS'"), t.scenes.where("sensor = 'TM'"), COVERAGE)
+
+
+@query("coincident_scene", f"with {_COINCIDE} select scene_id, share, array_to_string(ids, ',') other_ids from co")
 def _(t):
-    return S.coincident_scene(t.scenes.where("sensor = 'MSS'"), t.scenes.where("sensor = 'TM'"), coverage=0.5)
+    return coincident(t).select("scene_id", "share", F.array_join(F.col("other_ids").cast("array<string>"), ",").alias("other_ids"))
 
 
 _CLEAR = "cloud_cover <= 20 and doy between 172 and 282 and (qa // 8) % 2 = 0"
@@ -107,7 +122,7 @@ def _(t):
     return out.select("pixel_id", "year", r6(F.col("historical_v"), "historical_v"))
 
 
-@query("rolling_lookback_median", "select pixel_id, acquired, round(quantile_cont(v, 0.5) over (partition by pixel_id order by year range between 3 preceding and 1 preceding), 6) historical_v from observations")
+@query("rolling_lookback_median", f"select pixel_id, acquired, round(quantile_cont(case when {_CLEAR} then v end, 0.5) over (partition by pixel_id order by year range between 3 preceding and 1 preceding), 6) historical_v from observations")
 def _(t):
     return S.rolling_lookback_median(t.observations).select("pixel_id", "acquired", r6(F.col("historical_v"), "historical_v"))
 
@@ -224,31 +239,42 @@ def _(t):
     return t.cell_years.withColumn("_at", at).join(offset.select("ymin", "_base"), "ymin").select("id", (F.col("_base") + F.col("_at")).alias("cell_id"))
 
 
-def _medians(t):
-    tca = t.pixels.withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
-    ok = S.scene_search(t.scenes, max_cloud=20).select("scene_id")
+def _mss(t):
+    """Scene pixels of the first sensor."""
+    return t.pixels.join(t.scenes.where("sensor = 'MSS'").select("scene_id"), "scene_id")
+
+
+def _medians(t, nbr):
+    ok = S.scene_search(t.scenes, max_cloud=20).select("scene_id", "sensor")
+    tca = _mss(t).withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
     a = S.pixel_median(tca.join(ok, "scene_id"), "pixel_id", "tca", "median_tca")
-    b = S.pixel_median(_tm(t).join(ok, "scene_id"), "pixel_id", "nbr", "median_nbr")
+    b = S.pixel_median(nbr.join(ok.where("sensor = 'TM'"), "scene_id"), "pixel_id", "nbr", "median_nbr")
     return a.join(b, "pixel_id", "full")
 
 
 def _labelled(t):
-    base = t.disturbance.select("pixel_id", F.coalesce(F.when(L.not_water() == 0, 2), L.treed()).alias("base"))
-    pixels = t.pixels.withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
-    tm = _tm(t).where(F.col("scene_id") % 3 == 0)  # scenes that the second sensor saw too
-    return LB.labelled_scene_pixels(pixels, t.scenes, t.disturbance, base, _medians(t), tm)
-
-
-_LABELLED = f"""with ok as (select scene_id from scenes where cloud_cover <= 20 and doy between 172 and 282),
-    mt as (select pixel_id, median({TCA} / 90.0) median_tca from pixels p join ok on p.scene_id = ok.scene_id group by 1),
-    mn as (select pixel_id, median({_NBR}) median_nbr from tm_pixels p join ok on p.scene_id = ok.scene_id group by 1),
-    j as (select p.scene_id, p.pixel_id, s.year, fire_year, harvest_year, occlusion, case when lc = 20 then 2 when lc = 81 or lc >= 210 then 1 else 0 end base,
-      {TCA} / 90.0 tca, case when p.scene_id % 3 = 0 then q.nbr end nbr, median_tca, median_nbr, s.doy
-      from pixels p join scenes s on p.scene_id = s.scene_id left join disturbance d on p.pixel_id = d.pixel_id left join mt on p.pixel_id = mt.pixel_id left join mn on p.pixel_id = mn.pixel_id
-      left join (select scene_id, pixel_id, {_NBR} nbr from tm_pixels) q on p.scene_id = q.scene_id and p.pixel_id = q.pixel_id),
-    g as (select *, case when nbr is not null then nbr <= median_nbr else tca <= median_tca end::int gate from j),
+    """Pixels of the scenes of the first sensor with their label: base map of the year on the trees of the year before."""
+    nbr = B.process_tm(t.tm_pixels).select("scene_id", "pixel_id", "nbr")
+    pixels = _mss(t).withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
+    return LB.labelled_scene_pixels(pixels, t.scenes, t.disturbance, L.basemaps(t.landcover, lookback=1), _medians(t, nbr), coincident(t), nbr)
+
+
+_LABELS = f"""{_COINCIDE},
+    ok as (select scene_id, sensor from scenes where cloud_cover <= 20 and doy between 172 and 282),
+    nb as (select scene_id, pixel_id, case when (qa // 64) % 2 = 1 and (qa // 16) % 2 <> 1 and a >= 0 and b >= 0 and a + b <> 0 then (a - b) / (a + b) end nbr
+      from (select scene_id, pixel_id, qa, sr_b4 * 0.0000275::double - 0.2::double a, sr_b7 * 0.0000275::double - 0.2::double b from tm_pixels) q),
+    mt as (select pixel_id, median({TCA} / 90.0) median_tca from pixels p join ok on p.scene_id = ok.scene_id where sensor = 'MSS' group by 1),
+    mn as (select pixel_id, median(nbr) median_nbr from nb join ok on nb.scene_id = ok.scene_id where sensor = 'TM' group by 1),
+    fy as (select pixel_id, year, arg_min(lc, acquired) lc from landcover group by 1, 2),
+    bs as (select w.pixel_id, w.year, case when w.lc = 20 then 2 when f.lc = 81 or f.lc >= 210 then 1 else 0 end base from fy w join fy f on w.pixel_id = f.pixel_id and f.year = w.year - 1),
+    mo as (select e.scene_id, nb.pixel_id, arg_max(nbr, place) nbr from (select scene_id, unnest(ids) other_id, generate_subscripts(ids, 1) place from co where ids is not null) e join nb on nb.scene_id = e.other_id where nbr is not null group by 1, 2),
+    j as (select p.scene_id, p.pixel_id, s.year, fire_year, harvest_year, occlusion, base, {TCA} / 90.0 tca, p.qa, mo.nbr, median_tca, median_nbr, s.doy, co.ids is not null by_nbr
+      from pixels p join scenes s on p.scene_id = s.scene_id join co on p.scene_id = co.scene_id left join disturbance d on p.pixel_id = d.pixel_id left join bs on p.pixel_id = bs.pixel_id and s.year = bs.year
+      left join mt on p.pixel_id = mt.pixel_id left join mn on p.pixel_id = mn.pixel_id left join mo on p.scene_id = mo.scene_id and p.pixel_id = mo.pixel_id),
+    g as (select *, case when by_nbr then nbr <= median_nbr when (qa // 8) % 2 = 0 then tca <= median_tca end::int gate from j),
     k as (select *, coalesce(nullif(occlusion, 0) + 7, case when fire_year = year and gate <> 0 then 5 end, case when harvest_year = year and gate <> 0 then 7 end,
       case when fire_year < year and fire_year >= year - 3 then 4 end, case when harvest_year < year and harvest_year >= year - 10 then 6 end, base + 1)::int as label from g) """
+_LABELLED = "with " + _LABELS
 
 
 @query("disturbance_gate", _LABELLED + "select scene_id, pixel_id, gate from k")
@@ -266,25 +292,39 @@ def _(t):
     return _labelled(t).select("scene_id", "pixel_id", "nir", "label")
 
 
-_PREPARED = f"""select p.scene_id, p.pixel_id, nir::float nir, red::float red, round({TCA} / 90.0, 5)::float tca, round((nir - red) / (nir + red), 5)::float ndvi, round(coalesce(fine, coarse) / 3000.0, 5)::float dem, h.v::float historical_v
-    from pixels p join scenes s on p.scene_id = s.scene_id left join elevation e on p.pixel_id = e.pixel_id
-    left join (select a.pixel_id, a.year, median(b.v) v from ({_TARGET}) a left join (select * from observations where {_CLEAR}) b on a.pixel_id = b.pixel_id and b.year between a.year - 3 and a.year - 1 group by 1, 2) h on p.pixel_id = h.pixel_id and s.year = h.year"""
+_GAIN, _SUN = "(0.001::double * (1 + s.scene_id % 5))", "radians(20 + s.scene_id % 60)"
+_TOA = ", ".join(f"({b} * {_GAIN} + 0.01::double) / sin({_SUN}) {b}" for b in B.BANDS[:4])
+_PREPARED = f"""pr as (select p.scene_id, p.pixel_id, p.qa, s.year, s.doy, s.cloud_cover, s.xmin + 60.0 * p.col x, s.ymax - 60.0 * p.row y, {_TOA} from pixels p join scenes s on p.scene_id = s.scene_id where sensor = 'MSS'),
+    pq as (select *, {TCA} / 90.0 tca, (nir - red) / (nir + red) ndvi from pr),
+    hs as (select a.pixel_id, a.year, {", ".join(f"median(b.{b}) historical_{b}" for b in B.BANDS[:6])} from (select distinct pixel_id, year from pq) a
+      left join (select * from pq where {_CLEAR}) b on a.pixel_id = b.pixel_id and b.year between a.year - 3 and a.year - 1 group by 1, 2),
+    pp as (select pq.scene_id, pq.pixel_id, pq.x, pq.y, {", ".join(f"round({'coalesce(fine, coarse) / 3000.0' if b == 'dem' else ('hs.' if b in B.HISTORICAL else 'pq.') + b}, 5)::float {b}" for b in [*B.BANDS, *B.HISTORICAL])}
+      from pq left join elevation e on pq.pixel_id = e.pixel_id left join hs on pq.pixel_id = hs.pixel_id and pq.year = hs.year)"""
+_BANDS13 = ", ".join([*B.BANDS, *B.HISTORICAL])
+
+
+def sunlit(t):
+    """Pixels of the first sensor with their place, and the gain, offset and sun of their scene."""
+    rows = _mss(t).join(t.scenes.select("scene_id", "year", "doy", "cloud_cover", "xmin", "ymax"), "scene_id")
+    return G.pixel_to_world(rows, "xmin", "ymax"), (1 + F.col("scene_id") % 5) * 0.001, F.lit(0.01), 20 + F.col("scene_id") % 60
 
 
-def prepared(t):
-    """Model bands of every scene pixel: derived bands, elevation, and the history of the years before."""
-    out = B.preprocess(t.pixels, L.dem(t.elevation)).join(t.scenes.select("scene_id", "year"), "scene_id")
-    history = S.lookback_median(t.observations.select("pixel_id", "year").distinct(), t.observations)
-    out = out.join(history, ["pixel_id", "year"], "left").withColumns({c: F.round(c, 5) for c in ("tca", "ndvi", "dem")})
-    return B.select_bands(out, ["nir", "red", "tca", "ndvi", "dem", "historical_v"], ("scene_id", "pixel_id"))
+def prepared(t, keep=("scene_id", "pixel_id")):
+    """The 13 model bands of every scene pixel: reflectance, derived bands, elevation, and the history of each band from the years before."""
+    rows, gain, offset, sun = sunlit(t)
+    out = B.preprocess(rows, L.dem(t.elevation), gain, offset, sun)
+    history = S.lookback_median(out.select("pixel_id", "year").distinct(), out, values=tuple(B.BANDS[:6]))
+    bands = [*B.BANDS, *B.HISTORICAL]
+    out = out.join(history, ["pixel_id", "year"], "left").withColumns({c: F.round(c, 5) for c in bands})
+    return B.select_bands(out, bands, keep)
 
 
-@query("prepare_image", _PREPARED)
+@query("prepare_image", f"with {_PREPARED} select scene_id, pixel_id, {_BANDS13} from pp")
 def _(t):
     return prepared(t)
 
 
-@query("prepare_image_and_label", _LABELLED + f"select q.*, k.label from ({_PREPARED}) q join k on q.scene_id = k.scene_id and q.pixel_id = k.pixel_id")
+@query("prepare_image_and_label", f"{_LABELLED}, {_PREPARED} select pp.scene_id, pp.pixel_id, {", ".join("pp." + b for b in [*B.BANDS, *B.HISTORICAL])}, k.label from pp join k on pp.scene_id = k.scene_id and pp.pixel_id = k.pixel_id")
 def _(t):
     return prepared(t).join(_labelled(t).select("scene_id", "pixel_id", "label"), ["scene_id", "pixel_id"])
 
@@ -301,7 +341,16 @@ def _(t):
     return SA.stratified_sample(_labelled(t), 2, ["scene_id", "label"], ["tca"]).select("scene_id", "pixel_id", "label")
 
 
-@query("sample_points", _LABELLED + f"select distinct scene_id, pixel_id, label, year from (select k.*, row_number() over (partition by k.scene_id, label order by md5('7:' || pixel_id), pixel_id) n from k where scene_id in (select s.scene_id from {_SEEN})) where n <= 2")
+@query("sample_points", _LABELLED + f"""select id, scene_id, pixel_id, label, year from (select c.id, k.scene_id, k.pixel_id, label, k.year, row_number() over (partition by c.id, k.scene_id, label order by md5('7:' || k.pixel_id), k.pixel_id) n
+    from {_SEEN} join k on k.scene_id = s.scene_id join pixels p on p.scene_id = k.scene_id and p.pixel_id = k.pixel_id where s.xmin + 60.0 * p.col >= c.xmin and s.xmin + 60.0 * p.col < c.xmax and s.ymax - 60.0 * p.row >= c.ymin and s.ymax - 60.0 * p.row < c.ymax) where n <= 2""")
 def _(t):
-    own = S.cell_scenes(t.cell_years, t.scenes).select("scene_id").distinct()
-    return SA.stratified_sample(_labelled(t).join(own, "scene_id", "left_semi"), 2, ["scene_id", "label"], []).select("scene_id", "pixel_id", "label", "year")
+    """Labelled points of each class in every scene of a cell, cut to the cell."""
+    return SA.stratified_sample(in_cells(t, _labelled(t)), 2, ["id", "scene_id", "label"], []).select("id", "scene_id", "pixel_id", "label", "year")
+
+
+def in_cells(t, rows):
+    """``rows`` of scene pixels for each cell whose centre the scene covers, as far as they lie in the cell."""
+    placed = G.pixel_to_world(t.pixels.select("scene_id", "pixel_id", "row", "col").join(t.scenes.select("scene_id", F.col("xmin").alias("x0"), F.col("ymax").alias("y0")), "scene_id"), "x0", "y0").select("scene_id", "pixel_id", "x", "y")
+    cells = S.cell_scenes(t.cell_years, t.scenes).join(t.cell_years.select("id", *G.BOX), "id")
+    inside = (F.col("x") >= F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") < F.col("ymax"))
+    return rows.join(placed, ["scene_id", "pixel_id"]).join(cells, "scene_id").where(inside)

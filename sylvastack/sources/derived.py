@@ -44,8 +44,8 @@ TABLES = {
     "class_series": """select l_partkey as pixel_id, cast(l_shipdate as date) as acquired, cast(year(l_shipdate) as int) as year, cast(max(l_quantity) as int) % 10 as cls,
         max(l_tax)*5+0.5 as conf from lineitem group by l_partkey, cast(l_shipdate as date), year(l_shipdate)""",
 }
-SPARK_ONLY = {"class_probs": "select vec_id % 50 as pixel_id, cast(floor(vec_id/50) as int) as t, label, transform(e, x -> x / aggregate(e, 0D, (a,b) -> a+b)) as p from (select vec_id, label, transform(slice(embedding,1,10), x -> abs(cast(x as double))) as e from embeddings)"}
-DUCKDB_ONLY = {"class_probs": "select vec_id % 50 as pixel_id, cast(floor(vec_id/50) as int) as t, label, list_transform(e, lambda x: x/list_sum(e)) as p from (select vec_id, label, list_transform(embedding[1:10], lambda x: abs(cast(x as double))) as e from embeddings)"}
+SPARK_ONLY = {"class_probs": "select cast(floor(vec_id/50) as bigint) as pixel_id, cast(vec_id % 50 as int) as t, label, transform(e, x -> x / aggregate(e, 0D, (a,b) -> a+b)) as p from (select vec_id, label, transform(slice(embedding,1,10), x -> abs(cast(x as double))) as e from embeddings)"}
+DUCKDB_ONLY = {"class_probs": "select cast(floor(vec_id/50) as bigint) as pixel_id, cast(vec_id % 50 as int) as t, label, list_transform(e, lambda x: x/list_sum(e)) as p from (select vec_id, label, list_transform(embedding[1:10], lambda x: abs(cast(x as double))) as e from embeddings)"}
 
 
 class Tables:

@@ -8,43 +8,35 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.workspace import fresh_folder
-
 
 def bulcp_stream(stream: DataFrame, leveler: float = 0.8) -> DataFrame:
-    """(pixel_id, t, p) of a stream with the same columns; equals the batch update where a pixel's observations come in order."""
+    """(pixel_id, t, p) of a stream with the same columns: the batch update, carried on from one micro-batch to the next.
+
+    A micro-batch folds its observations of a pixel in order of t. An observation that is not later than the last one
+    folded in an earlier micro-batch is late: it changes nothing and gives no row. Zero products give NaN.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = np.array(state.get[0]) if state.exists else None
+        latest, last = state.get if state.exists else (None, None)
+        last = None if last is None else np.array(last, float)
         rows = pd.concat(list(batches)).sort_values("t")
+        if latest is not None:
+            rows = rows[rows["t"] > latest]
         out = []
         for p in rows["p"]:
             now = np.asarray(p, float)
             if last is not None:
                 product = last * now
-                now = leveler * product / product.sum() + (1 - leveler) / len(product)
+                with np.errstate(invalid="ignore"):
+                    now = leveler * product / product.sum() + (1 - leveler) / len(product)
             last = now
-            out.append(now)
-        state.update((last.tolist(),))
+            out.append(np.where(np.isnan(now), np.inf, now))
+        if out:
+            state.update((int(rows["t"].iloc[-1]), last.tolist()))
         yield pd.DataFrame({"pixel_id": key[0], "t": rows["t"].to_numpy(), "p": out})
 
-    return stream.groupBy("pixel_id").applyInPandasWithState(step, "pixel_id long, t int, p array<double>", "p array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_end(df: DataFrame, steps_each: int = 10) -> DataFrame:
-    """Write ``df`` range by range of ``t`` as files of a stream, one micro-batch each that goes on from the state of the last, and read the output."""
-    spark = df.sparkSession
-    steps, source, out, marks = (fresh_folder(spark, n) for n in ("stream-steps", "stream-in", "stream-out", "stream-marks"))
-    ranged = df.withColumn("_range", F.floor(F.col("t") / steps_each))
-    ranged.repartition("_range", "pixel_id").write.partitionBy("_range").parquet(steps)
-    schema = T.StructType([*df.schema, T.StructField("_range", T.LongType())])
-    ranged = spark.read.schema(schema).parquet(steps)
-    df.limit(0).write.parquet(source)  # a stream's folder must exist
-    stream = bulcp_stream(spark.readStream.schema(df.schema).parquet(source))
-    for (part,) in ranged.select("_range").where("_range is not null").distinct().orderBy("_range").toLocalIterator():
-        ranged.where(F.col("_range") == part).drop("_range").write.mode("append").parquet(source)
-        stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    folded = stream.groupBy("pixel_id").applyInPandasWithState(step, "pixel_id long, t int, p array<double>", "t int, p array<double>", "append", GroupStateTimeout.NoTimeout)
+    # NaN in lists would come out of Arrow as null; no posterior is infinite, so infinity stands for it on the way.
+    return folded.withColumn("p", F.transform("p", lambda x: F.when(x == float("inf"), float("nan")).otherwise(x)))

@@ -1,6 +1,8 @@
 """Hand-computed cases of the operators, invariants, and plans."""
 
+import hashlib
 import io
+import math
 from contextlib import redirect_stdout
 from itertools import product
 
@@ -42,7 +44,7 @@ def test_bits(spark):
 def test_days_and_classes(spark):
     assert one(spark, F.dayofyear(F.to_date("d")) - 1 - 171, d="1980-07-01") == 11
     assert [one(spark, B.landcover_remap(F.col("c")), c=c) for c in (0, 20, 230, 7)] == [0, 1, 12, None]
-    assert all(abs(sum(B.smoothing_row(i)) - 1) < 1e-12 for i in range(10)) and B.smoothing_row(5)[4] == 0.1
+    assert all(abs(sum(row) - 1) < 1e-12 for row in B.SMOOTHED) and B.SMOOTHED[5][4] == 0.1
     assert one(spark, B.argmax(F.col("p")), p=[0.1, 0.4, 0.4]) == 1
 
 
@@ -66,6 +68,49 @@ def test_label_precedence(spark):
         assert r.got == r.want, r
 
 
+SCENE = "scene_id long, acquired string, year int, xmin double, ymin double, xmax double, ymax double"
+
+
+def test_coincident_scenes_cover_a_footprint_together(spark):
+    at = lambda rows: spark.createDataFrame(rows, SCENE).withColumn("acquired", F.to_date("acquired"))
+    mine = at([(1, "1990-07-10", 1990, 0.0, 0.0, 100.0, 100.0), (2, "1990-08-10", 1990, 0.0, 0.0, 100.0, 100.0), (3, "1990-09-10", 1990, 0.0, 0.0, 100.0, 100.0)])
+    halves = [(11, "1990-07-10", 1990, -50.0, 0.0, 50.0, 100.0), (12, "1990-07-09", 1990, 40.0, -10.0, 150.0, 120.0), (13, "1990-07-11", 1990, 0.0, 0.0, 100.0, 100.0), (14, "1990-08-10", 1990, 0.0, 0.0, 50.0, 100.0)]
+    got = {r.scene_id: (r.share, r.other_ids) for r in scenes.coincident_scenes(mine, at(halves)).collect()}
+    assert got == {1: (1.0, [12, 11]), 2: (0.5, None), 3: (0.0, None)}
+
+
+def test_one_sensor_decides_for_a_scene(spark):
+    pixels = spark.createDataFrame([(1, p, 0.5, q, 0) for p, q in ((1, 0), (2, 0), (3, 0))] + [(2, 1, 0.1, 0, 0), (2, 2, 0.1, 8, 0), (2, 3, 0.9, 0, 0)], "scene_id long, pixel_id long, tca double, qa int, occlusion int")
+    shots = spark.createDataFrame([(1, 1990), (2, 1990)], "scene_id long, year int")
+    layer = spark.createDataFrame([(p, 1990, None) for p in (1, 2, 3)], "pixel_id long, fire_year int, harvest_year int")
+    cover = spark.createDataFrame([(p, y, 1, lc) for p in (1, 2, 3) for y, lc in ((1989, 220), (1990, 50))], "pixel_id long, year int, acquired int, lc int")
+    medians = spark.createDataFrame([(p, 0.3, 0.2) for p in (1, 2, 3)], "pixel_id long, median_tca double, median_nbr double")
+    both = spark.createDataFrame([(1, [11, 12]), (2, None)], "scene_id long, other_ids array<long>")
+    second = spark.createDataFrame([(11, 1, 0.9), (12, 1, 0.1), (11, 2, 0.9), (12, 2, None)], "scene_id long, pixel_id long, nbr double")
+    got = {(r.scene_id, r.pixel_id): (r.gate, r.label) for r in label.labelled_scene_pixels(pixels, shots, layer, layers.basemaps(cover, 1), medians, both, second).collect()}
+    # Scene 1 by the mosaic, the later scene on top, masked where it saw nothing; scene 2 by tca, masked under cloud. Trees are those of the year before.
+    assert got == {(1, 1): (1, 5), (1, 2): (0, 2), (1, 3): (None, 2), (2, 1): (1, 5), (2, 2): (None, 2), (2, 3): (0, 2)}
+
+
+def test_late_rows_of_a_pixel_change_nothing(spark):
+    from sylvastack.plans.workflows import in_ranges
+
+    df = spark.createDataFrame([(1, t, [0.4, 0.6]) for t in (0, 1, 11, 12)] + [(2, 3, [1.0, 0.0]), (2, 12, [0.0, 1.0])], "pixel_id long, t int, p array<double>")
+    got = {(r.pixel_id, r.t): r.p for r in in_ranges(df).collect()}
+    want = {(r.pixel_id, r.t): r.p for r in series.bulcp(df).collect()}
+    assert set(got) == set(want) and all(str(got[k]) == str(want[k]) or got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_annual_maps_apply_the_rules(spark):
+    from sylvastack.operators.series import annual_maps
+
+    sure = lambda c: [0.91 if i == c else 0.01 for i in range(10)]
+    codes = {1: [2, 2, 5, 5, 4, 4, 2, 2], 2: [2, 2, 2, 2, 2, 2, 2, 2], 3: [2, 2, 7, 7, 6, 6, 1, 1]}
+    df = spark.createDataFrame([(p, t, 1985 + t, sure(c)) for p, own in codes.items() for t, c in enumerate(own)], "pixel_id long, t int, year int, p array<double>")
+    free = {(r.pixel_id, r.year): (r.fire, r.harvest) for r in annual_maps(df, leveler=0.6).collect()}
+    assert len(free) == 24 and {k for k, v in free.items() if v[0]} == {(1, 1987)} and {k for k, v in free.items() if v[1]} == {(3, 1987)}
+
+
 def test_annual_order_differs_from_the_scene_order(spark):
     df = spark.createDataFrame([(1988, 1990)], "fire_year int, harvest_year int")
     assert df.select(layers.disturbance_map(1990)).first()[0] == 1  # fire over harvest: class 4
@@ -155,6 +200,12 @@ def test_crops_and_flips(spark):
     window = chips.random_crop(px, 4, 2, 1).orderBy("row", "col").collect()
     assert len(window) == 4 and [r.v - window[0].v for r in window] == [0, 1, 4, 5]
     assert chips.augment_rotate(px, 4, 1, ["v"], turn=0.0).exceptAll(px.select("chip_id", "row", "col", "v")).count() == 0
+    seed = next(s for s in range(99) if abs(int(hashlib.md5(f"{s}a:c".encode()).hexdigest()[:8], 16) % 20001 - 10000) > 9000)
+    turned = {(r.row, r.col): r.v for r in chips.augment_rotate(square(spark, 3), 3, seed, ["v"], turn=0.2).collect()}
+    angle = (int(hashlib.md5(f"{seed}a:c".encode()).hexdigest()[:8], 16) % 20001 / 10000 - 1) * 0.4 * math.pi
+    inside = lambda i: i % 6 if i % 6 < 3 else 5 - i % 6
+    source = lambda a, b: (inside(round(math.cos(angle) * (a - 1) + math.sin(angle) * (b - 1) + 1)), inside(round(math.cos(angle) * (b - 1) - math.sin(angle) * (a - 1) + 1)))
+    assert turned == {(a, b): source(a, b)[0] * 3 + source(a, b)[1] for a in range(3) for b in range(3)} and turned[1, 1] == 4 and any(v != 3 * a + b for (a, b), v in turned.items())
     with pytest.raises(ValueError):
         chips.grid_crop(px, 4, 3)
 
@@ -208,16 +259,23 @@ def test_scene_filters_reach_the_scan_and_columns_are_pruned(spark, data):
     assert "PushedFilters: [IsNotNull(o_orderkey), LessThan(o_orderkey,100)]" in text
 
 
+def test_a_subpackage_that_cannot_be_imported_leaves_the_rest(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "sylvastack.llm.queries", None)
+    assert set(__spark_entry__.queries()) == set(QUERIES)
+
+
 def test_entry_and_registration(spark):
     assert __spark_entry__.entry(spark).columns == ["year", "cls", "n", "ha"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 def test_stream_equals_the_fold_over_more_than_two_ranges(spark):
-    from sylvastack.streaming.bulcp_stream import run_to_end
+    from sylvastack.plans.workflows import in_ranges
 
     rows = [(i, t, [1.0 + (i * 7 + t * 3 + c * 5) % 11 for c in range(3)]) for i in range(6) for t in range(i, 34)]
     df = spark.createDataFrame(rows, "pixel_id long, t int, p array<double>")
     read = lambda out: {(r.pixel_id, r.t): r.p for r in out.collect()}
-    want, got = read(series.bulcp(df)), read(run_to_end(df))
+    want, got = read(series.bulcp(df)), read(in_ranges(df))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
