@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens, with their ids; row tells the repeats of a document apart."""
-    return packing.packed_documents(docs, with_ids=True, with_row=True)
+    """The pieces of all documents in sequences of at most 1024 tokens; row tells the repeats of a document apart. Their ids, with a checksum here, take ``with_ids``."""
+    return packing.packed_documents(docs, with_row=True)
 
 
 STAGES = [
