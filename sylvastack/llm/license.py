@@ -58,7 +58,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and a text give their spans once. Null text: no span. Ids may be null. Other columns are not read.
 
     The templates' bigrams are a fixed table of about 150 rows and are broadcast. Upper and lower case of letters
-    outside ASCII may fall together; no template holds such letters, nor k, the one ASCII letter that they can reach.
+    outside ASCII may fall together; of ASCII letters they can reach k only, which no base phrase holds.
     """
     w = F.col("w")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), words(text_col).alias("w"))

@@ -167,14 +167,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, salt_rows: int = 200_000) -> D
     """``pieces`` with (sequence_id, offset): every piece in one sequence of at most ``capacity`` ids, gapless from offset 0.
 
     Only the histogram of lengths, at most ``capacity`` rows, comes to the driver. Ranks within a length are counted by
-    (length, salt), about ``salt_rows`` pieces each, so a length that a third of all pieces have, such as full ones, is
-    spread by its count. The salt is a hash of the row's atomic columns.
+    (length, salt), at most about ``salt_rows`` pieces each and 64 salts where there are pieces for them, so a length that a
+    third of all pieces have, such as full ones, is spread by its count. The salt is a hash of the row's atomic columns.
 
     Needs doc_id, start and length; null ids are ranked first; repeated rows are pieces of their own. Empty: empty.
     """
     spark = pieces.sparkSession
     histogram = {x.length: x["count"] for x in pieces.groupBy("length").count().collect()}
-    lengths = spark.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "length long, _salts int")
+    lengths = spark.createDataFrame([(k, max(-(-n // salt_rows), min(64, -(-n // 50)))) for k, n in histogram.items()], "length long, _salts int")
     slots = spark.createDataFrame(_slots(pack_histogram(histogram, capacity)), "length long, lo long, hi long, first_sequence long, times long, first_offset long")
     plain = [f.name for f in pieces.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     # Bounded by the capacity: one row for each length, and a few slots for each.
