@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from .workspace import materialize
 
-#: Words whose counts travel with the model; the words beyond meet their counts in a join, where none of them can be hot.
+#: Words with a class of their own choice, whose counts travel with the model; the words beyond meet their counts in a join,
+#: where none of them can be hot, and have the class of all such words with the same last two bytes.
 FREQUENT = 50_000
-#: The most frequent words are units of the clustering of their own; each other word belongs to a unit by its last two bytes.
-OWN_UNITS = 1_000
 SUFFIX_UNITS = 256
+#: The most frequent words, and bundles of the others, first exchange classes one by one. Then each other word chooses in rounds.
+SEEDS = 1_000
 CLASSES = 32
-#: Passes of the exchange over all units; it ends earlier when no unit moves.
+#: Passes of the exchange over the seeds; it ends earlier when none moves.
 EXCHANGES = 12
+#: Rounds in which each frequent word that is no seed, and each suffix unit, takes its best class.
+ROUNDS = 1
 SMOOTHING = 0.1
 #: Distinct words or pairs that a task counts before it hands them on.
 FLUSH = 400_000
@@ -56,22 +59,27 @@ def _suffix_unit(word: bytes) -> int:
 
 
 class Vocabulary:
-    """The frequent words with their counts, and the unit of every word; unit 0 is the end of a text."""
+    """The frequent words with their counts, and the unit of every word: 0 is the end of a text, then the frequent words, then the suffixes."""
 
     def __init__(self, words: list[bytes], counts: list[int]) -> None:
         self.ids = {w: i for i, w in enumerate(words)}
         self.counts = np.array(counts, np.int64)
-        self.unit_of = np.array([1 + i if i < OWN_UNITS else 1 + OWN_UNITS + _suffix_unit(w) for i, w in enumerate(words)] + [0], np.int64)
-        self.units = 1 + OWN_UNITS + SUFFIX_UNITS
+        self.suffix = np.array([_suffix_unit(w) for w in words], np.int64)
+        self.units = 1 + len(words) + SUFFIX_UNITS
+
+    def bundled(self, seeds: int) -> np.ndarray:
+        """For each unit its place among the end, the seeds, and the suffixes of all other words."""
+        own = np.arange(len(self.suffix))
+        return np.r_[0, np.where(own < seeds, 1 + own, 1 + seeds + self.suffix), 1 + seeds + np.arange(SUFFIX_UNITS)]
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Id of each word, -1 for the others; unit of each word; the other words in order."""
         ids = np.fromiter(map(self.ids.get, words, [-1] * len(words)), np.int64, len(words))
-        units = self.unit_of[ids]
+        units = ids + 1
         missing = np.flatnonzero(ids < 0)
         rare = [words[i] for i in missing.tolist()]
         if rare:
-            units[missing] = 1 + OWN_UNITS + np.fromiter(map(_suffix_unit, rare), np.int64, len(rare))
+            units[missing] = 1 + len(self.ids) + np.fromiter(map(_suffix_unit, rare), np.int64, len(rare))
         return ids, units, rare
 
 
@@ -140,23 +148,36 @@ class ClassModel:
     rare_counts: DataFrame
 
 
-def _unit_pairs(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts of (unit, next unit) over all texts; at most units x units sums come to the driver, whatever the corpus."""
-    size = vocabulary.units
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _in_tasks(docs: DataFrame, vocabulary: Vocabulary, fold: np.ndarray, cells: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], np.ndarray]:
+    """A function for ``mapInArrow`` tasks: batches of texts to sums over ``cells`` cells; ``keys`` gives those of a text by its units and their folds."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, fold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, part, held = sent.value, np.zeros(size * size, np.int64), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        (known, to), sums, part, held = sent.value, np.zeros(cells, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
                 units = known.look_up(tokens(text.as_py()))[1]
-                part.append(np.r_[0, units] * size + np.r_[units, 0])
-                held += len(units) + 1
+                part.append(keys(units, to[units]))
+                held += len(part[-1])
                 if held > 1_000_000:
-                    sums += np.bincount(np.concatenate(part), minlength=size * size)
+                    sums += np.bincount(np.concatenate(part), minlength=cells)
                     part, held = [], 0
-        if part:
-            sums += np.bincount(np.concatenate(part), minlength=size * size)
+        return sums + np.bincount(np.concatenate(part), minlength=cells) if part else sums
+
+    return run
+
+
+def _pairs(docs: DataFrame, text_col: str, vocabulary: Vocabulary, fold: np.ndarray) -> np.ndarray:
+    """Counts of (a, b) for neighbours in all texts, units folded by ``fold``; at most the square of its size comes to the driver, whatever the corpus."""
+    size = int(fold.max()) + 1
+
+    def keys(units: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.r_[0, at] * size + np.r_[at, 0]
+
+    summed = _in_tasks(docs, vocabulary, fold, size * size, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = summed(batches)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
 
@@ -166,9 +187,60 @@ def _unit_pairs(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> np.nd
     return pairs.reshape(size, size)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> ClassModel:
+def _neighbours(docs: DataFrame, text_col: str, vocabulary: Vocabulary, class_of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit how often each class stands before and after it; units x 2 x classes sums come to the driver, whatever the corpus."""
+    wide = 2 * classes
+
+    def keys(units: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.r_[units * wide + np.r_[0, at][: len(at)], units * wide + classes + np.r_[at, 0][1:]]
+
+    summed = _in_tasks(docs, vocabulary, class_of, vocabulary.units * wide, keys)
+    names = [f"c{k}" for k in range(wide)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = summed(batches).reshape(-1, wide)
+        at = np.flatnonzero(sums.any(axis=1))
+        for lo in range(0, len(at), 5_000):
+            part = at[lo : lo + 5_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.ascontiguousarray(c)) for c in sums[part].T)], ["unit", *names])
+
+    schema = "unit long" + "".join(f", {c} long" for c in names)
+    found = docs.select(text_col).mapInArrow(run, schema).groupBy("unit").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    sums = np.zeros((vocabulary.units, wide))
+    sums[found["unit"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1)
+    return sums[:, :classes], sums[:, classes:]
+
+
+def choose(class_of: np.ndarray, before: np.ndarray, after: np.ndarray, still: np.ndarray) -> np.ndarray:
+    """The class of each unit after one round: all choose at once the class that raises the likelihood most, ``still`` ones stay.
+
+    ``before`` and ``after`` count the classes beside each unit. A unit's own counts are taken out of the class that it
+    is in. Class 0 is the end's alone; units that do not occur stay.
+    """
+    classes = before.shape[1]
+    grid = np.zeros((classes, classes))
+    np.add.at(grid, class_of, after)
+    grid[0] = np.bincount(class_of, weights=before[:, 0], minlength=classes)
+    n, half = after.sum(axis=1), 0.5
+    log, rows, cols = np.log(grid + half), grid.sum(axis=1), grid.sum(axis=0)
+    mass = lambda x: np.log(np.maximum(x, 0) + half * classes)
+    gain = after @ log.T + before @ log - n[:, None] * (mass(rows) + mass(cols))
+    left = lambda x: np.log(np.maximum(x, 0) + half)
+    own = (after * left(grid[class_of] - after)).sum(axis=1) + (before * left(grid.T[class_of] - before)).sum(axis=1)
+    own -= n * (mass(rows[class_of] - n) + mass(cols[class_of] - n))
+    gain[:, 0] = -np.inf
+    gain[np.arange(len(gain)), class_of] = own
+    best = gain.argmax(axis=1)
+    moves = ~still & (n > 0) & (gain[np.arange(len(gain)), best] > own + 1e-9)
+    return np.where(moves, best, class_of)
+
+
+def fit(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, seeds: int = SEEDS, classes: int = CLASSES, rounds: int = ROUNDS) -> ClassModel:
     """Learn from every row of ``docs``: null and empty texts are an end alone. Without rows every probability falls back to smoothing.
 
+    The ``seeds`` most frequent words exchange classes one by one; in each round all ``frequent`` words but these, and the
+    suffixes of the words beyond, choose a class by the classes beside them in all texts.
+
     Emissions: (n(word) + 0.1) / (n(class) + 0.1 (distinct words of the class + 1)), so each class keeps a share for a
     word not seen. Transitions: Witten-Bell mixture of class bigram and class unigram, the latter add-0.1.
     """
@@ -176,26 +248,26 @@ def fit(docs: DataFrame, text_col: str = "text") -> ClassModel:
     last = F.col("word").substr(F.greatest(F.lit(1), F.length("word") - 1), F.lit(2))
     suffix = (F.crc32(last) % SUFFIX_UNITS).alias("unit")
     by_unit = counts.groupBy(suffix).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # at most SUFFIX_UNITS rows
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
     vocabulary = Vocabulary([bytes(x.word) for x in top], [x.n for x in top])
-    pairs = _unit_pairs(docs, text_col, vocabulary)
-    of = exchange(pairs)
-    member = np.eye(CLASSES)[of]
-    grid = member.T @ pairs @ member
-    distinct = np.zeros(vocabulary.units)
+    bundled = vocabulary.bundled(seeds)
+    of = exchange(_pairs(docs, text_col, vocabulary, bundled), classes)[bundled]
+    still = np.arange(vocabulary.units) <= min(seeds, len(top))
+    for _ in range(rounds):
+        of = choose(of, *_neighbours(docs, text_col, vocabulary, of, classes), still)
+    found = _pairs(docs, text_col, vocabulary, of)
+    grid = np.zeros((classes, classes))
+    grid[: len(found), : len(found)] = found
+    distinct = np.r_[0, np.ones(len(top)), -np.bincount(vocabulary.suffix, minlength=SUFFIX_UNITS)]
     for x in by_unit:
-        distinct[1 + OWN_UNITS + x.unit] = x.v
-    for i, word in enumerate(vocabulary.ids):
-        if i >= OWN_UNITS:
-            break
-        distinct[1 + i] = 1
-        distinct[1 + OWN_UNITS + _suffix_unit(word)] -= 1
-    texts, words = int(pairs[0].sum()), sum(x.n for x in by_unit)
+        distinct[1 + len(top) + x.unit] += x.v
+    kinds_in = np.bincount(of, weights=distinct, minlength=classes)
+    texts, words = int(grid[0].sum()), sum(x.n for x in by_unit)
     size = grid.sum(axis=0)
-    once = (size + SMOOTHING) / (size.sum() + SMOOTHING * CLASSES)
+    once = (size + SMOOTHING) / (size.sum() + SMOOTHING * classes)
     seen, kinds = grid.sum(axis=1, keepdims=True), (grid > 0).sum(axis=1, keepdims=True)
     follow = np.where(seen > 0, (grid + kinds * once) / np.maximum(seen + kinds, 1), once)
-    floor = np.log10(size + SMOOTHING * (member.T @ distinct + 1))
+    floor = np.log10(size + SMOOTHING * (kinds_in + 1))
     floor[0] = 0.0  # an end has its class to itself: its emission is certain, see score
     return ClassModel(vocabulary, of, np.log10(follow), floor, words + texts, texts, sum(x.v for x in by_unit) + (texts > 0), counts)
 

@@ -94,6 +94,62 @@ def test_exchange_separates_words_that_follow_different_words():
     assert of[0] == 0 and len(set(of[1:7])) == len(set(of[7:])) == 1 and of[1] != of[7]
 
 
+def test_words_choose_the_class_of_words_in_the_same_places():
+    of = np.array([0, 1, 1, 2, 2, 1, 2])
+    before, after = np.zeros((7, 3)), np.zeros((7, 3))
+    for u, side in ((1, 2), (2, 2), (3, 1), (4, 1)):
+        before[u, side] = after[u, side] = 20
+    before[5, 1] = after[5, 1] = 3  # it stands beside words of class 1, as words of class 2 do
+    still = np.arange(7) < 5
+    got = classlm.choose(of, before, after, still)
+    assert got.tolist() == [0, 1, 1, 2, 2, 2, 2]
+    assert classlm.choose(got, before, after, still).tolist() == got.tolist()
+
+
+def plain_neighbours(texts, vocabulary, of, classes):
+    before, after = np.zeros((vocabulary.units, classes)), np.zeros((vocabulary.units, classes))
+    for text in texts:
+        units = vocabulary.look_up(classlm.tokens(text))[1]
+        line = [0, *of[units], 0]
+        for i, u in enumerate(units):
+            before[u, line[i]] += 1
+            after[u, line[i + 2]] += 1
+    return before, after
+
+
+def test_class_counts_and_scores_against_plain_ones(documents):
+    docs = documents.where("doc_id % 4 = 0")
+    m = classlm.fit(docs, frequent=400, seeds=50, classes=8, rounds=2)
+    texts = [r.text for r in docs.select("text").collect()]
+    before, after = classlm._neighbours(docs, "text", m.vocabulary, m.class_of, 8)
+    plain = plain_neighbours(texts, m.vocabulary, m.class_of, 8)
+    assert (before == plain[0]).all() and (after == plain[1]).all()
+    grid = np.zeros((8, 8))
+    for text in texts:
+        line = [0, *m.class_of[m.vocabulary.look_up(classlm.tokens(text))[1]], 0]
+        for a, b in zip(line, line[1:]):
+            grid[a, b] += 1
+    size = grid.sum(axis=0)
+    once = (size + 0.1) / (size.sum() + 0.8)
+    counts = plain_counts(texts)
+    kinds = Counter(m.class_of[m.vocabulary.look_up([w])[1][0]] for w in counts if w is not None)
+    for r in classlm.score(docs, m).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words, last, want = classlm.tokens(r.text), 0, 0.0
+        for w in [*words, None]:
+            c = 0 if w is None else m.class_of[m.vocabulary.look_up([w])[1][0]]
+            seen, follow = grid[last].sum(), (grid[last] > 0).sum()
+            want += math.log10((grid[last, c] + follow * once[c]) / (seen + follow) if seen else once[c])
+            want += 0 if w is None else math.log10((counts[w] + 0.1) / (size[c] + 0.1 * (kinds[c] + 1)))
+            last = c
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_classes_of_all_frequent_words_lower_perplexity(documents):
+    train, out = documents.where(~language.held_out(folds=10)), documents.where(language.held_out(folds=10))
+    total = lambda rounds: classlm.score(out, classlm.fit(train, seeds=200, rounds=rounds)).agg(F.sum("score")).first()[0]
+    assert total(1) > total(0)
+
+
 def test_class_model_edges(odd, none):
     fitted = classlm.fit(odd)
     got = classlm.score(odd, fitted).collect()
