@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that count wherever they stand, and the label of each.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: Wordings of the method's own, of at most 60 words, and the label of each.
+#: Wordings of the method's own, of any length, and the label of each.
 WORDINGS = [
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("gnu general public license version 2", "gpl-2.0"),
@@ -26,6 +28,17 @@ WORDINGS = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit-text"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
     ("subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+        "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages "
+        "or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+        "mit-full",
+    ),
 ]
 #: Diagonals this far apart belong to one passage with words put in or left out.
 SLACK = 2
@@ -33,49 +46,54 @@ SLACK = 2
 COVERAGE = 0.7
 
 
-def _values(sep: str = ",\n") -> str:
+def _values(wordings: list[tuple[str, str]] = WORDINGS, sep: str = ",\n") -> str:
     """Rows (template, label, base, size, pos, a, b) as SQL VALUES: the bigrams of all templates."""
     rows = []
-    for t, (phrase, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in WORDINGS]):
+    for t, (phrase, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in wordings]):
         words = phrase.split()
         rows += [f"({t}, '{label}', {str(base).lower()}, {len(words)}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:]))]
     return sep.join(rows)
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"select *, xxhash64(a, b) as h from values {_values()} as t(template, label, base, size, pos, a, b)")
+def templates(spark: SparkSession, wordings: list[tuple[str, str]] = WORDINGS) -> DataFrame:
+    return spark.sql(f"select *, xxhash64(a, b) as h from values {_values(wordings)} as t(template, label, base, size, pos, a, b)")
 
 
 def words(text: str = "text") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wordings: list[tuple[str, str]] = WORDINGS) -> DataFrame:
     """(id, text_key, label, base, start, end, coverage): spans of words from 0, end exclusive; coverage in (0, 1].
 
     Base phrases are exact: all their bigrams on one diagonal. Wordings may lack words or hold others: diagonals within
     ``SLACK`` merge, and the span is kept from ``COVERAGE`` on. text_key is a hash of the text; rows that repeat an id
-    and a text give their spans once. Null text: no span. Ids may be null. Other columns are not read.
+    and a text give their spans once. Null text: no span. Ids may be null. Other columns are not read. ``wordings``:
+    (words in lower case with single blanks, label), two words each at least, of any length.
 
-    The templates' bigrams are a fixed table of about 150 rows and are broadcast. Upper and lower case of letters
-    outside ASCII may fall together; of ASCII letters they can reach k only, which no base phrase holds.
+    The templates' bigrams do not grow with the corpus and are broadcast. Votes are bits, one for each bigram of a
+    template, in as many longs as the longest template needs. Upper and lower case of letters outside ASCII may fall
+    together; of ASCII letters they can reach k and i only (Kelvin sign, dotted I).
     """
+    longs = 1 + max(len(p.split()) - 2 for p, _ in [*PHRASES, *wordings]) // 64
+    votes = [f"votes{k}" for k in range(longs)]
+    bit = F.expr("shiftleft(1L, pos % 64)")
     w = F.col("w")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), words(text_col).alias("w"))
     grams = rows.select("id", "text_key", F.posexplode(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")))).where("col.b is not null")
     grams = grams.select("id", "text_key", F.col("pos").alias("at"), F.col("col.a").alias("da"), F.col("col.b").alias("db"), F.xxhash64("col.a", "col.b").alias("dh"))
-    t = F.broadcast(templates(docs.sparkSession))
+    t = F.broadcast(templates(docs.sparkSession, wordings))
     hits = grams.join(t, (F.col("dh") == F.col("h")) & (F.col("da") == F.col("a")) & (F.col("db") == F.col("b")))
     diagonal = hits.groupBy("id", "text_key", "template", "label", "base", "size", (F.col("at") - F.col("pos")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos)")).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high")
+        *(F.bit_or(F.when(F.floor(F.col("pos") / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(v) for k, v in enumerate(votes)), F.min("pos").alias("low"), F.max("pos").alias("high")
     )
     by = Window.partitionBy("id", "text_key", "template").orderBy("diagonal")
     apart = F.col("base") | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > SLACK)
     merged = diagonal.withColumn("passage", F.sum(apart.cast("int")).over(by)).groupBy("id", "text_key", "template", "label", "base", "size", "passage").agg(
-        F.bit_or("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + 2).alias("end")
+        *(F.bit_or(v).alias(v) for v in votes), F.max(F.col("high") == F.col("size") - 2).alias("ended"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + 2).alias("end")
     )
-    coverage = F.bit_count("votes") / (F.col("size") - 1)
-    kept = F.when(F.col("base"), coverage == 1).otherwise((coverage >= COVERAGE) & (F.expr("shiftright(votes, size - 2)") % 2 == 1) & (F.col("end") - F.col("start") <= F.col("size") + 2 * SLACK))
+    coverage = reduce(lambda x, y: x + y, map(F.bit_count, votes)) / (F.col("size") - 1)
+    kept = F.when(F.col("base"), coverage == 1).otherwise((coverage >= COVERAGE) & F.col("ended") & (F.col("end") - F.col("start") <= F.col("size") + 2 * SLACK))
     return merged.withColumn("coverage", coverage).where(kept).select("id", "text_key", "label", "base", F.col("start").cast("long"), F.col("end").cast("long"), "coverage")
 
 

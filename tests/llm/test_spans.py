@@ -204,6 +204,20 @@ def test_license_spans_survive_changed_words(spark):
     assert [(s.label, s.start, s.end) for s in spans] == [("mit-text", 2, 18)] and 0.7 <= spans[0].coverage < 1
 
 
+def test_license_wordings_of_any_length(spark):
+    full = dict((label, words) for words, label in license.WORDINGS)["mit-full"].split()
+    changed = [w for i, w in enumerate(full) if i % 25 != 7]
+    long = [f"w{i}" for i in range(700)]
+    texts = [" ".join(["x"] * 9 + full), " ".join(changed), " ".join(full[:90]), " ".join(long), " ".join(long[:650]), " ".join(long[300:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in license.license_spans(docs, wordings=[*license.WORDINGS, (" ".join(long), "long")]).where("label in ('mit-full', 'long')").collect():
+        got[r.id] = (r.label, r.start, r.end, round(r.coverage, 3))
+    assert got[0] == ("mit-full", 9, 9 + len(full), 1.0) and got[3] == ("long", 0, 700, 1.0)
+    # One whole; one with every 25th word gone drifts farther than words put in may; a piece lacks the end or is too short.
+    assert set(got) <= {0, 1, 3}
+
+
 def test_license_edges(odd, none):
     got = license.license_digest(odd).collect()
     assert len(got) == 11 and {r.n_words for r in got if r.doc_id in (1, 2, 3)} == {0} and max(r.n_words for r in got) == 40_000
