@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import materialize
@@ -148,18 +149,32 @@ class ClassModel:
     rare_counts: DataFrame
 
 
+def _line(column: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
+    """The units of all rows in one line, each row closed by an end; rows are texts, or units that were looked up before."""
+    if pa.types.is_list(column.type):
+        flat, sizes = column.flatten().to_numpy().astype(np.int64), column.value_lengths().to_numpy()
+    else:
+        rows = [tokens(x.as_py()) for x in column]
+        flat, sizes = vocabulary.look_up(list(chain.from_iterable(rows)))[1], np.fromiter(map(len, rows), np.int64, len(rows))
+    line = np.zeros(len(flat) + len(sizes), np.int64)
+    inside = np.ones(len(line), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    line[inside] = flat
+    return line
+
+
 def _in_tasks(docs: DataFrame, vocabulary: Vocabulary, fold: np.ndarray, cells: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], np.ndarray]:
-    """A function for ``mapInArrow`` tasks: batches of texts to sums over ``cells`` cells; ``keys`` gives those of a text by its units and their folds."""
+    """A function for ``mapInArrow`` tasks: batches of rows to sums over ``cells`` cells; ``keys`` gives those of a line by its units and their folds."""
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, fold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         (known, to), sums, part, held = sent.value, np.zeros(cells, np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0):
-                units = known.look_up(tokens(text.as_py()))[1]
-                part.append(keys(units, to[units]))
+            for lo in range(0, batch.num_rows, 200):
+                line = _line(batch.column(0).slice(lo, 200), known)
+                part.append(keys(line, to[line]))
                 held += len(part[-1])
-                if held > 1_000_000:
+                if held > 2_000_000:
                     sums += np.bincount(np.concatenate(part), minlength=cells)
                     part, held = [], 0
         return sums + np.bincount(np.concatenate(part), minlength=cells) if part else sums
@@ -167,12 +182,12 @@ def _in_tasks(docs: DataFrame, vocabulary: Vocabulary, fold: np.ndarray, cells:
     return run
 
 
-def _pairs(docs: DataFrame, text_col: str, vocabulary: Vocabulary, fold: np.ndarray) -> np.ndarray:
-    """Counts of (a, b) for neighbours in all texts, units folded by ``fold``; at most the square of its size comes to the driver, whatever the corpus."""
+def _pairs(docs: DataFrame, col: str, vocabulary: Vocabulary, fold: np.ndarray) -> np.ndarray:
+    """Counts of (a, b) for neighbours in all rows of ``col`` (texts, or units), units folded by ``fold``; at most the square of its size comes to the driver, whatever the corpus."""
     size = int(fold.max()) + 1
 
-    def keys(units: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.r_[0, at] * size + np.r_[at, 0]
+    def keys(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.r_[0, at[:-1]] * size + at
 
     summed = _in_tasks(docs, vocabulary, fold, size * size, keys)
 
@@ -181,18 +196,20 @@ def _pairs(docs: DataFrame, text_col: str, vocabulary: Vocabulary, fold: np.ndar
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["pair", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(size * size)
     pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return pairs.reshape(size, size)
 
 
-def _neighbours(docs: DataFrame, text_col: str, vocabulary: Vocabulary, class_of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(docs: DataFrame, col: str, vocabulary: Vocabulary, class_of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """For each unit how often each class stands before and after it; units x 2 x classes sums come to the driver, whatever the corpus."""
     wide = 2 * classes
 
-    def keys(units: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.r_[units * wide + np.r_[0, at][: len(at)], units * wide + classes + np.r_[at, 0][1:]]
+    def keys(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        word = np.flatnonzero(line)  # an end stands after each, so each has a neighbour on both sides
+        own = line[word] * wide
+        return np.r_[own + np.r_[0, at][word], own + classes + at[word + 1]]
 
     summed = _in_tasks(docs, vocabulary, class_of, vocabulary.units * wide, keys)
     names = [f"c{k}" for k in range(wide)]
@@ -205,7 +222,7 @@ def _neighbours(docs: DataFrame, text_col: str, vocabulary: Vocabulary, class_of
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.ascontiguousarray(c)) for c in sums[part].T)], ["unit", *names])
 
     schema = "unit long" + "".join(f", {c} long" for c in names)
-    found = docs.select(text_col).mapInArrow(run, schema).groupBy("unit").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    found = docs.select(col).mapInArrow(run, schema).groupBy("unit").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     sums = np.zeros((vocabulary.units, wide))
     sums[found["unit"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1)
     return sums[:, :classes], sums[:, classes:]
@@ -235,32 +252,55 @@ def choose(class_of: np.ndarray, before: np.ndarray, after: np.ndarray, still: n
     return np.where(moves, best, class_of)
 
 
-def fit(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, seeds: int = SEEDS, classes: int = CLASSES, rounds: int = ROUNDS) -> ClassModel:
-    """Learn from every row of ``docs``: null and empty texts are an end alone. Without rows every probability falls back to smoothing.
+def vocabulary_of(docs: DataFrame, text_col: str, frequent: int) -> tuple[DataFrame, Vocabulary]:
+    """The written counts of all words, and the ``frequent`` most frequent ones of them."""
+    counts = materialize(word_counts(docs, text_col))
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    return counts, Vocabulary([bytes(x.word) for x in top], [x.n for x in top])
 
-    The ``seeds`` most frequent words exchange classes one by one; in each round all ``frequent`` words but these, and the
-    suffixes of the words beyond, choose a class by the classes beside them in all texts.
 
-    Emissions: (n(word) + 0.1) / (n(class) + 0.1 (distinct words of the class + 1)), so each class keeps a share for a
-    word not seen. Transitions: Witten-Bell mixture of class bigram and class unigram, the latter add-0.1.
+def look_up_all(docs: DataFrame, vocabulary: Vocabulary, text_col: str, *keep: str) -> DataFrame:
+    """(kept columns, units, rare, times, row): the written table of each text's units in order, and how often it has each word that is not frequent.
+
+    Every later pass reads this table, so a text is cut into words once for the counts and once here.
     """
-    counts = materialize(word_counts(docs, text_col))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part, units, words, times = batch.slice(lo, 200), [], [], []
+                for text in part.column(0):
+                    _, own, rare = sent.value.look_up(tokens(text.as_py()))
+                    seen = Counter(rare)
+                    units.append(own.astype(np.int32))
+                    words.append(list(seen))
+                    times.append(list(seen.values()))
+                made = [pa.array(units, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*keep, "units", "rare", "times"])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    found = docs.select(text_col, *keep).mapInArrow(run, f"{kinds}units array<int>, rare array<binary>, times array<long>")
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _fit_units(rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, seeds: int, classes: int, rounds: int) -> ClassModel:
+    """The model of looked-up ``rows``, whose words have ``counts``."""
     last = F.col("word").substr(F.greatest(F.lit(1), F.length("word") - 1), F.lit(2))
     suffix = (F.crc32(last) % SUFFIX_UNITS).alias("unit")
     by_unit = counts.groupBy(suffix).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # at most SUFFIX_UNITS rows
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    vocabulary = Vocabulary([bytes(x.word) for x in top], [x.n for x in top])
+    own = len(vocabulary.ids)
     bundled = vocabulary.bundled(seeds)
-    of = exchange(_pairs(docs, text_col, vocabulary, bundled), classes)[bundled]
-    still = np.arange(vocabulary.units) <= min(seeds, len(top))
+    of = exchange(_pairs(rows, "units", vocabulary, bundled), classes)[bundled]
+    still = np.arange(vocabulary.units) <= min(seeds, own)
     for _ in range(rounds):
-        of = choose(of, *_neighbours(docs, text_col, vocabulary, of, classes), still)
-    found = _pairs(docs, text_col, vocabulary, of)
+        of = choose(of, *_neighbours(rows, "units", vocabulary, of, classes), still)
+    found = _pairs(rows, "units", vocabulary, of)
     grid = np.zeros((classes, classes))
     grid[: len(found), : len(found)] = found
-    distinct = np.r_[0, np.ones(len(top)), -np.bincount(vocabulary.suffix, minlength=SUFFIX_UNITS)]
+    distinct = np.r_[0, np.ones(own), -np.bincount(vocabulary.suffix, minlength=SUFFIX_UNITS)]
     for x in by_unit:
-        distinct[1 + len(top) + x.unit] += x.v
+        distinct[1 + own + x.unit] += x.v
     kinds_in = np.bincount(of, weights=distinct, minlength=classes)
     texts, words = int(grid[0].sum()), sum(x.n for x in by_unit)
     size = grid.sum(axis=0)
@@ -272,46 +312,68 @@ def fit(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, seeds
     return ClassModel(vocabulary, of, np.log10(follow), floor, words + texts, texts, sum(x.v for x in by_unit) + (texts > 0), counts)
 
 
-def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score, perplexity): one row for each input row, repeated rows included.
-
-    base_score is the add-0.1 unigram, score the class model's log10 probability of the whole text with its end. Words
-    outside the frequent ones are looked up by a join of (row, word, times); their counts are too even for a hot key.
-    """
+def _score_units(rows: DataFrame, model: ClassModel, id_col: str) -> DataFrame:
+    """The scores of looked-up ``rows``; see ``score``."""
     light = (model.vocabulary, model.class_of, model.log_next, model.log_floor)
-    sent = docs.sparkSession.sparkContext.broadcast(light)
+    sent = rows.sparkSession.sparkContext.broadcast(light)
     n, v, ends = model.train_tokens, model.distinct, model.train_texts
     log_base = float(np.log10(n + SMOOTHING * (v + 1)))
     end_base = float(np.log10(ends + SMOOTHING)) - log_base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, class_of, log_next, log_floor = sent.value
-        log_count = np.log10(vocabulary.counts + SMOOTHING)
+        log_count = np.zeros(vocabulary.units)
+        log_count[1 : 1 + len(vocabulary.counts)] = np.log10(vocabulary.counts + SMOOTHING)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = [[] for _ in range(6)]
-                for text in batch.column(1).slice(lo, 500):
-                    ids, units, rare = vocabulary.look_up(tokens(text.as_py()))
-                    classes = class_of[units]
-                    frequent = float(log_count[ids[ids >= 0]].sum())
-                    path = log_next[np.r_[0, classes], np.r_[classes, 0]].sum() - log_floor[classes].sum()
-                    times = Counter(rare)
-                    base = frequent - len(ids) * log_base + end_base
-                    known = len(ids) - len(rare) + (ends > 0)
-                    for column, value in zip(rows, (len(ids) + 1, known, base, frequent + float(path), list(times), list(times.values()))):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 500), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.list_(pa.binary())), pa.array(rows[5], pa.list_(pa.int64()))],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-                )
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>"
-    part = materialize(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                line, sizes = _line(part["units"], vocabulary), part["units"].value_lengths().to_numpy().astype(np.int64)
+                row, at = np.repeat(np.arange(len(sizes)), sizes + 1), class_of[line]
+                of_row = lambda x: np.bincount(row, weights=x, minlength=len(sizes))  # noqa: E731, B023
+                frequent = of_row(log_count[line])
+                path = of_row(log_next[np.r_[0, at[:-1]], at] - log_floor[at])
+                known = of_row((line > 0) & (line <= len(vocabulary.counts))).astype(np.int64) + (ends > 0)
+                columns = (sizes + 1, known, frequent - sizes * log_base + end_base, frequent + path)
+                yield pa.RecordBatch.from_arrays([part["row"], part[id_col], *map(pa.array, columns)], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = f"row long, doc_id {rows.schema[id_col].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    scored = rows.select("row", id_col, "units").mapInArrow(run, schema)
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(model.rare_counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     added = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + SMOOTHING)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = part.drop("rare", "times").join(added, "row", "left")
+    out = scored.join(added, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     out = out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def fit(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT, seeds: int = SEEDS, classes: int = CLASSES, rounds: int = ROUNDS) -> ClassModel:
+    """Learn from every row of ``docs``: null and empty texts are an end alone. Without rows every probability falls back to smoothing.
+
+    The ``seeds`` most frequent words exchange classes one by one; in each round all ``frequent`` words but these, and the
+    suffixes of the words beyond, choose a class by the classes beside them in all texts.
+
+    Emissions: (n(word) + 0.1) / (n(class) + 0.1 (distinct words of the class + 1)), so each class keeps a share for a
+    word not seen. Transitions: Witten-Bell mixture of class bigram and class unigram, the latter add-0.1.
+    """
+    counts, vocabulary = vocabulary_of(docs, text_col, frequent)
+    return _fit_units(look_up_all(docs, vocabulary, text_col), counts, vocabulary, seeds, classes, rounds)
+
+
+def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score, perplexity): one row for each input row, repeated rows included.
+
+    base_score is the add-0.1 unigram, score the class model's log10 probability of the whole text with its end. Words
+    outside the frequent ones are looked up by a join of (row, word, times); their counts are too even for a hot key.
+    """
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    return _score_units(look_up_all(texts, model.vocabulary, "text", "doc_id"), model, "doc_id")
+
+
+def fit_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, seeds: int = SEEDS, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
+    """``fit`` on the rows where ``learn`` is true, and ``score`` of all rows; texts are looked up once for both."""
+    texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), learn.alias("learn"))
+    counts, vocabulary = vocabulary_of(texts.where("learn"), "text", frequent)
+    rows = look_up_all(texts, vocabulary, "text", "doc_id", "learn")
+    model = _fit_units(rows.where("learn"), counts, vocabulary, seeds, classes, rounds)
+    return model, _score_units(rows, model, "doc_id")

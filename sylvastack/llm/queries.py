@@ -50,12 +50,12 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .classlm import fit, score
+    from .classlm import fit_and_score
     from .language import held_out
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.where(~held_out(folds=10)))
-    out = score(docs, model).withColumn("held_out", held_out(folds=10)).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    model, out = fit_and_score(docs, ~held_out(folds=10))
+    out = out.withColumn("held_out", held_out(folds=10)).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

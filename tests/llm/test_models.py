@@ -150,6 +150,18 @@ def test_classes_of_all_frequent_words_lower_perplexity(documents):
     assert total(1) > total(0)
 
 
+def test_fit_and_score_equals_both_steps(documents, odd):
+    for docs in (documents.where("doc_id % 4 = 0"), odd):
+        learn = ~language.held_out(folds=10)
+        model, got = classlm.fit_and_score(docs, learn, frequent=300, seeds=40, classes=8)
+        apart = classlm.fit(docs.where(learn), frequent=300, seeds=40, classes=8)
+        assert (model.class_of == apart.class_of).all() and model.train_tokens == apart.train_tokens
+        key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+        for a, b in zip(sorted(got.collect(), key=key), sorted(classlm.score(docs, apart).collect(), key=key), strict=True):
+            assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+            assert math.isclose(a.score, b.score, rel_tol=1e-12) and math.isclose(a.base_score, b.base_score, rel_tol=1e-12)
+
+
 def test_class_model_edges(odd, none):
     fitted = classlm.fit(odd)
     got = classlm.score(odd, fitted).collect()
