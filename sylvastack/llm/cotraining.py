@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import log1p
 
@@ -12,13 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: labelled and unlabelled documents with the least hashes of their ids.
-FIT_LABELLED, FIT_POOL = 12_000, 8_000
+from .workspace import materialize
+
+#: Bound of the labelled sample: the labelled documents with the least hashes of their ids.
+FIT_LABELLED = 12_000
 TEXT_BUCKETS, META_BUCKETS = 1 << 18, 1 << 10
 #: A bucket of the text view has a weight only if so many sampled documents hold it.
 LEAST_DOCS = 5
 ROUNDS = 3
-#: A view hands on the labels it is surest of: at this confidence, and at most so many of each class in a round.
+#: A view labels every document without a label at this confidence. About so many of each class, dealt out evenly over
+#: all that it labels, join the rows that the other view is fitted on in a round.
 SURE, HANDED = 0.95, 400
 #: One labelled document in so many is kept for calibration.
 CALIBRATION = 4
@@ -41,7 +44,7 @@ def text_features(text: str) -> np.ndarray:
         out.add(zlib.crc32(b"\0again" + bytes([int(again * 10)])) % TEXT_BUCKETS)
         fresh = len(found) / len(words)
         out.add(zlib.crc32(b"\0fresh" + bytes([int(fresh * 10)])) % TEXT_BUCKETS)
-    return np.fromiter(out, np.int64, len(out))
+    return np.array(sorted(out), np.int64)
 
 
 def meta_features(text: str, meta: tuple) -> np.ndarray:
@@ -72,8 +75,11 @@ class Sparse:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.diff(np.r_[0.0, np.cumsum(w[self.at])][self.first])
 
-    def take(self, rows: np.ndarray) -> "Sparse":
-        return Sparse.of([self.at[self.first[i] : self.first[i + 1]] for i in rows], self.size)
+    def rows(self, which: np.ndarray) -> list[np.ndarray]:
+        return [self.at[self.first[i] : self.first[i + 1]] for i in which]
+
+    def take(self, which: np.ndarray) -> "Sparse":
+        return Sparse.of(self.rows(which), self.size)
 
 
 def _sigmoid(x):
@@ -145,10 +151,31 @@ class CoTrained:
         return np.stack([a, b, _sigmoid(np.stack([logit(a), logit(b)], axis=1) @ self.joint[:2] + self.joint[2])], axis=1)
 
 
-def co_train(text: Sparse, meta: Sparse, y: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """``y``: 1, 0, or -1 where a row has no label. In each round a view's surest pseudo-labels join the other view's rows.
+#: What one view hands to the other: (key of a row, its features in the other view, label).
+Handed = list[tuple[int, np.ndarray, int]]
+
+
+def surest_in(text: Sparse, meta: Sparse, handed: int) -> Callable[[int, Logistic, Logistic], tuple[Handed, Handed]]:
+    """``surest`` of ``co_train`` for rows in memory."""
+
+    def surest(k: int, by_text: Logistic, by_meta: Logistic) -> tuple[Handed, Handed]:
+        deal = np.random.default_rng(k).permutation(len(text.first) - 1)
+        out: tuple[Handed, Handed] = ([], [])
+        for to, own, p in ((0, text, _sigmoid(by_meta.logit(meta))), (1, meta, _sigmoid(by_text.logit(text)))):
+            for label, sure in ((1, p >= SURE), (0, p <= 1 - SURE)):
+                at = deal[sure[deal]][:handed]
+                out[to].extend((int(j), x, label) for j, x in zip(at, own.rows(at)))
+        return out
+
+    return surest
+
+
+def co_train(text: Sparse, meta: Sparse, y: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED, surest: Callable[[int, Logistic, Logistic], tuple[Handed, Handed]] | None = None) -> CoTrained:
+    """``y``: 1, 0, or -1 where a row has no label. In each round a view's confident pseudo-labels join the other view's rows.
 
-    With one class only, or without labels, every score is the share of ones (0.5 without labels).
+    ``surest(round, text view, metadata view)`` gives what the text view and what the metadata view get; by default out of
+    the rows without a label. The first label that a view gets for a row stays. With one class only, or without labels,
+    every score is the share of ones (0.5 without labels).
     """
     known = np.flatnonzero(y >= 0)
     if len(known) < 8 or len(set(y[known])) < 2:
@@ -158,21 +185,18 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, rounds: int = ROUNDS) ->
     for label in (0, 1):
         check[np.flatnonzero(y == label)[::CALIBRATION]] = True
     train, check, pool = np.flatnonzero((y >= 0) & ~check), np.flatnonzero(check), np.flatnonzero(y < 0)
+    surest = surest or surest_in(text.take(pool), meta.take(pool), handed)
     views = [(text, Logistic(text.size)), (meta, Logistic(meta.size))]
-    given: list[dict[int, int]] = [{}, {}]
+    given: list[dict[int, tuple[np.ndarray, int]]] = [{}, {}]
     for k in range(rounds + 1):
         for (x, model), extra in zip(views, given):
-            rows = np.r_[train, np.fromiter(extra, np.int64, len(extra))]
-            model.fit(x.take(rows), np.r_[y[train], np.fromiter(extra.values(), np.int64, len(extra))].astype(float), steps=80 if k == 0 else 30)
-        if k == rounds or not len(pool):
+            rows, labels = zip(*extra.values()) if extra else ((), ())
+            model.fit(Sparse.of([*x.rows(train), *rows], x.size), np.r_[y[train], np.array(labels, np.int64)].astype(float), steps=80 if k == 0 else 30)
+        if k == rounds:
             break
-        for i, (x, model) in enumerate(views):
-            p = _sigmoid(model.logit(x.take(pool)))
-            order = np.argsort(-p, kind="stable")
-            own = given[1 - i]
-            for label, ranked, sure in ((1, order, p >= SURE), (0, order[::-1], p <= 1 - SURE)):
-                for j in [j for j in ranked if sure[j] and int(pool[j]) not in own][:HANDED]:
-                    own[int(pool[j])] = label
+        for extra, got in zip(given, surest(k, views[0][1], views[1][1])):
+            for key, row, label in got:
+                extra.setdefault(key, (row, label))
     target = y[check].astype(float)
     raw = [np.clip(model.logit(x.take(check)), -20, 20) for x, model in views]
     scales = [_platt(z[:, None], target) for z in raw]
@@ -181,53 +205,123 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, rounds: int = ROUNDS) ->
 
 
 _META = ("lang", "source")
+_VIEWS = (("text", TEXT_BUCKETS), ("meta", META_BUCKETS))
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    texts, *meta = (batch.column(i).to_pylist() for i in range(1, 2 + len(_META)))
-    texts = [x or "" for x in texts]
-    return [text_features(x) for x in texts], [meta_features(x, m) for x, m in zip(texts, zip(*meta))]
+def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, meta): the buckets of both views of each row, from its whole text. Null texts are empty ones, null metadata is a value of its own."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                texts, *meta = (part.column(i).to_pylist() for i in range(1, 2 + len(_META)))
+                texts = [x or "" for x in texts]
+                made = ([text_features(x) for x in texts], [meta_features(x, m) for x, m in zip(texts, zip(*meta))])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.astype(np.int32) for x in v], pa.list_(pa.int32())) for v in made)], ["doc_id", "text", "meta"])
 
-def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text") -> dict[str, CoTrained]:
-    """A model for each target column of ``labels``. Only the bounded sample's feature buckets come to the driver.
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_META).mapInArrow(run, f"doc_id {kind}, text array<int>, meta array<int>")
 
-    Repeated labels of an id: the least value of the row counts. Null labels are none. Null ids take no part in fitting.
-    """
-    marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(*(F.min(t).cast("int").alias(t) for t in targets))
-    least = lambda df, n: df.orderBy(F.xxhash64("i"), "i").limit(n)
-    ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct()
-    chosen = least(marks.join(ids, "i", "left_semi"), FIT_LABELLED).unionByName(least(ids.join(marks, "i", "left_anti"), FIT_POOL), allowMissingColumns=True)
-    rows = docs.select(F.col(id_col).alias("i"), text_col, *_META).join(F.broadcast(chosen), "i")  # at most FIT_LABELLED + FIT_POOL narrow rows
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, meta = _rows(batch)
-            arrays = [pa.array([x.astype(np.int32) for x in v], pa.list_(pa.int32())) for v in (text, meta)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, *(batch.column(2 + len(_META) + k) for k in range(len(targets)))], ["i", "text", "meta", *targets])
+def _sparse(batch: pa.RecordBatch | pa.Table, view: str, size: int) -> Sparse:
+    column = batch[view]
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return Sparse(column.flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(column.value_lengths().to_numpy(), dtype=np.int64)], size)
 
-    kind = chosen.schema["i"].dataType.simpleString()
-    found = rows.mapInArrow(features, f"i {kind}, text array<int>, meta array<int>" + "".join(f", {t} int" for t in targets)).toArrow().sort_by("i")
-    view = lambda c, size: Sparse.of([np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in found[c]], size)
-    text, meta = view("text", TEXT_BUCKETS), view("meta", META_BUCKETS)
-    return {t: co_train(text, meta, np.array([-1 if v is None else int(v > 0) for v in found[t].to_pylist()], np.int64)) for t in targets}
 
+def _written(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The written table of ``featured``, with a number for each row and a key for equal features."""
+    return materialize(featured(docs, id_col, text_col).withColumns({"row": F.monotonically_increasing_id(), "key": F.xxhash64("text", "meta")}))
 
-def classify(docs: DataFrame, models: dict[str, CoTrained], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, and for each target t: t_text, t_meta, t_score): probabilities for every row, repeated rows included.
 
-    Null texts are scored as empty ones, null metadata as a value of its own. Texts are read whole.
+def _surest_of(rows: DataFrame, marked: DataFrame, handed: int) -> Callable[[int, Logistic, Logistic], tuple[Handed, Handed]]:
+    """``surest`` of ``co_train`` over all ``rows`` whose id is not ``marked``: both views score each of them in Spark.
+
+    Rows of equal features count once. What comes to the driver is about 4 x ``handed`` rows, whatever the corpus: a view's
+    labels are thinned by a hash to that share of their number.
+    """
+
+    def surest(k: int, by_text: Logistic, by_meta: Logistic) -> tuple[Handed, Handed]:
+        sent = rows.sparkSession.sparkContext.broadcast((by_text, by_meta))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = [_sigmoid(m.logit(_sparse(batch, *v))) for m, v in zip(sent.value, _VIEWS)]
+                label = [np.where(x >= SURE, 1, np.where(x <= 1 - SURE, 0, -1)) for x in p]
+                made = pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "row", "key")), *map(pa.array, label)], ["doc_id", "row", "key", "by_text", "by_meta"])
+                yield made.filter(pa.array((label[0] >= 0) | (label[1] >= 0)))
+
+        schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, key long, by_text long, by_meta long"
+        scored = rows.where("doc_id is not null").select("doc_id", "row", "key", "text", "meta").mapInArrow(run, schema)
+        sure = scored.join(marked, "doc_id", "left_anti").groupBy("key").agg(F.min("row").alias("row"), F.any_value("by_text").alias("by_text"), F.any_value("by_meta").alias("by_meta"))
+        sure = materialize(sure)
+        chance = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
+        picked = F.lit(False)
+        for view in ("by_text", "by_meta"):
+            for label, n in sure.where(F.col(view) >= 0).groupBy(view).count().collect():  # two rows
+                picked = picked | ((F.col(view) == label) & (chance < handed / n))
+        rare = sure.where(picked).select("row", "by_text", "by_meta", chance.alias("chance"))
+        got = rows.select("row", "key", "text", "meta").join(F.broadcast(rare), "row").toArrow().sort_by("key")  # about 4 x handed rows
+        keys, text, meta = got["key"].to_pylist(), *(_sparse(got, *v) for v in _VIEWS)
+        out: tuple[Handed, Handed] = ([], [])
+        for to, own, labels in ((0, text, got["by_meta"].to_pylist()), (1, meta, got["by_text"].to_pylist())):
+            out[to].extend((key, x, label) for key, x, label in zip(keys, own.rows(range(len(keys))), labels) if label >= 0)
+        return out
+
+    return surest
+
+
+def _fit_rows(rows: DataFrame, labels: DataFrame, targets: tuple[str, ...], id_col: str, labelled: int, handed: int, rounds: int) -> dict[str, CoTrained]:
+    marks = materialize(labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(*(F.min(t).cast("int").alias(t) for t in targets)))
+    ids = rows.select("doc_id").where("doc_id is not null").distinct()
+    chosen = materialize(marks.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("key", "row")).alias("x"), *(F.any_value(t).alias(t) for t in targets))
+    one = materialize(one.select(F.col("x.row").alias("row"), *targets))  # at most ``labelled`` narrow rows, one for each id
+    found = rows.select("doc_id", "row", "text", "meta").join(F.broadcast(one), "row").toArrow().sort_by("doc_id")
+    text, meta = (_sparse(found, *v) for v in _VIEWS)
+    models = {}
+    for t in targets:
+        y = np.array([-1 if v is None else int(v > 0) for v in found[t].to_pylist()], np.int64)
+        models[t] = co_train(text, meta, y, rounds, handed, _surest_of(rows, marks.where(F.col(t).isNotNull()).select("doc_id"), handed))
+    return models
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", labelled: int = FIT_LABELLED, handed: int = HANDED, rounds: int = ROUNDS) -> dict[str, CoTrained]:
+    """A model for each target column of ``labels``, co-trained on at most ``labelled`` labelled documents and on all others.
+
+    In each round both views score every document without a label for the target; see ``HANDED`` for what they hand on.
+    Repeated labels of an id: the least value of the row counts; of repeated ids one row is read. Null labels are none.
+    Null ids take no part in fitting.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    return _fit_rows(_written(docs, id_col, text_col), labels, targets, id_col, labelled, handed, rounds)
+
+
+def _classified(rows: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(models)
     names = [f"{t}_{v}" for t in models for v in ("text", "meta", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1_000):
                 part = batch.slice(lo, 1_000)
-                text, meta = (Sparse.of(v, n) for v, n in zip(_rows(part), (TEXT_BUCKETS, META_BUCKETS)))
+                text, meta = (_sparse(part, *v) for v in _VIEWS)
                 columns = [c for m in sent.value.values() for c in m.scores(text, meta).T]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["doc_id", *names])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col, *_META).mapInArrow(run, f"doc_id {kind}" + "".join(f", {c} double" for c in names))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "meta").mapInArrow(run, f"doc_id {kind}" + "".join(f", {c} double" for c in names))
+
+
+def classify(docs: DataFrame, models: dict[str, CoTrained], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, and for each target t: t_text, t_meta, t_score): probabilities for every row, repeated rows included.
+
+    Null texts are scored as empty ones, null metadata as a value of its own. Texts are read whole.
+    """
+    return _classified(featured(docs, id_col, text_col), models)
+
+
+def fit_and_classify(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", labelled: int = FIT_LABELLED, handed: int = HANDED, rounds: int = ROUNDS) -> DataFrame:
+    """``classify`` of all rows by ``fit`` on them; features are made once for both."""
+    rows = _written(docs, id_col, text_col)
+    return _classified(rows, _fit_rows(rows, labels, targets, id_col, labelled, handed, rounds))

@@ -82,10 +82,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .cotraining import classify, fit
+    from .cotraining import fit_and_classify
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    scores = classify(docs, fit(docs, _read(spark, sf_dir, "labels")))
+    scores = fit_and_classify(docs, _read(spark, sf_dir, "labels"))
     return scores.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
 
 

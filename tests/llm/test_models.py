@@ -193,6 +193,26 @@ def test_co_training_hands_labels_over():
     assert np.mean((p[:, 2] > 0.5) == y) > 0.99
 
 
+def test_views_label_all_documents_without_a_label(spark, data):
+    labels = spark.read.parquet(f"{data}/../sf0.01/labels.parquet")
+    docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
+    rows = cotraining._written(docs, "doc_id", "text")
+    y = dict(labels.groupBy("doc_id").agg(F.min("quality")).collect())
+    found = rows.toArrow()
+    text, meta = (cotraining._sparse(found, *v) for v in cotraining._VIEWS)
+    ids, keys = found["doc_id"].to_pylist(), found["key"].to_pylist()
+    mark = np.array([-1 if y.get(i) is None else y[i] for i in ids])
+    views = [cotraining.Logistic(x.size).fit(x.take(np.flatnonzero(mark >= 0)), mark[mark >= 0].astype(float)) for x in (text, meta)]
+    marked = labels.where("quality is not null").select("doc_id").distinct()
+    got = cotraining._surest_of(rows, marked, 1 << 30)(0, *views)
+    for to, (x, model) in ((1, (text, views[0])), (0, (meta, views[1]))):
+        p = cotraining._sigmoid(model.logit(x))
+        plain = {keys[i]: int(p[i] > 0.5) for i in np.flatnonzero((mark < 0) & ((p >= cotraining.SURE) | (p <= 1 - cotraining.SURE)))}
+        assert plain and {key: label for key, _, label in got[to]} == plain
+    few = cotraining._surest_of(rows, marked, 20)(0, *views)
+    assert all(0 < len(x) <= 160 for x in few)
+
+
 def test_co_training_edges(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (5, 0, None), (8, 0, 1), (None, 1, 1), (77, 1, 0)], "doc_id long, quality int, toxic int")
     models = cotraining.fit(odd, labels)
