@@ -102,5 +102,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(damaged(_read(spark, sf_dir, "conversations")), "id", absent_col="absent").withColumnRenamed("id", "conv_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings, "op10_pii": op10_pii, "op6_cotraining": op6_cotraining, "op11_whitening": op11_whitening, "op12_repair": op12_repair}
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import set_groups
+
+    found = set_groups(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_language_id": op9_language_id, "op1_mixing": op1_mixing, "op3_license": op3_license, "op2_class_lm": op2_class_lm, "op8_telephony": op8_telephony, "op7_postings": op7_postings, "op10_pii": op10_pii, "op6_cotraining": op6_cotraining, "op11_whitening": op11_whitening, "op12_repair": op12_repair, "op13_setsketch": op13_setsketch}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.oracle(), "op3_license": license.oracle()}
