@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import cleaned, materialize
+from .workspace import cleaned, in_files, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on distinct edges (u > v).
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One star step on ``rows`` distinct edges (u > v).
 
     Large: every neighbour above u goes to the least of u and its neighbours. Small: u and its smaller neighbours do.
     The hub of a star meets its rows in a join, never in a list; the minima are written first, so that AQE can split the join.
     """
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = materialize(in_files(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows))
     moved = near.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,9 +33,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """
     a, b = F.col(src), F.col(dst)
     now = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
+    mark, rows = None, now.count()
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, large=True), large=False))
+        now = materialize(in_files(_star(_star(now, True, rows), False, rows), rows))
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break

@@ -9,7 +9,7 @@ set's register is above, below or equal to the other's has a likelihood in J alo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .neardup import BITS, SLOTS, _words, prefix_keys, shingle_set
-from .workspace import cleaned, materialize
+from .workspace import cleaned, in_files, materialize
 
 #: Scale of the registers: base, rate and largest value.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
@@ -30,7 +30,9 @@ RULED_OUT = 15.0
 #: Texts of a bucket that are compared with all others of it in one round; the next one takes so many times more.
 MORE_LEADS = 16
 #: A bucket of more texts that one round leaves open is dealt out by the rare shingles of its sets.
-BUCKET = 256
+BUCKET = 16
+#: Low bits of registers that travel with a row, and how likely a pair at the threshold may differ in more of them than is let through.
+BITS_KEPT, BITS_MISSED = 128, 1e-7
 _ROUND = 256
 
 
@@ -84,6 +86,25 @@ def open_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, sim
     return (most >= similarity - 1e-9) & (there >= best - RULED_OUT)
 
 
+def low_bits(registers: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers with the lowest bit of the first registers of each row: equal registers agree, others by chance."""
+    bits = np.zeros((len(registers), BITS_KEPT), np.uint8)
+    kept = registers[:, :BITS_KEPT] & 1
+    bits[:, : kept.shape[1]] = kept
+    return np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
+
+
+def most_unlike(registers: int, similarity: float) -> int:
+    """In how many low bits two sets at ``similarity`` can differ: more have a probability of ``BITS_MISSED`` at most."""
+    n, p = min(registers, BITS_KEPT), (1 - similarity) / 2
+    tail = 0.0
+    for k in range(n, -1, -1):
+        tail += comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail > BITS_MISSED:
+            return k
+    return 0
+
+
 def _node(hashes: np.ndarray) -> bytes:
     """A set's key in joins: a 128-bit digest of all its hashes."""
     return xxhash.xxh3_128_digest(hashes.tobytes())
@@ -104,9 +125,9 @@ def set_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result. Other columns are not read.
 
     Equal sets are one node from the start. A bucket of one band compares its nodes with a lead, then with 16 times as
-    many in each round, until every pair of it was looked at or is in one component. A bucket that is large and still open after
-    the first round is dealt out by the first shingles of its sets, rare ones first, so many that no pair at the
-    threshold is without a common one; so texts that share a frequent passage only do not meet again.
+    many in each round, until every pair of it was looked at or is in one component. A bucket of over ``BUCKET`` nodes that
+    is still open after the first round is dealt out by the first shingles of its sets, rare ones first, so many that no
+    pair at the threshold is without a common one; so texts that share a frequent passage only do not meet again.
     """
     spark, similarity = docs.sparkSession, percent / 100
     bands = fit_bands(similarity, width)
@@ -135,17 +156,19 @@ def set_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = batch.slice(lo, 1_000)
                 keys = [xxhash.xxh3_64_intdigest(x[at * width * 2 : (at + 1) * width * 2], at) for x in part["registers"].to_pylist() for at in range(bands)]
                 each = pa.array(np.repeat(np.arange(part.num_rows), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), part["node"].take(each), part["n"].take(each)], ["key", "node", "n"])
+                bits = low_bits(np.frombuffer(b"".join(part["registers"].to_pylist()), np.uint16).reshape(-1, registers))
+                low = [pa.array(bits[:, i]).take(each) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), part["node"].take(each), part["n"].take(each), *low], ["key", "node", "n", "low0", "low1"])
 
     def bucketed(keyed: DataFrame) -> DataFrame:
         """Rows whose key has at least two of them. The counts are written, so that AQE can split a hot key of the join."""
         counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1))
         return keyed.join(counts, "key")
 
-    live = materialize(bucketed(nodes.select("node", "n", "registers").mapInArrow(banded, "key long, node binary, n long")))
+    live = materialize(bucketed(nodes.select("node", "n", "registers").mapInArrow(banded, "key long, node binary, n long, low0 long, low1 long")))
     # A text that meets many others is more often the one that they were copied from, so it leads first.
     degrees = materialize(live.groupBy("node").agg(F.sum("size").alias("degree")))
-    live = materialize(live.drop("size").join(degrees, "node").withColumn("root", F.col("node")))
+    live = materialize(live.drop("size").join(degrees, "node").withColumns({"root": F.col("node"), "pos": F.lit(0)}))
 
     marks = nodes.join(degrees.select("node"), "node", "left_semi").select(F.col("spot").bitwiseAND(F.lit(BITS - 1)).alias("at"))
     marks = marks.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
@@ -171,19 +194,20 @@ def set_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 a, b = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint16).reshape(-1, registers) for c in ("ra", "rb"))
                 yield part.select(["a", "b"]).filter(pa.array(open_pairs(a, b, part["na"].to_numpy(), part["nb"].to_numpy(), similarity)))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
+    def linked(pairs: DataFrame, rows: int) -> DataFrame:
+        """Those of ``rows`` pairs (a, b) that are links."""
         of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("registers").alias("r" + x))
-        left = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(likely, "a binary, b binary"))
+        left = materialize(in_files(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(likely, "a binary, b binary"), rows, 4_096))
         if left.isEmpty():
             return left
         both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
         common = F.size(F.array_intersect("s", "t"))
-        return materialize(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b"))
+        return materialize(in_files(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b"), rows, 4_096))
 
     def dealt_again(hot: DataFrame) -> DataFrame:
         """The nodes of hot buckets by the first shingles of their sets, in order of how many of those nodes have a shingle's slot."""
-        own = materialize(hot.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("degree").alias("degree"), F.any_value("root").alias("root")))
+        facts = ("n", "low0", "low1", "degree", "root")
+        own = materialize(hot.groupBy("node").agg(*(F.any_value(c).alias(c) for c in facts)))
         slots = sets.join(own.select("node"), "node", "left_semi").select(F.explode("set").alias("x")).groupBy(F.pmod("x", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
         counts = slots.where("n > 1").select("slot", F.log2("n").cast("tinyint").alias("level")).toArrow()  # at most SLOTS rows
         often = np.zeros(SLOTS, np.int8)
@@ -196,35 +220,41 @@ def set_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     part = batch.slice(lo, 500)
                     keys = [prefix_keys(np.array(x, np.int64).view(np.uint64), similarity, told.value) for x in part["set"].to_pylist()]
                     each = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in keys]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), *(part[c].take(each) for c in ("node", "n", "degree", "root"))], ["key", "node", "n", "degree", "root"])
+                    place = np.concatenate([*(np.arange(len(x)) for x in keys), np.zeros(0, np.int64)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(place), *(part[c].take(each) for c in ("node", *facts))], ["key", "pos", "node", *facts])
 
-        keyed = own.join(sets, "node").mapInArrow(firsts, "key long, node binary, n long, degree long, root binary")
+        keyed = own.join(sets, "node").mapInArrow(firsts, "key long, pos int, node binary, n long, low0 long, low1 long, degree long, root binary")
         return bucketed(materialize(keyed)).drop("size")
 
-    roots, tries = None, 1
-    able = F.least("n", "x.n") * 100 >= F.greatest("n", "x.n") * percent
-    while True:
-        unsettled = materialize(live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("left")).where("low < high").select("key", "left"))
-        live = live.join(unsettled, "key")
+    roots, tries, rows = None, 1, live.count()
+    # Sizes, and places in the order of shingles, bound what two sets can have in common (at their first common key); so do their low bits, all but surely.
+    both_ = F.col("n") + F.col("x.n")
+    able = (F.least("n", "x.n") * 100 >= F.greatest("n", "x.n") * percent) & (F.least(F.col("n") - F.col("pos"), F.col("x.n") - F.col("x.pos")) * (100 + percent) >= both_ * percent)
+    able &= F.bit_count(F.col("low0").bitwiseXOR(F.col("x.low0"))) + F.bit_count(F.col("low1").bitwiseXOR(F.col("x.low1"))) <= most_unlike(registers, similarity)
+    while rows:
+        unsettled = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("left")).where("low < high").select("key", "left")
+        live = live.join(materialize(in_files(unsettled, rows)), "key")
         if tries == MORE_LEADS:
-            live = materialize(live)
+            live = materialize(in_files(live, rows))
             hot = live.where(F.col("left") > BUCKET)
             if not hot.isEmpty():
                 live = live.where(F.col("left") <= BUCKET).drop("left").unionByName(dealt_again(hot).select(*(c for c in live.columns if c != "left")))
-        live = materialize(live.drop("left"))
-        if live.isEmpty():
+        live = materialize(in_files(live.drop("left"), rows) if tries != MORE_LEADS else live.drop("left"))
+        rows = live.count()
+        if not rows:
             break
-        chosen = F.max(F.struct("degree", "node", "n", "root")).alias("x")
-        leads = materialize(live.groupBy("key", F.pmod(F.xxhash64("node", F.lit(tries)), F.lit(tries)).alias("share")).agg(chosen).select("key", "x"))
+        chosen = F.max(F.struct("degree", "node", "n", "pos", "low0", "low1", "root")).alias("x")
+        leads = materialize(in_files(live.groupBy("key", F.pmod(F.xxhash64("node", F.lit(tries)), F.lit(tries)).alias("share")).agg(chosen).select("key", "x"), rows))
         pairs = live.join(leads, "key").where((F.col("root") != F.col("x.root")) & able)
-        pairs = materialize(pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct())
-        live = materialize(live.join(leads.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"))
+        pairs = materialize(in_files(pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct(), rows * tries))
+        live = materialize(in_files(live.join(leads.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"), rows))
         tries *= MORE_LEADS
-        found = None if pairs.isEmpty() else linked(pairs)
-        if found is not None and not found.isEmpty():
+        tried = pairs.count()
+        found = linked(pairs, tried) if tried else pairs
+        if not found.isEmpty():
             every = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
             roots = connected_components(every, "a", "b")
-            live = materialize(live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+            live = materialize(in_files(live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), rows))
 
     member = nodes.select("node", "least")
     member = materialize(member.withColumn("root", F.col("node")) if roots is None else member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 from functools import wraps
 from weakref import WeakKeyDictionary
 
@@ -27,6 +28,11 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def in_files(df: DataFrame, rows: int, rows_a_file: int = 16_384) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in at most as many partitions as keep files from being tiny; large tables stay as they are dealt out."""
+    return df.coalesce(max(1, ceil(rows / rows_a_file)))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the folder of a table that ``materialize`` wrote; other tables are left alone."""
     if path := _folder_of.pop(df, None):
