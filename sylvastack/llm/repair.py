@@ -396,3 +396,30 @@ def report(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     sorted_ = _coded(short).repartition("id").sortWithinPartitions("id", "turn", "role", "text")
     found = sorted_.mapInArrow(_reports, f"id {kind}, {_REPORT}")
     return found if rest is None else found.unionByName(rest)
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``report`` of ``damaged`` conversations: the best edits so far, row by row, for each state of the pattern."""
+    inserts = [(0, "", 0, 0, []), (0, "I", 3, 2, ["user:"]), (0, "II", 6, 3, ["user:", "assistant:"]), (1, "", 0, 1, []), (1, "I", 3, 2, ["user:"]), (1, "II", 6, 3, ["user:", "assistant:"]), (2, "", 0, 2, []), (2, "I", 3, 3, ["assistant:"]), (3, "", 0, 3, []), (3, "I", 3, 2, ["user:"])]
+    lines = ", ".join(f"({s}, '{letters}', {cost}, {t}, {rows}::varchar[])" for s, letters, cost, t, rows in inserts)
+    return f"""with recursive crc as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) tab from (select unnest(range(256)) i)),
+      base as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 hit from conversations, crc),
+      harm as (select conv_id, turn, case hit when 4 then 'user' else role end as role, case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from (select *, unnest(case hit when 3 then [1, 2] else [1] end) from base where hit <> 0)),
+      seq as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) pos, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) seen from harm),
+      faulty as (select *, substr(role, 1, 1) ini, case when seen = '' then 'b' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'd' when right(seen, 1) not in ('.', '!', '?') then 't' else '' end fault from seq),
+      ins(s, letters, cost, t, made) as (values {lines}),
+      best(conv_id, pos, s, x) as (select distinct conv_id, 0::bigint, 0, {{'cost': 0, 'audit': '', 'out': []::varchar[]}} from faulty
+        union all select conv_id, pos, s, arg_min({{'cost': cost, 'audit': audit, 'out': made}}, {{'cost': cost, 'audit': audit}}) from (
+          select b.conv_id, f.pos, case e.edit when 'D' then i.t when 'R' then case i.t when 2 then 3 else 2 end else case f.ini when 's' then 1 when 'u' then 2 else 3 end end s,
+            b.x.cost + i.cost + case e.edit when 'D' then 4 when 'R' then 3 else 0 end + case when e.edit <> 'D' and f.fault = 't' then 3 else 0 end cost, b.x.audit || i.letters || e.edit audit,
+            b.x.out || i.made || case e.edit when 'D' then [] when 'R' then [case i.t when 2 then 'assistant:' else 'user:' end || f.text] else [f.role || ':' || f.text] end made
+          from best b join ins i on i.s = b.s join faulty f on f.conv_id is not distinct from b.conv_id and f.pos = b.pos + 1 join (values ('D'), ('K'), ('R')) e(edit)
+            on e.edit = 'D' or f.fault not in ('b', 'd') and (e.edit = 'R' or (i.t = 2 and f.ini = 'a') or (i.t <> 2 and f.ini = 'u') or (i.t = 0 and f.ini = 's'))) q group by 1, 2, 3),
+      counts as (select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'b') blank, count(*) filter (fault = 'd') duplicate, count(*) filter (fault = 't') truncated,
+        count(*) filter (before || ini not in ('su', 'ua', 'au')) illegal from (select *, lag(ini) over (partition by conv_id order by pos) before from faulty) group by 1),
+      ends as (select b.conv_id, arg_min({{'cost': b.x.cost + i.cost, 'audit': b.x.audit || i.letters, 'out': b.x.out || i.made}}, {{'cost': b.x.cost + i.cost, 'audit': b.x.audit || i.letters}}) y
+        from best b join counts c on c.conv_id is not distinct from b.conv_id and c.n = b.pos join ins i on i.s = b.s where i.t in (0, 3) group by 1)
+      select a.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal,
+        coalesce(y.cost, 0)::bigint as cost, coalesce(y.audit, '') audit, sha256(coalesce(array_to_string(y.out, chr(10)), '')) repaired_sha256
+      from (select distinct conv_id from conversations) a left join counts c on a.conv_id is not distinct from c.conv_id left join ends e on a.conv_id is not distinct from e.conv_id"""

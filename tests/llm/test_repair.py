@@ -160,6 +160,18 @@ def test_edits_are_the_repaired_conversation(spark, odd_conversations):
         assert hashlib.sha256("\n".join(f"{r.role}:{r.text}" for r in got[conv] if r.edit != "D").encode()).hexdigest() == want[7]
 
 
+def test_the_sql_gives_the_same_rows(data, odd_conversations):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create table conversations as select * from read_parquet('{data}/conversations.parquet')")
+    by = {}
+    for r in con.sql("select conv_id, turn, role, text from conversations").fetchall() + [(None if i is None else i + 10**6, *rest) for i, *rest in odd_conversations[0]]:
+        by.setdefault(r[0], []).append(r)
+    con.executemany("insert into conversations (conv_id, turn, role, text) values (?, ?, ?, ?)", [r for rows in by.values() for r in rows if r[0] is None or r[0] >= 10**6])
+    assert {r[0]: r[1:] for r in con.sql(repair.oracle()).fetchall()} == {conv: plain_report(rows) for conv, rows in by.items()}
+
+
 def test_empty_table(spark, odd_conversations):
     df = odd_conversations[1].where("false")
     assert repair.report(df).collect() == [] and repair.edits(df).collect() == []
