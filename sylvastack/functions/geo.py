@@ -73,7 +73,49 @@ def tile_join(left: DataFrame, right: DataFrame, tile: float, on: Column | None
     return a.join(b, key & overlaps("l", "r") & once)
 
 
-def covering_grid(areas: DataFrame, chip: int, overlap: int = 0) -> DataFrame:
+def _levelled(df: DataFrame, finer: int) -> DataFrame:
+    """``_level``: the binary logarithm of the tile that a box is stored in, by its longer side; boxes under a metre count as a metre."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1.0))
+    return df.withColumn("_level", F.ceil(F.log2(side)).cast("int") - finer)
+
+
+def _levels(df: DataFrame) -> DataFrame:
+    """One row: the levels of a side and the longest sides on each."""
+    each = df.groupBy("_level").agg(F.max(F.col("xmax") - F.col("xmin")).alias("w"), F.max(F.col("ymax") - F.col("ymin")).alias("h"))
+    return each.agg(F.collect_list(F.struct(F.col("_level").alias("level"), "w", "h")).alias("_levels"))
+
+
+def _level_keys(df: DataFrame, others: DataFrame, stored: int, smaller: bool) -> DataFrame:
+    """``_key``: a row's own key, and one for each tile of a level of the other side in which a box that touches it can be stored.
+
+    ``stored``: the number that marks the own keys; a row looks up levels above its own, or from it on unless ``smaller``.
+    """
+    tile = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("int")
+    key = lambda kind, level, x, y: F.struct(F.lit(kind).alias("kind"), level.alias("level"), x.alias("x"), y.alias("y"))
+    own = F.array(key(stored, F.col("_level"), tile(F.col("xmin"), F.col("_level")), tile(F.col("ymin"), F.col("_level"))))
+    wanted = F.filter("_levels", lambda l: l["level"] > F.col("_level") if smaller else l["level"] >= F.col("_level"))
+    span = lambda axis, long, l: F.sequence(tile(F.col(f"{axis}min") - l[long], l["level"]), tile(F.col(f"{axis}max"), l["level"]))
+    at = lambda l: F.flatten(F.transform(span("x", "w", l), lambda x: F.transform(span("y", "h", l), lambda y: key(1 - stored, l["level"], x, y))))
+    return df.withColumn("_levels", others.scalar()).withColumn("_key", F.explode(F.concat(own, F.flatten(F.transform(wanted, at))))).drop("_levels")
+
+
+def level_join(left: DataFrame, right: DataFrame, on: Column | None = None, how: Column | None = None, finer: int = 1) -> DataFrame:
+    """Pairs of rows with overlapping boxes, aliases ``l`` and ``r``, where boxes may have any sizes: an equi-join on tiles of a quadtree.
+
+    A box is stored once, in the tile of its lower left corner on the level of its size; the smaller box of a pair looks
+    the larger one up, so a row has a few keys for each level of the other side (points and boxes alike) and a pair meets
+    once. ``finer``: levels below the box's size on which it is stored; more of them give more keys and fewer candidates.
+    ``on`` adds equalities to the join key, ``how`` further conditions; both may use the aliases.
+    """
+    left, right = _levelled(left, finer), _levelled(right, finer)
+    a, b = _level_keys(left, _levels(right), 0, False).alias("l"), _level_keys(right, _levels(left), 1, True).alias("r")
+    key = F.col("l._key") == F.col("r._key")
+    for extra in (on, how):
+        key = key if extra is None else key & extra
+    return a.join(b, key & overlaps("l", "r"))
+
+
+def covering_grid(areas: DataFrame, chip: int, overlap: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cells that touch the box of an area: stride (chip - overlap) pixels from the origin, box grown by ``overlap`` pixels each side, and the window that a reader takes.
 
     cell_id comes from the tile's place in the area's lattice, so no global order is needed.
@@ -87,5 +129,5 @@ def covering_grid(areas: DataFrame, chip: int, overlap: int = 0) -> DataFrame:
         place.cast("long").alias("cell_id"), "tx", "ty",
         (F.col("tx") * stride - grow).alias("xmin"), (F.col("ty") * stride - grow).alias("ymin"),
         ((F.col("tx") + 1) * stride + grow).alias("xmax"), ((F.col("ty") + 1) * stride + grow).alias("ymax"),
-        F.lit(chip * PIXEL).alias("window"),
+        F.lit(chip * PIXEL).alias("window"), *keep,
     )
