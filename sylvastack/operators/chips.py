@@ -75,6 +75,24 @@ def augment_rotate(pixels: DataFrame, size: int, seed: int, bands: list[str], ke
     return source.join(values, [key, "_r", "_c"]).select(key, "row", "col", *bands)
 
 
+def turn_records(chips: DataFrame, size: int, seed: int, bands: list[str], key: str = "chip_id", turn: float = 0.2) -> DataFrame:
+    """``augment_rotate`` on records of whole chips, arrays in row-major order: the places that a turn reads are found once, and every band is gathered by them. No shuffle."""
+    angle = (draw(key, seed, "a", 20_001) / 10_000.0 - 1) * (turn * 2 * math.pi)
+    mid = (size - 1) / 2
+
+    def reflected(c: Column) -> Column:
+        m = F.pmod(F.round(c).cast("int"), F.lit(2 * size))
+        return F.when(m >= size, 2 * size - 1 - m).otherwise(m)
+
+    def source(at: Column) -> Column:
+        y, x = F.floor(at / size) - mid, at % size - mid
+        return (reflected(F.col("_cos") * y + F.col("_sin") * x + mid) * size + reflected(F.col("_cos") * x - F.col("_sin") * y + mid)).cast("int")
+
+    turned = chips.withColumns({"_cos": F.cos(angle), "_sin": F.sin(angle)}).withColumn("_from", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), source))
+    gather = lambda b: F.transform("_from", lambda i: F.get(F.col(b), i))
+    return turned.withColumns({b: gather(b) for b in bands}).drop("_cos", "_sin", "_from")
+
+
 def batch_ids(df: DataFrame, order: list[str], size: int = 32, by: list[str] | None = None) -> DataFrame:
     """``batch``: rows in batches of ``size`` in order within each group."""
     at = F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order))
@@ -97,8 +115,8 @@ def train_dataset(chips_px: DataFrame, size: int, crop: int, epochs: int, seed:
     rows = repeat_epochs(scaled(chips_px, band_stats(some, bands), bands), epochs).withColumn("_key", F.concat_ws("@", "chip_id", "epoch"))
     cropped = random_crop(rows, size, crop, seed, "_key")
     if turn:
-        others = [c for c in cropped.columns if c not in ("_key", "row", "col")]
-        cropped = augment_rotate(cropped, crop, seed, others, "_key", turn)
+        keys, others = ("_key", "chip_id", "epoch"), [c for c in cropped.columns if c not in ("_key", "chip_id", "epoch", "row", "col")]
+        cropped = chips_to_pixels(turn_records(chips_from_pixels(cropped, others, keys), crop, seed, others, "_key", turn), crop, others, keys)
     cropped = augment_flip(cropped, crop, seed, "_key")
     order = cropped.select("epoch", "chip_id", "_key").distinct().withColumn("shuffle", F.md5(F.concat_ws(":", F.lit(str(seed)), "_key"))).withColumn("_slice", F.substring("shuffle", 1, 3))
     before = Window.partitionBy("epoch").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -92,3 +92,15 @@ def stratified_sample(df: DataFrame, per_class: int, by: list[str], bands: list[
 def sampled_counts(pixels: DataFrame, flags: list[str], by: str, size: int = 2500, seed: int = 1, key: str = "pixel_id") -> DataFrame:
     """(by, one count a flag): non-NULL flags among ``size`` sampled pixels of each cell."""
     return head_by(pixels, [by], [shuffle_key(seed, key), F.col(key)], size).groupBy(by).agg(*(F.count(f).alias(f) for f in flags))
+
+
+def sampled_events(pixels: DataFrame, events: dict[str, str], by: str, years: DataFrame, size: int = 2500, seed: int = 1, key: str = "pixel_id") -> DataFrame:
+    """(by, year, one count an event): in each year, how many of a cell's ``size`` sampled pixels have the event; ``events`` names the column with its year.
+
+    The sample does not depend on the year, so it is taken first: each task keeps the least digests of its part of a cell,
+    and those meet in one shuffle. Only the years of the sampled pixels, one short list a cell, meet the years of the archive.
+    """
+    sampled = head_by(pixels, [by], [shuffle_key(seed, key), F.col(key)], size)
+    lists = sampled.groupBy(by).agg(*(F.collect_list(c).alias(f"_{k}") for k, c in events.items()))
+    counts = (F.size(F.filter(f"_{k}", lambda y: y == F.col("year"))).cast("long").alias(k) for k in events)
+    return lists.crossJoin(F.broadcast(years.select("year"))).select(by, "year", *counts)
