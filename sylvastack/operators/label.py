@@ -1,12 +1,21 @@
-"""Scene labels: gating by what the scene can already show, and the precedence of all layers."""
+"""Scene labels: gating by what the scene can already show, and the precedence of all layers.
+
+All that a label needs of a pixel is brought to one row a pixel (``second_sensor``, ``pixel_layers``), so scene pixels meet it
+in joins on pixel_id alone, and a scene's own pixels give their median in a window over pixel_id. Inputs that are stored in
+buckets by pixel_id (``sources.store``) are labelled without a shuffle; others are shuffled once each.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.bands import FIRE, HARVEST, PREVIOUS_FIRE, PREVIOUS_HARVEST, bitwise_extract, occlusion_code
-from .scenes import coincident_mosaic
+from .layers import basemaps, disturbance_years, reduced_event
+
+#: Scenes that may enter a median: a cloud share up to this, in season.
+MEDIAN_CLOUD = 20
 
 
 def disturbance_gate(df: DataFrame) -> DataFrame:
@@ -21,29 +30,69 @@ def disturbance_gate(df: DataFrame) -> DataFrame:
 
 
 def label_image(df: DataFrame, fire_lookback: int = 3, harvest_lookback: int = 10) -> Column:
-    """Class of a pixel in a scene; needs base, fire_year, harvest_year, year, gate, occlusion.
+    """Class of a pixel in a scene; needs base, fire_year, harvest_year, year, gate, occlusion, and fire_now and harvest_now if they are reduced from finer pixels.
 
     From low to high: base map, previous harvest, previous fire, gated harvest, gated fire, cloud and shadow. NULL where all are.
     """
     year, gate = F.col("year"), F.col("gate") != 0
     past = lambda c, n: (F.col(c) < year) & (F.col(c) >= year - n)
+    now = lambda c: (F.col(f"{c}_now") != 0) if f"{c}_now" in df.columns else F.col(f"{c}_year") == year
     return F.coalesce(
         occlusion_code(F.col("occlusion")),
-        F.when((F.col("fire_year") == year) & gate, FIRE),
-        F.when((F.col("harvest_year") == year) & gate, HARVEST),
+        F.when(now("fire") & gate, FIRE),
+        F.when(now("harvest") & gate, HARVEST),
         F.when(past("fire_year", fire_lookback), PREVIOUS_FIRE),
         F.when(past("harvest_year", harvest_lookback), PREVIOUS_HARVEST),
         F.col("base") + 1,
     ).cast("int")
 
 
-def labelled_scene_pixels(pixels: DataFrame, scenes: DataFrame, layers: DataFrame, bases: DataFrame, medians: DataFrame, coincident: DataFrame, second: DataFrame) -> DataFrame:
-    """Every scene pixel with its label: scenes are small and join on scene_id, layers and medians on pixel_id, base maps on pixel_id and year.
+def first_sensor(pixels: DataFrame, scenes: DataFrame, coincident: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``pixels`` with year, clear_scene, other_ids and by_nbr of their scene, and its columns in ``keep``; catalogues join on scene_id."""
+    usable = (F.col("cloud_cover") <= MEDIAN_CLOUD) & F.col("in_season")
+    facts = scenes.select("scene_id", "year", usable.alias("clear_scene"), *(c for c in keep if c != "year"))
+    facts = facts.join(coincident.select("scene_id", "other_ids", F.col("other_ids").isNotNull().alias("by_nbr")), "scene_id")
+    return pixels.join(facts, "scene_id")
+
+
+def second_sensor(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(pixel_id, seen, median_nbr): one row a pixel of the second sensor: what each scene saw, NULLs left out, and the median of the clear scenes.
+
+    ``pixels``: scene_id, pixel_id, nbr, one row each. The map grows with a pixel's archive, not with the table.
+    """
+    usable = (F.col("cloud_cover") <= MEDIAN_CLOUD) & F.col("in_season")
+    rows = pixels.where("nbr is not null").join(scenes.select("scene_id", usable.alias("_ok")), "scene_id")
+    return rows.groupBy("pixel_id").agg(F.map_from_entries(F.collect_list(F.struct("scene_id", "nbr"))).alias("seen"), F.median(F.when(F.col("_ok"), F.col("nbr"))).alias("median_nbr"))
+
+
+def pixel_layers(near: DataFrame, fine: DataFrame, landcover: DataFrame, years: DataFrame, lookback: int = 1, first_year: int | None = None) -> DataFrame:
+    """(pixel_id, fire_year, harvest_year, fire_years, harvest_years, bases): all layers, one row a pixel.
+
+    ``near`` has the event years at the pixel itself, ``fine`` those of the finer pixels in it, ``landcover`` its finer
+    pixels by year; all carry pixel_id. Event years are reduced once for all scene years.
+    """
+    own = near.select("pixel_id", "fire_year", "harvest_year")
+    return own.join(disturbance_years(fine), "pixel_id", "left").join(basemaps(landcover, years, lookback, first_year), "pixel_id", "left")
+
+
+def labelled(first: DataFrame, second: DataFrame, layers: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """``first`` with gate and label, and what they come from. Joins are on pixel_id; the medians of tca over a pixel's clear scenes come from ``first`` itself, or from ``medians``.
 
-    ``pixels`` needs scene_id, pixel_id, tca, qa, occlusion; ``bases`` pixel_id, year, base; ``medians`` pixel_id,
-    median_tca, median_nbr; ``coincident`` scene_id, other_ids; ``second`` scene_id, pixel_id, nbr of the second sensor.
+    A scene that coincident ones cover is decided by the last of them, in order of other_ids, that saw the pixel.
     """
-    decided = scenes.select("scene_id", "year").join(coincident.select("scene_id", F.col("other_ids").isNotNull().alias("by_nbr")), "scene_id")
-    rows = pixels.join(decided, "scene_id").join(layers.select("pixel_id", "fire_year", "harvest_year"), "pixel_id", "left")
-    rows = rows.join(bases, ["pixel_id", "year"], "left").join(medians, "pixel_id", "left").join(coincident_mosaic(coincident, second, "nbr"), ["scene_id", "pixel_id"], "left")
-    return disturbance_gate(rows).withColumn("label", label_image(rows))
+    if medians is None:
+        over = Window.partitionBy("pixel_id")
+        rows = first.withColumn("median_tca", F.percentile(F.when(F.col("clear_scene"), F.col("tca")), F.lit(0.5)).over(over))
+    else:
+        rows = first.join(medians.select("pixel_id", "median_tca"), "pixel_id", "left")
+    rows = rows.join(second, "pixel_id", "left").join(layers, "pixel_id", "left")
+    # Null where no coincident scene saw the pixel; the ids of few scenes are looked up, last one first.
+    last = F.get(F.filter(F.transform(F.reverse("other_ids"), lambda i: F.try_element_at("seen", i)), lambda x: x.isNotNull()), 0)
+    rows = rows.withColumns({
+        "nbr": F.when(F.col("by_nbr") & F.col("seen").isNotNull(), last),
+        "base": F.try_element_at("bases", F.col("year")),
+        "fire_now": F.coalesce(reduced_event(F.col("fire_years"), F.col("year")), F.lit(0)),
+        "harvest_now": F.coalesce(reduced_event(F.col("harvest_years"), F.col("year")), F.lit(0)),
+    })
+    rows = disturbance_gate(rows).drop("seen", "bases", "fire_years", "harvest_years", "other_ids")
+    return rows.withColumn("label", label_image(rows))

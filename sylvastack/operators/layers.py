@@ -45,12 +45,36 @@ def basemap(trees: DataFrame, waters: DataFrame) -> DataFrame:
     return a.join(b, "pixel_id").select("pixel_id", F.coalesce(F.when(F.col("dry") == 0, 2), F.col("treed")).alias("base"))
 
 
-def basemaps(landcover: DataFrame, lookback: int = 0) -> DataFrame:
-    """(pixel_id, year, base) of every year with land cover: water of the year on the trees of ``lookback`` years before; the first image of a year counts."""
-    first = landcover.groupBy("pixel_id", "year").agg(F.min_by("lc", "acquired").alias("lc"))
-    trees = first.select("pixel_id", (F.col("year") + lookback).alias("year"), treed().alias("treed"))
-    waters = first.select("pixel_id", "year", not_water().alias("dry"))
-    return trees.join(waters, ["pixel_id", "year"]).select("pixel_id", "year", F.coalesce(F.when(F.col("dry") == 0, 2), F.col("treed")).alias("base"))
+def basemaps(landcover: DataFrame, years: DataFrame, lookback: int = 0, first_year: int | None = None, key: str = "pixel_id") -> DataFrame:
+    """(key, bases): one row a pixel with a map from each of ``years`` to its base: water of the year on the trees of ``lookback`` years before.
+
+    Neither is taken before ``first_year``, the first of the land cover (None: the least in ``landcover``), so every
+    scene year has a base. ``landcover`` may have several fine pixels of one ``key``, told apart by x and y: the first
+    image of a year counts for each, and their classes are reduced by the largest value. Each land-cover year is handed
+    to the scene years that read it, so one aggregation over ``key`` does it. ``years`` is a small table.
+    """
+    first = landcover.agg(F.min("year").alias("_first")) if first_year is None else landcover.sparkSession.createDataFrame([(first_year,)], "_first int")
+    clamp = lambda back: F.greatest(F.col("year") - back, F.col("_first")).alias("read")
+    reads = years.select("year").distinct().join(F.broadcast(first))
+    reads = reads.select("year", clamp(lookback), F.lit("treed").alias("what")).unionByName(reads.select("year", clamp(0), F.lit("dry").alias("what")))
+    reads = reads.groupBy("read").agg(F.collect_list(F.struct("year", "what")).alias("uses"))
+    fine = landcover.repartition(key).groupBy(key, "x", "y", "year").agg(F.min_by("lc", "acquired").alias("lc"))
+    coarse = fine.groupBy(key, "year").agg(F.max(treed()).alias("treed"), F.max(not_water()).alias("dry"))
+    used = coarse.join(F.broadcast(reads), F.col("year") == F.col("read")).select(key, "treed", "dry", F.explode("uses").alias("u"))
+    by_year = used.groupBy(key, F.col("u.year").alias("year")).agg(F.max(F.when(F.col("u.what") == "treed", F.col("treed"))).alias("treed"), F.max(F.when(F.col("u.what") == "dry", F.col("dry"))).alias("dry"))
+    base = F.coalesce(F.when(F.col("dry") == 0, 2), F.col("treed"))
+    return by_year.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("year", base.alias("base")))).alias("bases"))
+
+
+def disturbance_years(layer: DataFrame, keys: tuple[str, ...] = ("pixel_id",)) -> DataFrame:
+    """(keys, fire_years, harvest_years): the distinct years in which any fine pixel of a coarse one burned or was cut, from one reduction for all years."""
+    return layer.groupBy(*keys).agg(*(F.collect_set(c).alias(f"{c}s") for c in ("fire_year", "harvest_year")))
+
+
+def reduced_event(years: Column, year: Column | int, before: bool = False) -> Column:
+    """1 where any fine pixel has its event in the year, or an earlier one; 0 elsewhere."""
+    hit = F.coalesce(F.array_min(years) < year, F.lit(False)) if before else F.array_contains(years, year)
+    return hit.cast("int")
 
 
 def event_map(layer: str, year: Column | int, before: bool = False) -> Column:
@@ -81,8 +105,23 @@ def annual_label(base: Column, disturbance: Column) -> Column:
     return blend(base + 1, self_mask(disturbance) + 3).cast("int")
 
 
+def mode_pyramids(df: DataFrame, value: str, levels: int) -> DataFrame:
+    """(level, row, col, value): all overviews up to 2^``levels`` coarser from one pass over the pixels, the most frequent class of each place, the smallest of equals.
+
+    Pixels are counted by class at level 1; all coarser levels add those counts up. A place of the top level lies in one
+    task, where every level below it is counted without another shuffle.
+    """
+    top = [F.floor(F.col(c) / (1 << levels)).alias(f"_{c}") for c in ("row", "col")]
+    placed = df.where(F.col(value).isNotNull()).select("row", "col", value, *top).repartition("_row", "_col")
+    own = ("_row", "_col")
+    finest = placed.groupBy(*own, F.floor(F.col("row") / 2).alias("r"), F.floor(F.col("col") / 2).alias("c"), value).agg(F.count("*").alias("n"))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("level") - 1))
+    every = finest.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).groupBy(*own, "level", at("r").alias("row"), at("c").alias("col"), value).agg(F.sum("n").alias("n"))
+    return every.groupBy(*own, "level", "row", "col").agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value)).select("level", "row", "col", value)
+
+
 def mode_pyramid(df: DataFrame, value: str, level: int) -> DataFrame:
-    """(row, col, value) of an overview 2^level coarser: the most frequent class, the smallest of equals."""
+    """(row, col, value) of the overview 2^level coarser: the most frequent class, the smallest of equals."""
     k = 1 << level
     counted = df.groupBy(F.floor(F.col("row") / k).alias("row"), F.floor(F.col("col") / k).alias("col"), value).agg(F.count("*").alias("n"))
     return counted.groupBy("row", "col").agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.bands import FIRST_DOY, LAST_DOY
-from ..functions.geo import BOX, box_area, tile_join
+from ..functions.geo import BOX, box_area, level_join, tiles
+from ..functions.rings import region_join
 
 TILE = 24_000.0
 
@@ -31,8 +35,11 @@ def union_collections(*parts: DataFrame) -> DataFrame:
 
 
 def cell_region(cells: DataFrame, regions: DataFrame, key: str = "cell_id", region: str = "ecozone_id", order: str = "part_id") -> DataFrame:
-    """(key, region): the first region, by ``order``, that touches a cell."""
-    pairs = tile_join(cells.select(key, *BOX), regions.select(region, order, *BOX), TILE)
+    """(key, region): the first region, by ``order``, that touches a cell. Regions are polygons if they have ``rings``, else boxes."""
+    if "rings" in regions.columns:
+        pairs = region_join(cells.select(key, *BOX), regions.select(region, order, "rings", *BOX))
+    else:
+        pairs = level_join(cells.select(key, *BOX), regions.select(region, order, *BOX), finer=0)
     return pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.min_by(f"r.{region}", f"r.{order}").alias(region))
 
 
@@ -45,7 +52,7 @@ def cell_scenes(cells: DataFrame, scenes: DataFrame, doys: tuple[int, int] = (FI
     """(id, scene_id): scenes of a cell's year and season that cover the cell's centre."""
     a = _centred(cells.select("id", "year", *BOX))
     b = scenes.where(F.col("doy").between(*doys)).select("scene_id", "year", *BOX)
-    return tile_join(a, b, TILE, on=F.col("l.year") == F.col("r.year")).select(F.col("l.id").alias("id"), F.col("r.scene_id").alias("scene_id"))
+    return level_join(a, b, on=F.col("l.year") == F.col("r.year")).select(F.col("l.id").alias("id"), F.col("r.scene_id").alias("scene_id"))
 
 
 def image_overlap(cells: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -54,14 +61,53 @@ def image_overlap(cells: DataFrame, scenes: DataFrame) -> DataFrame:
     return cells.join(n, "id", "left").withColumn("num_overlapping_images", F.coalesce("n", F.lit(0))).drop("n")
 
 
-def _covered(boxes: Column) -> Column:
-    """Area of the union of an array of boxes: the strips between their edges, each with the stretches that some box covers."""
-    edges = lambda lo, hi: F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b[lo]), F.transform(boxes, lambda b: b[hi]))))
-    spans = lambda e: F.zip_with(F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    xs, ys = spans(edges("xmin", "xmax")), spans(edges("ymin", "ymax"))
-    held = lambda x, y: F.exists(boxes, lambda r: (r["xmin"] <= x["a"]) & (r["xmax"] >= x["b"]) & (r["ymin"] <= y["a"]) & (r["ymax"] >= y["b"]))
-    return total(F.transform(xs, lambda x: (x["b"] - x["a"]) * total(F.transform(ys, lambda y: F.when(held(x, y), y["b"] - y["a"]).otherwise(0.0)))))
+def union_area(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, strips: int = 512) -> float:
+    """Area of the union of boxes: a sweep over the sorted x-edges that keeps, for each stretch between sorted y-edges, how many boxes cover it.
+
+    Counts come from differences at the boxes' corners, for ``strips`` edges at once, so memory is strips x edges.
+    """
+    if len(x0) < 2:
+        return float(((x1 - x0) * (y1 - y0)).sum())
+    (xs, at_x), (ys, at_y) = (np.unique(np.concatenate(e), return_inverse=True) for e in ((x0, x1), (y0, y1)))
+    n, width, height = len(x0), np.append(np.diff(xs), 0.0), np.append(np.diff(ys), 0.0)
+    edge, low, high = at_x, np.tile(at_y[:n], 2), np.tile(at_y[n:], 2)
+    sign = np.repeat([1, -1], n)
+    total, before = 0.0, np.zeros(len(ys), np.int64)
+    for first in range(0, len(xs), strips):
+        here = (edge >= first) & (edge < first + strips)
+        change = np.zeros((min(strips, len(xs) - first), len(ys)), np.int64)
+        np.add.at(change, (edge[here] - first, low[here]), sign[here])
+        np.add.at(change, (edge[here] - first, high[here]), -sign[here])
+        change[0] += before
+        step = change.cumsum(axis=0)
+        before = step[-1]
+        total += float(width[first : first + strips] @ ((step.cumsum(axis=1) > 0) @ height))
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def _covered(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    return pd.Series([union_area(*boxes) for boxes in zip(x0, y0, x1, y1)], dtype="float64")
+
+
+def covered_area(boxes: Column) -> Column:
+    """Area of the union of each row's array of boxes."""
+    return _covered(*(boxes[c] for c in BOX))
+
+
+def union_coverage(footprints: DataFrame, area: DataFrame, by: str, tile: float = TILE) -> DataFrame:
+    """(by, ratio): area of the union of each group's boxes over that of the area of interest, a box of one row; what lies outside it doesn't count.
+
+    Boxes are cut to tiles, and a tile's boxes meet in one task, so a group of any size is spread. Groups that miss the area have no row.
+    """
+    aoi = area.select(*(F.col(c).alias(f"_{c}") for c in BOX))  # one row
+    cut = [f(c, f"_{c}").alias(c) for c, f in zip(BOX, (F.greatest, F.greatest, F.least, F.least))]
+    inside = footprints.join(F.broadcast(aoi)).select(by, *cut, box_area("_").alias("_all")).where("xmin < xmax and ymin < ymax")
+    tiled = inside.withColumn("_t", F.explode(tiles(tile)))
+    edges = [F.greatest("xmin", F.col("_t.tx") * tile), F.greatest("ymin", F.col("_t.ty") * tile), F.least("xmax", (F.col("_t.tx") + 1) * tile), F.least("ymax", (F.col("_t.ty") + 1) * tile)]
+    pieces = tiled.select(by, "_t", "_all", F.struct(*(e.alias(c) for c, e in zip(BOX, edges))).alias("_b")).where("_b.xmin < _b.xmax and _b.ymin < _b.ymax")
+    covered = pieces.groupBy(by, "_t", "_all").agg(F.collect_set("_b").alias("_b")).select(by, "_all", covered_area(F.col("_b")).alias("_a"))
+    return covered.groupBy(by, "_all").agg(F.sum("_a").alias("_a")).select(by, (F.col("_a") / F.col("_all")).alias("ratio"))
 
 
 def coincident_scenes(scenes: DataFrame, others: DataFrame, coverage: float = 0.99, days: int = 1) -> DataFrame:
@@ -73,21 +119,14 @@ def coincident_scenes(scenes: DataFrame, others: DataFrame, coverage: float = 0.
     """
     a = scenes.select("scene_id", "acquired", *BOX).withColumn("day", F.explode(F.sequence(F.date_sub("acquired", days), F.date_add("acquired", days - 1)))).drop("acquired")
     b = others.select(F.col("scene_id").alias("other_id"), F.col("acquired").alias("day"), *BOX)
-    pairs = tile_join(a, b, TILE, on=F.col("l.day") == F.col("r.day"))
+    pairs = level_join(a, b, on=F.col("l.day") == F.col("r.day"), finer=0)
     inner = [f(f"l.{c}", f"r.{c}").alias(c) for c, f in zip(BOX, (F.greatest, F.greatest, F.least, F.least))]
     met = pairs.groupBy(F.col("l.scene_id").alias("scene_id"), box_area("l.").alias("area")).agg(F.array_sort(F.collect_list(F.struct(F.col("r.day").alias("day"), F.col("r.other_id").alias("other_id"), *inner))).alias("met"))
-    share = F.round(_covered(F.col("met")) / F.col("area"), 9)
-    found = met.select("scene_id", share.alias("share"), F.when(share >= coverage, F.col("met.other_id")).alias("other_ids"))
+    found = met.select("scene_id", F.round(covered_area(F.col("met")) / F.col("area"), 9).alias("share"), F.col("met.other_id").alias("other_ids"))
+    found = found.withColumn("other_ids", F.when(F.col("share") >= coverage, F.col("other_ids")))
     return scenes.select("scene_id").join(found, "scene_id", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
 
 
-def coincident_mosaic(coincident: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
-    """(scene_id, pixel_id, value): for each scene with coincident ones their last non-NULL value of each pixel."""
-    top = coincident.where("other_ids is not null").select("scene_id", F.posexplode("other_ids").alias("at", "other_id"))
-    rows = top.join(pixels.select(F.col("scene_id").alias("other_id"), "pixel_id", value), "other_id").where(F.col(value).isNotNull())
-    return rows.groupBy("scene_id", "pixel_id").agg(F.max_by(value, "at").alias(value))
-
-
 def mosaic(df: DataFrame, key: str, value: str, order: Column) -> DataFrame:
     """The last non-NULL value of each key."""
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(value))
@@ -114,16 +153,41 @@ def lookback_pairs(targets: DataFrame, observations: DataFrame, lookback: int =
     return targets.select("pixel_id", "year").join(keyed, ["pixel_id", "year"])
 
 
+def _middle(ordered: Column) -> Column:
+    """The median of a sorted array, NULL for an empty one."""
+    n = F.size(ordered)
+    at = lambda i: F.get(ordered, F.floor(i / 2).cast("int"))
+    return F.when(n > 0, (at(n - 1) + at(n)) / 2)
+
+
+def sorted_runs(observations: DataFrame, values: tuple[str, ...], max_cloud: float = 20) -> DataFrame:
+    """(pixel_id, year, ``run_`` and each value's name): the clear in-season values of a pixel's year in order; empty where nothing was clear."""
+    ok = _clear(max_cloud)
+    return observations.groupBy("pixel_id", "year").agg(*(F.array_sort(F.collect_list(F.when(ok, F.col(v)))).alias(f"run_{v}") for v in values))
+
+
 def lookback_median(targets: DataFrame, observations: DataFrame, lookback: int = 3, max_cloud: float = 20, values: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Every target with ``historical_`` and each value's name: the median of each band, NULL where nothing was seen."""
-    seen = lookback_pairs(targets, observations, lookback, max_cloud, values, ()).groupBy("pixel_id", "year").agg(*(F.median(v).alias(f"historical_{v}") for v in values))
-    return targets.select("pixel_id", "year").join(seen, ["pixel_id", "year"], "left")
+    """Every target with ``historical_`` and each value's name: the median of each band, NULL where nothing was seen.
 
+    A pixel's year is one sorted run a band. A frame over years hands each target the runs of the years before; they are
+    merged, as sorting joined runs does, and the middle is taken: no observation is repeated for the years that look back at it.
+    """
+    wanted = targets.select("pixel_id", "year").withColumn("_target", F.lit(True))
+    runs = sorted_runs(observations, values, max_cloud).withColumn("_target", F.lit(False))
+    frame = Window.partitionBy("pixel_id").orderBy("year").rangeBetween(-lookback, -1)
+    met = runs.unionByName(wanted, allowMissingColumns=True).withColumns({f"run_{v}": F.collect_list(f"run_{v}").over(frame) for v in values}).where("_target")
+    return met.select("pixel_id", "year", *(_middle(F.array_sort(F.flatten(f"run_{v}"))).alias(f"historical_{v}") for v in values))
 
-def rolling_lookback_median(observations: DataFrame, lookback: int = 3, max_cloud: float = 20, values: tuple[str, ...] = ("v",)) -> DataFrame:
-    """The same as a frame over years: every observation with the medians of the clear in-season ones of the years before its own."""
+
+def lookback_medians_of(observations: DataFrame, values: tuple[str, ...], lookback: int = 3, max_cloud: float = 20) -> list[Column]:
+    """``historical_`` columns for the rows of ``observations`` themselves: a frame over the years of a pixel's rows, in one sort."""
     frame = Window.partitionBy("pixel_id").orderBy("year").rangeBetween(-lookback, -1)
-    return observations.select("pixel_id", "acquired", *(F.percentile(F.when(_clear(max_cloud), F.col(v)), F.lit(0.5)).over(frame).alias(f"historical_{v}") for v in values))
+    return [F.percentile(F.when(_clear(max_cloud), F.col(v)), F.lit(0.5)).over(frame).alias(f"historical_{v}") for v in values]
+
+
+def rolling_lookback_median(observations: DataFrame, lookback: int = 3, max_cloud: float = 20, values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Every observation with the medians of the clear in-season ones of the years before its own."""
+    return observations.select("pixel_id", "acquired", *lookback_medians_of(observations, values, lookback, max_cloud))
 
 
 def coverage_ratio(pixels: DataFrame, total: DataFrame, by: str) -> DataFrame:

@@ -19,9 +19,9 @@ def _by_year(t):
     return t.disturbance.crossJoin(F.broadcast(t.years))  # a row for each year of the archive
 
 
-@query("landcover_year", "select pixel_id, arg_min(lc, acquired)::int lc from landcover where year = 1996 group by 1")
+@query("landcover_year", "select pixel_id, arg_min(lc, acquired)::int lc from landcover where year = greatest(1996, (select min(year) from landcover)) group by 1")
 def _(t):
-    return L.landcover_year(t.landcover, 1996)
+    return L.landcover_year(t.landcover, 1996, first_year=1997)
 
 
 @query("disturbance_scan", "select pixel_id, fire_year, harvest_year from disturbance")
@@ -111,8 +111,10 @@ def _(t):
 def _map(name, layer, op):
     @query(name, f"select year, floor(x/60)::bigint as col, floor(y/60)::bigint as row, max(coalesce(({layer} {op} year)::int, 0))::int v from disturbance30, years group by 1, 2, 3")
     def _(t):
-        rows = t.disturbance30.crossJoin(F.broadcast(t.years)).withColumn("v", L.event_map(layer, F.col("year"), op == "<"))
-        return L.reduce_resolution(rows, ["v"], ("year",))
+        # Reduced to the years of each coarse pixel first; only coarse pixels meet the years of the archive.
+        place = t.disturbance30.withColumns({"col": G.snap(F.col("x")), "row": G.snap(F.col("y"))})
+        rows = L.disturbance_years(place, ("col", "row")).crossJoin(F.broadcast(t.years))
+        return rows.select("year", "col", "row", L.reduced_event(F.col(f"{layer}s"), F.col("year"), op == "<").alias("v"))
 
 
 for _n, _l, _o in (("fire_map", "fire_year", "="), ("harvest_map", "harvest_year", "="), ("previous_fire_map", "fire_year", "<"), ("previous_harvest_map", "harvest_year", "<")):
@@ -122,7 +124,20 @@ for _n, _l, _o in (("fire_map", "fire_year", "="), ("harvest_map", "harvest_year
 @query("basemap", """with w as (select pixel_id, arg_min(lc, acquired) lc from landcover where year = 1998 group by 1), f as (select pixel_id, arg_min(lc, acquired) lc from landcover where year = 1997 group by 1)
     select f.pixel_id, case when w.lc = 20 then 2 when f.lc = 81 or f.lc >= 210 then 1 else 0 end base from f join w on f.pixel_id = w.pixel_id""")
 def _(t):
-    return L.basemap(L.landcover_year(t.landcover, 1997), L.landcover_year(t.landcover, 1998))
+    return L.basemap(L.landcover_year(t.landcover, 1997, first_year=1997), L.landcover_year(t.landcover, 1998, first_year=1997))
+
+
+#: Names bs: the base of each pixel in each scene year, from finer pixels; neither map is older than the land cover.
+BASES = """fy as (select pixel_id, x, y, year, arg_min(lc, acquired) lc from fine_landcover group by all),
+    ry as (select pixel_id, year, max(case when lc = 81 or lc >= 210 then 1 else 0 end) treed, max(case when lc <> 20 then 1 else 0 end) dry from fy group by all),
+    fl as (select min(year) y from fine_landcover),
+    bs as (select w.pixel_id, years.year, case when w.dry = 0 then 2 else f.treed end base from years, fl, ry w, ry f where w.year = greatest(years.year, fl.y) and f.pixel_id = w.pixel_id and f.year = greatest(years.year - 1, fl.y))"""
+
+
+@query("basemaps", f"with {BASES} select pixel_id, year, base from bs")
+def _(t):
+    """The base of every year of the archive, those before the land cover included."""
+    return L.basemaps(t.fine_landcover, t.years, lookback=1).select("pixel_id", F.explode("bases").alias("year", "base"))
 
 
 @query("disturbance_map", f"select pixel_id, year, {DIST} d from disturbance, years")
@@ -169,6 +184,11 @@ def _(t):
     return L.mode_pyramid(grid, "lc", 2)
 
 
+@query("mode_pyramids", " union all ".join(f"select {k} as level, r as row, c as col, arg_min(lc, k)::int lc from (select floor(y/{60 << k})::bigint r, floor(x/{60 << k})::bigint c, lc, row_number() over (partition by floor(y/{60 << k}), floor(x/{60 << k}) order by count(*) desc, lc) k from disturbance group by floor(y/{60 << k}), floor(x/{60 << k}), lc) q group by 2, 3" for k in (1, 2, 3, 4)))
+def _(t):
+    return L.mode_pyramids(t.disturbance.select((F.col("y") / 60).cast("long").alias("row"), (F.col("x") / 60).cast("long").alias("col"), "lc"), "lc", 4)
+
+
 @query("ever_land", "select pixel_id, max(case when lc > 0 and lc <> 20 then 1 else 0 end)::int land from landcover group by 1")
 def _(t):
     return L.ever_land(t.landcover)

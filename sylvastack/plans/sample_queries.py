@@ -145,9 +145,9 @@ def _(t):
 
 
 def _counts(t):
-    rows = t.disturbance.crossJoin(F.broadcast(t.years)).withColumn("cell", F.concat_ws("_", F.floor(F.col("pixel_id") / 64), "year"))
-    flags = {k: F.when(F.col(f"{k}_year") == F.col("year"), 1) for k in ("fire", "harvest")}
-    return SA.sampled_counts(rows.withColumns(flags), ["fire", "harvest"], "cell", 50)
+    cells = t.disturbance.withColumn("cell", F.floor(F.col("pixel_id") / 64))
+    counted = SA.sampled_events(cells, {"fire": "fire_year", "harvest": "harvest_year"}, "cell", t.years, 50)
+    return counted.withColumn("cell", F.concat_ws("_", "cell", "year"))
 
 
 _COUNTS = """select cell, count(fire) fire, count(harvest) harvest from (select *, row_number() over (partition by cell order by md5('1:' || pixel_id), pixel_id) k from
@@ -156,7 +156,7 @@ _COUNTS = """select cell, count(fire) fire, count(harvest) harvest from (select
 
 @query("disturbance_counts", _COUNTS)
 def _(t):
-    return _counts(t)
+    return _counts(t).select("cell", "fire", "harvest")
 
 
 @query("annual_grids", f"select split_part(cell, '_', 1)::bigint cell_id, split_part(cell, '_', 2)::int as year, cell id, fire, harvest from ({_COUNTS})")

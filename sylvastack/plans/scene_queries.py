@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import bands as B
 from ..functions import geo as G
+from ..functions import rings as R
 from ..operators import label as LB
 from ..operators import layers as L
 from ..operators import sampling as SA
 from ..operators import scenes as S
-from .layer_queries import TCA
+from ..sources.store import bucketed
+from .layer_queries import BASES, TCA
 from .registry import query
 
 r6 = lambda c, name: F.round(c, 6).alias(name)
@@ -71,6 +73,47 @@ def _(t):
     return S.cell_region(t.cell_years, t.ecozones, key="id")
 
 
+def _touching(box, name):
+    """SQL that names ``name``: (key of b, part_id, ecozone_id) of boxes b, a SELECT with k and its edges, and the parts of region_corners that they touch."""
+    side = "(x1 - x0) * ({y} - y0) - (y1 - y0) * ({x} - x0)"
+    corners = ", ".join(side.format(x=x, y=y) for x in ("b.xmin", "b.xmax") for y in ("b.ymin", "b.ymax"))
+    return f"""b as ({box}), ed as (select ecozone_id, part_id, x x0, y y0, coalesce(lead(x) over w, first(x) over w) x1, coalesce(lead(y) over w, first(y) over w) y1 from region_corners window w as (partition by part_id, ring order by i)),
+    hit as (select k, part_id, any_value(ecozone_id) ecozone_id,
+      bool_or(least(x0, x1) <= b.xmax and greatest(x0, x1) >= b.xmin and least(y0, y1) <= b.ymax and greatest(y0, y1) >= b.ymin and least({corners}) <= 0 and greatest({corners}) >= 0) edge,
+      count(*) filter ((y0 > (b.ymin + b.ymax) / 2) <> (y1 > (b.ymin + b.ymax) / 2) and (b.xmin + b.xmax) / 2 < (x1 - x0) * ((b.ymin + b.ymax) / 2 - y0) / (y1 - y0) + x0) crossed from b, ed group by 1, 2),
+    {name} as (select k, part_id, ecozone_id from hit where edge or crossed % 2 = 1)"""
+
+
+def _regions(t):
+    return R.rings_of(t.region_corners, ("ecozone_id", "part_id"))
+
+
+@query("cell_region_polygon", f"with {_touching('select id k, xmin, ymin, xmax, ymax from cell_years', 'tp')} select k id, arg_min(ecozone_id, part_id)::int ecozone_id from tp group by 1")
+def _(t):
+    return S.cell_region(t.cell_years, _regions(t), key="id")
+
+
+@query("filter_bounds_polygon", f"with {_touching('select scene_id k, xmin, ymin, xmax, ymax from scenes where cloud_cover <= 5', 'tp')} select distinct k scene_id from tp where ecozone_id = 1")
+def _(t):
+    """Scenes that touch any part of a region."""
+    return R.region_join(S.scene_search(t.scenes, doys=(1, 366), max_cloud=5).select("scene_id", *G.BOX), _regions(t).where("ecozone_id = 1")).select(F.col("l.scene_id").alias("scene_id")).distinct()
+
+
+@query("covering_grid_polygon", f"""with {_touching("select part || ':' || tx || ':' || ty k, part, tx, ty, tx * 7200.0::double - 480 xmin, ty * 7200.0::double - 480 ymin, (tx + 1) * 7200.0::double + 480 xmax, (ty + 1) * 7200.0::double + 480 ymax from (select part, tx, unnest(generate_series(y0, y1)) ty from (select *, unnest(generate_series(x0, x1)) tx from (select part_id part, floor(min(x) / 7200)::bigint x0, floor(max(x) / 7200)::bigint x1, floor(min(y) / 7200)::bigint y0, floor(max(y) / 7200)::bigint y1 from region_corners group by 1) q) q) q", 'tp')}
+    select b.tx::int tx, b.ty::int ty, b.xmin, b.ymax from tp join b on b.k = tp.k and b.part = tp.part_id""")
+def _(t):
+    """The cells of each part's grid that touch the part itself."""
+    return R.covering_cells(_regions(t), 128, 8).select("tx", "ty", "xmin", "ymax")
+
+
+@query("region_cell_area", f"""with ed as (select part_id, x x0, y y0, coalesce(lead(x) over w, first(x) over w) x1, coalesce(lead(y) over w, first(y) over w) y1 from region_corners window w as (partition by part_id, ring order by i)) select part_id, round(sum(x0 * y1 - x1 * y0) / 2, 3) area from ed group by 1""")
+def _(t):
+    """Area of each part, added up from what of it lies in each tile of a lattice."""
+    cut = _regions(t).withColumn("_t", F.explode(G.tiles(5000.0)))
+    box = [F.col("_t.tx") * 5000.0, F.col("_t.ty") * 5000.0, (F.col("_t.tx") + 1) * 5000.0, (F.col("_t.ty") + 1) * 5000.0]
+    return cut.select("part_id", R.clipped_area(F.col("rings"), *box).alias("a")).groupBy("part_id").agg(F.round(F.sum("a"), 3).alias("area"))
+
+
 _SEEN = "cell_years c join scenes s on c.year = s.year and s.doy between 172 and 282 and (c.xmin+c.xmax)/2 between s.xmin and s.xmax and (c.ymin+c.ymax)/2 between s.ymin and s.ymax"
 
 
@@ -107,6 +150,18 @@ def _(t):
     return coincident(t).select("scene_id", "share", F.array_join(F.col("other_ids").cast("array<string>"), ",").alias("other_ids"))
 
 
+_LATTICE = """with aoi as (select 12000 x0, 12000 y0, 84000 x1, 84000 y1),
+    c as (select distinct year, x, unnest(generate_series(greatest(ymin, y0)::bigint, least(ymax, y1)::bigint - 1, 1000)) y from (select *, unnest(generate_series(greatest(xmin, x0)::bigint, least(xmax, x1)::bigint - 1, 1000)) x from scenes, aoi where cloud_cover <= 5 and doy between 172 and 282) q)
+    select year, count(*) / 5184.0::double ratio from c group by 1"""
+
+
+@query("footprint_coverage", _LATTICE)
+def _(t):
+    """Share of an area of interest that a year's nearly cloudless footprints cover together; all edges lie on whole kilometres, which the SQL counts."""
+    aoi = t.spark.createDataFrame([(12000.0, 12000.0, 84000.0, 84000.0)], "xmin double, ymin double, xmax double, ymax double")
+    return S.union_coverage(S.scene_search(t.scenes, max_cloud=5), aoi, "year")
+
+
 _CLEAR = "cloud_cover <= 20 and doy between 172 and 282 and (qa // 8) % 2 = 0"
 _TARGET = "select distinct pixel_id, year from observations"
 
@@ -244,19 +299,21 @@ def _mss(t):
     return t.pixels.join(t.scenes.where("sensor = 'MSS'").select("scene_id"), "scene_id")
 
 
-def _medians(t, nbr):
-    ok = S.scene_search(t.scenes, max_cloud=20).select("scene_id", "sensor")
-    tca = _mss(t).withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
-    a = S.pixel_median(tca.join(ok, "scene_id"), "pixel_id", "tca", "median_tca")
-    b = S.pixel_median(nbr.join(ok.where("sensor = 'TM'"), "scene_id"), "pixel_id", "nbr", "median_nbr")
-    return a.join(b, "pixel_id", "full")
+def _nbr(t):
+    return B.process_tm(t.tm_pixels).select("scene_id", "pixel_id", "nbr")
+
 
+def label_inputs(t, keep=()):
+    """What the labels of the first sensor's scenes are made from: its pixels with their scene's facts, the second sensor and all layers by pixel."""
+    shots = t.scenes.withColumn("in_season", F.col("doy").between(B.FIRST_DOY, B.LAST_DOY))
+    pixels = t.pixels.withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
+    first = LB.first_sensor(pixels, shots.where("sensor = 'MSS'"), coincident(t), keep)
+    return first, LB.second_sensor(_nbr(t), shots.where("sensor = 'TM'")), LB.pixel_layers(t.disturbance, t.fine_disturbance, t.fine_landcover, t.years)
 
-def _labelled(t):
+
+def _labelled(t, keep=()):
     """Pixels of the scenes of the first sensor with their label: base map of the year on the trees of the year before."""
-    nbr = B.process_tm(t.tm_pixels).select("scene_id", "pixel_id", "nbr")
-    pixels = _mss(t).withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
-    return LB.labelled_scene_pixels(pixels, t.scenes, t.disturbance, L.basemaps(t.landcover, lookback=1), _medians(t, nbr), coincident(t), nbr)
+    return LB.labelled(*label_inputs(t, keep))
 
 
 _LABELS = f"""{_COINCIDE},
@@ -265,14 +322,14 @@ _LABELS = f"""{_COINCIDE},
       from (select scene_id, pixel_id, qa, sr_b4 * 0.0000275::double - 0.2::double a, sr_b7 * 0.0000275::double - 0.2::double b from tm_pixels) q),
     mt as (select pixel_id, median({TCA} / 90.0) median_tca from pixels p join ok on p.scene_id = ok.scene_id where sensor = 'MSS' group by 1),
     mn as (select pixel_id, median(nbr) median_nbr from nb join ok on nb.scene_id = ok.scene_id where sensor = 'TM' group by 1),
-    fy as (select pixel_id, year, arg_min(lc, acquired) lc from landcover group by 1, 2),
-    bs as (select w.pixel_id, w.year, case when w.lc = 20 then 2 when f.lc = 81 or f.lc >= 210 then 1 else 0 end base from fy w join fy f on w.pixel_id = f.pixel_id and f.year = w.year - 1),
+    {BASES},
+    fd as (select pixel_id, list(distinct fire_year) fires, list(distinct harvest_year) harvests from fine_disturbance group by 1),
     mo as (select e.scene_id, nb.pixel_id, arg_max(nbr, place) nbr from (select scene_id, unnest(ids) other_id, generate_subscripts(ids, 1) place from co where ids is not null) e join nb on nb.scene_id = e.other_id where nbr is not null group by 1, 2),
-    j as (select p.scene_id, p.pixel_id, s.year, fire_year, harvest_year, occlusion, base, {TCA} / 90.0 tca, p.qa, mo.nbr, median_tca, median_nbr, s.doy, co.ids is not null by_nbr
-      from pixels p join scenes s on p.scene_id = s.scene_id join co on p.scene_id = co.scene_id left join disturbance d on p.pixel_id = d.pixel_id left join bs on p.pixel_id = bs.pixel_id and s.year = bs.year
+    j as (select p.scene_id, p.pixel_id, s.year, fire_year, harvest_year, occlusion, base, {TCA} / 90.0 tca, p.qa, mo.nbr, median_tca, median_nbr, s.doy, co.ids is not null by_nbr, coalesce(list_contains(fires, s.year), false) fire_now, coalesce(list_contains(harvests, s.year), false) harvest_now
+      from pixels p join scenes s on p.scene_id = s.scene_id join co on p.scene_id = co.scene_id left join disturbance d on p.pixel_id = d.pixel_id left join fd on p.pixel_id = fd.pixel_id left join bs on p.pixel_id = bs.pixel_id and s.year = bs.year
       left join mt on p.pixel_id = mt.pixel_id left join mn on p.pixel_id = mn.pixel_id left join mo on p.scene_id = mo.scene_id and p.pixel_id = mo.pixel_id),
     g as (select *, case when by_nbr then nbr <= median_nbr when (qa // 8) % 2 = 0 then tca <= median_tca end::int gate from j),
-    k as (select *, coalesce(nullif(occlusion, 0) + 7, case when fire_year = year and gate <> 0 then 5 end, case when harvest_year = year and gate <> 0 then 7 end,
+    k as (select *, coalesce(nullif(occlusion, 0) + 7, case when fire_now and gate <> 0 then 5 end, case when harvest_now and gate <> 0 then 7 end,
       case when fire_year < year and fire_year >= year - 3 then 4 end, case when harvest_year < year and harvest_year >= year - 10 then 6 end, base + 1)::int as label from g) """
 _LABELLED = "with " + _LABELS
 
@@ -303,20 +360,31 @@ _PREPARED = f"""pr as (select p.scene_id, p.pixel_id, p.qa, s.year, s.doy, s.clo
 _BANDS13 = ", ".join([*B.BANDS, *B.HISTORICAL])
 
 
-def sunlit(t):
-    """Pixels of the first sensor with their place, and the gain, offset and sun of their scene."""
-    rows = _mss(t).join(t.scenes.select("scene_id", "year", "doy", "cloud_cover", "xmin", "ymax"), "scene_id")
-    return G.pixel_to_world(rows, "xmin", "ymax"), (1 + F.col("scene_id") % 5) * 0.001, F.lit(0.01), 20 + F.col("scene_id") % 60
+def _sun():
+    """Gain, offset and sun elevation, which come with the scene."""
+    return (1 + F.col("scene_id") % 5) * 0.001, F.lit(0.01), 20 + F.col("scene_id") % 60
 
 
-def prepared(t, keep=("scene_id", "pixel_id")):
-    """The 13 model bands of every scene pixel: reflectance, derived bands, elevation, and the history of each band from the years before."""
-    rows, gain, offset, sun = sunlit(t)
-    out = B.preprocess(rows, L.dem(t.elevation), gain, offset, sun)
-    history = S.lookback_median(out.select("pixel_id", "year").distinct(), out, values=tuple(B.BANDS[:6]))
+_SCENE_FACTS = ("year", "doy", "cloud_cover", "xmin", "ymax")
+
+
+def with_bands(t, rows, keep):
+    """The 13 model bands of scene pixels that carry their scene's facts, beside ``keep``: reflectance, derived bands, elevation, and each band's history, in a frame over the pixel's own years."""
+    out = B.preprocess(G.pixel_to_world(rows, "xmin", "ymax"), L.dem(t.elevation), *_sun())
+    histories = S.lookback_medians_of(out, tuple(B.BANDS[:6]))
     bands = [*B.BANDS, *B.HISTORICAL]
-    out = out.join(history, ["pixel_id", "year"], "left").withColumns({c: F.round(c, 5) for c in bands})
-    return B.select_bands(out, bands, keep)
+    return B.select_bands(out.select("*", *histories).withColumns({c: F.round(c, 5) for c in bands}), bands, keep)
+
+
+def prepared(t, keep=("scene_id", "pixel_id")):
+    """The 13 model bands of every scene pixel of the first sensor."""
+    facts = t.scenes.where("sensor = 'MSS'").select("scene_id", *_SCENE_FACTS)
+    return with_bands(t, t.pixels.join(facts, "scene_id"), keep)
+
+
+def prepared_and_labelled(t, keep=("scene_id", "pixel_id", "label")):
+    """The 13 bands and the label of every scene pixel, both on one row: the label is made from the bands as they came."""
+    return with_bands(t, _labelled(t, _SCENE_FACTS), keep)
 
 
 @query("prepare_image", f"with {_PREPARED} select scene_id, pixel_id, {_BANDS13} from pp")
@@ -326,7 +394,13 @@ def _(t):
 
 @query("prepare_image_and_label", f"{_LABELLED}, {_PREPARED} select pp.scene_id, pp.pixel_id, {", ".join("pp." + b for b in [*B.BANDS, *B.HISTORICAL])}, k.label from pp join k on pp.scene_id = k.scene_id and pp.pixel_id = k.pixel_id")
 def _(t):
-    return prepared(t).join(_labelled(t).select("scene_id", "pixel_id", "label"), ["scene_id", "pixel_id"])
+    return prepared_and_labelled(t)
+
+
+@query("label_image_stored", _LABELLED + "select scene_id, pixel_id, label from k")
+def _(t):
+    """The same labels from the stored layout: inputs are written once in buckets by pixel_id, and labelling them needs no shuffle."""
+    return LB.labelled(*(bucketed(df, name) for df, name in zip(label_inputs(t), ("first", "second", "layers")))).select("scene_id", "pixel_id", "label")
 
 
 @query("export_metadata", f"select c.id, s.scene_id, s.doy - 172 doy, c.ecozone ecozone_idx, (s.xmin + s.xmax) / 2 cx from {_SEEN}")
@@ -336,21 +410,28 @@ def _(t):
     return rows.select("id", "scene_id", (F.col("doy") - 172).alias("doy"), F.col("ecozone").alias("ecozone_idx"), ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"))
 
 
-@query("stratified_sample", _LABELLED + "select scene_id, pixel_id, label from (select *, row_number() over (partition by scene_id, label order by md5('7:' || pixel_id), pixel_id) n from k where tca is not null) where n <= 2")
+_ALL_THERE = " and ".join(f"{b} is not null" for b in [*B.BANDS, *B.HISTORICAL])
+_LABELLED_BANDS = f"{_LABELLED}, {_PREPARED}, lp as (select pp.*, k.label, k.year from pp join k on pp.scene_id = k.scene_id and pp.pixel_id = k.pixel_id)"
+
+
+@query("stratified_sample", _LABELLED_BANDS + f" select scene_id, pixel_id, label, {_BANDS13} from (select *, row_number() over (partition by scene_id, label order by md5('7:' || pixel_id), pixel_id) n from lp where {_ALL_THERE}) where n <= 2")
 def _(t):
-    return SA.stratified_sample(_labelled(t), 2, ["scene_id", "label"], ["tca"]).select("scene_id", "pixel_id", "label")
+    """Points of each class in each scene, as far as no band is missing."""
+    bands = [*B.BANDS, *B.HISTORICAL]
+    return SA.stratified_sample(prepared_and_labelled(t), 2, ["scene_id", "label"], bands).select("scene_id", "pixel_id", "label", *bands)
 
 
-@query("sample_points", _LABELLED + f"""select id, scene_id, pixel_id, label, year from (select c.id, k.scene_id, k.pixel_id, label, k.year, row_number() over (partition by c.id, k.scene_id, label order by md5('7:' || k.pixel_id), k.pixel_id) n
-    from {_SEEN} join k on k.scene_id = s.scene_id join pixels p on p.scene_id = k.scene_id and p.pixel_id = k.pixel_id where s.xmin + 60.0 * p.col >= c.xmin and s.xmin + 60.0 * p.col < c.xmax and s.ymax - 60.0 * p.row >= c.ymin and s.ymax - 60.0 * p.row < c.ymax) where n <= 2""")
+@query("sample_points", _LABELLED_BANDS + f""" select id, scene_id, pixel_id, label, year, {_BANDS13} from (select c.id, lp.*, row_number() over (partition by c.id, lp.scene_id, label order by md5('7:' || lp.pixel_id), lp.pixel_id) n
+    from {_SEEN} join lp on lp.scene_id = s.scene_id where lp.x >= c.xmin and lp.x < c.xmax and lp.y >= c.ymin and lp.y < c.ymax and {" and ".join("lp." + b + " is not null" for b in [*B.BANDS, *B.HISTORICAL])}) where n <= 2""")
 def _(t):
-    """Labelled points of each class in every scene of a cell, cut to the cell."""
-    return SA.stratified_sample(in_cells(t, _labelled(t)), 2, ["id", "scene_id", "label"], []).select("id", "scene_id", "pixel_id", "label", "year")
+    """Labelled points of each class in every scene of a cell, cut to the cell, with all 13 bands; points where one is missing are left out."""
+    bands = [*B.BANDS, *B.HISTORICAL]
+    points = prepared_and_labelled(t, ("scene_id", "pixel_id", "x", "y", "year", "label"))
+    return SA.stratified_sample(in_cells(t, points), 2, ["id", "scene_id", "label"], bands).select("id", "scene_id", "pixel_id", "label", "year", *bands)
 
 
 def in_cells(t, rows):
-    """``rows`` of scene pixels for each cell whose centre the scene covers, as far as they lie in the cell."""
-    placed = G.pixel_to_world(t.pixels.select("scene_id", "pixel_id", "row", "col").join(t.scenes.select("scene_id", F.col("xmin").alias("x0"), F.col("ymax").alias("y0")), "scene_id"), "x0", "y0").select("scene_id", "pixel_id", "x", "y")
+    """``rows`` of scene pixels with x and y for each cell whose centre the scene covers, as far as they lie in the cell."""
     cells = S.cell_scenes(t.cell_years, t.scenes).join(t.cell_years.select("id", *G.BOX), "id")
     inside = (F.col("x") >= F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") < F.col("ymax"))
-    return rows.join(placed, ["scene_id", "pixel_id"]).join(cells, "scene_id").where(inside)
+    return rows.join(cells, "scene_id").where(inside)

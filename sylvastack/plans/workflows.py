@@ -15,13 +15,10 @@ from ..operators import scoring as SC
 from ..operators import series as W
 from ..sources import files
 from ..sources.workspace import fresh_folder
-from ..streaming.bulcp_stream import bulcp_stream
-from .registry import query
+from ..streaming.bulcp_stream import bulcp_stream, rocksdb
+from .registry import QUERIES, query
 from .sample_queries import _FOLD, _FOLD_ROWS, _PLACES, _SAMPLE, places
-from .scene_queries import _LABELLED, _PREPARED, _SEEN, _labelled, prepared
-
-_BANDS = ["nir", "red", "red_edge", "green"]
-
+from .scene_queries import _LABELLED, _PREPARED, _SEEN, prepared, prepared_and_labelled
 
 def _records(t):
     kinds = F.concat(F.lit("type"), F.col("chip_id").substr(-1, 1))
@@ -44,6 +41,22 @@ def _(t):
     return files.read_chips(t.spark, f"{path}/ecozone=*/disturbance_type=*", chips.schema, path).select("chip_id", "v")
 
 
+def _in_files(t, files_of=20):
+    """Vectors written to one folder for each hash of their id, so that file names are in a known order."""
+    path = fresh_folder(t.spark, "shards")
+    rows = t.embeddings.select("vec_id", "label", F.format_string("%04d", C.draw("vec_id", 5, "s", files_of)).alias("part"))
+    rows.repartition("part").write.partitionBy("part").parquet(path)
+    return path, T.StructType([*rows.schema.fields[:2], T.StructField("part", T.StringType())])
+
+
+@query("shard_read", "select vec_id, label, case when k % 10 = 0 then 'test' else 'train' end split from (select vec_id, label, ('0x' || substr(md5('5s:' || vec_id), 1, 8))::bigint % 20 k from embeddings)")
+def _(t):
+    """Shards of whole files: every tenth file is for tests, the others for training."""
+    path, schema = _in_files(t)
+    test, train = (files.read_shards(t.spark, path, 10, own, schema).withColumn("split", F.lit(name)) for name, own in (("test", (0,)), ("train", tuple(range(1, 10)))))
+    return test.unionByName(train).select("vec_id", "label", "split")
+
+
 @query("table_export", "select id, year, fire from cell_years")
 def _(t):
     path = fresh_folder(t.spark, "table")
@@ -62,15 +75,19 @@ def _(t):
     return t.spark.read.parquet(path).select("name", "transform.scale_x", "transform.translate_x", "transform.scale_y", "transform.translate_y", "crs", "bands", "height", "width", "dtype", "data")
 
 
+_BANDS13 = [*B.BANDS, *B.HISTORICAL]
+
+
 def _model(t):
-    samples = SA.stratified_sample(_labelled(t), 40, ["label"], _BANDS)
-    return SC.train_pixels(samples, _BANDS)
+    """A forest on the points sampled in cells, with all 13 bands."""
+    return SC.train_pixels(QUERIES["sample_points"](t.spark, t.sf_dir), _BANDS13)
 
 
 @query("train_pixels")
 def _(t):
-    out = SC.score_pixels(t.pixels, _model(t), ["scene_id", "pixel_id"], _BANDS)
-    return out.select("scene_id", "pixel_id", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("cls"))
+    """The class of every pixel that has all 13 bands, by a forest on the sampled points."""
+    out = SC.score_pixels(prepared(t), _model(t), ["scene_id", "pixel_id"], _BANDS13)
+    return out.select("scene_id", "pixel_id", B.argmax(F.col("p")).alias("cls"))
 
 
 @query("score_chips", f"select chip_id, avg(v) m from {_PLACES} group by 1")
@@ -80,6 +97,17 @@ def _(t):
     return scored.select("chip_id", F.col("out")[0].alias("m"))
 
 
+@query("score_chips_model")
+def _(t):
+    """A model trained on the chips' own pixels, written to a file and applied to whole chips: how often each chip has its likeliest class, and how sure it is."""
+    pixels, path = places(t), f"{fresh_folder(t.spark, 'model')}/weights"
+    SC.train_chip_model(pixels.where("label is not null"), ["v"], path)
+    scored = SC.score_chips_with(C.chips_from_pixels(pixels, ["v"]), path, SC.chip_classes(["v"]), ("chip_id",), "cls array<int>, confidence array<double>")
+    times = F.transform(F.array_distinct("classes"), lambda c: F.struct((-F.size(F.filter("classes", lambda x: x == c))).alias("n"), c.alias("c")))
+    first = scored.withColumnRenamed("cls", "classes").withColumn("first", F.array_min(times))
+    return first.select("chip_id", "first.c", (-F.col("first.n")).alias("n"), F.round(F.aggregate("confidence", F.lit(0.0), lambda s, x: s + x) / F.size("confidence"), 6).alias("confidence")).withColumnRenamed("c", "cls")
+
+
 _CHIPPED = f"""x as (select id, kind disturbance_type{_SAMPLE.split("select id, kind disturbance_type", 1)[1]}),
     ic as (select x.id, x.disturbance_type, x.split, c.ecozone, s.scene_id, s.doy, (s.xmin + s.xmax) / 2 cx, (s.ymin + s.ymax) / 2 cy, c.xmin, c.ymin, c.xmax, c.ymax from {_SEEN} join x on x.id = c.id),
     pv as (select ic.*, floor((ic.ymax - pp.y) / 60)::int r, floor((pp.x - ic.xmin) / 60)::int q, pp.nir, pp.historical_tca, k.label from ic join pp on pp.scene_id = ic.scene_id join k on k.scene_id = pp.scene_id and k.pixel_id = pp.pixel_id
@@ -92,7 +120,7 @@ def _patches(t, size=16):
     seen = S.cell_scenes(cells, t.scenes).join(cells.select("id", "ecozone", "disturbance_type", "split", *G.BOX), "id")
     meta = t.scenes.select("scene_id", (F.col("doy") - 172).cast("float").alias("doy"), ((F.col("xmin") + F.col("xmax")) / 2).alias("cx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
     bands = [*B.BANDS, *B.HISTORICAL]
-    pixels = prepared(t, ("scene_id", "pixel_id", "x", "y")).join(_labelled(t).select("scene_id", "pixel_id", "label"), ["scene_id", "pixel_id"])
+    pixels = prepared_and_labelled(t, ("scene_id", "pixel_id", "x", "y", "label"))
     inside = (F.col("x") >= F.col("xmin")) & (F.col("x") < F.col("xmax")) & (F.col("y") > F.col("ymin")) & (F.col("y") <= F.col("ymax"))
     own = pixels.join(seen, "scene_id").where(inside)
     own = own.select("id", "scene_id", F.floor((F.col("ymax") - F.col("y")) / B.PIXEL).cast("int").alias("row"), F.floor((F.col("x") - F.col("xmin")) / B.PIXEL).cast("int").alias("col"), *bands, "label")
@@ -117,7 +145,7 @@ def _(t):
 @query("build_maps")
 def _(t):
     """Score every scene pixel, stack by time, fuse, reduce to years by the rules, and write the maps and their tiles."""
-    scored = SC.score_pixels(t.pixels, _model(t), ["scene_id", "pixel_id"], _BANDS)
+    scored = SC.score_pixels(prepared(t), _model(t), ["scene_id", "pixel_id"], _BANDS13)
     dated = scored.join(t.scenes.select("scene_id", "acquired", "year"), "scene_id")
     stacks = A.stack_predictions(dated.withColumn("o", F.struct("acquired", "scene_id", "year")), order="o")
     rows = stacks.select("pixel_id", F.posexplode("stack").alias("t", "s")).select("pixel_id", "t", F.col("s.t.year").alias("year"), F.col("s.p").alias("p"))
@@ -130,17 +158,23 @@ def _(t):
 
 
 def in_ranges(df, steps_each=10):
-    """The output of the stream when ``df`` arrives in ranges of t, a micro-batch each, written in that order."""
+    """The posteriors when ``df`` arrives as a stream in ranges of t, a micro-batch each, written in that order."""
+    return replayed(df, bulcp_stream, steps_each)
+
+
+def replayed(df, program, steps_each=10):
+    """The output of a streaming program when ``df`` arrives in ranges of t: a micro-batch each, and a restart from the checkpoint before each."""
     spark = df.sparkSession
     steps, source, out, marks = (fresh_folder(spark, n) for n in ("stream-steps", "stream-in", "stream-out", "stream-marks"))
     ranged = df.withColumn("_range", F.floor(F.col("t") / steps_each))
     ranged.repartition("_range", "pixel_id").write.partitionBy("_range").parquet(steps)
     ranged = spark.read.schema(T.StructType([*df.schema, T.StructField("_range", T.LongType())])).parquet(steps)
     df.limit(0).write.parquet(source)  # a stream's folder must exist
-    stream = bulcp_stream(spark.readStream.schema(df.schema).parquet(source))
-    for (part,) in ranged.select("_range").where("_range is not null").distinct().orderBy("_range").toLocalIterator():
-        ranged.where(F.col("_range") == part).drop("_range").write.mode("append").parquet(source)
-        stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    stream = program(spark.readStream.schema(df.schema).parquet(source))
+    with rocksdb(spark):
+        for (part,) in ranged.select("_range").where("_range is not null").distinct().orderBy("_range").toLocalIterator():
+            ranged.where(F.col("_range") == part).drop("_range").write.mode("append").parquet(source)
+            stream.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 

@@ -11,6 +11,7 @@ BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 _LC = "case cast({k} % 13 as int) when 0 then 0 when 1 then 20 when 2 then 31 when 3 then 32 when 4 then 33 when 5 then 40 when 6 then 50 when 7 then 80 when 8 then 81 when 9 then 100 when 10 then 210 when 11 then 220 else 230 end"
 _FIRE = "case when p_size % 5 = 0 then cast(1995 + p_size % 7 as int) end"
 _HARVEST = "case when p_size % 4 = 0 then cast(1995 + p_partkey % 7 as int) end"
+_SUBS = "(select 0 as k union all select 1 as k union all select 2 as k union all select 3 as k) as subs"
 
 #: Name: SQL over base tables and earlier names.
 TABLES = {
@@ -22,17 +23,32 @@ TABLES = {
     "pixels": """select l_orderkey as scene_id, l_partkey as pixel_id, cast(floor(l_partkey/64) as int) as row, cast(l_partkey % 64 as int) as col,
         max(l_extendedprice)/100000 as nir, max(l_quantity)/50 as red_edge, max(l_discount) as red, max(l_tax) as green,
         cast(max(l_quantity) as int) as qa, cast(min(l_quantity) as int) % 3 as occlusion from lineitem group by l_orderkey, l_partkey""",
-    "tm_pixels": """select l_orderkey as scene_id, l_partkey as pixel_id, cast(floor(max(l_extendedprice)) as int) as sr_b4, cast(floor(max(l_quantity)*1000) as int) as sr_b7,
-        cast(floor(max(l_extendedprice)/2) as int) as st_b6, cast(max(l_quantity) as int)*3 as qa from lineitem group by l_orderkey, l_partkey""",
+    # The second sensor sees what it saw itself, the pixels of scenes that it meets within a day, and those of its customer's other scenes.
+    "tm_pixels": """select scene_id, pixel_id, cast(floor(max(price)) as int) as sr_b4, cast(floor(max(quantity)*1000) as int) as sr_b7, cast(floor(max(price)/2) as int) as st_b6, max(qa) as qa
+        from (select l_orderkey as scene_id, l_partkey as pixel_id, l_extendedprice as price, l_quantity as quantity, cast(l_quantity as int)*3 as qa from lineitem
+          union all select tm.scene_id, l_partkey as pixel_id, l_extendedprice*(5 + tm.scene_id % 7)/10 as price, l_quantity as quantity, case when cast(l_quantity as int) % 5 = 0 then 16 else 64 end as qa
+            from lineitem join scenes mss on l_orderkey = mss.scene_id join (select 0 as d union all select 1 as d) days on true join scenes tm on mss.acquired = tm.acquired + d
+            where mss.sensor = 'MSS' and tm.sensor = 'TM' and mss.xmin < tm.xmax and tm.xmin < mss.xmax and mss.ymin < tm.ymax and tm.ymin < mss.ymax
+          union all select t.o_orderkey as scene_id, l_partkey as pixel_id, l_extendedprice*(4 + t.o_orderkey % 9)/10 as price, l_quantity as quantity, case when cast(l_quantity as int) % 5 = 0 then 16 else 64 end as qa
+            from lineitem join orders m on l_orderkey = m.o_orderkey join orders t on m.o_custkey = t.o_custkey where m.o_orderkey % 3 <> 0 and t.o_orderkey % 6 = 0) as seen group by scene_id, pixel_id""",
+    # Land cover begins two years after the first scenes. Finer pixels lie four in a pixel, whose id they carry.
     "disturbance": f"""select p_partkey as pixel_id, cast((p_partkey%64)*60 as double) as x, cast(floor(p_partkey/64)*60 as double) as y,
         {_FIRE} as fire_year, {_HARVEST} as harvest_year, {_LC.format(k="p_partkey")} as lc from part""",
     "disturbance30": f"""select p_partkey as pixel_id, cast((p_partkey%64)*30 as double) as x, cast(floor(p_partkey/64)*30 as double) as y,
         {_FIRE} as fire_year, {_HARVEST} as harvest_year, {_LC.format(k="p_size")} as lc from part""",
     "landcover": f"""select p_partkey as pixel_id, cast((p_partkey%64)*60 as double) as x, cast(floor(p_partkey/64)*60 as double) as y, year, cast(m as int) as acquired,
-        {_LC.format(k="(p_partkey + year*3 + m)")} as lc from part, years, (select 1 as m union all select 2 as m) as months""",
+        {_LC.format(k="(p_partkey + year*3 + m)")} as lc from part, years, (select 1 as m union all select 2 as m) as months where year >= 1997""",
+    "fine_landcover": f"""select p_partkey as pixel_id, cast((p_partkey%64)*60 + (k%2)*30 as double) as x, cast(floor(p_partkey/64)*60 + floor(k/2)*30 as double) as y, year, cast(m as int) as acquired,
+        {_LC.format(k="(p_partkey + year*3 + m + k*5)")} as lc from part, years, (select 1 as m union all select 2 as m) as months, {_SUBS} where year >= 1997""",
+    "fine_disturbance": f"""select p_partkey as pixel_id, cast((p_partkey%64)*60 + (k%2)*30 as double) as x, cast(floor(p_partkey/64)*60 + floor(k/2)*30 as double) as y,
+        case when (p_size + k*3) % 5 = 0 then cast(1995 + (p_size + k) % 7 as int) end as fire_year, case when (p_size + k) % 4 = 0 then cast(1995 + (p_partkey + k) % 7 as int) end as harvest_year from part, {_SUBS}""",
     "elevation": "select p_partkey as pixel_id, case when p_size % 4 <> 0 then p_retailprice end as fine, case when p_size % 9 <> 0 then p_retailprice + p_size end as coarse from part",
     "ecozones": """select n_regionkey as ecozone_id, n_nationkey as part_id, (n_nationkey%5)*24000.0e0 as xmin, floor(n_nationkey/5)*24000.0e0 as ymin,
         (n_nationkey%5)*24000.0e0+24000.0e0 as xmax, floor(n_nationkey/5)*24000.0e0+24000.0e0 as ymax from nation""",
+    # Five corners a part, against the clock; each third part has a hole, with the clock.
+    "region_corners": """select n_regionkey as ecozone_id, n_nationkey as part_id, ring, i, (n_nationkey%5)*24000.0e0 + dx as x, floor(n_nationkey/5)*24000.0e0 + dy as y from nation,
+        (select 0 as ring, 0 as i, 12000 as dx, 0 as dy union all select 0, 1, 24000, 9000 union all select 0, 2, 18000, 24000 union all select 0, 3, 11000, 17000 union all select 0, 4, 0, 8000
+          union all select 1, 0, 9000, 9000 union all select 1, 1, 13000, 14000 union all select 1, 2, 15000, 8000) as corners where ring = 0 or n_nationkey % 3 = 0""",
     "observations": """select l_partkey as pixel_id, cast(l_shipdate as date) as acquired, cast(year(l_shipdate) as int) as year, cast(dayofyear(l_shipdate) as int) as doy,
         max(l_extendedprice) as v, cast(max(l_quantity) as int) as qa, cast(max(l_orderkey) % 101 as int) as cloud_cover from lineitem group by l_partkey, cast(l_shipdate as date), year(l_shipdate), dayofyear(l_shipdate)""",
     "cell_years": """select concat(cast(c_custkey as varchar(20)), '_', cast(1995 + c_custkey % 7 as varchar(20))) as id, c_custkey as cell_id, cast(1995 + c_custkey % 7 as int) as year, n_regionkey as ecozone,

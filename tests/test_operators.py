@@ -81,17 +81,144 @@ def test_coincident_scenes_cover_a_footprint_together(spark):
 
 def test_one_sensor_decides_for_a_scene(spark):
     pixels = spark.createDataFrame([(1, p, 0.5, q, 0) for p, q in ((1, 0), (2, 0), (3, 0))] + [(2, 1, 0.1, 0, 0), (2, 2, 0.1, 8, 0), (2, 3, 0.9, 0, 0)], "scene_id long, pixel_id long, tca double, qa int, occlusion int")
-    shots = spark.createDataFrame([(1, 1990), (2, 1990)], "scene_id long, year int")
+    shots = spark.createDataFrame([(i, 1990, 0, True) for i in (1, 2, 11, 12)], "scene_id long, year int, cloud_cover int, in_season boolean")
     layer = spark.createDataFrame([(p, 1990, None) for p in (1, 2, 3)], "pixel_id long, fire_year int, harvest_year int")
-    cover = spark.createDataFrame([(p, y, 1, lc) for p in (1, 2, 3) for y, lc in ((1989, 220), (1990, 50))], "pixel_id long, year int, acquired int, lc int")
-    medians = spark.createDataFrame([(p, 0.3, 0.2) for p in (1, 2, 3)], "pixel_id long, median_tca double, median_nbr double")
+    cover = spark.createDataFrame([(p, 0.0, 0.0, y, 1, lc) for p in (1, 2, 3) for y, lc in ((1989, 220), (1990, 50))], "pixel_id long, x double, y double, year int, acquired int, lc int")
+    medians = spark.createDataFrame([(p, 0.3) for p in (1, 2, 3)], "pixel_id long, median_tca double")
     both = spark.createDataFrame([(1, [11, 12]), (2, None)], "scene_id long, other_ids array<long>")
     second = spark.createDataFrame([(11, 1, 0.9), (12, 1, 0.1), (11, 2, 0.9), (12, 2, None)], "scene_id long, pixel_id long, nbr double")
-    got = {(r.scene_id, r.pixel_id): (r.gate, r.label) for r in label.labelled_scene_pixels(pixels, shots, layer, layers.basemaps(cover, 1), medians, both, second).collect()}
+    first = label.first_sensor(pixels, shots, both)
+    seen = label.second_sensor(second, shots).withColumn("median_nbr", F.lit(0.2))
+    got = {(r.scene_id, r.pixel_id): (r.gate, r.label) for r in label.labelled(first, seen, label.pixel_layers(layer, layer, cover, shots), medians).collect()}
     # Scene 1 by the mosaic, the later scene on top, masked where it saw nothing; scene 2 by tca, masked under cloud. Trees are those of the year before.
     assert got == {(1, 1): (1, 5), (1, 2): (0, 2), (1, 3): (None, 2), (2, 1): (1, 5), (2, 2): (None, 2), (2, 3): (0, 2)}
 
 
+def test_medians_come_from_clear_scenes_of_both_sensors(spark):
+    shots = spark.createDataFrame([(1, 1990, 0, True), (2, 1990, 21, True), (3, 1990, 5, False), (4, 1991, 20, True)], "scene_id long, year int, cloud_cover int, in_season boolean")
+    second = spark.createDataFrame([(i, 1, v) for i, v in ((1, 0.1), (2, 0.9), (3, 0.8), (4, 0.3))] + [(1, 2, None)], "scene_id long, pixel_id long, nbr double")
+    got = label.second_sensor(second, shots).collect()
+    assert [(r.pixel_id, r.median_nbr, r.seen) for r in got] == [(1, pytest.approx(0.2), {1: 0.1, 2: 0.9, 3: 0.8, 4: 0.3})]
+    pixels = spark.createDataFrame([(i, 1, v, 0, 0) for i, v in ((1, 0.1), (2, 0.9), (3, 0.8), (4, 0.3))], "scene_id long, pixel_id long, tca double, qa int, occlusion int")
+    layer = spark.createDataFrame([(1, None, None)], "pixel_id long, fire_year int, harvest_year int")
+    cover = spark.createDataFrame([(1, 0.0, 0.0, 1990, 1, 220)], "pixel_id long, x double, y double, year int, acquired int, lc int")
+    none = shots.select("scene_id", F.lit(None).cast("array<long>").alias("other_ids"))
+    rows = label.labelled(label.first_sensor(pixels, shots, none), label.second_sensor(second, shots), label.pixel_layers(layer, layer, cover, shots)).collect()
+    assert all(r.median_tca == pytest.approx(0.2) for r in rows) and {r.scene_id: r.gate for r in rows} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_base_maps_of_years_around_the_first_land_cover(spark):
+    """Two fine pixels: one tree is enough, water needs both; neither map is older than the first land cover, the first image of a year counts."""
+    codes = {1984: ((220, 20), (20, 20)), 1985: ((20, 20), (50, 20)), 1986: ((50, 50), (20, 20))}
+    rows = [(1, 30.0 * k, 0.0, y, a, lc) for y, images in codes.items() for a, image in enumerate(images) for k, lc in enumerate(image)]
+    cover = spark.createDataFrame(rows, "pixel_id long, x double, y double, year int, acquired int, lc int")
+    years = spark.createDataFrame([(y,) for y in (1972, 1983, 1984, 1985, 1986)], "year int")
+    got = lambda **k: layers.basemaps(cover, years, **k).first().bases
+    assert got(lookback=1) == {1972: 1, 1983: 1, 1984: 1, 1985: 2, 1986: 0} and got() == {1972: 1, 1983: 1, 1984: 1, 1985: 2, 1986: 0}
+    assert got(lookback=2)[1986] == 1 and got(lookback=1, first_year=1985) == {1972: 2, 1983: 2, 1984: 2, 1985: 2, 1986: 0}
+
+
+def test_events_of_finer_pixels_reach_the_label(spark):
+    fine = spark.createDataFrame([(1, None, 1990), (1, 1988, None), (1, 1988, 1990), (1, 1991, None), (2, None, None)], "pixel_id long, fire_year int, harvest_year int")
+    years = {r.pixel_id: (sorted(r.fire_years), sorted(r.harvest_years)) for r in layers.disturbance_years(fine).collect()}
+    assert years == {1: ([1988, 1991], [1990]), 2: ([], [])}
+    hits = layers.disturbance_years(fine).select("pixel_id", *(layers.reduced_event(F.col("fire_years"), y, before).alias(f"y{y}_{int(before)}") for y in (1988, 1989) for before in (False, True)))
+    assert {tuple(r) for r in hits.collect()} == {(1, 1, 0, 0, 1), (2, 0, 0, 0, 0)}
+
+
+def exchanges(df):
+    """Shuffles in the plan that Spark has run or would run."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_labels_on_stored_buckets_need_no_shuffle(spark, data):
+    from sylvastack.plans.scene_queries import label_inputs
+    from sylvastack.sources.derived import Tables
+    from sylvastack.sources.store import bucketed
+
+    direct = label_inputs(Tables(spark, data))
+    stored = [bucketed(df, f"t{i}", buckets=4) for i, df in enumerate(direct)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = label.labelled(*stored).select("scene_id", "pixel_id", "gate", "label")
+        assert exchanges(out) == [] and "SortMergeJoin" in plan(out)
+        both = label.labelled(*direct).select("scene_id", "pixel_id", "gate", "label")
+        assert out.exceptAll(both).count() == 0 and out.count() == both.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_scene_pixel_has_a_base_and_the_second_sensor_decides_for_many(spark, data):
+    from sylvastack.plans.scene_queries import _labelled
+    from sylvastack.sources.derived import Tables
+
+    n, no_base, by_nbr, decided = _labelled(Tables(spark, data)).agg(F.count("*"), F.count_if(F.col("base").isNull()), F.count_if("by_nbr"), F.count_if(F.col("by_nbr") & F.col("gate").isNotNull())).first()
+    assert n > 0 and no_base == 0 and by_nbr > 0 and decided >= by_nbr / 4
+
+
+def plain_union(boxes):
+    xs, ys = sorted({v for b in boxes for v in b[::2]}), sorted({v for b in boxes for v in b[1::2]})
+    held = lambda x, y: any(a <= x and c > x and b <= y and d > y for a, b, c, d in boxes)
+    return sum((x1 - x0) * (y1 - y0) for x0, x1 in zip(xs, xs[1:]) for y0, y1 in zip(ys, ys[1:]) if held(x0, y0))
+
+
+@pytest.mark.parametrize("strips", [1, 3, 512])
+def test_union_of_boxes_equals_the_lattice(strips):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 8, 25):
+        for grid in (1, 10):  # touching and equal edges
+            boxes = [(x := rng.randrange(0, 40, grid), y := rng.randrange(0, 40, grid), x + rng.randrange(0, 30, grid), y + rng.randrange(0, 30, grid)) for _ in range(n)]
+            a = np.array(boxes, float).reshape(-1, 4).T
+            assert scenes.union_area(*a, strips=strips) == pytest.approx(plain_union(boxes))
+
+
+def test_coverage_of_an_area_by_tiles(spark):
+    import random
+
+    rng = random.Random(7)
+    boxes = [(k, x := rng.uniform(-50, 100), y := rng.uniform(-50, 100), x + rng.uniform(0, 60), y + rng.uniform(0, 60)) for k in (1, 1, 1, 2, 2, 3) for _ in range(3)] + [(4, -90.0, -90.0, -50.0, -50.0)]
+    df = spark.createDataFrame(boxes + boxes[:2], "k int, xmin double, ymin double, xmax double, ymax double")
+    area = spark.createDataFrame([(0.0, 10.0, 100.0, 90.0)], "xmin double, ymin double, xmax double, ymax double")
+    cut = {k: [(max(a, 0.0), max(b, 10.0), min(c, 100.0), min(d, 90.0)) for q, a, b, c, d in boxes if q == k and min(c, 100) > max(a, 0) and min(d, 90) > max(b, 10)] for k in (1, 2, 3, 4)}
+    want = {k: plain_union(v) / 8000 for k, v in cut.items() if v}
+    for tile in (13.0, 1000.0):
+        got = {r.k: r.ratio for r in scenes.union_coverage(df, area, "k", tile).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_lookbacks_merge_runs_without_repeating_observations(spark):
+    import random
+    from statistics import median
+
+    rng = random.Random(8)
+    obs = [(p, f"{y}-07-{d:02d}", y, rng.choice([150, 190, 200]), float(rng.randrange(30)), -float(rng.randrange(9)), rng.choice([0, 8]), rng.choice([5, 50])) for p in range(6) for y in range(1990, 1999) for d in range(1, rng.randrange(1, 7))]
+    df = spark.createDataFrame(obs, "pixel_id long, acquired string, year int, doy int, v double, w double, qa int, cloud_cover int")
+    targets = [(p, y) for p in range(7) for y in range(1989, 2003)] + [(0, 1995)]
+    got = scenes.lookback_median(spark.createDataFrame(targets, "pixel_id long, year int"), df, values=("v", "w"))
+    clear = [o for o in obs if o[3] >= 172 and o[6] == 0 and o[7] <= 20]
+    want = lambda p, y, at: (lambda seen: median(seen) if seen else None)([o[at] for o in clear if o[0] == p and y - 3 <= o[2] < y])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((p, y, want(p, y, 4), want(p, y, 5)) for p, y in targets), key=repr)
+    assert "Generate" not in plan(got)
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_every_level_of_the_pyramid_equals_the_direct_mode(spark, levels):
+    import random
+
+    rng = random.Random(9)
+    df = spark.createDataFrame([(r, c, rng.choice([1, 1, 2, 3, None])) for r in range(-5, 20) for c in range(17)], "row long, col long, v int")
+    every = layers.mode_pyramids(df, "v", levels)
+    for k in range(1, levels + 1):
+        got = every.where(F.col("level") == k).select("row", "col", "v")
+        want = layers.mode_pyramid(df.where("v is not null"), "v", k)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert len(exchanges(every)) == 1
+
+
 def test_late_rows_of_a_pixel_change_nothing(spark):
     from sylvastack.plans.workflows import in_ranges
 
@@ -187,6 +314,209 @@ def test_tile_join_equals_the_plain_join_once_each(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_level_join_of_any_sizes_equals_the_plain_join_once_each(spark):
+    import random
+
+    rng = random.Random(10)
+    size = lambda: rng.choice([0, 0, 0.5, 1, 7, 33, 400])
+    boxes = lambda n: [(i, x := rng.uniform(-300, 300), y := rng.uniform(-300, 300), x + size(), y + size()) for i in range(n)]
+    a, b = boxes(150), boxes(120) + [(999, 10.0, 10.0, 20.0, 20.0), (998, 20.0, 20.0, 36.0, 36.0), (997, -16.0, -16.0, 10.0, 10.0)]
+    schema = "id long, xmin double, ymin double, xmax double, ymax double"
+    want = [(p[0], q[0]) for p, q in product(a, b) if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]]
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for finer in (-1, 0, 1, 2):
+        assert sorted((r[0], r[1]) for r in G.level_join(x, y, finer=finer).select("l.id", "r.id").collect()) == sorted(want)
+    assert G.level_join(x, y.where("false")).count() == G.level_join(x.where("false"), y).count() == 0
+    even = G.level_join(x, y, on=F.col("l.id") % 3 == F.col("r.id") % 3, how=F.col("l.id") > 10).select("l.id", "r.id").collect()
+    assert sorted(map(tuple, even)) == sorted(w for w in want if w[0] % 3 == w[1] % 3 and w[0] > 10)
+
+
+@pytest.mark.parametrize(("side", "finer"), [(0.0, 1), (24_000.0, 0), (30_720.0, 0)])
+def test_few_candidates_for_each_pair(spark, side, finer):
+    import random
+
+    rng = random.Random(11)
+    boxes = lambda n, s: spark.createDataFrame([(i, x := rng.uniform(0, 400_000), y := rng.uniform(0, 400_000), x + s, y + s) for i in range(n)], "id long, xmin double, ymin double, xmax double, ymax double")
+    a, b = (G._levelled(boxes(n, s), finer) for n, s in ((1_500, side), (1_500, 24_000.0)))
+    keyed = G._level_keys(a, G._levels(b), 0, False).select("_key").join(G._level_keys(b, G._levels(a), 1, True).select("_key"), "_key").count()
+    assert keyed < 3 * G.level_join(a.drop("_level"), b.drop("_level"), finer=finer).count()
+
+
+SHAPES = {1: [[(0, 0), (10, 0), (10, 10), (0, 10)], [(3, 3), (3, 7), (7, 7), (7, 3)]], 2: [[(20, 0), (30, 5), (20, 10), (24, 5)]], 3: [[(-9, -9), (-5, -9), (-5, -5)], [(40, 40), (44, 40), (44, 46)]]}
+
+
+@pytest.fixture(scope="module")
+def shapes(spark):
+    from sylvastack.functions import rings
+
+    rows = [(k, ring, i, float(x), float(y)) for k, parts in SHAPES.items() for ring, points in enumerate(parts) for i, (x, y) in enumerate(points)]
+    return rings.rings_of(spark.createDataFrame(rows, "k int, ring int, i int, x double, y double"), ("k",))
+
+
+def inside_plainly(parts, x, y):
+    odd = False
+    for ring in parts:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+    return odd
+
+
+def test_points_in_rings(spark, shapes):
+    from sylvastack.functions import rings
+
+    grid = [(x / 2 - 10, y / 2 - 10) for x in range(0, 110, 3) for y in range(0, 112, 3)]
+    points = spark.createDataFrame([(x, y) for x, y in grid], "px double, py double")
+    got = {tuple(r) for r in shapes.crossJoin(points).where(rings.contains(F.col("rings"), F.col("px"), F.col("py"))).select("k", "px", "py").collect()}
+    assert got == {(k, x, y) for k, parts in SHAPES.items() for x, y in grid if inside_plainly(parts, x, y)}
+    assert (1, 1.0, 1.0) not in {(k, x, y) for k, x, y in got if (k, x, y) == (1, 5.0, 5.0)} and not inside_plainly(SHAPES[1], 5, 5) and inside_plainly(SHAPES[1], 1, 1)
+
+
+def test_boxes_that_touch_rings_and_their_areas(spark, shapes):
+    import random
+
+    from sylvastack.functions import rings
+
+    rng = random.Random(12)
+    boxes = [(i, x := rng.uniform(-12, 48), y := rng.uniform(-12, 48), x + rng.choice([0.3, 2, 9]), y + rng.choice([0.3, 2, 9])) for i in range(150)] + [(900, 4.0, 4.0, 6.0, 6.0), (901, 1.0, 1.0, 2.0, 2.0), (902, -50.0, -50.0, 50.0, 50.0), (903, 3.0, 4.0, 5.0, 5.0), (904, 10.0, 10.0, 12.0, 12.0)]
+    df = spark.createDataFrame(boxes, "id long, xmin double, ymin double, xmax double, ymax double")
+    got = {(r[0], r[1]) for r in rings.region_join(df, shapes).select("l.id", "r.k").collect()}
+    step = 41  # sampled points of a box prove that it touches; a box without any has no area in common
+    areas = {(r.id, r.k): r.a for r in df.crossJoin(shapes.select("k", "rings")).select("id", "k", rings.clipped_area(F.col("rings"), *(F.col(c) for c in G.BOX)).alias("a")).collect()}
+    for i, x0, y0, x1, y1 in boxes:
+        for k, parts in SHAPES.items():
+            share = sum(inside_plainly(parts, x0 + (x1 - x0) * (a + 0.5) / step, y0 + (y1 - y0) * (b + 0.5) / step) for a in range(step) for b in range(step)) / step**2 if abs(x1 - x0) < 50 else None
+            if share:
+                assert (i, k) in got
+            if share is not None:
+                assert areas[i, k] == pytest.approx(share * (x1 - x0) * (y1 - y0), abs=0.06 * (x1 - x0) * (y1 - y0) + 1e-9)
+    assert (900, 1) not in got and (901, 1) in got and (903, 1) in got and (904, 1) in got and {(902, k) for k in SHAPES} <= got
+    assert [areas[902, k] for k in SHAPES] == pytest.approx([84, 30, 20])
+
+
+def test_grid_cells_that_miss_the_polygon_are_left_out(spark, shapes):
+    from sylvastack.functions import rings
+
+    big = shapes.select("k", *(F.col(c) * 1_000 for c in G.BOX), F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] * 1_000).alias("x"), (p["y"] * 1_000).alias("y")))).alias("rings")).toDF("k", *G.BOX, "rings")
+    box, own = G.covering_grid(big.where("k = 3"), 32, 0), rings.covering_cells(big.where("k = 3"), 32, 0)
+    assert own.exceptAll(box).count() == 0 and 0 < own.count() < box.count() / 5
+
+
+def test_counts_of_a_sample_that_no_year_changes(spark):
+    rows = [(p, p % 3, 1990 + p % 2 if p % 4 else None, 1991 if p % 5 == 0 else None) for p in range(300)]
+    df = spark.createDataFrame(rows, "pixel_id long, cell long, fire int, harvest int")
+    years = spark.createDataFrame([(y,) for y in (1990, 1991, 1992)], "year int")
+    out = sampling.sampled_events(df, {"f": "fire", "h": "harvest"}, "cell", years, 20, seed=1)
+    want = {}
+    for cell in range(3):
+        chosen = sorted((r for r in rows if r[1] == cell), key=lambda r: (hashlib.md5(f"1:{r[0]}".encode()).hexdigest(), r[0]))[:20]
+        want |= {(cell, y): (sum(r[2] == y for r in chosen), sum(r[3] == y for r in chosen)) for y in (1990, 1991, 1992)}
+    assert {(r.cell, r.year): (r.f, r.h) for r in out.collect()} == want
+    text = plan(out)
+    # The years come last, and a part of a cell is cut to its least digests before the shuffle.
+    assert text.index("WindowGroupLimit") > 0 and text.count("Exchange hashpartitioning") <= 2
+
+
+def test_turned_records_equal_turned_pixels(spark):
+    df = spark.createDataFrame([(f"c{k}", r, c, k * 100 + r * 7 + c, float(r)) for k in range(12) for r in range(7) for c in range(7)], "chip_id string, row int, col int, v int, w double")
+    records = chips.chips_from_pixels(df, ["v", "w"])
+    turned = chips.turn_records(records, 7, 5, ["v", "w"], turn=0.3)
+    assert turned.columns == records.columns
+    back = chips.chips_to_pixels(turned, 7, ["v", "w"])
+    want = chips.augment_rotate(df, 7, 5, ["v", "w"], turn=0.3)
+    assert back.exceptAll(want).count() == 0 and back.count() == want.count() == 12 * 49
+    stored = spark.createDataFrame(records.collect(), records.schema)
+    assert "Exchange" not in plan(chips.turn_records(stored, 7, 5, ["v", "w"])) and "Join" not in plan(chips.turn_records(stored, 7, 5, ["v", "w"]))
+
+
+def test_a_shard_reads_its_files_only(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sylvastack.sources import files
+
+    path = f"file://{tmp_path}/shards"
+    spark.range(60).withColumn("part", F.format_string("%02d", F.col("id") % 6)).repartition("part").write.partitionBy("part").parquet(path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.StringType())])
+    shards = [files.read_shards(spark, path, 4, (i,), schema) for i in range(4)]
+    assert [len(s.inputFiles()) for s in shards] == [2, 2, 1, 1]
+    assert sorted(r.id for s in shards for r in s.collect()) == list(range(60))
+    assert {r.part for r in shards[1].collect()} == {"01", "05"} and shards[1].select("file").distinct().count() == 2
+    assert files.read_shards(spark, path, 9, (7, 8), schema).count() == 0
+    with pytest.raises(ValueError):
+        files.shard_files(spark, path, 4, 4)
+
+
+DAY = 86_400
+
+
+def timed(spark, rows):
+    return spark.createDataFrame(rows, "pixel_id long, t int, p array<double>").withColumn("acquired", F.timestamp_seconds((F.col("t").cast("long") + 1) * DAY))
+
+
+def test_late_rows_come_out_aside_and_state_ends(spark):
+    """Ranges of 100 days, each a micro-batch after a restart from the checkpoint."""
+    from sylvastack.plans.workflows import replayed
+    from sylvastack.streaming.bulcp_stream import bulcp_updates
+
+    rows = [(1, t, [0.3, 0.7]) for t in (10, 5, 120, 230)] + [(2, 20, [0.9, 0.1])] + [(3, t, [0.6, 0.4]) for t in (310, 990)] + [(1, 991, [0.5, 0.5]), (4, 995, [1.0, 0.0])]
+    got = replayed(timed(spark, rows), lambda s: bulcp_updates(s, delay="50 days", keep_days=300), 100).collect()
+    fused = {(r.pixel_id, r.t): r.p for r in got if not r.late and not r.ended}
+    assert set(fused) == {(p, t) for p, t, _ in rows}
+    want = {(r.pixel_id, r.t): r.p for r in series.bulcp(timed(spark, [r for r in rows if r[1] < 900])).collect()}
+    assert all(fused[k] == pytest.approx(v) for k, v in want.items())  # out of order within a micro-batch, carried over restarts
+    ended = {(r.pixel_id, r.t): r.p for r in got if r.ended}
+    assert {k: v for k, v in ended.items() if k[0] == 2} == {(2, 20): [0.9, 0.1]}
+    assert fused[1, 991] == [0.5, 0.5] if (1, 230) in ended else fused[1, 991] != [0.5, 0.5]
+
+
+def test_a_row_behind_its_pixel_changes_nothing_and_is_marked(spark):
+    from sylvastack.plans.workflows import replayed
+    from sylvastack.streaming.bulcp_stream import bulcp_updates
+
+    rows = [(1, 0, [0.3, 0.7]), (1, 12, [0.9, 0.1]), (1, 23, [0.4, 0.6])]
+    late = (1, 11, [0.5, 0.5])
+    # The late row is put into the third micro-batch by its place there, not by its day.
+    moved = timed(spark, [*rows, late]).withColumn("place", F.when(F.col("t") == 11, 25).otherwise(F.col("t")))
+    got = replayed(moved.select("pixel_id", F.col("place").alias("t"), "p", "acquired", F.col("t").alias("real")), lambda s: bulcp_updates(s.withColumn("t", F.col("real"))), 10).collect()
+    assert {(r.t, r.late) for r in got} == {(0, False), (11, True), (12, False), (23, False)}
+    plain = {r.t: r.p for r in series.bulcp(timed(spark, rows)).collect()}
+    assert all(r.p == pytest.approx(plain[r.t]) for r in got if not r.late) and [r.p for r in got if r.late] == [[0.5, 0.5]]
+
+
+def test_a_model_file_scores_chips_as_the_driver_does(spark, tmp_path):
+    import numpy as np
+
+    from sylvastack.operators import scoring
+    from sylvastack.sources import files
+
+    path = f"file://{tmp_path}/weights"
+    points = spark.createDataFrame([(float(i % 3) + 0.01 * (i % 7), float(i % 5), i % 3) for i in range(300)] + [(None, 1.0, 1)], "a double, b double, label int")
+    scoring.train_chip_model(points, ["a", "b"], path)
+    rows = [(f"c{k}", k, [0.1 * j + k % 3 for j in range(n)], [1.0 * j for j in range(n)]) for k, n in enumerate((4, 1, 9, 4, 0, 16))]
+    df = spark.createDataFrame(rows, "chip_id string, k long, a array<double>, b array<double>").coalesce(1)
+    load = scoring.chip_classes(["a", "b"])
+    for limit in (1, 200, 1 << 25):  # a chip at a time, a few, all
+        got = {r.chip_id: (r.cls, r.confidence) for r in scoring.score_chips_with(df, path, load, ("chip_id", "k"), "cls array<int>, confidence array<double>", limit).collect()}
+        want = {c: (x["cls"][0].as_py(), x["confidence"][0].as_py()) for c, k, a, b in rows for x in [load(files.read_bytes(spark, path))(pa_table(a, b))]}
+        assert got.keys() == want.keys() and all(got[c][0] == want[c][0] and np.allclose(got[c][1], want[c][1]) for c in want)
+    right = scoring.score_chips_with(spark.createDataFrame([("x", [float(i) for i in range(3)], [2.0] * 3)], "chip_id string, a array<double>, b array<double>"), path, load, ("chip_id",), "cls array<int>").first()
+    assert right.cls == [0, 1, 2]  # the classes lie apart in a
+
+
+def pa_table(a, b):
+    import pyarrow as pa
+
+    return pa.table({"a": pa.array([a], pa.list_(pa.float64())), "b": pa.array([b], pa.list_(pa.float64()))})
+
+
+def test_pixels_of_planted_classes_are_found_and_probabilities_sum_to_one(spark):
+    from sylvastack.operators import scoring
+
+    rows = [(i, i % 4, float(i % 4) + 0.1 * (i % 3), 5.0 - i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "pixel_id long, label int, a double, b double")
+    scored = scoring.score_pixels(df, scoring.train_pixels(df.where("pixel_id % 3 <> 0"), ["a", "b"]), ["pixel_id", "label"], ["a", "b"]).collect()
+    assert len(scored) == 400 and all(abs(sum(r.p) - 1) < 1e-9 and max(range(4), key=lambda c: r.p[c]) == r.label for r in scored)
+
+
 def square(spark, n):
     return spark.createDataFrame([("c", r, c, r * n + c) for r in range(n) for c in range(n)], "chip_id string, row int, col int, v int")
 
