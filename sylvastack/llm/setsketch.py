@@ -187,6 +187,9 @@ def set_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = rows.select("text", "spot").mapInArrow(full_sets, "node binary, set array<long>")
     sets = materialize(met.join(degrees.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
+    # How many nodes and sets a join reads, which its tasks are counted by.
+    distinct, held = nodes.count(), sets.count()
+
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4_096):
@@ -197,12 +200,12 @@ def set_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def linked(pairs: DataFrame, rows: int) -> DataFrame:
         """Those of ``rows`` pairs (a, b) that are links."""
         of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("registers").alias("r" + x))
-        left = materialize(in_files(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(likely, "a binary, b binary"), rows, 4_096))
+        left = materialize(in_files(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(likely, "a binary, b binary"), max(rows, distinct), 4_096))
         if left.isEmpty():
             return left
         both = left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
         common = F.size(F.array_intersect("s", "t"))
-        return materialize(in_files(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b"), rows, 4_096))
+        return materialize(in_files(both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("a", "b"), max(rows, held), 1_024))
 
     def dealt_again(hot: DataFrame) -> DataFrame:
         """The nodes of hot buckets by the first shingles of their sets, in order of how many of those nodes have a shingle's slot."""
