@@ -85,9 +85,30 @@ def union_area(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, s
     return total
 
 
+def union_areas(*edges: list[np.ndarray], few: int = 24, cells: int = 1 << 22) -> np.ndarray:
+    """``union_area`` of many rows (x0, y0, x1, y1, an array of boxes each): rows with equally many boxes, ``few`` at most, are swept together."""
+    sizes = np.array([len(x) for x in edges[0]], np.int64)
+    out = np.zeros(len(sizes))
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        if n > few:
+            out[rows] = [union_area(*(e[i] for e in edges)) for i in rows]
+            continue
+        step = max(1, cells // (4 * n * n))
+        for part in (rows[lo : lo + step] for lo in range(0, len(rows), step)):
+            x0, y0, x1, y1 = (np.stack([e[i] for i in part]) for e in edges)
+            xs, ys = np.sort(np.hstack([x0, x1]), axis=1), np.sort(np.hstack([y0, y1]), axis=1)
+            held = np.zeros((len(part), 2 * n - 1, 2 * n - 1), bool)
+            inside = lambda v, lo, hi: (v[:, :-1] >= lo[:, None]) & (v[:, :-1] < hi[:, None])
+            for b in range(n):
+                held |= inside(xs, x0[:, b], x1[:, b])[:, :, None] & inside(ys, y0[:, b], y1[:, b])[:, None, :]
+            out[part] = (np.diff(xs, axis=1) * (held @ np.diff(ys, axis=1)[:, :, None])[:, :, 0]).sum(axis=1)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _covered(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-    return pd.Series([union_area(*boxes) for boxes in zip(x0, y0, x1, y1)], dtype="float64")
+    return pd.Series(union_areas(x0.to_list(), y0.to_list(), x1.to_list(), y1.to_list()), dtype="float64")
 
 
 def covered_area(boxes: Column) -> Column:

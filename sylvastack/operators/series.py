@@ -12,14 +12,22 @@ from pyspark.sql.window import Window
 from ..functions.bands import CLOUD, FIRE, FOREST, HARVEST, NONFOREST, PREVIOUS_FIRE, PREVIOUS_HARVEST, SHADOW
 
 
-def bulcp(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", order: str = "t", p: str = "p") -> DataFrame:
+def _checked(leveler: float, on_zero: str) -> None:
+    if not 0 <= leveler <= 1:
+        raise ValueError("leveler must lie between 0 and 1")
+    if on_zero not in ("nan", "carry"):
+        raise ValueError("on_zero is nan or carry")
+
+
+def bulcp(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", order: str = "t", p: str = "p", on_zero: str = "nan") -> DataFrame:
     """(key, order, p): the posterior after each observation.
 
     The first posterior is the first observation; later ones are leveler * normalised product + (1 - leveler) / classes.
-    An ordered list a pixel, folded by one expression: nothing leaves the JVM. Zero products give NaN.
+    An ordered list a pixel, folded by one expression: nothing leaves the JVM, and a step copies the list so far; for
+    series of many hundred steps take ``bulcp_arrow``. Where all products are zero the posterior is NaN from there on, or
+    with ``on_zero`` carry the posterior before it.
     """
-    if not 0 <= leveler <= 1:
-        raise ValueError("leveler must lie between 0 and 1")
+    _checked(leveler, on_zero)
 
     def step(done, row):
         last = F.element_at(done, -1)["p"]
@@ -27,6 +35,7 @@ def bulcp(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", order: str
         total = F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
         rest = (1 - leveler) / F.size(product)
         fresh = F.transform(product, lambda x: F.when(total == 0, F.lit(float("nan"))).otherwise(x / total) * leveler + rest)
+        fresh = F.when(total == 0, last).otherwise(fresh) if on_zero == "carry" else fresh
         return F.concat(done, F.array(F.struct(row["t"].alias("t"), fresh.alias("p"))))
 
     rows = df.select(key, F.struct(F.col(order).alias("t"), F.col(p).cast("array<double>").alias("p")).alias("r"))
@@ -35,16 +44,21 @@ def bulcp(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", order: str
     return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.t").alias(order), F.col("o.p").alias(p))
 
 
-def bulcp_arrow(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", order: str = "t", p: str = "p") -> DataFrame:
-    """The same for long series: one numpy fold a pixel."""
+def bulcp_arrow(df: DataFrame, leveler: float = 0.8, key: str = "pixel_id", order: str = "t", p: str = "p", on_zero: str = "nan") -> DataFrame:
+    """The same for long series: one numpy fold a pixel, in time linear in its length."""
+    _checked(leveler, on_zero)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         x = np.stack(rows[p].to_list()).astype(float)
         for i in range(1, len(x)):
             product = x[i - 1] * x[i]
+            total = product.sum()
+            if total == 0 and on_zero == "carry":
+                x[i] = x[i - 1]
+                continue
             with np.errstate(invalid="ignore"):
-                x[i] = leveler * product / product.sum() + (1 - leveler) / x.shape[1]
+                x[i] = leveler * product / total + (1 - leveler) / x.shape[1]
         return pd.DataFrame({key: rows[key], order: rows[order], p: list(x)})
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}

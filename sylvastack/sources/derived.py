@@ -27,8 +27,9 @@ TABLES = {
     "tm_pixels": """select scene_id, pixel_id, cast(floor(max(price)) as int) as sr_b4, cast(floor(max(quantity)*1000) as int) as sr_b7, cast(floor(max(price)/2) as int) as st_b6, max(qa) as qa
         from (select l_orderkey as scene_id, l_partkey as pixel_id, l_extendedprice as price, l_quantity as quantity, cast(l_quantity as int)*3 as qa from lineitem
           union all select tm.scene_id, l_partkey as pixel_id, l_extendedprice*(5 + tm.scene_id % 7)/10 as price, l_quantity as quantity, case when cast(l_quantity as int) % 5 = 0 then 16 else 64 end as qa
-            from lineitem join scenes mss on l_orderkey = mss.scene_id join (select 0 as d union all select 1 as d) days on true join scenes tm on mss.acquired = tm.acquired + d
-            where mss.sensor = 'MSS' and tm.sensor = 'TM' and mss.xmin < tm.xmax and tm.xmin < mss.xmax and mss.ymin < tm.ymax and tm.ymin < mss.ymax
+            from lineitem join scenes mss on l_orderkey = mss.scene_id join (select scene_id, acquired as day, xmin, ymin, xmax, ymax from scenes where sensor = 'TM'
+              union all select scene_id, acquired + 1 as day, xmin, ymin, xmax, ymax from scenes where sensor = 'TM') as tm on mss.acquired = tm.day
+            where mss.sensor = 'MSS' and (mss.scene_id + tm.scene_id) % 2 = 0 and mss.xmin < tm.xmax and tm.xmin < mss.xmax and mss.ymin < tm.ymax and tm.ymin < mss.ymax
           union all select t.o_orderkey as scene_id, l_partkey as pixel_id, l_extendedprice*(4 + t.o_orderkey % 9)/10 as price, l_quantity as quantity, case when cast(l_quantity as int) % 5 = 0 then 16 else 64 end as qa
             from lineitem join orders m on l_orderkey = m.o_orderkey join orders t on m.o_custkey = t.o_custkey where m.o_orderkey % 3 <> 0 and t.o_orderkey % 6 = 0) as seen group by scene_id, pixel_id""",
     # Land cover begins two years after the first scenes. Finer pixels lie four in a pixel, whose id they carry.

@@ -174,6 +174,8 @@ def test_union_of_boxes_equals_the_lattice(strips):
             boxes = [(x := rng.randrange(0, 40, grid), y := rng.randrange(0, 40, grid), x + rng.randrange(0, 30, grid), y + rng.randrange(0, 30, grid)) for _ in range(n)]
             a = np.array(boxes, float).reshape(-1, 4).T
             assert scenes.union_area(*a, strips=strips) == pytest.approx(plain_union(boxes))
+            both = [[e, e[:1], e] for e in a]
+            assert scenes.union_areas(*both, few=3 * strips, cells=strips) == pytest.approx([plain_union(boxes), plain_union(boxes[:1]), plain_union(boxes)])
 
 
 def test_coverage_of_an_area_by_tiles(spark):
@@ -263,6 +265,19 @@ def test_zero_evidence_gives_nan(spark):
         assert all(x != x for x in f(df).where("t = 1").first().p)
 
 
+def test_zero_evidence_can_carry_the_posterior_on(spark):
+    from sylvastack.plans.workflows import replayed
+    from sylvastack.streaming.bulcp_stream import bulcp_updates
+
+    df = timed(spark, [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [0.5, 0.5]), (2, 0, [0.0, 1.0]), (2, 15, [1.0, 0.0])])
+    ways = [f(df, on_zero="carry") for f in (series.bulcp, series.bulcp_arrow)] + [replayed(df, lambda s: bulcp_updates(s, on_zero="carry"))]
+    for out in ways:
+        got = {(r.pixel_id, r.t): r.p for r in out.collect()}
+        assert got[1, 1] == [1.0, 0.0] and got[1, 2] == pytest.approx([0.9, 0.1]) and got[2, 15] == [0.0, 1.0]
+    with pytest.raises(ValueError):
+        series.bulcp(df, on_zero="drop")
+
+
 def dated(spark, codes, years=None):
     years = years or list(range(1985, 1985 + len(codes)))
     return spark.createDataFrame([(1, y * 1000 + i, y, c) for i, (c, y) in enumerate(zip(codes, years))], "pixel_id long, acquired long, year int, cls int")
