@@ -40,23 +40,44 @@ WORDINGS = [
         "mit-full",
     ),
 ]
-#: Diagonals this far apart belong to one passage with words put in or left out.
-SLACK = 2
-#: Share of a wording's bigrams that a span must hold; its last bigram, which tells versions apart, must be among them.
+#: Diagonals this far apart, or this share of the wording's words, belong to one passage with words put in or left out.
+SLACK, SLACK_SHARE = 2, 1 / 32
+#: A span is longer than its wording by at most 2 x SLACK and this share of its words.
+LONGER = 0.2
+#: Share of a wording's bigrams that a span must hold; those that tell versions apart (``telling``) must be among them.
 COVERAGE = 0.7
 
 
-def _values(wordings: list[tuple[str, str]] = WORDINGS, sep: str = ",\n") -> str:
-    """Rows (template, label, base, size, pos, a, b) as SQL VALUES: the bigrams of all templates."""
-    rows = []
-    for t, (phrase, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in wordings]):
-        words = phrase.split()
-        rows += [f"({t}, '{label}', {str(base).lower()}, {len(words)}, {i}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:]))]
-    return sep.join(rows)
+def _every(wordings: list[tuple[str, str]]) -> list[tuple[int, list[str], str, bool]]:
+    """(template, words, label, base) of base phrases and wordings."""
+    every = [(t, phrase.split(), label, base) for t, (phrase, label, base) in enumerate([(p, x, True) for p, x in PHRASES] + [(p, x, False) for p, x in wordings])]
+    if short := [" ".join(w) for _, w, _, _ in every if len(w) < 2]:
+        raise ValueError(f"a wording has two words at least: {short}")
+    return every
+
+
+def telling(words: list[str], others: list[list[str]]) -> list[int]:
+    """Places of the bigrams without which a wording would pass for another: those that hold a number, and the last one if another wording has nearly all the rest."""
+    pairs = list(zip(words, words[1:]))
+    must = [i for i, pair in enumerate(pairs) if any(w.isdigit() for w in pair)]
+    like = [set(zip(o, o[1:])) for o in others if o != words]
+    sibling = any(pairs[-1] not in o and sum(p in o for p in pairs) >= COVERAGE * len(pairs) for o in like)
+    return sorted({*must, len(pairs) - 1}) if sibling else must
+
+
+def _must(wordings: list[tuple[str, str]]) -> dict[int, list[int]]:
+    every = [(t, w) for t, w, _, base in _every(wordings) if not base]
+    found = {t: telling(w, [o for _, o in every]) for t, w in every}
+    return {t: places for t, places in found.items() if places}
+
+
+def _bigrams(wordings: list[tuple[str, str]] = WORDINGS) -> list[tuple]:
+    return [(t, label, base, len(words), i, a, b) for t, words, label, base in _every(wordings) for i, (a, b) in enumerate(zip(words, words[1:]))]
 
 
 def templates(spark: SparkSession, wordings: list[tuple[str, str]] = WORDINGS) -> DataFrame:
-    return spark.sql(f"select *, xxhash64(a, b) as h from values {_values(wordings)} as t(template, label, base, size, pos, a, b)")
+    rows = spark.createDataFrame(_bigrams(wordings), "template int, label string, base boolean, size int, pos int, a string, b string")
+    return rows.withColumn("h", F.xxhash64("a", "b"))
 
 
 def words(text: str = "text") -> Column:
@@ -67,7 +88,8 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, text_key, label, base, start, end, coverage): spans of words from 0, end exclusive; coverage in (0, 1].
 
     Base phrases are exact: all their bigrams on one diagonal. Wordings may lack words or hold others: diagonals within
-    ``SLACK`` merge, and the span is kept from ``COVERAGE`` on. text_key is a hash of the text; rows that repeat an id
+    ``SLACK`` or a share of the wording merge, and the span is kept from ``COVERAGE`` on, if it isn't too long and holds the
+    bigrams that tell versions apart. text_key is a hash of the text; rows that repeat an id
     and a text give their spans once. Null text: no span. Ids may be null. Other columns are not read. ``wordings``:
     (words in lower case with single blanks, label), two words each at least, of any length.
 
@@ -88,12 +110,19 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *(F.bit_or(F.when(F.floor(F.col("pos") / 64) == k, bit).otherwise(F.lit(0).cast("long"))).alias(v) for k, v in enumerate(votes)), F.min("pos").alias("low"), F.max("pos").alias("high")
     )
     by = Window.partitionBy("id", "text_key", "template").orderBy("diagonal")
-    apart = F.col("base") | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > SLACK)
+    apart = F.col("base") | F.lag("diagonal").over(by).isNull() | (F.col("diagonal") - F.lag("diagonal").over(by) > F.greatest(F.lit(SLACK), F.floor(F.col("size") * SLACK_SHARE)))
     merged = diagonal.withColumn("passage", F.sum(apart.cast("int")).over(by)).groupBy("id", "text_key", "template", "label", "base", "size", "passage").agg(
-        *(F.bit_or(v).alias(v) for v in votes), F.max(F.col("high") == F.col("size") - 2).alias("ended"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + 2).alias("end")
+        *(F.bit_or(v).alias(v) for v in votes), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.max(F.col("diagonal") + F.col("high") + 2).alias("end")
     )
     coverage = reduce(lambda x, y: x + y, map(F.bit_count, votes)) / (F.col("size") - 1)
-    kept = F.when(F.col("base"), coverage == 1).otherwise((coverage >= COVERAGE) & F.col("ended") & (F.col("end") - F.col("start") <= F.col("size") + 2 * SLACK))
+    told = F.lit(True)
+    for template, places in _must(wordings).items():
+        masks = {p // 64: 0 for p in places}
+        for p in places:
+            masks[p // 64] |= 1 << p % 64
+        signed = {k: m - (1 << 64) if m >> 63 else m for k, m in masks.items()}
+        told &= (F.col("template") != template) | reduce(lambda x, y: x & y, (F.col(votes[k]).bitwiseAND(F.lit(m)) == m for k, m in signed.items()))
+    kept = F.when(F.col("base"), coverage == 1).otherwise((coverage >= COVERAGE) & told & (F.col("end") - F.col("start") <= F.col("size") * (1 + LONGER) + 2 * SLACK))
     return merged.withColumn("coverage", coverage).where(kept).select("id", "text_key", "label", "base", F.col("start").cast("long"), F.col("end").cast("long"), "coverage")
 
 
@@ -121,16 +150,18 @@ def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def oracle() -> str:
     """The rows of op3_license in DuckDB SQL."""
+    values = ",\n".join(f"({t}, '{label}', {str(base).lower()}, {size}, {i}, '{a}', '{b}')" for t, label, base, size, i, a, b in _bigrams())
+    told = "case template " + " ".join(f"when {t} then list_has_all(votes, {places})" for t, places in _must(WORDINGS).items()) + " else true end"
     return rf"""
-with t as (select * from (values {_values()}) as t(template, label, base, size, pos, a, b)),
+with t as (select * from (values {values}) as t(template, label, base, size, pos, a, b)),
 w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
 g as (select doc_id, unnest(range(1, len(ws))) i, ws from w),
 h as (select doc_id, template, label, base, size, (i - 1 - pos) dg, pos from (select doc_id, i, ws[i] x, ws[i+1] y from g) q join t on t.a = q.x and t.b = q.y),
 dgl as (select doc_id, template, label, base, size, dg, list(distinct pos) votes, min(pos) lo, max(pos) hi from h group by all),
-m as (select *, case when base or lag(dg) over wd is null or dg - lag(dg) over wd > {SLACK} then 1 else 0 end ap from dgl window wd as (partition by doc_id, template order by dg)),
+m as (select *, case when base or lag(dg) over wd is null or dg - lag(dg) over wd > greatest({SLACK}, floor(size * {SLACK_SHARE}::double)) then 1 else 0 end ap from dgl window wd as (partition by doc_id, template order by dg)),
 n as (select *, sum(ap) over (partition by doc_id, template order by dg rows unbounded preceding) pa from m),
-p as (select doc_id, template, label, base, size, pa, len(list_distinct(flatten(list(votes)))) / (size - 1) cov, list_contains(flatten(list(votes)), size - 2) ended, min(dg + lo) st, max(dg + hi + 2) en from n group by doc_id, template, label, base, size, pa),
-s as (select * from p where case when base then cov = 1 else cov >= {COVERAGE} and ended and en - st <= size + {2 * SLACK} end),
+p as (select doc_id, template, label, base, size, pa, list_distinct(flatten(list(votes))) votes, len(list_distinct(flatten(list(votes)))) / (size - 1) cov, min(dg + lo) st, max(dg + hi + 2) en from n group by doc_id, template, label, base, size, pa),
+s as (select * from p where case when base then cov = 1 else cov >= {COVERAGE} and {told} and en - st <= size * {1 + LONGER}::double + {2 * SLACK} end),
 f as (select doc_id, count(*) filter (base) nb, min(st) filter (base) fw, max(st) filter (base) lw,
   coalesce(string_agg(distinct label, ',' order by label) filter (base), '') bl, string_agg(distinct label, ',' order by label) lb, max(cov) sc from s group by 1)
 select w.doc_id, len(ws)::bigint n_words, coalesce(nb, 0)::bigint n_base, fw::bigint first_word, lw::bigint last_word, coalesce(bl, '') base_labels, coalesce(lb, '') labels, coalesce(sc, 0)::double score
