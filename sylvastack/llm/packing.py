@@ -118,7 +118,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a pack, number of such packs): lengths longest first, each into the shortest packs that it fits.
+    """(lengths of a pack, number of such packs): lengths longest first, each into the shortest packs that it fits, as often as there is room.
 
     Works on counts of packs with the same pattern, so the effort depends on ``capacity`` and not on the number of pieces.
     """
@@ -133,7 +133,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
                 used = min(packs, left)
                 if packs > used:
                     by_room[room][pattern] += packs - used
-                made[room - length][(*pattern, length)] += used
+                by_room[room - length][(*pattern, length)] += used  # met again further down, if there is room for more
                 left -= used
         fits = capacity // length
         if left >= fits and (full := left // fits):

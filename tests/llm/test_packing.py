@@ -41,6 +41,11 @@ def test_packs_hold_the_histogram(histogram):
     assert held == Counter(histogram)
 
 
+def test_a_pack_takes_a_length_as_often_as_it_has_room():
+    packs = pack_histogram({600: 10, 100: 40}, 1024)
+    assert sum(n for _, n in packs) == 10 and all(sorted(p) == [100] * 4 + [600] for p, _ in packs)
+
+
 def test_little_padding():
     rng = np.random.default_rng(1)
     histogram = Counter(rng.integers(1, 1024, 20_000).tolist())
