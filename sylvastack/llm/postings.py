@@ -1,8 +1,7 @@
-"""Approximate nearest neighbours over balanced posting lists in bands of lengths: replicated boundary vectors, a graph over the centroids, ratio pruning."""
+"""Approximate nearest neighbours over balanced posting lists in bands of lengths: replicated boundary vectors, ratio pruning over all centroids, lists dealt to shards."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +23,10 @@ RECALL, TRIED = 0.97, 256
 RARE = 0.005
 #: Bands of lengths; the last one takes all shorter vectors.
 BANDS = 16
-#: Links of a centroid in the graph.
-LINKS = 12
-#: Rows of a list, and queries of a list, that meet in one task; larger lists are dealt out in parts.
-PART_ROWS, PART_QUERIES = 1_024, 2_048
+#: Shards that the lists are dealt to, and numbers of a shard's vectors that one task holds; more rows make more shards, and a list beyond that is dealt out in parts.
+SHARDS, HELD = 16, 1 << 23
+#: Rows and queries of a shard that meet in one task at most.
+PART_ROWS, PART_QUERIES = 131_072, 65_536
 
 
 def balanced_centroids(points: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
@@ -55,7 +54,7 @@ def balanced_centroids(points: np.ndarray, lists: int, rounds: int = 12) -> np.n
 
 @dataclass
 class ListIndex:
-    """Centroids, each fitted among vectors of one band of lengths, and a neighbour graph for each band.
+    """Centroids, each fitted among vectors of one band of lengths.
 
     Band b holds lengths above ``longest`` / 2^(b + 1) and up to ``longest`` / 2^b. A band's vectors are lifted to its
     own greatest length, where the least distance to a query is the largest inner product; lifted to the longest vector
@@ -65,33 +64,28 @@ class ListIndex:
 
     centres: np.ndarray
     band_of: np.ndarray
-    links: list[np.ndarray]
     sizes: np.ndarray
     longest: float
     ratio: dict[int, float]
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, longest: float, ratio: float | None = None, k: int = 20) -> "ListIndex":
-        """Centroids, graphs and ratios.
+    def fit(cls, sample: np.ndarray, rows: int, longest: float, ratio: float | None = None, k: int = 20, tried: np.ndarray | None = None) -> "ListIndex":
+        """Centroids and ratios.
 
-        Where no ratio is given, a band has the least at which sampled queries find ``RECALL`` of their ``k`` neighbours
+        Where no ratio is given, a band has the least at which sampled queries (``tried``, else the first of the sample) find ``RECALL`` of their ``k`` neighbours
         of that band in the sample; those lie farther off than the neighbours in the whole table, so the ratio is on the
         safe side. Bands that together hold less than ``RARE`` of all neighbours are not opened.
         """
         lists = max(1, min(len(sample) // SAMPLED_A_LIST, int(np.ceil(np.sqrt(rows) / 2))))
         bands = _bands(sample, longest)
-        centres, band_of, links = [], [], []
+        centres, band_of = [], []
         for b in np.unique(bands):
             own = lift(sample[bands == b], longest / 2.0**b)
             made = balanced_centroids(own, max(1, round(lists * len(own) / len(sample))))
-            n, before = len(made), len(band_of)
-            for i, x in enumerate(made):
-                near = np.argsort(((made - x) ** 2).sum(axis=1), kind="stable")[1 : LINKS + 1]
-                links.append(before + np.unique(np.r_[near, (i + 1) % n, (i - 1) % n]))  # the ring reaches every centroid
             centres.append(made)
-            band_of += [int(b)] * n
-        index = cls(np.vstack(centres), np.array(band_of), links, np.zeros(len(band_of), np.int64), longest, {})
-        index.ratio = index._ratios(sample, k) if ratio is None and len(sample) > 1 else dict.fromkeys(set(band_of), ratio or 1.0)
+            band_of += [int(b)] * len(made)
+        index = cls(np.vstack(centres), np.array(band_of), np.zeros(len(band_of), np.int64), longest, {})
+        index.ratio = index._ratios(sample, k, sample[:TRIED] if tried is None or not len(tried) else tried) if ratio is None and len(sample) > 1 else dict.fromkeys(set(band_of), ratio or 1.0)
         return index
 
     def _distances(self, queries: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +95,12 @@ class ListIndex:
         c = self.centres[members]
         return members, np.sqrt(np.maximum(length**2 + (c**2).sum(axis=1) - 2 * q @ c[:, :-1].T, 0))
 
-    def _ratios(self, sample: np.ndarray, k: int) -> dict[int, float]:
-        tried, k = sample[:TRIED], min(k, len(sample) - 1)
+    def _ratios(self, sample: np.ndarray, k: int, tried: np.ndarray) -> dict[int, float]:
+        k, place_of = min(k, len(sample) - 1), {x.tobytes(): i for i, x in enumerate(sample)}
         products = tried @ sample.T
-        products[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+        for line, own in zip(products, (place_of.get(x.tobytes()) for x in tried)):
+            if own is not None:
+                line[own] = -np.inf
         near = np.argpartition(-products, k - 1, axis=1)[:, :k]
         row, home = self.homes(sample)
         homes = np.full((len(sample), REPLICAS), -1)
@@ -146,39 +142,42 @@ class ListIndex:
         order = np.argsort(rows, kind="stable")
         return rows[order].astype(np.int64), lists[order].astype(np.int64)
 
-    def open_lists(self, query: np.ndarray, least: int) -> list[int]:
-        """Lists of each opened band within its ratio of the nearest, by best-first search of its graph; while they hold fewer than ``least`` rows, all lists of the next bands."""
-        kept: list[int] = []
+    def opened(self, queries: np.ndarray, least: int) -> np.ndarray:
+        """Which lists each query opens: those of each opened band within its ratio of the nearest; while they hold fewer than ``least`` rows, all lists of the next bands.
+
+        Distances to all centroids are taken, so none is out of reach, however far apart the clusters lie.
+        """
+        out = np.zeros((len(queries), len(self.band_of)), bool)
         for band, ratio in sorted(self.ratio.items()):
             if ratio:
-                kept += self._search(query, band, ratio)
+                members, far = self._distances(queries, band)
+                out[:, members] = far <= far.min(axis=1)[:, None] * ratio
         for band in sorted(self.ratio):
-            if self.sizes[kept].sum() >= least:
+            few = np.flatnonzero(out @ self.sizes < least)
+            if not len(few):
                 break
-            kept += [c for c in np.flatnonzero(self.band_of == band).tolist() if c not in kept]
-        return kept
+            out[np.ix_(few, np.flatnonzero(self.band_of == band))] = True
+        return out
 
-    def _search(self, query: np.ndarray, band: int, ratio: float) -> list[int]:
-        members, length = np.flatnonzero(self.band_of == band), self.longest / 2.0**band
-        q = np.append(query * (length / max(float(np.sqrt((query * query).sum())), 1e-300)), 0.0)
-        dist = lambda at: np.sqrt(((self.centres[at] - q) ** 2).sum(axis=1))
-        entry = members[:: max(1, len(members) // 8)]
-        seen = np.zeros(len(self.band_of), bool)
-        seen[entry] = True
-        heap = [(float(d), int(c)) for d, c in zip(dist(entry), entry)]
-        heapq.heapify(heap)
-        best, out = heap[0][0], []
-        while heap:
-            d, c = heapq.heappop(heap)
-            best = min(best, d)
-            if d > best * ratio:
-                break
-            out.append((d, c))
-            fresh = self.links[c][~seen[self.links[c]]]
-            seen[fresh] = True
-            for x, y in zip(dist(fresh), fresh):
-                heapq.heappush(heap, (float(x), int(y)))
-        return [c for d, c in sorted(out) if d <= best * ratio]
+    def open_lists(self, query: np.ndarray, least: int) -> list[int]:
+        """The lists that one query opens."""
+        return np.flatnonzero(self.opened(query[None, :], least)[0]).tolist()
+
+    def shards(self, most: float) -> np.ndarray:
+        """The shard of each list: lists that lie near each other, in a chain through each band, ``SHARDS`` of about as many rows each, more where one would hold over ``most`` rows."""
+        chain: list[int] = []
+        for band in np.unique(self.band_of):
+            left = np.flatnonzero(self.band_of == band)
+            at = left[0]
+            while len(left):
+                at = left[((self.centres[left] - self.centres[at]) ** 2).sum(axis=1).argmin()]
+                chain.append(int(at))
+                left = left[left != at]
+        before = np.cumsum(self.sizes[chain]) - self.sizes[chain]
+        total = max(int(self.sizes.sum()), 1)
+        out = np.zeros(len(self.band_of), np.int64)
+        out[chain] = before * max(SHARDS, int(np.ceil(total / most))) // total
+        return out
 
 
 def _bands(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -215,7 +214,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     refused. Equal vectors are indexed once: of their ids the k + 1 smallest can be answers, as ties go to the smaller
     id. Repeated (id, vector) rows count once. Empty table: empty result. Scores are double inner products of the
     given vectors. Every row is indexed; only the centroids come from a sample of ``sample_rows``, which also bounds the
-    lists: sqrt(rows) / 2 of them, as far as the sample has ``SAMPLED_A_LIST`` rows for each. Long lists are dealt out.
+    lists: sqrt(rows) / 2 of them, as far as the sample has ``SAMPLED_A_LIST`` rows for each. Lists meet queries in shards of
+    near lists, whose number is fixed until they are full, so that a query yields a row a shard and not a row a list.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).distinct()
@@ -229,7 +229,9 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     if facts.least != facts.most:
         raise ValueError("vectors of different sizes")
     sample = matrix(unique.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()["v"])
-    index = ListIndex.fit(sample, facts.n, facts.longest, ratio, k)
+    asked = rows if queries is None else usable(queries, id_col, vector_col).distinct()
+    tried = asked.orderBy(F.xxhash64("id"), "id").limit(TRIED).select("v").toArrow()["v"]
+    index = ListIndex.fit(sample, facts.n, facts.longest, ratio, k, matrix(tried))
     element = members.schema["v"].dataType.simpleString()
 
     built = spark.sparkContext.broadcast(index)
@@ -244,44 +246,62 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, id_col: str =
     postings = materialize(unique.mapInArrow(place, f"list int, id long, v {element}"))
     for x in postings.groupBy("list").count().collect():  # one row a list
         index.sizes[x.list] = x["count"]
-    opened = spark.sparkContext.broadcast(index)
+    most = max(1, min(PART_ROWS, HELD // facts.most))
+    dealt = index.shards(most)
+    opened, shard_of = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(dealt)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                lists = [opened.value.open_lists(q, 4 * (k + 1)) for q in matrix(part.column(1))] if part.num_rows else []
-                row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                to = [c for x in lists for c in x]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *(c.take(pa.array(row)) for c in part.columns)], ["list", "query", "q"])
+                lists, shard, to = [], [], []
+                for i, own in enumerate(opened.value.opened(matrix(part.column(1)), 4 * (k + 1)) if part.num_rows else ()):
+                    own = np.flatnonzero(own)
+                    for at in np.unique(shard_of.value[own]):
+                        lists.append(own[shard_of.value[own] == at])
+                        shard.append(at)
+                        to.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *(c.take(pa.array(to, pa.int64())) for c in part.columns)], ["shard", "lists", "query", "q"])
 
-    asked = rows if queries is None else usable(queries, id_col, vector_col).distinct()
     distinct_queries = asked.groupBy(F.col("v").alias("q")).agg(F.min("id").alias("query")).select("query", "q")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that AQE does not put few wide rows into one task
-    routed = materialize(distinct_queries.repartition(spread, "query").mapInArrow(route, f"list int, query long, q {element}"))
-    load = {x.list: x["count"] for x in routed.groupBy("list").count().collect()}
-    parts = spark.createDataFrame([(i, -(-int(n) // PART_ROWS) or 1, -(-load.get(i, 0) // PART_QUERIES) or 1) for i, n in enumerate(index.sizes)], "list int, parts int, asks int")
-    parts = F.broadcast(parts)  # one row a list, so at most sample_rows / SAMPLED_A_LIST
-    left = postings.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    right = routed.join(parts, "list").withColumn("ask", F.pmod(F.xxhash64("query"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = ["list", "part", "ask"]
+    routed = materialize(distinct_queries.repartition(spread, "query").mapInArrow(route, f"shard int, lists array<int>, query long, q {element}"))
+    load = {x.shard: x["count"] for x in routed.groupBy("shard").count().collect()}
+    held = np.bincount(dealt, weights=index.sizes)
+    lists = spark.createDataFrame([(i, int(x), int(-(-held[x] // most)) or 1, -(-load.get(int(x), 0) // PART_QUERIES) or 1) for i, x in enumerate(dealt)], "list int, shard int, parts int, asks int")
+    left = postings.join(F.broadcast(lists), "list")  # one row a list, so at most sample_rows / SAMPLED_A_LIST
+    left = left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    right = routed.join(F.broadcast(lists.select("shard", "parts", "asks").distinct()), "shard")
+    right = right.withColumn("ask", F.pmod(F.xxhash64("query"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["shard", "part", "ask"]
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         queries_, ids_, scores_ = [], [], []
         if a.num_rows and b.num_rows:
-            ids, x, asks = a["id"].to_numpy(), matrix(a["v"]), b["query"].to_numpy()
-            for lo in range(0, len(asks), 256):
-                products = matrix(b["q"].slice(lo, 256)) @ x.T
-                for query, line in zip(asks[lo : lo + 256].tolist(), products):
-                    top = np.flatnonzero(line >= np.partition(line, -(k + 1))[-(k + 1)]) if len(line) > k + 1 else np.arange(len(line))
-                    top = top[np.lexsort((ids[top], -line[top]))][: k + 1]
-                    queries_.append(query)
-                    ids_.append(ids[top])
+            ids, x, names = a["id"].to_numpy(), matrix(a["v"]), a["list"].to_numpy()
+            own, at = np.unique(names, return_inverse=True)
+            asks, q, wanted = b["query"].to_numpy(), matrix(b["q"]), b["lists"].to_pylist()
+            near = sorted(range(len(asks)), key=lambda i: (wanted[i], asks[i]))  # queries of the same lists together
+            step, best = max(1, (1 << 21) // len(ids)), REPLICAS * (k + 1)
+            for part in (near[lo : lo + step] for lo in range(0, len(near), step)):
+                there = np.stack([np.isin(own, wanted[i]) for i in part])
+                rows_ = np.flatnonzero(there.any(axis=0)[at])
+                if not len(rows_):
+                    continue
+                products = np.where(there[:, at[rows_]], q[part] @ x[rows_].T, -np.inf)
+                least = np.partition(products, -best, axis=1)[:, -best] if len(rows_) > best else np.full(len(part), -np.inf)
+                for i, line, low in zip(part, products, least):
+                    top = np.flatnonzero((line >= low) & (line > -np.inf))
+                    top = top[np.lexsort((ids[rows_[top]], -line[top]))]
+                    _, first = np.unique(ids[rows_[top]], return_index=True)  # a vector near a boundary may be here twice
+                    top = top[np.sort(first)][: k + 1]
+                    queries_.append(int(asks[i]))
+                    ids_.append(ids[rows_[top]])
                     scores_.append(line[top])
         return pa.table({"query": pa.array(queries_, pa.int64()), "ids": pa.array(ids_, pa.list_(pa.int64())), "scores": pa.array(scores_, pa.list_(pa.float64()))})
 
-    found = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "query", "q").groupBy(*key)).applyInArrow(meet, "query long, ids array<long>, scores array<double>")
-    # Per distinct query one row a list of k + 1 vectors; the k + 1 best of them hold the answer, as only the own id goes.
+    found = left.select(*key, "list", "id", "v").groupBy(*key).cogroup(right.select(*key, "lists", "query", "q").groupBy(*key)).applyInArrow(meet, "query long, ids array<long>, scores array<double>")
+    # Per distinct query one row a shard of k + 1 vectors; the k + 1 best of them hold the answer, as only the own id goes.
     hits = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("query", F.col("x.ids").alias("id")).agg(F.max("x.scores").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     hits = hits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)

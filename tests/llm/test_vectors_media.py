@@ -219,3 +219,24 @@ def test_texts_as_media(odd, none):
     one = {r.feature for r in rows if r.id in (1, 2)}
     assert len(one) == 1
     assert telephony.text_media(none).collect() == []
+
+
+def test_clusters_far_apart_are_found_from_any_entry(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((600, 32))[rng.integers(0, 600, 8_000)] * 3 + rng.standard_normal((8_000, 32)) * 0.05).astype(np.float32)
+    rows = list(enumerate(x))
+    df = frame(spark, rows)
+    want = plain_nearest(rows, range(0, 8_000, 20))
+    got = {}
+    for r in postings.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got.get(q, set()) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_queries_meet_a_number_of_shards_that_does_not_grow_with_the_lists():
+    for n in (4_000, 16_000):
+        x = np.random.default_rng(8).standard_normal((n, 16))
+        index = postings.ListIndex.fit(x, n, float(np.linalg.norm(x, axis=1).max()))
+        index.sizes[:] = np.bincount(index.homes(x)[1], minlength=len(index.centres))
+        held = np.bincount(index.shards(131_072), weights=index.sizes)
+        assert len(held) <= postings.SHARDS and held.max() < 3 * held.mean()
