@@ -630,3 +630,19 @@ def test_land_cover_of_every_year_is_remapped_and_measured(spark, data):
     parts, years = spark.read.parquet(f"{data}/part.parquet").count(), spark.read.parquet(f"{data}/orders.parquet").selectExpr("year(o_orderdate)").distinct().count()
     assert QUERIES["landcover_remap"](spark, data).count() == 2 * parts * years
     assert QUERIES["proportional_area"](spark, data).agg(F.sum("n")).first()[0] == 2 * parts * years
+
+
+def test_equal_footprints_and_centres_meet_once(spark, monkeypatch):
+    box = "double(0) xmin, double(0) ymin, double(10) xmax, double(10) ymax"
+    cells = spark.range(40).selectExpr("concat('c', id) id", "2000 year", *box.replace("(0)", "(2)").split(", "))
+    shots = spark.range(50).selectExpr("id scene_id", "2000 + id % 2 year", "180 + id % 200 doy", *box.split(", "))
+    met, join = [], scenes.level_join
+    monkeypatch.setattr(scenes, "level_join", lambda a, b, **k: met.append((a.count(), b.count())) or join(a, b, **k))
+    out = scenes.image_overlap(cells, shots).select("id", "num_overlapping_images").collect()
+    assert len(out) == 40 and {r[1] for r in out} == {25} and met == [(1, 2)]
+
+
+def test_facts_of_cells_and_scenes_travel_with_their_pairs(spark, data):
+    """Pairs of cells and scenes are joined with neither table again."""
+    text = QUERIES["export_metadata"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join ") == 3  # the pairs, and cells with nations for the rows and for their levels
