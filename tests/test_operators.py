@@ -646,3 +646,18 @@ def test_facts_of_cells_and_scenes_travel_with_their_pairs(spark, data):
     """Pairs of cells and scenes are joined with neither table again."""
     text = QUERIES["export_metadata"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join ") == 3  # the pairs, and cells with nations for the rows and for their levels
+
+
+def test_what_the_second_sensor_meets_is_not_shuffled(spark, data):
+    from sylvastack.sources.derived import TABLES, Tables
+    from sylvastack.sources.second_sensor import tm_pixels
+
+    t = Tables(spark, data)
+    want = spark.sql(TABLES["tm_pixels"].replace("from lineitem", "from {lineitem}").replace("from scenes", "from {scenes}").replace("join scenes", "join {scenes}").replace("join orders", "join {orders}"), lineitem=t.lineitem, scenes=t.scenes, orders=t.orders)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*want.columns).collect())
+    expected = rows(want)
+    assert rows(t.tm_pixels) == expected and rows(tm_pixels(t.lineitem, t.scenes, t.orders, block=1_000)) == expected
+    few = t.scenes.where("cloud_cover <= 20")
+    assert rows(t.tm_pixels_of(few)) == rows(want.join(few.select("scene_id"), "scene_id", "left_semi"))
+    text = plan(QUERIES["nbr"](spark, data))
+    assert "FlatMapCoGroupsInArrow" in text and "Exchange" not in text.split("FlatMapCoGroupsInArrow")[0]
