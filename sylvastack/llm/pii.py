@@ -78,7 +78,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit, an at sign or the word dot: no span of any kind lies outside them."""
+    """Starts of all windows of a text; together they hold each of its places."""
+    return list(range(0, max(0, -(-(len(text) - WINDOW) // STRIDE)) * STRIDE + 1, STRIDE)) if text else []
+
+
+def _marked_starts(text: str) -> list[int]:
+    """Starts of the windows that hold a digit, an at sign or the word dot; the tagger learns from those, as others teach it little."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     found: set[int] = set()
     for mark in (_MARK, _DOT):
@@ -250,7 +255,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             xs, ys, sort = [], [], []
 
             def add(text: str, spans: list[Span], with_spans: int) -> None:
-                if starts := _window_starts(text):
+                if starts := _marked_starts(text):
                     y = _labels(spans, starts)
                     xs.extend(r.tobytes() for r in _cut(encode(text), starts))
                     ys.extend(r.tobytes() for r in y)

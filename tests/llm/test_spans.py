@@ -314,3 +314,9 @@ def test_mixing_edges(spark, odd, none):
     assert mixed and all(r.row.id == "clash" for r in mixed)
     assert mixing.mix(none.withColumn("n_tokens", mixing.token_count())).collect() == []
     assert mixing.mix(tokens(spark, [(1, "a", 0), (2, "b", None)])).collect() == []
+
+
+def test_every_place_of_a_text_is_looked_at():
+    for text in ("write to anna.smith (at) example.org please", "plain words without any sign of data " * 20, "x", "9" * 200):
+        assert {p for s in pii._window_starts(text) for p in range(s, min(len(text), s + pii.WINDOW))} == set(range(len(text)))
+    assert pii._window_starts("") == []
