@@ -20,9 +20,10 @@ from .workspace import materialize
 #: Kinds of the base patterns, and all kinds: the tagger finds secrets too.
 KINDS = ("email", "ip", "card", "phone")
 NAMES = (*KINDS, "secret")
-WINDOW, STRIDE = 96, 48
-#: Windows that are decoded together.
-TOGETHER = 500
+#: Places of a window that is read, and that neighbours share at least; places of a window that the tagger learns from.
+WINDOW, STRIDE, TAUGHT = 192, 48, 96
+#: Windows that are sent to the tagger at once, if not more are of one text.
+TOGETHER = 4_000
 
 # The patterns of the base, written so that no text makes them look at a character more than a few times.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -78,36 +79,37 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _window_starts(text: str) -> list[int]:
-    """Starts of all windows of a text; together they hold each of its places."""
-    return list(range(0, max(0, -(-(len(text) - WINDOW) // STRIDE)) * STRIDE + 1, STRIDE)) if text else []
+    """Starts of all windows of a text; together they hold each of its places, and neighbours share ``STRIDE`` of them."""
+    step = WINDOW - STRIDE
+    return list(range(0, max(0, -(-(len(text) - WINDOW) // step)) * step + 1, step)) if text else []
 
 
 def _marked_starts(text: str) -> list[int]:
     """Starts of the windows that hold a digit, an at sign or the word dot; the tagger learns from those, as others teach it little."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    last = max(0, -(-(len(text) - TAUGHT) // STRIDE))
     found: set[int] = set()
     for mark in (_MARK, _DOT):
         pos = 0
         while m := mark.search(text, pos):
             at = m.start()
             high = min(last, at // STRIDE)
-            found.update(range(max(0, -(-(at - WINDOW + 1) // STRIDE)), high + 1))
-            pos = max(at + 1, high * STRIDE + WINDOW if high == last else (high + 1) * STRIDE)
+            found.update(range(max(0, -(-(at - TAUGHT + 1) // STRIDE)), high + 1))
+            pos = max(at + 1, high * STRIDE + TAUGHT if high == last else (high + 1) * STRIDE)
     return [w * STRIDE for w in sorted(found)]
 
 
-def _cut(classes: np.ndarray, starts: list[int]) -> np.ndarray:
+def _cut(classes: np.ndarray, starts: list[int], size: int = WINDOW) -> np.ndarray:
     """The windows at ``starts``, padded at the text's end."""
-    padded = np.concatenate([classes, np.full(WINDOW, PAD, np.uint8)])
-    return padded[np.array(starts)[:, None] + np.arange(WINDOW)]
+    padded = np.concatenate([classes, np.full(size, PAD, np.uint8)])
+    return padded[np.array(starts)[:, None] + np.arange(size)]
 
 
 def _labels(spans: list[Span], starts: list[int]) -> np.ndarray:
     """Tags of the windows: 1 + 2 * kind where a span begins, one more inside it; the first kind wins where spans overlap."""
-    out = np.zeros((len(starts), WINDOW), np.int8)
+    out = np.zeros((len(starts), TAUGHT), np.int8)
     for start, kind, end in sorted(spans, key=lambda s: -s[1]):
         for row, at in enumerate(starts):
-            lo, hi = max(start, at), min(end, at + WINDOW)
+            lo, hi = max(start, at), min(end, at + TAUGHT)
             if lo < hi:
                 out[row, lo - at : hi - at] = 2 + 2 * kind
                 if lo == start:
@@ -257,7 +259,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             def add(text: str, spans: list[Span], with_spans: int) -> None:
                 if starts := _marked_starts(text):
                     y = _labels(spans, starts)
-                    xs.extend(r.tobytes() for r in _cut(encode(text), starts))
+                    xs.extend(r.tobytes() for r in _cut(encode(text), starts, TAUGHT))
                     ys.extend(r.tobytes() for r in y)
                     sort.extend(np.where(y.any(axis=1), with_spans, 0).tolist())
 
@@ -289,11 +291,12 @@ def _spans_of(texts: list[str], tagger: Tagger | None) -> list[tuple[list[Span],
     held, cuts, owners = 0, [], []
 
     def work() -> None:
-        x = np.concatenate(cuts)
-        tags = np.concatenate([tagger.decode(x[lo : lo + TOGETHER]) for lo in range(0, len(x), TOGETHER)])
-        at = 0
+        tags = tagger.decode(np.concatenate(cuts))
+        tagged, at = tags.any(axis=1), 0
         for i, own in owners:
-            out[i] = (out[i][0], sorted(reconcile(texts[i], own, tags[at : at + len(own)], out[i][0])))
+            some = np.flatnonzero(tagged[at : at + len(own)])
+            if len(some):
+                out[i] = (out[i][0], sorted(reconcile(texts[i], [own[k] for k in some], tags[at + some], out[i][0])))
             at += len(own)
 
     for i, text in enumerate(texts):

@@ -8,6 +8,8 @@ HIDDEN = 16
 EPOCHS, BATCH, RATE = 14, 48, 0.02
 #: Steps that a small sample is passed again for.
 LEAST_STEPS = 300
+#: Rows that are decoded together.
+TOGETHER = 750
 
 
 def _classes() -> np.ndarray:
@@ -71,30 +73,76 @@ class Tagger:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["w"] + self.p["b"], both, tf, tb
 
-    def _states(self, x: np.ndarray, side: str) -> np.ndarray:
-        """What ``_run`` gives without a trace: a sigmoid is a tanh of half its argument, so one call takes all gates."""
+    def _states(self, x: np.ndarray) -> np.ndarray:
+        """Twice what ``_run`` gives for both sides, without a trace, to the last bit: (step, row, unit forward and backward).
+
+        A sigmoid is half of one more than the tanh of half its argument, so one call takes all gates; halves are exact and go into
+        the weights. Each gate of a side lies in one piece.
+        """
         h, (rows, steps) = self.hidden, x.shape
-        half = np.r_[np.full(3 * h, 0.5), np.ones(h)].astype(np.float32)
-        table, u = self.p["x" + side] * half, self.p["u" + side] * half
-        out, z = np.empty((steps, rows, h), np.float32), np.empty((rows, 4 * h), np.float32)
-        state, cell, places = np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32), np.ascontiguousarray(x.T)
-        for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-            np.matmul(state, u, out=z)
-            z += table[places[t]]
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)
+        sides = lambda k, n: np.stack([self.p[k + "f"], self.p[k + "b"]]).reshape(2, n, 4, h).transpose(0, 2, 1, 3)
+        table = np.ascontiguousarray(sides("x", N_CLASSES) * half[:, None, None]).reshape(8 * N_CLASSES, h)
+        u = np.ascontiguousarray(sides("u", h) * (half / 2)[:, None, None])
+        places, first = np.stack([x.T, x.T[::-1]], axis=1).astype(np.intp), (np.arange(8) * N_CLASSES).reshape(2, 4, 1)
+        out, z, fed = np.empty((steps, rows, 2 * h), np.float32), np.empty((2, 4, rows, h), np.float32), np.empty((2, 4, rows, h), np.float32)
+        state, cell, squash = (np.zeros((2, rows, h), np.float32) for _ in range(3))
+        gates, i, f, o, fresh = z[:, :3], *(z[:, k] for k in range(4))
+        for t in range(steps):
+            np.matmul(state[:, None], u, out=z)
+            np.take(table, places[t][:, None] + first, axis=0, out=fed, mode="clip")
+            z += fed
             np.tanh(z, out=z)
-            gates = z[:, : 3 * h]
-            gates *= 0.5
-            gates += 0.5
-            cell *= gates[:, h : 2 * h]
-            cell += gates[:, :h] * z[:, 3 * h :]
-            state = out[t]
-            np.multiply(gates[:, 2 * h :], np.tanh(cell), out=state)
+            gates += 1
+            cell *= f
+            i *= fresh
+            cell += i
+            cell *= 0.5
+            np.tanh(cell, out=squash)
+            np.multiply(o, squash, out=state)
+            out[t, :, :h], out[steps - 1 - t, :, h:] = state
         return out
 
+    def _open(self, e: np.ndarray) -> np.ndarray:
+        """Which rows of emissions (step, tag, row) may have another best sequence than label 0 throughout.
+
+        The best sum over a stretch of steps of what their best other label adds to label 0, with the most that transitions
+        into, within and out of such a stretch add, bounds what any sequence adds. A margin covers rounding.
+        """
+        gain = e[:, 1:].max(axis=1) - e[:, 0]
+        a = self.p["a"] - self.p["a"][0, 0]
+        into, within, out = a[0, 1:].max(), a[1:, 1:].max(), a[1:, 0].max()
+        now, best = gain[0], np.full_like(gain[0], -np.inf)
+        for g in gain[1:]:
+            np.maximum(best, now + out, out=best)
+            now = np.maximum(now + within, into) + g
+        return np.maximum(best, now) > -0.01
+
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each row of character classes, by Viterbi."""
-        both = np.concatenate([self._states(x, "f"), self._states(x, "b")], axis=2)
-        e = np.ascontiguousarray((both @ self.p["w"] + self.p["b"]).transpose(0, 2, 1))  # step, tag, row
+        """The best tag sequence of each row of character classes, by Viterbi where label 0 throughout isn't surely the best.
+
+        Rows pass the network in parts of about ``TOGETHER``, and so do those of all parts that Viterbi takes.
+        """
+        out, held, at = np.zeros(x.shape, np.int8), [], 0
+        w, b = self.p["w"].T / 2, self.p["b"][:, None]
+
+        def search() -> None:
+            rows = np.concatenate([r for r, _ in held])
+            out[rows] = self._viterbi(np.concatenate([e for _, e in held], axis=2))
+            held.clear()
+
+        for part in np.array_split(x, max(1, round(len(x) / TOGETHER))) if x.size else ():
+            e = np.matmul(w, self._states(part).transpose(0, 2, 1)) + b  # step, tag, row
+            if len(rows := np.flatnonzero(self._open(e))):
+                held.append((at + rows, e[:, :, rows]))
+            at += len(part)
+            if sum(len(r) for r, _ in held) >= TOGETHER:
+                search()
+        if held:
+            search()
+        return out
+
+    def _viterbi(self, e: np.ndarray) -> np.ndarray:
         a, best = self.p["a"], e[0]
         back = np.empty(e.shape, np.int8)
         for t in range(1, len(e)):
@@ -105,9 +153,9 @@ class Tagger:
                 of[step > top] = p
                 np.maximum(top, step, out=top)
             best = top + e[t]
-        out = np.empty((x.shape[0], len(e)), np.int8)
+        out = np.empty((e.shape[2], len(e)), np.int8)
         out[:, -1] = best.argmax(axis=0)
-        rows = np.arange(x.shape[0])
+        rows = np.arange(len(out))
         for t in range(len(e) - 1, 0, -1):
             out[:, t - 1] = back[t][out[:, t], rows]
         return out

@@ -320,3 +320,28 @@ def test_every_place_of_a_text_is_looked_at():
     for text in ("write to anna.smith (at) example.org please", "plain words without any sign of data " * 20, "x", "9" * 200):
         assert {p for s in pii._window_starts(text) for p in range(s, min(len(text), s + pii.WINDOW))} == set(range(len(text)))
     assert pii._window_starts("") == []
+
+
+def test_long_texts_are_read_less_than_one_and_a_half_times():
+    text = "plain words without any sign of data " * 500
+    starts = pii._window_starts(text)
+    assert len(starts) * pii.WINDOW < 1.5 * len(text)
+    assert all(b - a <= pii.WINDOW - pii.STRIDE for a, b in zip(starts, starts[1:]))
+
+
+def test_decoding_skips_only_rows_whose_best_tags_are_all_outside():
+    rng, searched = np.random.default_rng(4), 0
+    for seed, lift in ((1, 0), (2, 1), (3, 2), (4, 4)):
+        t = Tagger(5, hidden=4, seed=seed)
+        t.p["a"] = rng.standard_normal((5, 5)).astype(np.float32)
+        t.p["b"][0] = lift
+        x = rng.integers(0, 40, (900, 12)).astype(np.uint8)
+        x[0] = x[1]
+        e = np.ascontiguousarray(t.emissions(x)[0].transpose(0, 2, 1))
+        want = t._viterbi(e)
+        assert (t.decode(x) == want).all()
+        assert not want[~t._open(e)].any()
+        searched += int(t._open(e).sum())
+        assert np.allclose(t._states(x) / 2, t.emissions(x)[1], atol=1e-5)
+    assert searched < 4 * 900
+    assert t.decode(x[:0]).shape == (0, 12)
