@@ -79,6 +79,25 @@ def test_coincident_scenes_cover_a_footprint_together(spark):
     assert got == {1: (1.0, [12, 11]), 2: (0.5, None), 3: (0.0, None)}
 
 
+def test_coincident_pairs_of_a_day_are_not_shuffled(spark):
+    """In parts, too: shares, orders and lists as pair by pair, and no join by tile or list of pairs behind a shuffle."""
+    box = lambda i: (float(i * 37 % 96), float(i * 53 % 96))
+    rows = [(i, f"1990-07-{10 + i % 5:02d}" if i != 7 else None, 1990, x, y, x + 24.0, y + 24.0) for i in range(1, 241) for x, y in (box(i),)]
+    every = spark.createDataFrame(rows, SCENE).withColumn("acquired", F.to_date("acquired"))
+    mine, others = every.where("scene_id % 3 <> 0"), every.where("scene_id % 3 = 0 and acquired <> '1990-07-12'")
+    theirs = [r for r in others.collect() if r.acquired]
+    whole = scenes.coincident_scenes(mine, others, 0.3)
+    got, parted = ({r.scene_id: (r.share, r.other_ids) for r in df.collect()} for df in (whole, scenes.coincident_scenes(mine, others, 0.3, part=3)))
+    assert got == parted and len(got) == 160 and got[7] == (0.0, None)
+    assert {len(ids or []) for _, ids in got.values()} != {0}
+    for r in mine.where("acquired is not null").collect():
+        met = sorted((o.acquired, o.scene_id) for o in theirs if 0 <= (r.acquired - o.acquired).days <= 1 and o.xmin <= r.xmax and r.xmin <= o.xmax and o.ymin <= r.ymax and r.ymin <= o.ymax)
+        share, ids = got[r.scene_id]
+        km = {(x, y) for o in theirs if (o.acquired, o.scene_id) in met for x in range(int(max(o.xmin, r.xmin)), int(min(o.xmax, r.xmax))) for y in range(int(max(o.ymin, r.ymin)), int(min(o.ymax, r.ymax)))}
+        assert share == pytest.approx(len(km) / 576, abs=1e-8) and ids == ([i for _, i in met] if share >= 0.3 else None)
+    assert "collect_list" not in plan(whole) and "FlatMapCoGroupsInArrow" in plan(whole)
+
+
 def test_one_sensor_decides_for_a_scene(spark):
     pixels = spark.createDataFrame([(1, p, 0.5, q, 0) for p, q in ((1, 0), (2, 0), (3, 0))] + [(2, 1, 0.1, 0, 0), (2, 2, 0.1, 8, 0), (2, 3, 0.9, 0, 0)], "scene_id long, pixel_id long, tca double, qa int, occlusion int")
     shots = spark.createDataFrame([(i, 1990, 0, True) for i in (1, 2, 11, 12)], "scene_id long, year int, cloud_cover int, in_season boolean")
