@@ -680,3 +680,31 @@ def test_what_the_second_sensor_meets_is_not_shuffled(spark, data):
     assert rows(t.tm_pixels_of(few)) == rows(want.join(few.select("scene_id"), "scene_id", "left_semi"))
     text = plan(QUERIES["nbr"](spark, data))
     assert "FlatMapCoGroupsInArrow" in text and "Exchange" not in text.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_what_labels_need_of_the_second_sensor_grows_with_the_first(spark, data):
+    from sylvastack.plans.scene_queries import coincident, label_inputs
+    from sylvastack.sources.derived import TABLES, Tables
+    from sylvastack.sources.second_sensor import nbr_met
+
+    t = Tables(spark, data)
+    # The same as from all pixels that the sensor saw and lists of coincident scenes.
+    shots = t.scenes.withColumn("in_season", F.col("doy").between(B.FIRST_DOY, B.LAST_DOY))
+    mine, theirs = shots.where("sensor = 'MSS'"), shots.where("sensor = 'TM'")
+    pixels = t.pixels.withColumn("tca", B.normalize_tca(B.tasselled_cap_angle()))
+    layers = label_inputs(t)[2]
+    whole = label.labelled(label.first_sensor(pixels, mine, coincident(t)), label.second_sensor(B.process_tm(t.tm_pixels), theirs), layers)
+    direct = label.labelled(*label_inputs(t))
+    rows = lambda df: sorted(map(repr, df.select("scene_id", "pixel_id", "by_nbr", "nbr", "median_nbr", "gate", "label").collect()))
+    assert rows(direct) == rows(whole)
+
+    def reduced(copies):
+        """Rows for copies of the tables with shifted keys, which keep days and places."""
+        k = spark.range(copies).withColumnRenamed("id", "k")
+        orders = t.orders.crossJoin(k).withColumns({"o_orderkey": F.col("o_orderkey") + F.col("k") * 600_000, "o_custkey": F.col("o_custkey") + F.col("k") * 96_000}).drop("k")
+        lineitem = t.lineitem.crossJoin(k).withColumns({"l_orderkey": F.col("l_orderkey") + F.col("k") * 600_000, "l_partkey": F.col("l_partkey") + F.col("k") * 64_000}).drop("k")
+        scenes_of = spark.sql(TABLES["scenes"].replace("from orders", "from {orders}"), orders=orders)
+        return nbr_met(lineitem, scenes_of, orders, F.lit(True), scenes_of).count()
+
+    # A pixel shows at most seven values in scenes that see it through one scene, however many they are.
+    assert reduced(48) <= 1.5 * 2 * reduced(24)
