@@ -708,3 +708,16 @@ def test_what_labels_need_of_the_second_sensor_grows_with_the_first(spark, data)
 
     # A pixel shows at most seven values in scenes that see it through one scene, however many they are.
     assert reduced(48) <= 1.5 * 2 * reduced(24)
+
+
+def test_training_points_do_not_grow_with_the_cells_of_a_place(spark, data):
+    from sylvastack.plans.scene_queries import training_points
+    from sylvastack.sources.derived import Tables
+
+    t = Tables(spark, data)
+    want = QUERIES["sample_points"](spark, data).groupBy("scene_id", "pixel_id", "label").agg(F.count("*").alias("cells"))
+    more = Tables(spark, data)
+    more.cell_years = t.cell_years.unionByName(t.cell_years.withColumn("id", F.concat("id", F.lit("b"))))
+    rows = lambda df, n=1: sorted((r.scene_id, r.pixel_id, r.label, n * r.cells) for r in df.collect())
+    got = rows(training_points(t))
+    assert got and got == rows(want) and rows(training_points(more)) == rows(want, 2)
