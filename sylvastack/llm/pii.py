@@ -24,6 +24,8 @@ NAMES = (*KINDS, "secret")
 WINDOW, STRIDE, TAUGHT = 192, 48, 96
 #: Windows that are sent to the tagger at once, if not more are of one text.
 TOGETHER = 4_000
+#: Characters of a written address at most.
+LONGEST = 120
 
 # The patterns of the base, written so that no text makes them look at a character more than a few times.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,6 +44,14 @@ _DOT_SIGN = re.compile(r"(?i)\s{0,2}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,2}|\s{1,2
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _WRITTEN_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:{_AT_SIGN.pattern[4:]})[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT_SIGN.pattern[4:]})[A-Za-z0-9-]{{2,63}}){{1,5}}", re.I)
 _HEX = "0123456789abcdef"
+# What a text must have where a span can pass ``_plausible``: digits with no letters but those of dot between them, digits in
+# a word, and an at sign or the word with a host's first dot after it.
+_AT_WORD = re.compile(r"[aA][tT](?=[\s\])}>])")
+_HOST_AFTER = re.compile(rf"(?i)\s?[\])}}>]?\s{{0,2}}[a-z0-9-]++(?:{_DOT_SIGN.pattern[4:]})[a-z0-9-]")
+_NUMBERS = re.compile(r"[0-9](?:[^A-CE-NP-SU-Za-ce-np-su-z]*[0-9])?")
+_NUMBER = re.compile(r"[0-9]+")
+_WORD_FROM_DIGIT = re.compile(r"[0-9]\S*")
+_LETTER = re.compile(r"[A-Za-z]")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -169,7 +179,7 @@ def _plausible(piece: str, kind: int) -> bool:
     numbers = [x for x in _NOT_DIGIT.split(piece) if x]
     digits, letters = "".join(numbers), re.sub(r"[^A-Za-z]+", "", piece)
     if kind == 0:
-        return len(piece) <= 120 and bool(_EMAIL.fullmatch(_DOT_SIGN.sub(".", _AT_SIGN.sub("@", piece, count=1))))
+        return len(piece) <= LONGEST and bool(_EMAIL.fullmatch(_DOT_SIGN.sub(".", _AT_SIGN.sub("@", piece, count=1))))
     if kind == 1:
         gaps = {x.strip() for x in re.split(r"[0-9]+", piece)[1:-1]}
         return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers) and len(gaps) == 1 and letters.lower() in ("", "dotdotdot")
@@ -201,6 +211,49 @@ def _snapped(text: str, start: int, end: int, kind: int) -> tuple[int, int]:
     return start, end
 
 
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches (start, end) of a text one of which each piece shares a place with that ``_snapped`` and ``_plausible`` can let pass.
+
+    An address has its at sign, then a host and a dot; four numbers, or nine digits, have no letters but those of dot between
+    them, and the piece has a digit before it is snapped; a secret lies in a word with a digit and a letter.
+    """
+    at, out = text.find("@"), []
+    while at >= 0:
+        if _HOST_AFTER.match(text, at + 1):
+            out.append((max(0, at - LONGEST + 1), at + LONGEST))
+        at = text.find("@", at + 1)
+    for m in _AT_WORD.finditer(text):
+        at = m.start()
+        if at and (text[at - 1] in "[({<" or text[at - 1].isspace()) and _HOST_AFTER.match(text, at + 2):
+            out.append((max(0, at - LONGEST + 1), at + LONGEST))
+    if not _DIGIT.search(text):
+        return out
+    for m in _NUMBERS.finditer(text):
+        runs = _NUMBER.findall(m[0])
+        if len(runs) >= 4 or sum(map(len, runs)) >= 9:
+            start, end = m.span()
+            while start > 0 and text[start - 1].isdigit():
+                start -= 1
+            while end < len(text) and text[end].isdigit():
+                end += 1
+            out.append((start, end))
+    for m in _WORD_FROM_DIGIT.finditer(text):
+        start, end = m.span()
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        if end - start >= 16 and _LETTER.search(text, start, end):
+            out.append((start, end))
+    return out
+
+
+def _deciding(text: str, windows: int) -> np.ndarray:
+    """Which windows hold a place of a stretch: no other one can give a span, unless its pieces go on in one of these."""
+    out, step = np.zeros(windows, bool), WINDOW - STRIDE
+    for start, end in _stretches(text):
+        out[max(0, (start - WINDOW) // step + 1) : (end - 1) // step + 1] = True
+    return out
+
+
 def reconcile(text: str, starts: list[int], tags: np.ndarray, base: list[Span]) -> list[Span]:
     """Spans of all windows of a text as one set: pieces of a kind that overlap or that a window's edge cuts are joined, base spans come first.
 
@@ -284,29 +337,45 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 
 def _spans_of(texts: list[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
-    """Base and added spans of each text; windows of several texts are decoded together."""
+    """Base and added spans of each text, as if all its windows were tagged; windows of several texts are decoded together.
+
+    Windows whose pieces cannot pass ``_plausible`` are not sent, unless a neighbour that was sent has tags on the places
+    that both share or at their edge, as pieces join there.
+    """
     out: list[tuple[list[Span], list[Span]]] = [(base_spans(x), []) for x in texts]
     if tagger is None:
         return out
-    held, cuts, owners = 0, [], []
+    held, owners, step = 0, [], WINDOW - STRIDE
 
     def work() -> None:
-        tags = tagger.decode(np.concatenate(cuts))
-        tagged, at = tags.any(axis=1), 0
-        for i, own in owners:
-            some = np.flatnonzero(tagged[at : at + len(own)])
-            if len(some):
-                out[i] = (out[i][0], sorted(reconcile(texts[i], [own[k] for k in some], tags[at + some], out[i][0])))
-            at += len(own)
+        sent = [(k, np.flatnonzero(wanted)) for k, (_, _, wanted, _) in enumerate(owners)]
+        while sent:
+            tags = tagger.decode(np.concatenate([_cut(owners[k][1], rows * step) for k, rows in sent]))
+            low, high, some = tags[:, : STRIDE + 1].any(axis=1), tags[:, step - 1 :].any(axis=1), tags.any(axis=1)
+            at, before, sent = 0, sent, []
+            for k, rows in before:
+                _, _, wanted, found = owners[k]
+                here = slice(at, at + len(rows))
+                found += zip((rows[some[here]] * step).tolist(), tags[here][some[here]])
+                near = np.concatenate([rows[low[here]] - 1, rows[high[here]] + 1])
+                near = np.unique(near[(near >= 0) & (near < len(wanted))])
+                if len(near := near[~wanted[near]]):
+                    wanted[near] = True
+                    sent.append((k, near))
+                at += len(rows)
+        for i, _, _, found in owners:
+            if found:
+                starts, tags = zip(*sorted(found, key=lambda f: f[0]))
+                out[i] = (out[i][0], sorted(reconcile(texts[i], list(starts), np.stack(tags), out[i][0])))
 
     for i, text in enumerate(texts):
-        if starts := _window_starts(text):
-            owners.append((i, starts))
-            cuts.append(_cut(encode(text), starts))
-            held += len(starts)
+        wanted = _deciding(text, len(_window_starts(text)))
+        if wanted.any():
+            owners.append((i, encode(text), wanted, []))
+            held += int(wanted.sum())
         if held >= TOGETHER:
             work()
-            held, cuts, owners = 0, [], []
+            held, owners = 0, []
     if held:
         work()
     return out

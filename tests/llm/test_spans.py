@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -322,6 +323,79 @@ def test_every_place_of_a_text_is_looked_at():
     assert pii._window_starts("") == []
 
 
+class Told:
+    """Tags that hang on a window's classes alone, at random, in runs of one kind, half of them between blanks; it counts the windows that it is sent."""
+
+    def __init__(self, share):
+        self.share, self.sent = share, 0
+
+    def decode(self, x):
+        self.sent += len(x)
+        out = np.zeros(x.shape, np.int8)
+        for row, tags in zip(x, out):
+            rng, at = random.Random(zlib.crc32(row.tobytes())), 0
+            while at < len(row):
+                size, kind = rng.choice([1, 2, 5, 9, 16, 40, 90]), rng.randrange(5)
+                if rng.random() < 0.5:
+                    blanks = np.flatnonzero(row[at + 1 :] == pii.encode(" ")[0])[: rng.choice([1, 1, 3, 4, 5])]
+                    size = int(blanks[-1]) + 1 if len(blanks) else len(row) - at
+                    at += int(row[at] == pii.encode(" ")[0])
+                if rng.random() < self.share:
+                    tags[at : at + size] = 2 + 2 * kind
+                    tags[at : at + 1] -= rng.random() < 0.8
+                at += size
+        return out
+
+
+def all_windows(text, tagger):
+    starts = pii._window_starts(text)
+    base = pii.base_spans(text)
+    return base, sorted(pii.reconcile(text, starts, tagger.decode(pii._cut(pii.encode(text), starts)), base)) if starts else []
+
+
+def test_windows_that_are_not_sent_change_no_span():
+    rng = random.Random(8)
+    data = ["anna.smith (at) example.org", "anna AT example DOT org", "x@y.zz", "a [at]b-c[.]d e", "at home. The", "7\u00b78\u00b79\u00b71", "1\u00b22\u00b23\u00b24", "10.0.0.1", "10 dot 0 dot 0 dot 1", "4539.5787.6362.1486", "\u0663\u06634539 5787 6362 1486", "(555) 010-2030", "00 1 555 010 2030", "sk_live_0a1b2c3d4e5f60718293", "ABCDEFGHIJKLMNOP9", "in 1999"]
+    fill = ["word ", "at ", ". ", "\u00e9", "\n", "dot ", "(", "abcdefgh", "\u65e5", "\u0663", " ", "@", "-", "1", "O"]
+    added = skipped = windows = 0
+    for share in (0.05, 0.3, 0.7):
+        texts = ["", "x"]
+        for _ in range(400):
+            parts = [x for _ in range(rng.randint(1, 5)) for x in (*rng.choices(fill, k=rng.choice([1, 3, 20, 90])), *(["plain words only "] * rng.choice([0, 9, 40])), f"{rng.choice(["", " "])}{rng.choice(data)} " * (rng.random() < 0.7))]
+            texts.append("".join(parts))
+        few, every = Told(share), Told(share)
+        got, want = pii._spans_of(texts, few), [all_windows(x, every) for x in texts]
+        assert got == want
+        added, skipped, windows = added + sum(len(a) for _, a in want), skipped + every.sent - few.sent, windows + every.sent
+    assert added > 100 and skipped > windows / 4
+
+
+def test_what_the_tagger_is_not_sent_changes_no_span_of_documents(documents):
+    """Few windows of prose can give a span; before, all of them were sent."""
+    rng, plain = random.Random(4), [r.text or "" for r in documents.collect()]
+    told = [(x, pii.taught_spans(x)) for x in plain]
+    told += [pii.varied_text(x, s, rng) for x, s in told if s]
+    cut = [(pii._cut(pii.encode(x), at, pii.TAUGHT), pii._labels(s, at)) for x, s in told if (at := pii._marked_starts(x))]
+    x, y, texts = *map(np.concatenate, zip(*cut)), [x for x, _ in told]
+    order = np.concatenate([np.flatnonzero(y.any(axis=1))[-300:], np.flatnonzero(~y.any(axis=1))[:100]])
+    tagger = Tagger(1 + 2 * len(pii.NAMES)).train(x[order], y[order], epochs=4)
+    rows, decode = [], tagger.decode
+    tagger.decode = lambda x: rows.append(len(x)) or decode(x)
+    got = pii._spans_of(texts, tagger)
+    sent = sum(rows)
+    tagger.decode = decode
+    assert got == [all_windows(t, tagger) for t in texts]
+    assert sum(len(a) for _, a in got) > 5
+    assert sent < 0.1 * sum(len(pii._window_starts(t)) for t in texts)
+
+
+def test_stretches_take_linear_time():
+    began = time.time()
+    for text in ("@" * 300_000, "a" * 300_000 + "1", "1" * 300_000, "1 " * 150_000, "1\u65e5" * 150_000, " at a" * 60_000, "@a" * 150_000, "at " * 100_000, "1" + " " * 300_000, "@" + "a" * 300_000, "\u0663" * 300_000 + "1"):
+        pii._stretches(text)
+    assert time.time() - began < 20
+
+
 def test_long_texts_are_read_less_than_one_and_a_half_times():
     text = "plain words without any sign of data " * 500
     starts = pii._window_starts(text)
