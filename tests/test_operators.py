@@ -667,6 +667,20 @@ def test_facts_of_cells_and_scenes_travel_with_their_pairs(spark, data):
     assert text.count("Join ") == 3  # the pairs, and cells with nations for the rows and for their levels
 
 
+def test_equal_cells_meet_scenes_as_lists(spark, monkeypatch):
+    cells = spark.range(1500).selectExpr("concat(id * 7919 % 1500, '_', 2000) id", "2000 year", "id % 3 * 1000D xmin", "0D ymin", "id % 3 * 1000D + 10 xmax", "10D ymax")
+    cells = cells.unionByName(cells.limit(100)).unionByName(cells.limit(5).withColumn("year", F.lit(None).cast("int")))
+    shots = spark.range(3600).selectExpr("id * 977 % 3600 + id * 1000 scene_id", "int(2000 + id % 2) year", "int(160 + id % 150) doy", "double(id % 2 * 1000) xmin", "0D ymin", "double(id % 2 * 1000 + 1000) xmax", "id % 4 + 3D ymax")
+    met, join = [], scenes.level_join
+    monkeypatch.setattr(scenes, "level_join", lambda a, b, **k: met.append(a.count()) or join(a, b, **k))
+    got = scenes.cell_scenes(cells, shots)
+    hit = (cells.year == shots.year) & shots.doy.between(172, 282) & ((cells.xmin + cells.xmax) / 2).between(shots.xmin, shots.xmax) & ((cells.ymin + cells.ymax) / 2).between(shots.ymin, shots.ymax)
+    want = cells.join(shots, hit).select("id", "scene_id")
+    n = want.count()
+    assert n > 300_000 and got.count() == n and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert met[0] < 40
+
+
 def test_what_the_second_sensor_meets_is_not_shuffled(spark, data):
     from sylvastack.sources.derived import TABLES, Tables
     from sylvastack.sources.second_sensor import tm_pixels
