@@ -735,3 +735,65 @@ def test_training_points_do_not_grow_with_the_cells_of_a_place(spark, data):
     rows = lambda df, n=1: sorted((r.scene_id, r.pixel_id, r.label, n * r.cells) for r in df.collect())
     got = rows(training_points(t))
     assert got and got == rows(want) and rows(training_points(more)) == rows(want, 2)
+
+
+def _group(rng, scenes, rows, pixels, grid):
+    """What a day and block of pixels has: scenes of the second sensor with what they saw themselves, and rows of the first one's."""
+    import numpy as np
+    import pyarrow as pa
+
+    def boxes(n, steps):
+        x, y = (rng.integers(0, grid, n) * 1000.0 for _ in "xy")
+        return {"xmin": x, "ymin": y, "xmax": x + steps * 1000, "ymax": y + steps * 1000}
+
+    price = lambda n: np.round(rng.uniform(5_000, 90_000, n), 2)
+    ids = rng.permutation(10 * scenes)[:scenes]
+    own = scenes * 2
+    none = {c: np.zeros(own) for c in ("xmin", "ymin", "xmax", "ymax")}
+    place = boxes(scenes, 4)
+    mine = {"is_scene": np.arange(scenes + own) < scenes, "scene_id": np.r_[ids, rng.choice(ids, own)], "pixel_id": np.r_[np.zeros(scenes, int), rng.integers(0, pixels, own)], "price": np.r_[np.zeros(scenes), price(own)], "quantity": np.r_[np.zeros(scenes), rng.integers(1, 51, own)], "qa": np.r_[np.zeros(scenes), rng.choice([16, 64, 150], own)].astype(np.int32), "clear": np.r_[rng.integers(0, 2, scenes) == 1, np.zeros(own, bool)]}
+    first = rng.integers(0, rows // 4, rows)
+    shown = {"before": first % 3 == 0, "decides": first % 2 == 0, "scene_id": first * 3 + 1, "pixel_id": rng.integers(0, pixels, rows), "price": price(rows), "quantity": rng.integers(1, 51, rows).astype(float), **{c: v[first] for c, v in boxes(rows // 4, 4).items()}}
+    return pa.table(mine | {c: np.r_[place[c], none[c]] for c in none}), pa.table(shown)
+
+
+@pytest.mark.parametrize("scenes,rows,pixels,grid", [(40, 120, 2_000, 6), (40, 400, 60, 12), (200, 300, 100_000, 3), (3, 700, 900, 2), (30, 0, 50, 4)])
+def test_lists_of_scenes_that_see_alike_equal_all_pairs(scenes, rows, pixels, grid):
+    import numpy as np
+
+    from sylvastack.sources import second_sensor as SS
+
+    own, shared = _group(np.random.default_rng(scenes + rows), scenes, max(rows, 4), pixels, grid)
+    shared = shared.slice(0, rows)
+    o, s = SS._arrays(own, shared)
+    want = sorted(zip(*(np.concatenate(x).tolist() for x in zip(*SS._parts(o, s)))))
+    lists = SS._day(own, shared).to_pylist()
+    gained = lambda r, scene, x: x["price"] * (5 + scene % 7) / 10 if r["gains"] else x["price"]
+    assert sorted((i, x["pixel_id"], gained(r, i, x), x["quantity"], x["qa"]) for r in lists for i in r["scenes"] for x in r["seen"]) == want
+    if pixels == 100_000:
+        assert sum(len(r["scenes"]) + len(r["seen"]) for r in lists) < len(want) / 4
+
+    def met(t):
+        n = {}
+        for r in t.to_pylist():
+            if r["scene_id"] is None:
+                n[r["pixel_id"], r["nbr"]] = n.get((r["pixel_id"], r["nbr"]), 0) + r["n"]
+        return n, sorted((r["pixel_id"], r["scene_id"], r["before"], r["nbr"]) for r in t.to_pylist() if r["scene_id"] is not None)
+
+    assert met(SS._met(own, shared)) == met(SS._met_mixed(o, s))
+
+
+def test_second_sensor_pixels_come_out_in_an_order_that_files_shorten(spark, data, tmp_path):
+    from sylvastack.sources.derived import TABLES, Tables
+    from sylvastack.sources.second_sensor import tm_pixels
+
+    t = Tables(spark, data)
+    k = spark.range(24).withColumnRenamed("id", "k")
+    orders = t.orders.crossJoin(k).withColumns({"o_orderkey": F.col("o_orderkey") + F.col("k") * 600_000, "o_custkey": F.col("o_custkey") + F.col("k") * 96_000}).drop("k")
+    lineitem = t.lineitem.crossJoin(k).withColumns({"l_orderkey": F.col("l_orderkey") + F.col("k") * 600_000, "l_partkey": F.col("l_partkey") + F.col("k") * 64_000}).drop("k")
+    out = tm_pixels(lineitem, spark.sql(TABLES["scenes"].replace("from orders", "from {orders}"), orders=orders), orders)
+    paths = [str(tmp_path / n) for n in ("lists", "sorted")]
+    out.coalesce(1).write.parquet(paths[0])
+    spark.read.parquet(paths[0]).repartition(1).sortWithinPartitions("scene_id", "pixel_id").write.parquet(paths[1])
+    size = [sum(f.stat().st_size for f in tmp_path.joinpath(n).glob("*.parquet")) for n in ("lists", "sorted")]
+    assert size[0] < 0.8 * size[1]
