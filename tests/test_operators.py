@@ -797,3 +797,15 @@ def test_second_sensor_pixels_come_out_in_an_order_that_files_shorten(spark, dat
     spark.read.parquet(paths[0]).repartition(1).sortWithinPartitions("scene_id", "pixel_id").write.parquet(paths[1])
     size = [sum(f.stat().st_size for f in tmp_path.joinpath(n).glob("*.parquet")) for n in ("lists", "sorted")]
     assert size[0] < 0.8 * size[1]
+
+
+def test_metadata_has_the_regions_place_and_both_coordinates(spark, data):
+    from sylvastack.plans import scene_queries
+    from sylvastack.sources.derived import Tables
+
+    t = Tables(spark, data)
+    t.ecozones = t.ecozones.where("ecozone_id <> 1")
+    t.cell_years = t.cell_years.withColumn("ecozone", F.when(F.col("cell_id") % 7 > 0, F.col("ecozone")))
+    rows = scene_queries.export_metadata(t).join(t.cell_years.select("id", "ecozone"), "id").join(t.scenes.select("scene_id", "ymin"), "scene_id").collect()
+    assert {(r.ecozone, r.ecozone_idx) for r in rows} == {(None, -1), (0, 0), (1, -1), (2, 1), (3, 2), (4, 3)}
+    assert all(r.cy == r.ymin + 12_000 for r in rows)
