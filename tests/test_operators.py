@@ -809,3 +809,30 @@ def test_metadata_has_the_regions_place_and_both_coordinates(spark, data):
     rows = scene_queries.export_metadata(t).join(t.cell_years.select("id", "ecozone"), "id").join(t.scenes.select("scene_id", "ymin"), "scene_id").collect()
     assert {(r.ecozone, r.ecozone_idx) for r in rows} == {(None, -1), (0, 0), (1, -1), (2, 1), (3, 2), (4, 3)}
     assert all(r.cy == r.ymin + 12_000 for r in rows)
+
+
+@pytest.mark.parametrize("cells", [4, 60, 1 << 22])
+def test_covered_areas_from_one_lattice_equal_the_union_for_each_box(cells):
+    import numpy as np
+
+    rng = np.random.default_rng(cells)
+    low = lambda n: rng.integers(0, 60, (2, n)).astype(float)
+    for n in (0, 1, 7, 40):
+        a, b = (np.vstack([at, at + rng.integers(0, 30, at.shape)]) for at in (low(25), low(n)))
+        want = [scenes.union_area(*(f(v, x) for v, x, f in zip(b[:, (b[0] <= x1) & (x0 <= b[2]) & (b[1] <= y1) & (y0 <= b[3])], (x0, y0, x1, y1), (np.maximum, np.maximum, np.minimum, np.minimum)))) for x0, y0, x1, y1 in a.T]
+        assert scenes.covered_areas(list(a), list(b), cells) == pytest.approx(want)
+
+
+def test_equal_footprints_of_a_day_are_asked_for_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    box = lambda n, name="": {f"{name}{c}": np.arange(n) % 4 * 10.0 + d for c, d in zip(("xmin", "ymin", "xmax", "ymax"), (0, 0, 8, 8))}
+    mine = pa.table({"scene_id": np.arange(400), "area": np.full(400, 64.0)} | box(400))
+    theirs = pa.table({"other_id": np.arange(1000, 1600), "other_day": np.zeros(600, "datetime64[D]")} | box(600, "other_"))
+    asked, areas = [], scenes.covered_areas
+    monkeypatch.setattr(scenes, "covered_areas", lambda a, b: asked.append((len(a[0]), len(b[0]))) or areas(a, b))
+    got = scenes._meeting(mine, theirs)
+    assert asked == [(4, 4)] and got.num_rows == 4 and sorted(i for r in got["scene_ids"].to_pylist() for i in r) == list(range(400))
+    assert got["covered"].to_pylist() == [64.0] * 4 and {len(r) for r in got["other_ids"].to_pylist()} == {150}
+    assert scenes._meeting_share(mine, theirs)["met"].to_pylist() == [True] * 4
