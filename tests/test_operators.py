@@ -836,3 +836,14 @@ def test_equal_footprints_of_a_day_are_asked_for_once(spark, monkeypatch):
     assert asked == [(4, 4)] and got.num_rows == 4 and sorted(i for r in got["scene_ids"].to_pylist() for i in r) == list(range(400))
     assert got["covered"].to_pylist() == [64.0] * 4 and {len(r) for r in got["other_ids"].to_pylist()} == {150}
     assert scenes._meeting_share(mine, theirs)["met"].to_pylist() == [True] * 4
+
+
+def test_labels_look_at_pairs_only_where_a_scene_saw_several_things(monkeypatch):
+    import numpy as np
+
+    from sylvastack.sources import second_sensor as SS
+
+    asked, parts = [], SS._parts
+    monkeypatch.setattr(SS, "_parts", lambda o, s: asked.append(len(s["scene_id"])) or parts(o, s))
+    own, shared = _group(np.random.default_rng(5), 200, 2_000, 100_000, 4)
+    assert SS._met(own, shared).num_rows > 2_000 and asked[0] < 100
