@@ -847,3 +847,13 @@ def test_labels_look_at_pairs_only_where_a_scene_saw_several_things(monkeypatch)
     monkeypatch.setattr(SS, "_parts", lambda o, s: asked.append(len(s["scene_id"])) or parts(o, s))
     own, shared = _group(np.random.default_rng(5), 200, 2_000, 100_000, 4)
     assert SS._met(own, shared).num_rows > 2_000 and asked[0] < 100
+
+
+def test_maps_prepare_pixels_once_and_fuse_what_is_stored(spark, data, monkeypatch):
+    from sylvastack.plans import scene_queries, workflows
+
+    prepared, fused, bands, maps = [], [], scene_queries.with_bands, workflows.W.annual_maps
+    monkeypatch.setattr(scene_queries, "with_bands", lambda *a: prepared.append(1) or bands(*a))
+    monkeypatch.setattr(workflows.W, "annual_maps", lambda df: fused.append(plan(df)) or maps(df))
+    assert QUERIES["build_maps"](spark, data).count() > 0
+    assert prepared == [1] and len(fused) == 1 and "Exchange" not in fused[0]
