@@ -788,15 +788,17 @@ def test_second_sensor_pixels_come_out_in_an_order_that_files_shorten(spark, dat
     from sylvastack.sources.second_sensor import tm_pixels
 
     t = Tables(spark, data)
-    k = spark.range(24).withColumnRenamed("id", "k")
-    orders = t.orders.crossJoin(k).withColumns({"o_orderkey": F.col("o_orderkey") + F.col("k") * 600_000, "o_custkey": F.col("o_custkey") + F.col("k") * 96_000}).drop("k")
-    lineitem = t.lineitem.crossJoin(k).withColumns({"l_orderkey": F.col("l_orderkey") + F.col("k") * 600_000, "l_partkey": F.col("l_partkey") + F.col("k") * 64_000}).drop("k")
-    out = tm_pixels(lineitem, spark.sql(TABLES["scenes"].replace("from orders", "from {orders}"), orders=orders), orders)
+    k = spark.range(3).withColumnRenamed("id", "k")
+    orders = t.orders.crossJoin(k).withColumns({"o_orderkey": F.col("o_orderkey") + F.col("k") * 600_000, "o_custkey": F.col("o_custkey") + F.col("k") * 96_000, "o_orderdate": F.date_add(F.to_date(F.lit("1997-08-01")), (F.col("o_orderkey") % 4).cast("int")).cast("timestamp")}).drop("k")
+    lineitem = t.lineitem.crossJoin(k).withColumns({"l_orderkey": F.col("l_orderkey") + F.col("k") * 600_000, "l_partkey": (F.col("l_orderkey") + F.col("k") * 600_000) * 8 + F.col("l_linenumber")}).drop("k")
+    shots = spark.sql(TABLES["scenes"].replace("from orders", "from {orders}"), orders=orders)
+    # What scenes share, all in one file, beside the same rows day by day and scene by scene.
+    out = tm_pixels(lineitem, shots, orders).join(F.broadcast(shots.where("sensor = 'TM'").select("scene_id", "acquired")), "scene_id")
     paths = [str(tmp_path / n) for n in ("lists", "sorted")]
     out.coalesce(1).write.parquet(paths[0])
-    spark.read.parquet(paths[0]).repartition(1).sortWithinPartitions("scene_id", "pixel_id").write.parquet(paths[1])
+    spark.read.parquet(paths[0]).repartition(1).sortWithinPartitions("acquired", "scene_id", "pixel_id").write.parquet(paths[1])
     size = [sum(f.stat().st_size for f in tmp_path.joinpath(n).glob("*.parquet")) for n in ("lists", "sorted")]
-    assert size[0] < 0.8 * size[1]
+    assert size[0] < 0.8 * size[1], size
 
 
 def test_metadata_has_the_regions_place_and_both_coordinates(spark, data):
